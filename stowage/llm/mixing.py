@@ -26,8 +26,9 @@ WEIGHTS = (5, 2, 1)
 #: Golden-ratio points as integers: i * STEP mod 2**31, STEP being odd and the nearest to 2**31 / 1.618...
 BITS = 31
 STEP = 1327217885
-#: Slots (and rows) of a prefix sum's lower level.
+#: Slots and rows of a prefix sum's lower level.
 CHUNK = 8192
+BIN_ROWS = 1024
 MAX_SOURCES = 100_000
 
 
@@ -67,7 +68,7 @@ def _sources(sized: DataFrame, weights, share: float, cap: float) -> tuple[DataF
 
 def _streams(sized: DataFrame, sources: DataFrame, docs: int) -> DataFrame:
     """Adds sid, bin, rank (in the bin) and start: where the document begins in its source's shuffled stream."""
-    bins = max(16, ceil(docs / CHUNK))
+    bins = max(64, ceil(docs / BIN_ROWS))
     keyed = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     # the bin is the shuffled key's range, so that bins follow each other in the order of the keys
     keyed = keyed.withColumn("bin", F.floor((F.shiftrightunsigned("key", 32) * bins) / F.lit(float(1 << 32))).cast("int"))

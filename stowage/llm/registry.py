@@ -11,6 +11,18 @@ from stowage.llm.common import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.langid import language_id
+
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.pii import find_pii
+
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.mixing import mix_manifest
 
@@ -24,7 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
+    return {"op6_language_id": op6_language_id, "op7_pii": op7_pii, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
