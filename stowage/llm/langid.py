@@ -222,7 +222,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return identify(docs, fit(docs, id_col, text_col, lang_col, **options), id_col, text_col)
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """The documents, all columns, whose language is told with a score of at least ``least``."""
     model, place = fit(docs, id_col, text_col, lang_col), docs.columns.index(text_col)
 
