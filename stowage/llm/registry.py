@@ -11,6 +11,12 @@ from stowage.llm.common import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.simhash import near_duplicates
 
@@ -48,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
+    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
