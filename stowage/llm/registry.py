@@ -41,6 +41,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.decontaminate import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.mixing import mix_manifest
 
@@ -54,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
+    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
