@@ -98,7 +98,7 @@ class Matcher:
         self.need = np.array([max(1, len(b) - Q + 1 - k * (Q + w - 1)) for b, k, w in zip(raw, self.edits, widest, strict=True)])
         # a bucket of displacements holds every passage's kept q-grams, as buckets overlap by half
         self.reach = np.array([4 * k + 1 for k in self.edits], np.int64)
-        self.width = 1 << np.ceil(np.log2(4 * self.reach)).astype(np.int64)
+        self.width = 4 * self.reach
         found = [(h, k, o) for k, b in enumerate(raw) for o, h in enumerate(grams(b))]
         order = np.argsort(np.array([h for h, _, _ in found], np.uint64), kind="stable")
         self.gram = np.array([h for h, _, _ in found], np.uint64)[order]
@@ -180,6 +180,8 @@ class Matcher:
             for e in np.flatnonzero(size >= self.need[item[order[edge]]]):
                 own = order[edge[e] : edge[e] + size[e]]
                 r, i = int(row[own[0]]), int(item[own[0]])
+                if len(np.unique(self.offset[which[own]])) < self.need[i]:
+                    continue
                 own_shift = shift[own]
                 value, times = np.unique(own_shift, return_counts=True)
                 a, b = int(at[r]), int(at[r + 1])
@@ -218,15 +220,17 @@ class Matcher:
             for k, spots in sorted(items.items()):
                 m, e, best, until = len(self.texts[k]), self.edits[k], None, -1
                 for s in sorted(spots):
-                    if s < until:
-                        continue
                     point = s if len(raw) == len(text) else len(raw[:s].decode(errors="ignore"))
+                    if point < until:
+                        continue
                     a = max(0, point - 2 * e - 8)
                     stretch = text[a : point + m + 4 * e + 64]
-                    until = s + 2 * e
+                    until = point + 2 * e + 64  # a passage from before there lies in the stretch
                     d, x, y = passage(self.texts[k], stretch)
                     if d <= e and (best is None or d < best[0]):
                         best = (d, a + x, a + y)
+                        if not d:
+                            break
                 if best:
                     out.setdefault(r, []).append((k, *best))
         return out
