@@ -29,6 +29,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.ppm import lm_scores
+
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.langid import language_id
 
@@ -60,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
+    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
