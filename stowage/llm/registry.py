@@ -17,6 +17,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.repeats import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stowage.llm.simhash import near_duplicates
 
@@ -66,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
+    return {"op1_license_scan": op1_license_scan, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
