@@ -1,14 +1,118 @@
-"""Verdicts on organized names."""
+"""The organizing plan: digests, duplicates, description, class, code, name, copy, catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import expressions as X
+from stowage.operators import catalog as K
+from stowage.operators import concepts, dedup
+from stowage.operators import taxonomy as T
+from stowage.plans.adjudicate import resolve_with
+from stowage.plans.classifiers import Classifier, StubClassifier
+from stowage.session import stored
+from stowage.sources import exif, files, sinks
+
+RESULT = ["source_path", "digest", "status", "organized_path", "error"]
 
 
 def verdict(name: Column, actual: Column) -> Column:
     """OK, FAIL, or SKIP for names that are no pictures or not in the form."""
     digest = X.extract_digest(X.path_stem(name))
     return F.when(~X.is_supported(name) | digest.isNull(), "SKIP").when(digest == actual, "OK").otherwise("FAIL")
+
+
+def verify_tree(spark, path: str) -> DataFrame:
+    """source_path, verdict of every file; only names in the form are read."""
+    every = files.scan(spark, path, supported_only=False)
+    named = every.withColumn("want", F.when(X.is_supported(F.col("source_path")), X.extract_digest(X.path_stem(F.col("source_path")))))
+    read = files.with_digests(named.where("want IS NOT NULL"))
+    done = read.select("source_path", verdict(F.col("source_path"), F.col("digest")).alias("verdict"))
+    return done.unionByName(named.where("want IS NULL").select("source_path", F.lit("SKIP").alias("verdict")))
+
+
+@dataclass
+class Organizer:
+    """Organizes batches of files into ``organized_dir``; the catalog is committed once a batch.
+
+    A node minted and a subject learned are kept only if a file of the batch that led to them was copied.
+    """
+
+    catalog: K.Catalog
+    organized_dir: str
+    classifier: Classifier | None = None
+    duplicates_dir: str | None = None
+    sidecars: bool = False
+    dry_run: bool = False
+
+    def run(self, batch: DataFrame) -> DataFrame:
+        """source_path, digest, status, organized_path, error for a batch of source_path, size, mtime_ns."""
+        hashed = stored(files.with_digests(batch))
+        unread = hashed.where("error IS NOT NULL").select("source_path", "digest", F.lit("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), "error")
+        good = hashed.where("error IS NULL").drop("error")
+        photos = self.catalog.read("photos")
+        if self.dry_run:
+            marked = dedup.mark_duplicates(good, photos)
+            return marked.select("source_path", "digest", "status", F.lit(None).cast("string").alias("organized_path"), F.lit(None).cast("string").alias("error")).unionByName(unread)
+        known = good.join(photos.select("digest"), "digest", "left_semi")
+        pending, done, repeats = good.join(photos.select("digest"), "digest", "left_anti"), unread, known.select("source_path", "digest")
+        # a file that fails leaves its bytes to the next path, so a round tries one path of each digest
+        while True:
+            first = pending.groupBy("digest").agg(F.min("source_path").alias("source_path"))
+            tried = pending.join(first, ["digest", "source_path"], "left_semi")
+            if tried.isEmpty():
+                break
+            result = self._attempt(tried)
+            done = done.unionByName(result.select(*RESULT))
+            copied = result.where("status = 'copied'").select("digest")
+            rest = pending.join(first, ["digest", "source_path"], "left_anti")
+            repeats = repeats.unionByName(rest.join(copied, "digest", "left_semi").select("source_path", "digest"))
+            pending = stored(rest.join(copied, "digest", "left_anti"))
+        repeats = stored(repeats)
+        self._repeat(repeats)
+        return done.unionByName(repeats.select("source_path", "digest", F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.lit(None).cast("string").alias("error")))
+
+    def _repeat(self, repeats: DataFrame) -> None:
+        if repeats.isEmpty():
+            return
+        now = str(repeats.sparkSession.sql("SELECT current_timestamp()").first()[0])
+        self.catalog.commit(photos=K.mark_duplicates(self.catalog.read("photos"), repeats, now))
+        if self.duplicates_dir:
+            target = F.concat(F.lit(f"{self.duplicates_dir}/"), "digest", F.lit("_"), X.base_name(F.col("source_path")))
+            sinks.copy_aside(repeats.withColumn("target", target)).count()
+
+    def _attempt(self, tried: DataFrame) -> DataFrame:
+        backend, nodes, learned = self.classifier or StubClassifier(), T.seed_taxonomy(tried.sparkSession, self.catalog.read("taxonomy")), self.catalog.read("learned_concepts")
+        described = stored(backend.describe_files(exif.with_exif(tried)).withColumn("pos", F.col("source_path")))
+        failed = described.where("failure IS NOT NULL")
+        classed = stored(concepts.class_for(described.where("failure IS NULL"), learned))
+        answers = stored(backend.answer(concepts.first_misses(classed)))
+        decided = concepts.decide_class(classed, answers).withColumn("label", F.col("primary_subject"))
+        if type(backend).adjudicate is Classifier.adjudicate:
+            coded, minted = T.resolve_or_create(stored(decided), nodes)
+            nodes_then = stored(T.insert(nodes, minted))
+        else:
+            coded, nodes_then = resolve_with(stored(decided), nodes, backend)
+        placed = coded.join(T.folder_paths(nodes_then), "code").join(nodes_then.select("code", F.col("label").alias("node_label")), "code")
+        name = X.generate_filename(F.col("code"), F.col("primary_subject"), F.col("digest"), X.extension(F.col("source_path")))
+        placed = placed.withColumn("organized_path", F.concat(F.lit(f"{self.organized_dir}/"), "folder_path", F.lit("/"), name))
+        side = F.to_json(F.struct("digest", F.col("source_path").alias("original_path"), "organized_path", F.col("code").alias("pcs_code"), X.normalize_descriptor(F.col("primary_subject")).alias("descriptor"), "caption", "scene", "objects", F.col("tags").alias("secondary_tags"), "ocr_text", "model_version", F.parse_json("exif").alias("exif")))
+        result = stored(sinks.organize_files(placed.withColumn("sidecar", side), self.sidecars))
+        self._commit(result.where("status = 'copied'"), nodes_then, learned, answers)
+        return result.select(*RESULT).unionByName(failed.select("source_path", F.lit("").alias("digest"), F.lit("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.col("failure").alias("error")))
+
+    def _commit(self, copied: DataFrame, nodes: DataFrame, learned: DataFrame, answers: DataFrame) -> None:
+        now, none = F.current_timestamp(), F.lit(None)
+        event = F.struct(F.lit("processed").alias("event"), F.col("source_path").alias("source"), F.col("organized_path").alias("destination"), none.cast("string").alias("duplicate_path"), none.cast("timestamp").alias("at"))
+        new = copied.select(
+            "digest", F.col("source_path").alias("original_path"), "organized_path", F.lit("1").alias("pcs_version"), F.col("code").alias("pcs_primary"), F.col("node_label").alias("pcs_name"), F.col("tags").alias("secondary_tags"), F.col("caption").alias("ai_caption"),
+            "objects", "ocr_text", "exif", "model_version", F.array(event).alias("processing_history"), now.alias("created_at"), now.alias("processed_at"),
+        )
+        used = copied.select("subject_norm").distinct()
+        kept = answers.join(used, "subject_norm", "left_semi").select(F.col("subject_norm").alias("subject"), F.col("answer").alias("class_code"), "pos")
+        spine = T.seed_taxonomy(copied.sparkSession).select("code")
+        keep = self.catalog.read("taxonomy").select("code").union(spine).union(copied.select("code")).distinct()
+        self.catalog.commit(photos=K.upsert(self.catalog.read("photos"), new), taxonomy=nodes.join(keep, "code", "left_semi"), learned_concepts=concepts.remember(learned, kept))
