@@ -37,6 +37,8 @@ SAMPLES = 24
 PICK = 4
 STRETCH = 1.25
 MAX_ITEM_BYTES = 64 << 20
+#: Bytes of text looked at together: the walks cost the same for few windows as for many.
+SLICE = 3 << 20
 
 
 def max_edits(m: int, rate: float = RATE) -> int:
@@ -252,7 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(source):
-        for batch, flat, at in batches(source, "text"):
+        for batch, flat, at in batches(source, "text", SLICE):
             hits = shared.value.hits(flat, at, lambda r, column=batch.column(1): column[r].as_py()) if shared.value else {}
             rows = [(r, *h) for r, own in hits.items() for h in own]
             near = [1 - d / len(shared.value.texts[k]) for _, k, d, _, _ in rows]
@@ -271,7 +273,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(source):
-        for batch, flat, at in batches(source, text_col):
+        for batch, flat, at in batches(source, text_col, SLICE):
             hits = shared.value.hits(flat, at, lambda r, column=batch.column(place): column[r].as_py()) if shared.value else {}
             clean = np.ones(batch.num_rows, bool)
             clean[list(hits)] = False
