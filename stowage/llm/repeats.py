@@ -14,7 +14,8 @@ per about ``LENGTH`` / 2 bytes), and equal strings have equal anchors at equal p
    brought together by anchor with its bytes; a task sorts their suffixes to ``LENGTH`` bytes by prefix doubling, where
    suffixes of equal rank lie side by side in text order: all but the first have LPF of at least ``LENGTH``.
 3. An anchor with more than ``CROWD`` different contexts (the edge of a passage that very many documents share) would be
-   one huge shard; its suffixes are dealt out by a 128-bit hash of their ``LENGTH`` bytes instead and only counted.
+   one huge shard. Its contexts are dealt out in blocks of ``BLOCK`` starts by a 128-bit hash of what the strings of a
+   block share, blocks that occur twice are done, and the rest by a 128-bit hash of each string; both are only counted.
 
 Scale: no group is gathered without a bound; counts are combined before the shuffle and joined back, so that AQE can
 split a hot anchor. The text is shuffled once, by row; both joins with it reuse that exchange.
@@ -38,6 +39,8 @@ from stowage.llm.common import batches, letters, stored
 LENGTH = 200
 GRAM = 32
 CROWD = 512
+#: Starts of a crowded context that are dealt out together.
+BLOCK = 8
 
 
 # --- suffix arrays ----------------------------------------------------------------------------------------------
@@ -210,7 +213,7 @@ def _spans(rid, a, b) -> pa.RecordBatch:
 
 
 def _contexts(source):
-    """The contexts that a row is asked for: k, crowded, single, rid, s, bytes."""
+    """The contexts that a row is asked for: k, crowded, single, rid, s, bytes, off."""
     for batch in source:
         out: list[tuple] = []
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -218,7 +221,7 @@ def _contexts(source):
             raw = (column["text"][i].as_py() or "").encode()
             rid = column["rid"][i].as_py()
             for w in column["wanted"][i].as_py():
-                out.append((w["k"], w["crowd"], w["single"], rid, w["s"], raw[w["s"] : w["s"] + w["n"] - 1 + LENGTH]))
+                out.append((w["k"], w["crowd"], w["single"], rid, w["s"], raw[w["s"] : w["s"] + w["n"] - 1 + LENGTH], w["off"]))
             if len(out) > 20_000:
                 yield _context_rows(out)
                 out = []
@@ -226,8 +229,8 @@ def _contexts(source):
 
 
 def _context_rows(out):
-    kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["k", "crowd", "single", "rid", "s", "bytes"])
+    kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["k", "crowd", "single", "rid", "s", "bytes", "off"])
 
 
 def _sorted_shards(source):
@@ -263,22 +266,51 @@ def _shard(held):
 
 
 def _dealt(source):
-    """Every start of crowded contexts: two hashes of its LENGTH bytes, rid, place (-1: of a context that counts twice)."""
+    """Crowded contexts in blocks of ``BLOCK`` starts, counted from the anchor.
+
+    b1, b2: block and hash of the bytes that all strings of a whole block share; c: hash of the bytes of the starts that
+    are there; rid; a: first start (-1: of a context that counts twice); n: starts; w1, w2: hashes of their strings.
+    """
     for batch in source:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
+        for top in range(0, batch.num_rows, 2000):
+            part = batch.slice(top, 2000)
             raw = part.column(5).to_pylist()
             flat, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+            if not len(flat):
+                continue
+            single, rid, s, off = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 6))
             n = size - LENGTH + 1
             row = np.repeat(np.arange(len(raw)), n)
-            inner = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])[row] + inner if len(row) else row
-            eight, _ = _grams(flat) if len(flat) >= LENGTH else (np.zeros(0, np.uint64), None)
-            h1 = span_hash(prefix(eight), start, start + LENGTH - 7)
-            h2 = span_hash(prefix(mix(eight ^ np.uint64(0x5851F42D4C957F2D))), start, start + LENGTH - 7)
-            single, rid, s = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-            at = np.where(single[row], s[row] + inner, -1) if len(row) else row
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(rid[row].astype(np.int64) if len(row) else row), pa.array(at.astype(np.int64))], names=["h1", "h2", "rid", "a"])
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            begin = (np.cumsum(size) - size)[row]
+            eight, _ = _grams(flat)
+            one, two = prefix(eight), prefix(mix(eight ^ np.uint64(0x5851F42D4C957F2D)))
+            w1, w2 = (span_hash(sums, begin + inner, begin + inner + LENGTH - 7) for sums in (one, two))
+            block = (off[row] - inner) // BLOCK
+            edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
+            count = np.diff(np.append(edge, len(row)))
+            r, q = row[edge], block[edge].astype(np.int64)
+            core = begin[edge] + off[r] - q * BLOCK
+            b1, b2 = (mix(span_hash(sums, core, core + LENGTH - BLOCK + 1 - 7) + q.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) for sums in (one, two))
+            first = begin[edge] + inner[edge]
+            c = span_hash(one, first, first + count - 1 + LENGTH - 7)
+            at = np.where(single[r], s[r] + inner[edge], -1)
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(edge, len(row)).astype(np.int32)), pa.array(w.view(np.int64))) for w in (w1, w2)]
+            numbers = [pa.array(x.view(np.int64)) for x in (b1, b2, c)] + [pa.array(np.asarray(x, np.int64)) for x in (rid[r], at, count)]
+            yield pa.RecordBatch.from_arrays([*numbers, *lists], names=["b1", "b2", "c", "rid", "a", "n", "w1", "w2"])
+
+
+def _dealt_spans(contexts: DataFrame) -> DataFrame:
+    """rid, a, b: as for whole contexts, blocks that occur twice are repeated; what is left open goes by single starts."""
+    dealt = contexts.mapInArrow(_dealt, "b1 long, b2 long, c long, rid long, a long, n long, w1 array<bigint>, w2 array<bigint>")
+    kinds = dealt.groupBy("b1", "b2", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "a", "w1", "w2")).alias("one"))
+    twice = dealt.where("a >= 0").join(kinds.where("m > 1").select("b1", "b2", "c"), ["b1", "b2", "c"], "left_semi").select("rid", "a", (F.col("a") + F.col("n") - 1 + LENGTH).alias("b"))
+    open_ = kinds.groupBy("b1", "b2").agg(F.count("*").alias("kinds"), F.max(F.col("m") == 1).alias("open")).where("kinds > 1 AND open").select("b1", "b2")
+    starts = kinds.join(open_, ["b1", "b2"]).select("m", "one.rid", "one.a", F.posexplode(F.arrays_zip("one.w1", "one.w2")).alias("i", "w"))
+    starts = starts.select(F.col("w")["w1"].alias("h1"), F.col("w")["w2"].alias("h2"), "rid", F.when((F.col("m") == 1) & (F.col("a") >= 0), F.col("a") + F.col("i")).otherwise(-1).alias("a"))
+    again = starts.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1")
+    counted = starts.where("a >= 0").join(again, ["h1", "h2"]).select("rid", "a", (F.col("a") + LENGTH).alias("b"))
+    return twice.unionByName(counted)
 
 
 def _finish(source):
@@ -314,20 +346,17 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     shared = stored(table.join(seen, "k"))
     whole = shared.where("alike")
     edges = shared.where("NOT alike")
-    kinds = edges.groupBy("k", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "s", "n")).alias("one"))
+    kinds = edges.groupBy("k", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "s", "n", "off")).alias("one"))
     kinds = stored(kinds)
     twice = edges.join(kinds.where("m > 1").select("k", "c"), ["k", "c"], "left_semi")
     covered = whole.select("rid", "s", "n").unionByName(twice.select("rid", "s", "n")).select("rid", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") - 1 + LENGTH).cast("long").alias("b"))
     crowds = kinds.groupBy("k").agg(F.count("*").alias("size"), F.max(F.col("m") == 1).alias("open")).where("open")
-    asked = kinds.join(crowds, "k").select("one.rid", F.struct("k", (F.col("size") > crowd).alias("crowd"), (F.col("m") == 1).alias("single"), F.col("one.s").alias("s"), F.col("one.n").alias("n")).alias("w"))
+    asked = kinds.join(crowds, "k").select("one.rid", F.struct("k", (F.col("size") > crowd).alias("crowd"), (F.col("m") == 1).alias("single"), F.col("one.s").alias("s"), F.col("one.n").alias("n"), F.col("one.off").alias("off")).alias("w"))
     asked = asked.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
     fetched = rows.join(asked.hint("shuffle_hash"), "rid").select("doc_id", "rid", "text", "wanted")
-    contexts = fetched.mapInArrow(_contexts, "k long, crowd boolean, single boolean, rid long, s int, bytes binary")
+    contexts = fetched.mapInArrow(_contexts, "k long, crowd boolean, single boolean, rid long, s int, bytes binary, off int")
     sorted_out = contexts.where("NOT crowd").repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_shards, "rid long, a long, b long")
-    dealt = contexts.where("crowd").mapInArrow(_dealt, "h1 long, h2 long, rid long, a long")
-    again = dealt.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1")
-    counted = dealt.where("a >= 0").join(again, ["h1", "h2"]).select("rid", "a", (F.col("a") + LENGTH).alias("b"))
-    return covered.unionByName(sorted_out).unionByName(counted)
+    return covered.unionByName(sorted_out).unionByName(_dealt_spans(contexts.where("crowd")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
