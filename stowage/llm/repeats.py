@@ -17,8 +17,9 @@ per about ``LENGTH`` / 2 bytes), and equal strings have equal anchors at equal p
    one huge shard. Its contexts are dealt out in blocks of ``BLOCK`` starts by a 128-bit hash of what the strings of a
    block share, blocks that occur twice are done, and the rest by a 128-bit hash of each string; both are only counted.
 
-Scale: no group is gathered without a bound; counts are combined before the shuffle and joined back, so that AQE can
-split a hot anchor. The text is shuffled once, by row; both joins with it reuse that exchange.
+Scale: no group is gathered without a bound; counts are combined before the shuffle, stored and joined back, so that
+both sides of the join are plain exchanges and AQE can split a hot anchor. The text is shuffled once, by row; both joins
+with it reuse that exchange. Contexts and blocks are cut out once and stored, since several branches read them.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes lose nothing; repeated rows are copies of each
 other; matches never cross texts; other columns are ignored. Rows are told apart by a 64-bit hash of id and text.
@@ -302,7 +303,7 @@ def _dealt(source):
 
 def _dealt_spans(contexts: DataFrame) -> DataFrame:
     """rid, a, b: as for whole contexts, blocks that occur twice are repeated; what is left open goes by single starts."""
-    dealt = contexts.mapInArrow(_dealt, "b1 long, b2 long, c long, rid long, a long, n long, w1 array<bigint>, w2 array<bigint>")
+    dealt = stored(contexts.mapInArrow(_dealt, "b1 long, b2 long, c long, rid long, a long, n long, w1 array<bigint>, w2 array<bigint>"))
     kinds = dealt.groupBy("b1", "b2", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "a", "w1", "w2")).alias("one"))
     twice = dealt.where("a >= 0").join(kinds.where("m > 1").select("b1", "b2", "c"), ["b1", "b2", "c"], "left_semi").select("rid", "a", (F.col("a") + F.col("n") - 1 + LENGTH).alias("b"))
     open_ = kinds.groupBy("b1", "b2").agg(F.count("*").alias("kinds"), F.max(F.col("m") == 1).alias("open")).where("kinds > 1 AND open").select("b1", "b2")
@@ -342,7 +343,8 @@ def _finish(source):
 def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """rid, a, b: stretches of bytes that repeated strings cover (they may overlap). rows: doc_id, rid, text."""
     table = stored(anchor_table(rows))
-    seen = table.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 1").select("k", (F.col("lo") == F.col("hi")).alias("alike"))
+    seen = table.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 1")
+    seen = stored(seen.select("k", (F.col("lo") == F.col("hi")).alias("alike")))
     shared = stored(table.join(seen, "k"))
     whole = shared.where("alike")
     edges = shared.where("NOT alike")
@@ -350,11 +352,11 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     kinds = stored(kinds)
     twice = edges.join(kinds.where("m > 1").select("k", "c"), ["k", "c"], "left_semi")
     covered = whole.select("rid", "s", "n").unionByName(twice.select("rid", "s", "n")).select("rid", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") - 1 + LENGTH).cast("long").alias("b"))
-    crowds = kinds.groupBy("k").agg(F.count("*").alias("size"), F.max(F.col("m") == 1).alias("open")).where("open")
+    crowds = stored(kinds.groupBy("k").agg(F.count("*").alias("size"), F.max(F.col("m") == 1).alias("open")).where("open"))
     asked = kinds.join(crowds, "k").select("one.rid", F.struct("k", (F.col("size") > crowd).alias("crowd"), (F.col("m") == 1).alias("single"), F.col("one.s").alias("s"), F.col("one.n").alias("n"), F.col("one.off").alias("off")).alias("w"))
     asked = asked.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
     fetched = rows.join(asked.hint("shuffle_hash"), "rid").select("doc_id", "rid", "text", "wanted")
-    contexts = fetched.mapInArrow(_contexts, "k long, crowd boolean, single boolean, rid long, s int, bytes binary, off int")
+    contexts = stored(fetched.mapInArrow(_contexts, "k long, crowd boolean, single boolean, rid long, s int, bytes binary, off int"))
     sorted_out = contexts.where("NOT crowd").repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_shards, "rid long, a long, b long")
     return covered.unionByName(sorted_out).unionByName(_dealt_spans(contexts.where("crowd")))
 
