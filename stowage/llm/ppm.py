@@ -11,9 +11,13 @@ up all positions of many texts at once, and the counts of shorter contexts are s
 Beside the score stands a unigram base over words. Words are counted as 64-bit hashes; the ``HEAD`` commonest words
 are looked up in a table of that size, all others meet their counts in a join, so every word counts exactly.
 
+A symbol's probability depends on the ``ORDER`` bytes before it alone, so it is worked out once for every place that
+occurs anywhere: places are dealt out by their last two context bytes, and a task builds the trie of its own contexts
+below the counts of order 0 and 1 (at most 65,536). The ``NODES`` commonest places are looked up in a table of that
+size, all others meet their probability in a join, as rare words do; no node is left out.
+
 Scale: two passes over the text, which is never shuffled. What the corpus gives is counted whole, each task adding up
-what it has before the shuffle. The trie that is sent to all tasks has at most ``NODES`` nodes: where there are more,
-those seen least often are left out, at one count for all contexts.
+what it has before the shuffle. A task holds the places of one pair of context bytes at a time, and at least ``CHUNK``.
 
 Defined results: a null text is empty (one token, the end); without training documents every symbol has the
 probability 1/256 and the base is that of no counts; repeated rows are rows of their own; other columns are ignored.
@@ -36,6 +40,7 @@ from stowage.llm.common import batches, fold, stored
 ORDER = 5
 NODES = 2 << 20
 HEAD = 1 << 20
+CHUNK = 1 << 19
 END = 255
 #: The hash of the token that ends a text.
 END_WORD = np.uint64(0x0123456789ABCDEF)
@@ -223,28 +228,80 @@ def trie(keys: np.ndarray, n: np.ndarray, order: int = ORDER) -> Trie:
 # --- over tables -------------------------------------------------------------------------------------------------
 
 GRAM, WORD = 0, 1
-_tries: dict[str, tuple[Trie, Table, np.ndarray]] = {}
+_heads: dict[str, tuple[Table, np.ndarray, Table, np.ndarray]] = {}
 
 
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+def _rows(kind: int, keys: np.ndarray, n: np.ndarray, held: bool = False) -> pa.RecordBatch:
+    n = n.astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n * (not held)), pa.array(n)], names=["kind", "key", "n", "every"])
 
 
 def _count(source):
-    """What one task finds: (kind, key, n)."""
-    counters, ends = {GRAM: Counter(), WORD: Counter(2_000_000)}, 0
+    """What one task finds: (kind, key, n in training documents, n in all); words of training documents alone."""
+    counters, ends = {(GRAM, False): Counter(), (WORD, False): Counter(2_000_000), (GRAM, True): Counter(1_000_000)}, 0
     for batch, flat, at in batches(source, "text"):
-        counters[GRAM].add(framed(flat, at)[0])
-        counters[WORD].add(word_hashes(LOWER[flat], words(flat, at)))
-        ends += batch.num_rows
-        for kind, counter in counters.items():
+        held = batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
+        keys, w = framed(flat, at)[0], words(flat, at)
+        apart = np.repeat(held, np.diff(at) + 1)
+        counters[GRAM, False].add(keys[~apart])
+        counters[GRAM, True].add(keys[apart])
+        counters[WORD, False].add(word_hashes(LOWER[flat], w)[~held[w.owner]])
+        ends += int((~held).sum())
+        for (kind, other), counter in counters.items():
             if counter.full:
-                yield _rows(kind, *counter.take())
-    for kind, counter in counters.items():
-        yield _rows(kind, *counter.take())
+                yield _rows(kind, *counter.take(), other)
+    for (kind, other), counter in counters.items():
+        yield _rows(kind, *counter.take(), other)
     yield _rows(WORD, np.array([END_WORD] * bool(ends), np.uint64), np.array([ends] * bool(ends)))
 
 
+def solved(keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of the probability of each place; for any two context bytes either all places are there or none."""
+    known = n > 0
+    pair = np.uint64(0xFFFF)
+    orders = [shorter(*low, 0), low] if len(low[0]) else []
+    if not known.any():
+        return Trie(orders).logs(keys & pair)
+    train = tally(keys[known], n[known])
+    return Trie([*orders, *(shorter(*train, k) for k in range(2, ORDER)), train]).logs(keys)
+
+
+def _solve(low: tuple[np.ndarray, np.ndarray]):
+    """Over (key, n, every) sorted by the last two context bytes: (key, every, p)."""
+
+    def run(source):
+        parts, held, enough = [], 0, CHUNK
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            parts.append([np.asarray(batch.column(i)) for i in range(3)])
+            held += batch.num_rows
+            if held >= enough:
+                key, n, every = (np.concatenate(c) for c in zip(*parts, strict=True))
+                last = int(np.searchsorted((key >> 8) & 0xFFFF, (key[-1] >> 8) & 0xFFFF))
+                parts, held = [[key[last:], n[last:], every[last:]]], len(key) - last
+                enough = max(CHUNK, 2 * held)
+                if last:
+                    yield answer(key[:last], n[:last], every[:last])
+        if held:
+            yield answer(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+    def answer(key, n, every):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(every), pa.array(solved(key.view(np.uint64), n, low))], names=["key", "n", "p"])
+
+    return run
+
+
+def _rare(keys: np.ndarray, owner: np.ndarray, size: int) -> list[pa.ListArray]:
+    """For each of ``size`` rows its different keys and how often it has them."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.zeros(0, int)
+    times = np.diff(np.append(edge, len(keys)))
+    offsets = pa.array(np.searchsorted(owner[edge], np.arange(size + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (keys[edge].view(np.int64), times)]
+
+
 def _least_count(table: DataFrame, most: int) -> int:
     """The smallest count that at most ``most`` rows (about) of the table reach."""
     seen = {r[0]: r[1] for r in table.groupBy(F.least("n", F.lit(100_000)).alias("c")).count().collect()}
@@ -256,9 +313,9 @@ def _least_count(table: DataFrame, most: int) -> int:
     return 100_000 + 1
 
 
-def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """key and n, sorted by the unsigned key; for tables of checked size."""
-    got = table.select("key", "n").toArrow()
+def _arrays(table: DataFrame, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
+    """key and value, sorted by the unsigned key; for tables of checked size."""
+    got = table.select("key", value).toArrow()
     keys, n = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(c) for c in got.column(i).chunks)]) for i in (0, 1))
     keys = keys.view(np.uint64)
     order = np.argsort(keys, kind="stable")
@@ -269,28 +326,27 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), 10) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    counts = stored(rows.where("NOT held_out").select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counted = rows.select("text", "held_out").mapInArrow(_count, "kind int, key long, n long, every long")
+    counts = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every")))
     tokens = counts.where(f"kind = {WORD}").select("key", "n")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = tokens.where(F.col("key") == int(END_WORD)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    grams = counts.where(f"kind = {GRAM}").select("key", "n")
-    every = [grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")).withColumn("order", F.lit(k)) for k in range(ORDER)]
-    tree = grams.withColumn("order", F.lit(ORDER))
-    for part in every:
-        tree = tree.unionByName(part)
-    tree = stored(tree)
-    kept = tree.where(F.col("n") >= _least_count(tree, nodes))
-    orders = [_arrays(kept.where(F.col("order") == k)) for k in range(ORDER + 1)] if total else []
+    grams = counts.where(f"kind = {GRAM}").select("key", "n", "every")
+    low = _arrays(grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")))
+    pair = F.col("key").bitwiseAND(F.lit(0xFFFF00))
+    dealt = grams.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair").select("key", "n", "every")
+    places = stored(dealt.mapInArrow(_solve(low), "key long, n long, p double"))
+    usual = _arrays(places.where(F.col("n") >= _least_count(places, nodes)), "p")
     common = _arrays(tokens.where(F.col("n") >= _least_count(tokens, head)))
-    model, name = spark.sparkContext.broadcast((orders, common)), uuid.uuid4().hex
+    model, name = spark.sparkContext.broadcast((usual, common)), uuid.uuid4().hex
 
     def score(source):
-        if name not in _tries:
-            _tries.clear()
-            known, n = model.value[1]
-            _tries[name] = Trie(model.value[0]), Table(known), n
-        trie, table, n_of = _tries[name]
+        if name not in _heads:
+            _heads.clear()
+            (place_keys, p), (word_keys, n) = model.value
+            _heads[name] = Table(place_keys), p, Table(word_keys), n
+        seen, p_of, table, n_of = _heads[name]
         uid = TaskContext.get().partitionId() << 40
         for batch, flat, at in batches(source, "text"):
             size = batch.num_rows
@@ -301,26 +357,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
             logs = np.where(known, np.log10(n_of[place] + 0.1) if len(n_of) else 0.0, 0.0)
             base = np.bincount(w.owner, logs, size) + np.log10(ends + 0.1)
             common = np.bincount(w.owner[known], minlength=size) + (ends > 0)
-            rare, owner = h[~known], w.owner[~known]
-            order = np.lexsort((rare, owner))
-            rare, owner = rare[order], owner[order]
-            edge = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])])) if len(rare) else np.zeros(0, int)
-            times = np.diff(np.append(edge, len(rare)))
-            offsets = pa.array(np.searchsorted(owner[edge], np.arange(size + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (rare[edge].view(np.int64), times)]
+            keys, first = framed(flat, at)
+            spot = seen.find(keys)
+            met = spot >= 0
+            sums = np.add.reduceat(np.where(met, p_of[spot] if len(p_of) else 0.0, 0.0), first)
+            lists = [*_rare(h[~known], w.owner[~known], size), *_rare(keys[~met], np.repeat(np.arange(size), np.diff(at) + 1)[~met], size)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(uid + np.arange(size)), pa.array(np.diff(w.first) + 1), pa.array(common.astype(np.int64)), pa.array(base), pa.array(trie.score(flat, at)), *lists],
-                names=["doc_id", "held_out", "uid", "n_tokens", "known", "base", "score", "rare", "times"],
+                [batch.column(0), batch.column(1), pa.array(uid + np.arange(size)), pa.array(np.diff(w.first) + 1), pa.array(common.astype(np.int64)), pa.array(base), pa.array(sums), *lists],
+                names=["doc_id", "held_out", "uid", "n_tokens", "known", "base", "score", "rare", "times", "places", "place_times"],
             )
             uid += size
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = stored(rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, score double, rare array<bigint>, times array<bigint>"))
+    scored = stored(rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, score double, rare array<bigint>, times array<bigint>, places array<bigint>, place_times array<bigint>"))
     rare = scored.select("uid", F.inline(F.arrays_zip("rare", "times"))).toDF("uid", "key", "times")
     met = rare.join(tokens, "key", "left").select("uid", "times", F.coalesce("n", F.lit(0)).alias("n"))
     more = met.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"))
+    spots = scored.select("uid", F.inline(F.arrays_zip("places", "place_times"))).toDF("uid", "key", "times")
+    rest = spots.join(places.select("key", "p"), "key").groupBy("uid").agg(F.sum(F.col("times") * F.col("p")).alias("rest"))
     level = float(np.log10(total + 0.1 * (distinct + 1)))
-    return scored.join(more, "uid", "left").select(
+    return scored.join(more, "uid", "left").join(rest, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(level)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(level)).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

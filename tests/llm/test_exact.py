@@ -143,6 +143,21 @@ def test_base_scores(docs, rows, empty):
     assert lm_scores(empty).count() == 0
 
 
+def test_scores_come_from_every_node(spark, docs, rows):
+    from stowage.llm import ppm
+
+    raw = [(r[1] or "").encode() for r in rows]
+    held = [r[0] is None or crc32(str(r[0]).encode()) % 10 == 0 for r in rows]
+    frame = lambda texts: (np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    model = ppm.trie(*ppm.tally(ppm.framed(*frame([t for t, h in zip(raw, held, strict=True) if not h]))[0]))
+    want = sorted(zip([str(r[0]) for r in rows], model.score(*frame(raw)).tolist(), strict=True))
+    for nodes in (1 << 21, 40, 0):  # with all places looked up, and with nearly all or all of them joined
+        got = sorted((str(r["doc_id"]), r["score"]) for r in ppm.lm_scores(docs, nodes=nodes).collect())
+        assert all(a[0] == b[0] and isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+    untrained = docs.where("doc_id IS NULL").select("doc_id", "text")
+    assert all(isclose(r["score"], -(len(r["text"]) + 1) * log10(256)) for r in ppm.lm_scores(untrained).join(untrained, F.lit(True)).collect())
+
+
 def test_ppm_is_a_distribution_and_equals_a_plain_one():
     from stowage.llm import ppm
 
