@@ -4,18 +4,19 @@ The CGK walk copies a string into a longer one, staying on or leaving a byte by
 a few edits apart walk together again soon, so edit distance becomes Hamming distance. ``SEEDS`` walks with
 ``SAMPLES`` samples of ``PICK`` walk positions each are the LSH keys of every item and of every window; a window and
 an item that share a key are compared exactly. An item of m code points is matched by a passage within
-``max_edits(m)`` edits (a tenth of m, but not so many that no run of ``Q`` bytes need survive).
+``max_edits(m)`` edits (a tenth of m).
 
 Which windows are embedded is decided without loss: by the q-gram lemma a passage within k edits of an item keeps at
 least ``m - Q + 1 - k * (Q + b - 1)`` of its byte q-grams (b: the most bytes of one of its characters), all of them
 displaced by about the passage's start. Windows begin at the words (and at the commonest displacement) where some item
-reaches that count.
+reaches that count. Items of which no q-gram need survive (under some 40 code points, or with wide characters) are cut
+into one piece more than they may have edits: one piece survives as it is, and all places of the pieces are compared.
 
 Scale: one pass over the text, no shuffle, bounded slices. The items and their keys are sent to all tasks; their bytes
 are checked against ``MAX_ITEM_BYTES``.
 
 Defined results: one row per document and item, of the least distance, then the first; none for null, empty or clean
-texts; items that are null or under ``MIN_ITEM`` code points are ignored; equal items match together; repeated rows
+texts; items that are null or blank are ignored; equal items match together; repeated rows
 are answered each by itself; other columns are ignored (and kept by ``drop_contaminated``).
 """
 
@@ -42,18 +43,23 @@ SLICE = 3 << 20
 
 
 def max_edits(m: int, rate: float = RATE) -> int:
-    return max(0, min(int(rate * m), (m - Q) // (Q + 3)))
+    return max(0, min(int(rate * m), m - 1))
 
 
-def grams(flat: np.ndarray) -> np.ndarray:
-    """A hash of the Q = 8 bytes from every place on (that many fewer places)."""
+def octets(flat: np.ndarray) -> np.ndarray:
+    """The Q = 8 bytes from every place on (that many fewer places) as a number."""
     n = len(flat) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     a = flat.astype(np.uint64)
     a = a[:-1] | a[1:] << np.uint64(8)
     a = a[:-2] | a[2:] << np.uint64(16)
-    return mix(a[:-4] | a[4:] << np.uint64(32))
+    return a[:-4] | a[4:] << np.uint64(32)
+
+
+def grams(flat: np.ndarray) -> np.ndarray:
+    """A hash of the Q bytes from every place on."""
+    return mix(octets(flat))
 
 
 def distance(pattern: str, text: str) -> tuple[int, int]:
@@ -97,11 +103,13 @@ class Matcher:
         raw = [np.frombuffer(t.encode(), np.uint8) for t in self.texts]
         self.length = np.array([len(b) for b in raw], np.int64)
         widest = [max(len(c.encode()) for c in t) for t in self.texts]
-        self.need = np.array([max(1, len(b) - Q + 1 - k * (Q + w - 1)) for b, k, w in zip(raw, self.edits, widest, strict=True)])
+        kept = np.array([len(b) - Q + 1 - k * (Q + w - 1) for b, k, w in zip(raw, self.edits, widest, strict=True)])
+        self.need, short = np.maximum(kept, 1), kept < 1
+        self.pieces = self.cut(np.flatnonzero(short))
         # a bucket of displacements holds every passage's kept q-grams, as buckets overlap by half
         self.reach = np.array([4 * k + 1 for k in self.edits], np.int64)
         self.width = 4 * self.reach
-        found = [(h, k, o) for k, b in enumerate(raw) for o, h in enumerate(grams(b))]
+        found = [(h, k, o) for k, b in enumerate(raw) if not short[k] for o, h in enumerate(grams(b))]
         order = np.argsort(np.array([h for h, _, _ in found], np.uint64), kind="stable")
         self.gram = np.array([h for h, _, _ in found], np.uint64)[order]
         self.item = np.array([k for _, k, _ in found], np.int64)[order]
@@ -115,10 +123,10 @@ class Matcher:
         self.steps = 2 * longest
         self.walks = rng.integers(0, 2, (SEEDS, self.steps, 256)).astype(np.int64)
         self.classes = np.floor(np.log(np.maximum(self.length, MIN_ITEM) / MIN_ITEM) / np.log(STRETCH) + 1e-9).astype(int)
-        self.samples = {c: rng.integers(0, max(8, 2 * int(self.length[self.classes == c].min())), (SEEDS, SAMPLES, PICK)) for c in np.unique(self.classes)}
+        self.samples = {c: rng.integers(0, max(8, 2 * int(self.length[self.classes == c].min())), (SEEDS, SAMPLES, PICK)) for c in np.unique(self.classes[~short])}
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for c in np.unique(self.classes):
-            own = np.flatnonzero(self.classes == c)
+        for c in np.unique(self.classes[~short]):
+            own = np.flatnonzero((self.classes == c) & ~short)
             padded = np.zeros((len(own), longest), np.uint8)
             for row, k in enumerate(own):
                 padded[row, : len(raw[k])] = raw[k]
@@ -127,6 +135,43 @@ class Matcher:
             at = np.argsort(flat_keys, kind="stable")
             self.keys[c] = flat_keys[at], owners[at]
 
+    def cut(self, items: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By bytes looked at (Q at most): what they may be, where each value's pieces begin and end, items, offsets in code points."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k in items:
+            text, n = self.texts[k], self.edits[k] + 1
+            for i in range(n):
+                offset = i * len(text) // n
+                piece = text[offset : (i + 1) * len(text) // n].encode()[:Q]
+                found.setdefault(len(piece), []).append((int.from_bytes(piece, "little"), int(k), offset))
+        out = {}
+        for size, pieces in found.items():
+            pieces.sort()
+            value, first, count = np.unique(np.array([v for v, *_ in pieces], np.uint64), return_index=True, return_counts=True)
+            out[size] = value, first, first + count, np.array([k for _, k, _ in pieces]), np.array([o for *_, o in pieces])
+        return out
+
+    def near(self, flat: np.ndarray, at: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """Row -> item -> (byte in the row, offset in the item) of the pieces that are there."""
+        out: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        if not self.pieces or not len(flat):
+            return out
+        every = octets(np.concatenate([flat, np.zeros(Q - 1, np.uint8)]))
+        for size, (value, first, end, item, offset) in self.pieces.items():
+            own = every & np.uint64((1 << (8 * size)) - 1)
+            there = np.zeros(1 << 16, bool)
+            there[value & np.uint64(0xFFFF)] = True
+            spot = np.flatnonzero(there[own & np.uint64(0xFFFF)])
+            k = np.minimum(np.searchsorted(value, own[spot]), len(value) - 1)
+            same = value[k] == own[spot]
+            spot, k = spot[same], k[same]
+            row = np.searchsorted(at, spot, "right") - 1
+            whole = spot + size <= at[row + 1]
+            for s, j, r in zip(spot[whole], k[whole], row[whole], strict=True):
+                for n in range(first[j], end[j]):
+                    out.setdefault(int(r), {}).setdefault(int(item[n]), []).append((int(s - at[r]), int(offset[n])))
+        return out
+
     def embed(self, windows: np.ndarray, seed: int, steps: int) -> np.ndarray:
         """steps x windows."""
         rows, place = np.arange(len(windows)), np.zeros(len(windows), np.int64)
@@ -235,11 +280,26 @@ class Matcher:
                             break
                 if best:
                     out.setdefault(r, []).append((k, *best))
-        return out
+        for r, items in self.near(flat, at).items():
+            text = text_of(r)
+            points = np.cumsum(flat[at[r] : at[r + 1]] & 0xC0 != 0x80) - 1
+            for k, spots in items.items():
+                m, e, best = len(self.texts[k]), self.edits[k], None
+                for begin in sorted({int(points[s]) - o for s, o in spots}):
+                    a = max(0, begin - e)
+                    stretch = text[a : max(0, begin + m + e)]
+                    d, x, y = passage(self.texts[k], stretch) if e else (0 if stretch == self.texts[k] else m, 0, m)
+                    if d <= e and (best is None or d < best[0]):
+                        best = (d, a + x, a + y)
+                        if not d:
+                            break
+                if best:
+                    out.setdefault(r, []).append((k, *best))
+        return {r: sorted(own) for r, own in sorted(out.items())}
 
 
 def matcher(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", rate: float = RATE) -> Matcher | None:
-    usable = benchmark.where(F.length(text_col) >= MIN_ITEM)
+    usable = benchmark.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     total = usable.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     if total > MAX_ITEM_BYTES:
         raise ValueError(f"the benchmark has {total} bytes; pass it in parts of at most {MAX_ITEM_BYTES}")

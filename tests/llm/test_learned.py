@@ -91,6 +91,30 @@ def test_decontamination(spark, docs, corpus, data, empty):
     assert contaminated(empty, items).count() == 0 and contaminated(docs, items.where("false")).count() == 0 and drop_contaminated(docs, items.where("false")).count() == docs.count()
 
 
+def test_decontamination_reaches_a_tenth_of_every_item(spark, corpus):
+    from stowage.llm.decontaminate import contaminated
+
+    rng, items, made = random.Random(12), [], []
+    for i, m in enumerate([*range(1, 60), 81, 100, 150, 200]):
+        mark = "\U0001f600" if i % 3 == 0 else "é" if i % 3 == 1 else ""
+        text = "".join(rng.choice("qwxyzjkvbp") for _ in range(m - len(mark))) + mark
+        items.append((i, text))
+        for n in sorted({0, m // 10}):
+            for turn in range(3):  # substitutions spread out, which leave the fewest runs
+                out = list(text)
+                for j in range(n):
+                    out[min(m - 1, (2 * j + 1) * m // (2 * n) + turn)] = "#"
+                made.append((1000 * i + 10 * n + turn, f"{corpus[i % 20]} {''.join(out)} {corpus[turn]}", i))
+    docs, bench = spark.createDataFrame(made, "doc_id long, text string, item long"), spark.createDataFrame([*items, (99, " \n")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(docs, bench).collect()}
+    missed = [(d, i) for d, _, i in made if (d, i) not in got]
+    assert [p for p in missed if len(items[p[1]][1]) < 36] == [] and len(missed) <= 0.03 * len(made)
+    texts = {d: t for d, t, _ in made}
+    for (d, i), r in got.items():
+        assert brute_distance(items[i][1], texts[d][r["start"] : r["end"]]) == r["distance"] <= len(items[i][1]) // 10
+    assert 99 not in {i for _, i in got}
+
+
 def test_language(spark, docs, data, empty):
     from stowage.llm.langid import keep_identified, language_id
 
