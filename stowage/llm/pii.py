@@ -2,8 +2,8 @@
 
 The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers by pattern and check (Luhn, ranges,
 digit counts), each kind leftmost and non-overlapping, in time linear in the text. The field scores whole candidate
-spans of up to ``MAX_TOKENS`` tokens (shape, digit counts, checks on the span, the word before it) and a dynamic
-programme over the tokens chooses boundaries and kinds jointly. It is trained by maximum likelihood on windows of
+spans of up to ``MAX_TOKENS`` tokens, and the longest address from each token on however many it has (shape, digit
+counts, checks on the span, the word before it), and a dynamic programme over the tokens chooses boundaries and kinds jointly. It is trained by maximum likelihood on windows of
 text in which the base matches are the entities, and on rewritten copies of those windows (addresses spelt with "at"
 and "dot", numbers without prefix or with other separators), so that it finds what the patterns miss.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +101,7 @@ def base_spans(text: str) -> list[Span]:
 # --- the field -------------------------------------------------------------------------------------------------
 
 #: What may open or close an entity: a token with a digit or @, or a spelt-out address.
-_ANCHOR = re.compile(r"\S*[0-9@]\S*|\S+[ ]?[(\[]at[)\]][ ]?\S+|\S+ at \S+ dot \S+", re.IGNORECASE)
+_ANCHOR = re.compile(r"(?:\S+[ ]?[(\[]at[)\]][ ]?\S+|\S+ at \S+(?= dot |[ ]?[(\[]dot[)\]]))(?: dot \S+|[ ]?[(\[]dot[)\]][ ]?\S+)*|\S*[0-9@]\S*", re.IGNORECASE)
 _TOKEN = re.compile(r"\S+")
 _EDGE = ",.;:!?\"'<>|*&$%#=/\\"
 _CUES = {"email": {"mail", "email", "e-mail", "contact", "write"}, "ip": {"ip", "host", "server", "address"}, "card": {"card", "visa", "credit", "iban", "account"}, "phone": {"phone", "tel", "call", "mobile", "fax", "telefon"}}
@@ -140,13 +141,20 @@ def features(text: str, start: int, end: int, n_tokens: int, before: str) -> np.
     return f
 
 
-def windows(text: str, reach: int = 3) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens around what may belong to an entity, as (start, end) with edge punctuation trimmed."""
+def windows(text: str, reach: int = 3, whole: bool = True) -> Iterator[list[tuple[int, int]]]:
+    """Runs of tokens around what may belong to an entity, as (start, end) with edge punctuation trimmed.
+
+    Without ``whole`` (for learning) a window may end inside a token; what is cut there is not learned from.
+    """
     until, run = -1, []
     spots = [m.span() for m in _ANCHOR.finditer(text)]
     for a, b in spots:
         left = max(until, text.rfind("\n", 0, a), a - 40)
         right = min(len(text), b + 40)
+        while whole and left > max(until, 0) and not text[left].isspace() and not text[left - 1].isspace():
+            left -= 1
+        while whole and right < len(text) and not text[right].isspace():
+            right += 1
         if run and left > until:
             yield run
             run = []
@@ -169,11 +177,15 @@ def windows(text: str, reach: int = 3) -> Iterator[list[tuple[int, int]]]:
 def lattice(text: str, run: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Candidate segments (first token, end token) of a window and their features."""
     hot = [any(c in "0123456789@" for c in text[s:e]) for s, e in run]
+    ends = [e for _, e in run]
     segments, rows = [], []
     for i in range(len(run)):
-        for j in range(i + 1, min(len(run), i + MAX_TOKENS) + 1):
-            span = text[run[i][0] : run[j - 1][1]]
-            if hot[i] and hot[j - 1] and (j == i + 1 or all(hot[i:j])) or (j > i + 1 and " at " in f" {span.lower()} " and _ADDRESS.fullmatch(span)) or (j > i + 1 and _ADDRESS.fullmatch(span)):
+        address = 0
+        if m := _ADDRESS.match(text, run[i][0], run[-1][1]):
+            last = bisect_right(ends, m.end())
+            address = next((j for j in range(last, max(i + 1, last - 3), -1) if _ADDRESS.fullmatch(text, run[i][0], ends[j - 1])), 0)
+        for j in [*range(i + 1, min(len(run), i + MAX_TOKENS) + 1), *([address] if address > i + MAX_TOKENS else [])]:
+            if hot[i] and hot[j - 1] and (j == i + 1 or all(hot[i:j])) or j == address:
                 before = text[run[i - 1][0] : run[i - 1][1]].lower().strip(":") if i else ""
                 segments.append((i, j))
                 rows.append(features(text, run[i][0], run[j - 1][1], j - i, before))
@@ -253,14 +265,15 @@ def train(texts: list[str], epochs: int = 12, rate: float = 0.3, max_windows: in
             if turn and not truth:
                 continue
             whole = "".join(made) + text[at:]
-            for run in windows(whole):
+            for run in windows(whole, whole=False):
                 segments, rows = lattice(whole, run)
                 if not segments:
                     continue
                 place = {(run[i][0], run[j - 1][1]): k for k, (i, j) in enumerate(segments)}
                 gold = [(place[a, b], KINDS.index(kind)) for a, b, kind in truth if (a, b) in place]
                 inside = [t for t in truth if run[0][0] <= t[0] and t[1] <= run[-1][1]]
-                if len(gold) == len(inside) and len(run) <= 60:
+                short = all(segments[k][1] - segments[k][0] <= MAX_TOKENS for k, _ in gold)  # longer ones have the same features
+                if len(gold) == len(inside) and short and len(run) <= 60:
                     cases.append((len(run), segments, rows, gold))
             if len(cases) >= max_windows:
                 break
@@ -352,7 +365,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if not text or not suspect[i]:
                     continue
-                for run in list(windows(text))[:4]:
+                for run in list(windows(text, whole=False))[:4]:
                     a, b = max(0, run[0][0] - 1), min(len(text), run[-1][1] + 1)
                     if b - a < 2000:
                         out_k.append(keys[i])

@@ -169,6 +169,21 @@ def test_pii_field_adds_what_the_patterns_miss():
     assert all_spans("call (212) 555-7788", train([]))[1] == []
 
 
+def test_pii_field_finds_whole_addresses():
+    from stowage.llm.pii import all_spans, train
+
+    weights = train([f"write to user{i}.name@mail{i}.example.com or call +1 ({200 + i}) 555-{1000 + i} from 10.{i}.2.{i} with no card" for i in range(32)])
+    hosts = ["mail dot example dot com", "mail dot west dot example dot co dot uk", " dot ".join(["part"] * 30), "example dot com"]
+    for host in hosts:
+        for spelt in (f"jane at {host}", f"jane7 at {host}", f"jane(at){host}", f"jane [at] {host.replace(' dot ', ' [dot] ')}"):
+            text = f"please mail {spelt}, she said"
+            assert all_spans(text, weights)[1] == [(12, 12 + len(spelt), "email")]
+    for gap in range(60):
+        text = f"room 7 {('of the house ' * 6)[:gap].strip()} jane at example dot com and so on"
+        at = text.index("jane")
+        assert (at, at + 23, "email") in all_spans(text, weights)[1]
+
+
 def test_semi_markov_decoding_is_optimal():
     from itertools import combinations
 
