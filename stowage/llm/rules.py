@@ -4,9 +4,9 @@ Words and pairs of words are hashed into ``buckets``. Two multinomials over the
 documents and one from the whole raw corpus, give each n-gram a log ratio; a document's verdict is the mean ratio of
 its n-grams against a fixed threshold. Built from DataFrame functions alone.
 
-Scale: the text is read twice and never shuffled. The corpus counts are one aggregation with at most ``buckets`` keys;
-the model is ``buckets`` numbers, which enter the second pass as a constant. The ids of trusted documents are at most
-``max_trusted`` of the labelled ones, the first by hash, so the side that is broadcast has a fixed bound.
+Scale: the text is read twice. The corpus counts are one aggregation with at most ``buckets`` keys; the model is
+``buckets`` numbers, which enter the second pass as a constant. All trusted documents are counted: their ids meet the
+documents in an equi-join without a hint, which shuffles the text once where the ids are too many to be broadcast.
 
 Defined results: a null or empty text has no words and fails the base rules; without any trusted document every ratio
 is 0 and the base rules alone decide; repeated rows are judged each by itself; other columns are ignored.
@@ -25,7 +25,6 @@ SYMBOLS = r"[#*$%&|<>]"
 BUCKETS = 1 << 14
 #: Chosen on labelled rows: trusted text scores above -0.03, junk that passes the base rules below -0.05.
 THRESHOLD = -0.04
-MAX_TRUSTED = 100_000
 
 
 def repeat_words(words: str) -> str:
@@ -57,8 +56,8 @@ def bucket(*parts: Column, buckets: int) -> Column:
 
 def ngram_counts(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[int, tuple[int, int]]:
     """bucket -> (in trusted documents, in all documents)."""
-    flagged = docs.select(F.col(id_col).alias("__id"), F.regexp_extract_all(letters(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("w"))
-    flagged = flagged.join(F.broadcast(trusted_ids.select(F.col("id").alias("__id"), F.lit(1).alias("t"))), "__id", "left").select("w", F.coalesce("t", F.lit(0)).alias("t"))
+    flagged = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(trusted_ids.select(F.col("id").alias("__id"), F.lit(1).alias("t")), "__id", "left")
+    flagged = flagged.select(F.regexp_extract_all(letters(F.col("__text")), F.lit(WORD), F.lit(0)).alias("w"), F.coalesce("t", F.lit(0)).alias("t"))
     pairs = flagged.select("t", F.inline(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b")))).toDF("t", "a", "b")
     hashed = pairs.select("t", F.explode(F.array(bucket(F.col("a"), buckets=buckets), F.when(F.col("b").isNotNull(), bucket(F.col("a"), F.col("b"), buckets=buckets)))).alias("g")).where("g IS NOT NULL")
     return {r["g"]: (r["t"], r["n"]) for r in hashed.groupBy("g").agg(F.sum("t").alias("t"), F.count("*").alias("n")).collect()}
@@ -72,10 +71,9 @@ def log_ratios(counts: dict[int, tuple[int, int]], buckets: int, smooth: float =
     return [round(p(counts.get(g, (0, 0))[0], trusted) - p(counts.get(g, (0, 0))[1], raw), 6) for g in range(buckets)]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
-    trusted = trusted.orderBy(F.xxhash64("id"), "id").limit(max_trusted)
     ratios = log_ratios(ngram_counts(docs, trusted, id_col, text_col, buckets), buckets)
     model = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     df = counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__raw")), "__raw")
