@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.session import read_table, shared_dir, stored
+from stowage.session import forget, read_table, shared_dir, small_batches, stored
 
-__all__ = ["GAP", "WORD", "batches", "fold", "letters", "read_table", "shared_dir", "stored", "text_bytes"]
+__all__ = ["WORD", "batches", "fold", "forget", "letters", "mapped", "read_table", "shared_dir", "stored", "text_bytes"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -28,6 +27,12 @@ def letters(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def mapped(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over batches that are bounded by bytes, so that a task's memory does not depend on the texts' lengths."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and the ``len + 1`` offsets of the rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import stored
+from stowage.llm.common import forget, stored
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes: every link is pulled to the smallest neighbour
     of its end, so a round needs aggregations by node (combined before the shuffle) and one equi-join, and never
-    gathers a node's neighbours. Each round's links are written to the shared folder.
+    gathers a node's neighbours. Each round's links are written to the shared folder, and those
+    of the round before are deleted.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -28,7 +29,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pulled = large.join(low, "u")
         small = pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct())
+        edges, old = stored(small.distinct()), edges
+        forget(old)
     else:
         raise RuntimeError("the components did not settle")
     pointed = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

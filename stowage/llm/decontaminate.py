@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.bytewords import GAPS, mix
-from stowage.llm.common import batches
+from stowage.llm.common import batches, mapped
 
 RATE = 0.1
 Q = 8
@@ -324,7 +324,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, item_id {'bigint' if of in ('bigint', 'int') else 'string'}, distance int, similarity double, start long, end long")
+    return mapped(rows, run, f"doc_id {kind}, item_id {'bigint' if of in ('bigint', 'int') else 'string'}, distance int, similarity double, start long, end long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
@@ -339,4 +339,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             clean[list(hits)] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import batches, fold
+from stowage.llm.common import batches, fold, mapped
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     out_w.append(codes[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_l, pa.string()), pa.array(out_w, pa.binary())], names=["lang", "codes"])
 
-    rows = sorted((r["lang"], bytes(r["codes"])) for r in picked.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(sample, "lang string, codes binary").collect())
+    rows = sorted((r["lang"], bytes(r["codes"])) for r in mapped(picked.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), sample, "lang string, codes binary").collect())
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), held_out[0]) == held_out[1]).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return mapped(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
@@ -231,4 +231,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             said, score = predict(model, flat, at, lambda i, column=batch.column(place): column[int(i)].as_py())
             yield batch.filter(pa.array((score >= least) & (np.array(said) != "und")))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

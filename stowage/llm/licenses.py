@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.bytewords import LOWER, shingle_hashes, word_hashes, words
-from stowage.llm.common import batches
+from stowage.llm.common import batches, mapped
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -187,4 +187,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, license string, containment double, start long, end long")
+    return mapped(rows, run, f"doc_id {kind}, license string, containment double, start long, end long")

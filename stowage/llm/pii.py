@@ -1,18 +1,25 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
 The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers by pattern and check (Luhn, ranges,
-digit counts), each kind leftmost and non-overlapping, in time linear in the text. The field scores whole candidate
-spans of up to ``MAX_TOKENS`` tokens, and the longest address from each token on however many it has (shape, digit
-counts, checks on the span, the word before it), and a dynamic programme over the tokens chooses boundaries and kinds jointly. It is trained by maximum likelihood on windows of
-text in which the base matches are the entities, and on rewritten copies of those windows (addresses spelt with "at"
-and "dot", numbers without prefix or with other separators), so that it finds what the patterns miss.
+digit counts), each kind leftmost and non-overlapping. The field scores whole candidate spans (shape, digit counts,
+checks on the span, the word before it): all spans of up to ``MAX_TOKENS`` tokens, and the longest address from each
+token on however many it has. A dynamic programme over the tokens chooses boundaries and kinds jointly. It is trained by
+maximum likelihood on windows of text in which the base matches are the entities, and on rewritten copies of those
+windows (addresses spelt with "at" and "dot", numbers without prefix or with other separators), so that it finds what
+the patterns miss.
 
-Scale: one pass over the text, no shuffle; a task holds one slice of a batch. Training reads at most ``sample_docs``
-documents, chosen by hash of their id, and ``max_windows`` windows; the model is a few hundred numbers.
+Scale: one pass over the text, no shuffle; a task holds one slice of a batch. All patterns and the dynamic programme
+take time linear in the text and hold a few numbers a token, so a text of any length, of digits alone or without a
+blank, is looked at whole.
+
+The sample that the field learns from is bounded by parameters: ``SAMPLE_DOCS`` documents, the first by hash of their
+id; of each the first ``DOC_PASSAGES`` passages of under ``PASSAGE`` characters; of these ``MAX_WINDOWS`` windows of at
+most ``WINDOW_TOKENS`` tokens. The model is a few hundred numbers. Detection has no such bounds.
 
 Defined results: a null text is empty; offsets are code points, end exclusive; n_email, n_ip, n_card and n_phone count
-base spans; an added span never overlaps a base span; without any base match in the sample nothing is added; repeated
-rows are answered each by itself; other columns are ignored.
+base spans; an added span never overlaps a base span; of segmentations that score the same the one with fewer spans
+counts; without any base match in the sample nothing is added; an empty table gives an empty result; repeated rows are
+answered each by itself; other columns are ignored, whatever their names (and kept by ``redact``).
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import batches
+from stowage.llm.common import batches, mapped
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 5
 SAMPLE_DOCS = 4000
+DOC_PASSAGES = 4
+PASSAGE = 2000
 MAX_WINDOWS = 600
+WINDOW_TOKENS = 60
 #: By how much a span's score must exceed that of leaving its tokens out.
 MARGIN = 2.0
 
@@ -41,8 +51,9 @@ Span = tuple[int, int, str]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+# a chain is tried from the first digit of a run alone, and nothing is given back, so that both take linear time
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -100,12 +111,16 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field -------------------------------------------------------------------------------------------------
 
-#: What may open or close an entity: a token with a digit or @, or a spelt-out address.
-_ANCHOR = re.compile(r"(?:\S+[ ]?[(\[]at[)\]][ ]?\S+|\S+ at \S+(?= dot |[ ]?[(\[]dot[)\]]))(?: dot \S+|[ ]?[(\[]dot[)\]][ ]?\S+)*|\S*[0-9@]\S*", re.IGNORECASE)
 _TOKEN = re.compile(r"\S+")
+_BLANK = re.compile(r"\s")
+#: What makes a token worth a look: a digit, @, or a spelt-out "at".
+_MARK = re.compile(r"[0-9@]|[(\[]at[)\]]| at (?=\S)", re.IGNORECASE)
+_DOT = re.compile(r" dot | ?[(\[]dot[)\]] ?", re.IGNORECASE)
+_DOT_INSIDE = re.compile(r"[(\[]dot[)\]]", re.IGNORECASE)
 _EDGE = ",.;:!?\"'<>|*&$%#=/\\"
 _CUES = {"email": {"mail", "email", "e-mail", "contact", "write"}, "ip": {"ip", "host", "server", "address"}, "card": {"card", "visa", "credit", "iban", "account"}, "phone": {"phone", "tel", "call", "mobile", "fax", "telefon"}}
 _ADDRESS = re.compile(r"[\w.%+-]+(?:@| ?[(\[]at[)\]] ?| at )[\w-]+(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[\w-]+)+", re.IGNORECASE)
+_HOT = re.compile(r"[0-9@]")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().-]*")
 N_FEATURES = 24
 
@@ -141,26 +156,59 @@ def features(text: str, start: int, end: int, n_tokens: int, before: str) -> np.
     return f
 
 
-def windows(text: str, reach: int = 3, whole: bool = True) -> Iterator[list[tuple[int, int]]]:
+def _token_end(text: str, at: int) -> int:
+    m = _BLANK.search(text, at)
+    return m.start() if m else len(text)
+
+
+def _token_start(text: str, at: int, floor: int) -> int:
+    """The start of the token that ``at`` is in; never below ``floor``, so that no stretch is walked twice."""
+    while at > floor and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def anchors(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches, in order, that hold what may belong to an entity: a token with a digit or @, or a spelt-out address."""
+    done = 0
+    for m in _MARK.finditer(text):
+        if m.start() < done:
+            continue
+        if m.group()[0] == " ":  # a word, "at", a host and at least one spelt-out dot
+            start, end = _token_start(text, m.start(), done), _token_end(text, m.end())
+            if not m.start() or text[m.start() - 1].isspace() or not (_DOT.match(text, end) or _DOT_INSIDE.search(text, m.end(), end)):
+                continue
+        else:
+            start, end = _token_start(text, m.start(), done), _token_end(text, m.end())
+            if m.group()[0] in "([":  # the words may stand apart from the mark
+                if start == m.start() and start > done and text[start - 1] == " ":
+                    start = _token_start(text, start - 1, done)
+                if end == m.end() and text[end : end + 1] == " ":
+                    end = _token_end(text, end + 1)
+        while (dot := _DOT.match(text, end)) and dot.end() < len(text) and not text[dot.end()].isspace():
+            end = _token_end(text, dot.end())
+        yield start, end
+        done = end
+
+
+def windows(text: str, whole: bool = True) -> Iterator[list[tuple[int, int]]]:
     """Runs of tokens around what may belong to an entity, as (start, end) with edge punctuation trimmed.
 
     Without ``whole`` (for learning) a window may end inside a token; what is cut there is not learned from.
     """
     until, run = -1, []
-    spots = [m.span() for m in _ANCHOR.finditer(text)]
-    for a, b in spots:
-        left = max(until, text.rfind("\n", 0, a), a - 40)
+    for a, b in anchors(text):
+        left = max(until, text.rfind("\n", max(0, a - 41), a), a - 40, 0)
         right = min(len(text), b + 40)
-        while whole and left > max(until, 0) and not text[left].isspace() and not text[left - 1].isspace():
-            left -= 1
-        while whole and right < len(text) and not text[right].isspace():
-            right += 1
+        if whole:
+            if left > max(until, 0) and not text[left].isspace():
+                left = _token_start(text, left, max(until, 0))
+            if right < len(text) and right > until:
+                right = _token_end(text, right)
         if run and left > until:
             yield run
             run = []
-        for m in _TOKEN.finditer(text, max(left, 0), right):
-            if m.start() < until:
-                continue
+        for m in _TOKEN.finditer(text, max(left, until, 0), right):
             s, e = m.span()
             while s < e and text[s] in _EDGE:
                 s += 1
@@ -174,61 +222,75 @@ def windows(text: str, reach: int = 3, whole: bool = True) -> Iterator[list[tupl
         yield run
 
 
-def lattice(text: str, run: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Candidate segments (first token, end token) of a window and their features."""
-    hot = [any(c in "0123456789@" for c in text[s:e]) for s, e in run]
+def segments(text: str, run: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Candidate segments (first token, end token, features) of a window, by first token."""
+    hot = [_HOT.search(text, s, e) is not None for s, e in run]
     ends = [e for _, e in run]
-    segments, rows = [], []
     for i in range(len(run)):
         address = 0
         if m := _ADDRESS.match(text, run[i][0], run[-1][1]):
             last = bisect_right(ends, m.end())
             address = next((j for j in range(last, max(i + 1, last - 3), -1) if _ADDRESS.fullmatch(text, run[i][0], ends[j - 1])), 0)
+        before, run_hot = None, True
         for j in [*range(i + 1, min(len(run), i + MAX_TOKENS) + 1), *([address] if address > i + MAX_TOKENS else [])]:
-            if hot[i] and hot[j - 1] and (j == i + 1 or all(hot[i:j])) or j == address:
-                before = text[run[i - 1][0] : run[i - 1][1]].lower().strip(":") if i else ""
-                segments.append((i, j))
-                rows.append(features(text, run[i][0], run[j - 1][1], j - i, before))
-    return segments, np.array(rows) if rows else np.zeros((0, N_FEATURES))
+            run_hot = run_hot and j <= i + MAX_TOKENS and hot[j - 1]
+            if run_hot or j == address:
+                if before is None:
+                    before = text[run[i - 1][0] : run[i - 1][1]].lower().strip(":") if i else ""
+                yield i, j, features(text, run[i][0], run[j - 1][1], j - i, before)
 
 
-def decode(n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int]]:
-    """The best set of disjoint segments: (segment, kind). scores: segments x kinds; a token outside scores 0."""
-    best, back = np.zeros(n + 1), [None] * (n + 1)
-    ends: dict[int, list[int]] = {}
-    for k, (_, j) in enumerate(segments):
-        ends.setdefault(j, []).append(k)
-    for t in range(1, n + 1):
-        best[t] = best[t - 1]
-        for k in ends.get(t, ()):
-            kind = int(scores[k].argmax())
-            if (value := best[segments[k][0]] + scores[k, kind]) > best[t]:
-                best[t], back[t] = value, (k, kind)
+def lattice(text: str, run: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """All segments of a window and their features, for learning."""
+    found = list(segments(text, run))
+    return [(i, j) for i, j, _ in found], np.array([f for *_, f in found]) if found else np.zeros((0, N_FEATURES))
+
+
+def decode(n: int, scored: Iterator[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """The best set of disjoint segments of ``n`` tokens; a token outside scores 0.
+
+    scored: (first token, end token, kind, score), by first token, so that what leads up to it is settled when a
+    segment is met; only the best way to every token is held.
+    """
+    best, start, kinds, scores = np.zeros(n + 1), np.full(n + 1, -1), np.zeros(n + 1, np.int8), np.zeros(n + 1)
+    settled = 0
+
+    def settle(until: int, at: int) -> int:
+        for t in range(at, until):
+            if best[t + 1] <= best[t]:
+                best[t + 1], start[t + 1] = best[t], -1
+        return until
+
+    for i, j, kind, score in scored:
+        settled = settle(max(i, settled), settled)
+        if best[i] + score > best[j]:
+            best[j], start[j], kinds[j], scores[j] = best[i] + score, i, kind, score
+    settle(n, settled)
     found, t = [], n
     while t:
-        if back[t] is None:
+        if start[t] < 0:
             t -= 1
         else:
-            found.append(back[t])
-            t = segments[back[t][0]][0]
+            found.append((int(start[t]), t, int(kinds[t]), float(scores[t])))
+            t = int(start[t])
     return found[::-1]
 
 
-def _gradient(n: int, segments, rows: np.ndarray, gold: list[tuple[int, int]], weights: np.ndarray) -> np.ndarray:
+def _gradient(n: int, found, rows: np.ndarray, gold: list[tuple[int, int]], weights: np.ndarray) -> np.ndarray:
     """Of the log likelihood of one window: what was seen less what is expected."""
     scores = rows @ weights.T
     ends: dict[int, list[int]] = {}
     starts: dict[int, list[int]] = {}
-    for k, (i, j) in enumerate(segments):
+    for k, (i, j) in enumerate(found):
         ends.setdefault(j, []).append(k)
         starts.setdefault(i, []).append(k)
     total = np.logaddexp.reduce(scores, axis=1)
     ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, n + 1):
-        ahead[t] = np.logaddexp.reduce([ahead[t - 1], *(ahead[segments[k][0]] + total[k] for k in ends.get(t, ()))])
+        ahead[t] = np.logaddexp.reduce([ahead[t - 1], *(ahead[found[k][0]] + total[k] for k in ends.get(t, ()))])
     for t in range(n - 1, -1, -1):
-        behind[t] = np.logaddexp.reduce([behind[t + 1], *(behind[segments[k][1]] + total[k] for k in starts.get(t, ()))])
-    first, last = np.array([s[0] for s in segments]), np.array([s[1] for s in segments])
+        behind[t] = np.logaddexp.reduce([behind[t + 1], *(behind[found[k][1]] + total[k] for k in starts.get(t, ()))])
+    first, last = np.array([s[0] for s in found]), np.array([s[1] for s in found])
     expected = np.exp(ahead[first][:, None] + scores + behind[last][:, None] - ahead[n])
     seen = np.zeros_like(expected)
     for k, kind in gold:
@@ -247,7 +309,7 @@ def _rewritten(text: str, kind: str, pick: int) -> str:
     return text
 
 
-def train(texts: list[str], epochs: int = 12, rate: float = 0.3, max_windows: int = MAX_WINDOWS) -> np.ndarray:
+def train(texts: list[str], epochs: int = 12, rate: float = 0.3, max_windows: int = MAX_WINDOWS, window_tokens: int = WINDOW_TOKENS) -> np.ndarray:
     """kinds x features. texts: passages; their base spans are taken as the entities."""
     cases = []
     for text in texts:
@@ -266,17 +328,16 @@ def train(texts: list[str], epochs: int = 12, rate: float = 0.3, max_windows: in
                 continue
             whole = "".join(made) + text[at:]
             for run in windows(whole, whole=False):
-                segments, rows = lattice(whole, run)
-                if not segments:
+                found, rows = lattice(whole, run)
+                if not found or len(run) > window_tokens:
                     continue
-                place = {(run[i][0], run[j - 1][1]): k for k, (i, j) in enumerate(segments)}
+                place = {(run[i][0], run[j - 1][1]): k for k, (i, j) in enumerate(found)}
                 gold = [(place[a, b], KINDS.index(kind)) for a, b, kind in truth if (a, b) in place]
                 inside = [t for t in truth if run[0][0] <= t[0] and t[1] <= run[-1][1]]
-                short = all(segments[k][1] - segments[k][0] <= MAX_TOKENS for k, _ in gold)  # longer ones have the same features
-                if len(gold) == len(inside) and short and len(run) <= 60:
-                    cases.append((len(run), segments, rows, gold))
-            if len(cases) >= max_windows:
-                break
+                short = all(found[k][1] - found[k][0] <= MAX_TOKENS for k, _ in gold)  # longer ones have the same features
+                if len(gold) == len(inside) and short:
+                    cases.append((len(run), found, rows, gold))
+    cases = cases[:max_windows]
     weights = np.zeros((len(KINDS), N_FEATURES))
     weights[:, 0] = -2.0
     if not any(c[3] for c in cases):
@@ -292,15 +353,20 @@ def train(texts: list[str], epochs: int = 12, rate: float = 0.3, max_windows: in
 
 
 def added_spans(text: str, base: list[Span], weights: np.ndarray, margin: float = MARGIN) -> list[Span]:
-    found = []
+    found, begins = [], [s for s, *_ in base]
+    reach = np.maximum.accumulate([e for _, e, _ in base]) if base else []
     for run in windows(text):
-        segments, rows = lattice(text, run)
-        if not segments:
-            continue
-        scores = rows @ weights.T
-        for k, kind in decode(len(run), segments, scores):
-            a, b = run[segments[k][0]][0], run[segments[k][1] - 1][1]
-            if scores[k, kind] >= margin and all(b <= s or e <= a for s, e, _ in base):
+
+        def scored(run=run):
+            for i, j, f in segments(text, run):
+                values = weights @ f
+                kind = int(values.argmax())
+                yield i, j, kind, float(values[kind])
+
+        for i, j, kind, score in decode(len(run), scored()):
+            a, b = run[i][0], run[j - 1][1]
+            before = bisect_left(begins, b)
+            if score >= margin and not (before and reach[before - 1] > a):
                 found.append((a, b, KINDS[kind]))
     return found
 
@@ -336,9 +402,10 @@ def detect(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
     def run(source):
         for batch, flat, at in batches(source, "text"):
             suspect = _suspect(flat, at, batch.num_rows)
-            texts = batch.column(1).to_pylist()
-            n, base_out, out = {k: [0] * len(texts) for k in KINDS}, [""] * len(texts), [""] * len(texts)
-            for i, text in enumerate(texts):
+            size = batch.num_rows
+            n, base_out, out = {k: [0] * size for k in KINDS}, [""] * size, [""] * size
+            for i in range(size):
+                text = batch.column(1)[i].as_py()
                 if text and (suspect[i] or _spelt(text)):
                     base, every = all_spans(text, weights, margin)
                     for _, _, kind in base:
@@ -348,11 +415,11 @@ def detect(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return mapped(rows, run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, max_windows: int = MAX_WINDOWS) -> np.ndarray:
-    """Weights from passages of at most ``sample_docs`` documents, the first by hash of their id."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, max_windows: int = MAX_WINDOWS, doc_passages: int = DOC_PASSAGES, passage: int = PASSAGE) -> np.ndarray:
+    """Weights from a bounded sample: the first ``sample_docs`` documents by hash of their id, see the module's notes."""
     key = F.xxhash64(F.lit(7), F.col(id_col))
     last = docs.select(key.alias("k")).orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
     if last is None:
@@ -362,17 +429,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         for batch, flat, at in batches(source, "text"):
             suspect = _suspect(flat, at, batch.num_rows)
             keys, out_k, out_t = batch.column(0).to_pylist(), [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if not text or not suspect[i]:
-                    continue
-                for run in list(windows(text, whole=False))[:4]:
+            for i in np.flatnonzero(suspect):
+                text, left = batch.column(1)[int(i)].as_py(), doc_passages
+                for run in windows(text or "", whole=False):
                     a, b = max(0, run[0][0] - 1), min(len(text), run[-1][1] + 1)
-                    if b - a < 2000:
+                    if b - a < passage:
                         out_k.append(keys[i])
                         out_t.append(text[a:b])
+                        left -= 1
+                    if not left:
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out_t, pa.string())], names=["k", "passage"])
 
-    found = docs.select(key.alias("k"), F.col(text_col).alias("text")).where(F.col("k") <= last).mapInArrow(passages, "k long, passage string")
+    found = mapped(docs.select(key.alias("k"), F.col(text_col).alias("text")).where(F.col("k") <= last), passages, "k long, passage string")
     return train([r["passage"] for r in found.orderBy("k", "passage").limit(max_windows).collect()], max_windows=max_windows)
 
 
@@ -403,4 +472,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
             columns[at_text] = pa.array(texts, batch.schema.field(at_text).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.bytewords import LOWER, mix, word_hashes, words
-from stowage.llm.common import batches, fold, stored
+from stowage.llm.common import batches, fold, mapped, stored
 
 ORDER = 5
 NODES = 2 << 20
@@ -326,7 +326,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), 10) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    counted = rows.select("text", "held_out").mapInArrow(_count, "kind int, key long, n long, every long")
+    counted = mapped(rows.select("text", "held_out"), _count, "kind int, key long, n long, every long")
     counts = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every")))
     tokens = counts.where(f"kind = {WORD}").select("key", "n")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -336,7 +336,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     low = _arrays(grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")))
     pair = F.col("key").bitwiseAND(F.lit(0xFFFF00))
     dealt = grams.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair").select("key", "n", "every")
-    places = stored(dealt.mapInArrow(_solve(low), "key long, n long, p double"))
+    places = stored(mapped(dealt, _solve(low), "key long, n long, p double"))
     usual = _arrays(places.where(F.col("n") >= _least_count(places, nodes)), "p")
     common = _arrays(tokens.where(F.col("n") >= _least_count(tokens, head)))
     model, name = spark.sparkContext.broadcast((usual, common)), uuid.uuid4().hex
@@ -369,7 +369,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
             uid += size
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = stored(rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, score double, rare array<bigint>, times array<bigint>, places array<bigint>, place_times array<bigint>"))
+    scored = stored(mapped(rows, score, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, score double, rare array<bigint>, times array<bigint>, places array<bigint>, place_times array<bigint>"))
     rare = scored.select("uid", F.inline(F.arrays_zip("rare", "times"))).toDF("uid", "key", "times")
     met = rare.join(tokens, "key", "left").select("uid", "times", F.coalesce("n", F.lit(0)).alias("n"))
     more = met.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"))

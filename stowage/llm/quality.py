@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.bytewords import GAPS, mix, shingle_hashes, word_hashes, words
-from stowage.llm.common import batches, fold, stored
+from stowage.llm.common import batches, fold, mapped, stored
 
 MAX_ROWS = 20_000
 BINS = 64
@@ -164,7 +164,7 @@ def featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), 5) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, stats binary")
+    return mapped(rows, run, f"doc_id {kind}, held_out boolean, stats binary")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, cut: float = CUT) -> DataFrame:
@@ -183,4 +183,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return stats.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return mapped(stats, run, f"doc_id {kind}, held_out boolean, score double, predicted int")

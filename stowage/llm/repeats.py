@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.bytewords import mix, prefix, span_hash
-from stowage.llm.common import batches, letters, stored
+from stowage.llm.common import batches, letters, mapped, stored
 
 LENGTH = 200
 GRAM = 32
@@ -201,7 +201,7 @@ def anchor_table(rows: DataFrame) -> DataFrame:
             rid = np.asarray(batch.column(0))[row] if len(row) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (s, n, off))], names=_ANCHOR_NAMES)
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, k long, c long, s int, n int, off int")
+    return mapped(rows.select("rid", "text"), run, "rid long, k long, c long, s int, n int, off int")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +303,7 @@ def _dealt(source):
 
 def _dealt_spans(contexts: DataFrame) -> DataFrame:
     """rid, a, b: as for whole contexts, blocks that occur twice are repeated; what is left open goes by single starts."""
-    dealt = stored(contexts.mapInArrow(_dealt, "b1 long, b2 long, c long, rid long, a long, n long, w1 array<bigint>, w2 array<bigint>"))
+    dealt = stored(mapped(contexts, _dealt, "b1 long, b2 long, c long, rid long, a long, n long, w1 array<bigint>, w2 array<bigint>"))
     kinds = dealt.groupBy("b1", "b2", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "a", "w1", "w2")).alias("one"))
     twice = dealt.where("a >= 0").join(kinds.where("m > 1").select("b1", "b2", "c"), ["b1", "b2", "c"], "left_semi").select("rid", "a", (F.col("a") + F.col("n") - 1 + LENGTH).alias("b"))
     open_ = kinds.groupBy("b1", "b2").agg(F.count("*").alias("kinds"), F.max(F.col("m") == 1).alias("open")).where("kinds > 1 AND open").select("b1", "b2")
@@ -356,8 +356,8 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     asked = kinds.join(crowds, "k").select("one.rid", F.struct("k", (F.col("size") > crowd).alias("crowd"), (F.col("m") == 1).alias("single"), F.col("one.s").alias("s"), F.col("one.n").alias("n"), F.col("one.off").alias("off")).alias("w"))
     asked = asked.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
     fetched = rows.join(asked.hint("shuffle_hash"), "rid").select("doc_id", "rid", "text", "wanted")
-    contexts = stored(fetched.mapInArrow(_contexts, "k long, crowd boolean, single boolean, rid long, s int, bytes binary, off int"))
-    sorted_out = contexts.where("NOT crowd").repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_shards, "rid long, a long, b long")
+    contexts = stored(mapped(fetched, _contexts, "k long, crowd boolean, single boolean, rid long, s int, bytes binary, off int"))
+    sorted_out = mapped(contexts.where("NOT crowd").repartition("k").sortWithinPartitions("k"), _sorted_shards, "rid long, a long, b long")
     return covered.unionByName(sorted_out).unionByName(_dealt_spans(contexts.where("crowd")))
 
 
@@ -367,4 +367,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(rows, crowd).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = rows.join(spans.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(joined, _finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -192,7 +192,43 @@ def test_semi_markov_decoding_is_optimal():
     rng = np.random.default_rng(3)
     for _ in range(50):
         n = int(rng.integers(1, 7))
-        segments = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1)]
-        scores = rng.normal(size=(len(segments), 2))
-        best = max(sum(scores[list(c)].max(axis=1)) for k in range(n + 1) for c in combinations(range(len(segments)), k) if all(segments[a][1] <= segments[b][0] or segments[b][1] <= segments[a][0] for a, b in combinations(c, 2)))
-        assert np.isclose(sum(scores[k, kind] for k, kind in decode(n, segments, scores)), best)
+        found = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1)]
+        scores = rng.normal(size=(len(found), 2))
+        best = max(sum(scores[list(c)].max(axis=1)) for k in range(n + 1) for c in combinations(range(len(found)), k) if all(found[a][1] <= found[b][0] or found[b][1] <= found[a][0] for a, b in combinations(c, 2)))
+        got = decode(n, ((i, j, int(s.argmax()), float(s.max())) for (i, j), s in zip(found, scores, strict=True)))
+        assert np.isclose(sum(s for *_, s in got), best) and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_semi_markov_gradient_is_that_of_the_likelihood():
+    from itertools import combinations
+
+    from stowage.llm.pii import _gradient
+
+    rng = np.random.default_rng(9)
+    n, found = 4, [(0, 1), (1, 2), (1, 3), (2, 4), (3, 4)]
+    rows, weights, gold = rng.normal(size=(len(found), 3)), rng.normal(size=(2, 3)), [(0, 1), (3, 0)]
+    apart = [c for k in range(n + 1) for c in combinations(range(len(found)), k) if all(found[a][1] <= found[b][0] or found[b][1] <= found[a][0] for a, b in combinations(c, 2))]
+
+    def likelihood(w):
+        scores = rows @ w.T
+        every = sum(np.prod([np.exp(scores[k]).sum() for k in c]) for c in apart)
+        return sum(scores[k, kind] for k, kind in gold) - np.log(every)
+
+    got = _gradient(n, found, rows, gold, weights)
+    for at in np.ndindex(weights.shape):
+        step = np.zeros_like(weights)
+        step[at] = 1e-6
+        assert np.isclose(got[at], (likelihood(weights + step) - likelihood(weights - step)) / 2e-6, atol=1e-5)
+
+
+def test_pii_takes_linear_time():
+    import time
+
+    from stowage.llm.pii import N_FEATURES, all_spans
+
+    weights = np.random.default_rng(0).normal(size=(4, N_FEATURES))
+    for unit in ("7", "a", "1.", "日", "(at)", "a at ", " dot c", "@", "1-", "+1(", "0a", "a@b.c "):
+        text = ("1" if unit == "日" else "") + unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        all_spans(text, weights)
+        assert time.process_time() - began < 60, unit
