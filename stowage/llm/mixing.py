@@ -5,106 +5,115 @@ point ``i * golden ratio mod 1``, maps it through the cumulative target weights
 slots of that source names the block (and the pass over the source) that it takes. A source stops at its target, so
 its last block may be taken in part; the few blocks by which the points fall short of a target follow as last slots.
 
-Scale: the only global facts are one row per source. Positions in the streams and ranks of slots are prefix sums in
-two levels (totals per bin, then inside a bin), so no window holds more than a bin of one source, however large the
-source is. Blocks and slots meet in one equi-join on (source, block), which no key dominates.
-
-Defined results: a null text has size 0; a null source is a source of its own, the last; a document of size 0 takes
-0; repeated rows are separate documents; an empty table gives an empty result. Other columns are ignored.
+Scale: positions in the streams, ranks of slots, ranks of sources and cumulative weights are all running sums over a
+global order: the rows are dealt out by ranges of the order, summed inside each range, and each range is shifted by the
+total of those before it (one number a range). No task holds a source, and sources are rows of a table, however many.
+Points meet their source in an equi-join on a cell of the unit interval; blocks and slots in one on (source, block).
+
+Defined results: a null text has size 0; a null source is a source of its own, the last; a document of size 0 takes 0;
+a text of any length is counted whole and may lie in many blocks; documents whose shuffle keys tie follow by id, then
+size, and equal ones in either order; repeated rows are separate documents; an empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import WORD, stored
+from stowage.llm.common import WORD, mapped, stored
 
 WEIGHTS = (5, 2, 1)
 #: Golden-ratio points as integers: i * STEP mod 2**31, STEP being odd and the nearest to 2**31 / 1.618...
 BITS = 31
 STEP = 1327217885
-#: Slots and rows of a prefix sum's lower level.
-CHUNK = 8192
-BIN_ROWS = 1024
-MAX_SOURCES = 100_000
-
-
-def water_fill(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
-    """Split ``share`` of all sizes by weight; what exceeds ``cap`` times a size is split again among the others."""
-    targets, still, left = [0.0] * len(sizes), list(range(len(sizes))), share * sum(sizes)
-    while still:
-        weight = sum(weights[i] for i in still)
-        above = [i for i in still if left * weights[i] / weight > cap * sizes[i]]
-        if not above:
-            for i in still:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in above:
-            targets[i] = float(cap * sizes[i])
-        left -= sum(targets[i] for i in above)
-        still = [i for i in still if i not in set(above)]
-    return targets
+#: Points meet sources in cells of this many bits.
+CELL_BITS = 15
+#: Targets are summed up as whole multiples of 1 / FINE words, so that the order of addition does not matter.
+FINE = 1 << 16
+
+
+def running(rows: DataFrame, order: list, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` (a long) over all rows before this one in the order. The result is stored."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    at = len(rows.columns)
+
+    def run(source):
+        total = 0
+        for batch in source:
+            n = np.asarray(batch.column(batch.schema.get_field_index(value))).astype(np.int64)
+            after = total + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(after - n), pa.array(after)], names=[*batch.schema.names, "__before", "__after"])
+            total = int(after[-1]) if len(n) else total
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
+    summed = stored(mapped(ranged, run, f"{columns}, __before long, __after long"))
+    sums = sorted((r[0], r[1]) for r in summed.groupBy("__part").agg(F.max("__after")).collect())  # one row a range
+    starts = np.concatenate([[0], np.cumsum([n for _, n in sums])])[:-1].tolist()
+    shifts = rows.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sums, starts, strict=True)], "__part int, __shift long")
+    return summed.join(F.broadcast(shifts), "__part").select(*rows.columns[:at], (F.col("__before") + F.col("__shift")).alias(out))
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _sources(sized: DataFrame, weights, share: float, cap: float) -> tuple[DataFrame, list[dict], int]:
-    """One row per source: its number, size, target, blocks. The list has at most MAX_SOURCES rows, which is checked."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["n"] for r in rows]
-    targets = water_fill(sizes, [float(weights[i % len(weights)]) for i in range(len(rows))], share, cap)
-    found = [{"sid": i, "source": r["source"], "source_size": n, "target": t} for i, (r, n, t) in enumerate(zip(rows, sizes, targets, strict=True))]
-    frame = sized.sparkSession.createDataFrame([(x["sid"], x["source"], x["source_size"], x["target"]) for x in found], "sid int, source string, source_size long, target double")
-    return frame, found, sum(r["docs"] for r in rows)
-
-
-def _streams(sized: DataFrame, sources: DataFrame, docs: int) -> DataFrame:
-    """Adds sid, bin, rank (in the bin) and start: where the document begins in its source's shuffled stream."""
-    bins = max(64, ceil(docs / BIN_ROWS))
-    keyed = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    # the bin is the shuffled key's range, so that bins follow each other in the order of the keys
-    keyed = keyed.withColumn("bin", F.floor((F.shiftrightunsigned("key", 32) * bins) / F.lit(float(1 << 32))).cast("int"))
-    sums = keyed.groupBy("sid", "bin").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("sid").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("sid", "bin").orderBy(F.shiftrightunsigned("key", 1), "key", "doc_id", "size")
-    ranked = keyed.withColumn("rank", F.row_number().over(inside)).withColumn("start", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(sums, ["sid", "bin"]).withColumn("start", F.col("start") + F.col("offset")).drop("offset")
-
-
-def schedule(sources: DataFrame, found: list[dict], block: int) -> DataFrame:
+def water_fill(sources: DataFrame, share: float, cap: float) -> DataFrame:
+    """Adds ``target``. sources: n (size) and weight; ``share`` of all sizes is split by weight.
+
+    What exceeds ``cap`` times a size is split again among the others, until none is above or all are at their cap.
+    """
+    rows = stored(sources.withColumn("full", F.lit(False)))
+    rate = 0.0
+    while True:
+        r = rows.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("full"), F.col("n")).otherwise(0)).alias("held"), F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).alias("weight")).first()
+        if not r["weight"]:
+            break
+        rate = (share * r["all"] - cap * r["held"]) / r["weight"]
+        above = ~F.col("full") & (F.lit(rate) * F.col("weight") > F.lit(cap) * F.col("n"))
+        if rows.where(above).isEmpty():
+            break
+        rows = stored(rows.withColumn("full", F.col("full") | above))
+    return rows.withColumn("target", F.when(F.col("full"), F.lit(float(cap)) * F.col("n")).otherwise(F.lit(rate) * F.col("weight"))).drop("full")
+
+
+def weighed(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row per source: sid (by code point, null last), source, n, base (words of the sources before it), weight, target."""
+    sources = stored(sized.groupBy("source").agg(F.sum("size").alias("n"), F.lit(1).cast("long").alias("one")))
+    order = [F.col("source").isNull(), F.col("source")]
+    numbered = running(running(sources, order, "one", "sid"), order, "n", "base")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("sid") % len(weights) + 1).cast("int"))
+    return stored(water_fill(numbered.select("sid", "source", "n", "base", weight.alias("weight")), share, cap))
+
+
+def schedule(sources: DataFrame, block: int) -> DataFrame:
     """The slots: slot, sid, epoch, block, limit (how many words of the block the slot may take)."""
-    spark, total = sources.sparkSession, sum(x["target"] for x in found)
-    plan, bounds, so_far = [], [], 0.0
-    for x in found:
-        so_far += x["target"]
-        bounds.append(min(1 << BITS, round(so_far / total * (1 << BITS))) if total else 0)
-        words, size = round(x["target"]), x["source_size"]
-        blocks = ceil(size / block)
-        full, rest = divmod(words, size) if size else (0, 0)
-        plan.append((x["sid"], blocks, full * blocks + ceil(rest / block), full, rest))
-    needs = spark.createDataFrame(plan, "sid int, blocks long, need long, full long, rest long")
-    n = ceil(total / block)
+    spark = sources.sparkSession
+    total, many = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
+    fine = running(sources.select("sid", F.floor(F.col("target") * FINE).alias("f")), ["sid"], "f", "before")
+    end = fine.agg(F.coalesce(F.max(F.col("before") + F.col("f")), F.lit(0))).first()[0]
+    scaled = lambda c: F.floor(c.cast("double") / F.lit(float(max(end, 1))) * F.lit(float(1 << BITS))).cast("long")
+    edges = fine.select("sid", scaled(F.col("before")).alias("lo"), F.when(F.col("before") + F.col("f") >= end, F.lit(1 << BITS)).otherwise(scaled(F.col("before") + F.col("f"))).alias("hi")).where("hi > lo")
+    shift = BITS - CELL_BITS
+    cells = edges.select("*", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift))).alias("cell"))
     point = F.pmod(F.pmod(F.col("slot"), F.lit(1 << BITS)) * F.lit(STEP), F.lit(1 << BITS))
-    edges = ",".join(map(str, bounds)) or "0"
-    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point)
-    slots = slots.select("slot", F.expr(f"size(filter(array({edges}), b -> b <= point))").alias("sid"), F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    counts = slots.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("sid", "chunk").orderBy("slot")
-    ranked = slots.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["sid", "chunk"]).select("slot", "sid", (F.col("rank") + F.col("offset")).alias("rank"))
-    had = needs.join(counts.groupBy("sid").agg(F.sum("n").alias("had")), "sid", "left").select("sid", "need", F.coalesce("had", F.lit(0)).alias("had"))
-    tail = had.where("had < need").select(F.col("sid"), F.explode(F.expr("sequence(had, need - 1)")).alias("rank")).select((F.lit(n) + F.col("rank")).alias("slot"), "sid", "rank")
-    every = ranked.unionByName(tail).join(F.broadcast(needs), "sid").where("rank < need")
+    slots = spark.range(ceil(total / block)).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.shiftright("point", shift))
+    aimed = slots.join(cells, "cell").where("point >= lo AND point < hi").select("slot", "sid", F.lit(1).cast("long").alias("one"))
+    placed = running(aimed, ["sid", "slot"], "one", "place")
+    words, size = F.round("target").cast("long"), F.col("n")
+    full, rest = F.when(size > 0, F.expr("words div n")).otherwise(0), F.when(size > 0, F.col("words") % size).otherwise(0)
+    blocks = lambda x: F.ceil(x / F.lit(block)).cast("long")
+    plan = sources.withColumn("words", words).select("sid", blocks(size).alias("blocks"), full.alias("full"), rest.alias("rest")).withColumn("need", F.col("full") * F.col("blocks") + blocks(F.col("rest")))
+    counts = placed.groupBy("sid").agg(F.min("place").alias("first"), F.count("*").alias("had"))
+    plan = stored(plan.join(counts, "sid", "left").fillna(0, ["first", "had"]))
+    ranked = placed.join(plan, "sid").withColumn("rank", F.col("place") - F.col("first")).where("rank < need")
+    tail = plan.where("had < need").withColumn("rank", F.explode(F.expr("sequence(had, need - 1)"))).withColumn("slot", F.lit(ceil(total / block)) + F.col("rank") * many + F.col("sid"))
+    columns = ["slot", "sid", "rank", "blocks", "full", "rest"]
+    every = ranked.select(*columns).unionByName(tail.select(*columns))
     return every.select(
         "slot", "sid", F.expr("rank div blocks").alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"),
         F.expr(f"CASE WHEN rank div blocks < full THEN {block} ELSE least({block}, rest - (rank % blocks) * {block}) END").alias("limit"),
@@ -112,29 +121,28 @@ def schedule(sources: DataFrame, found: list[dict], block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, block: int = 128, seed: int = 42) -> DataFrame:
-    """The mix as pieces: slot, epoch, source, doc_id, size, source_size, target, from_word, words; and a document's row number.
+    """The mix as pieces: slot, epoch, source, doc_id, size, source_size, target, from_word, words; and ``at``, the document's number.
 
     A document that the mix does not take has one piece with null slot and 0 words.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = stored(sized.withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id"))))
-    sources, found, n = _sources(sized, weights, share, cap)
-    placed = _streams(sized, sources, n)
+    sources = weighed(sized, weights, share, cap)
+    order = [F.col("source").isNull(), "source", "key", "doc_id", "size"]
+    begun = running(sized, order, "size", "begin").withColumn("at", F.monotonically_increasing_id())
+    here = F.col("s.source").eqNullSafe(F.col("d.source"))
+    placed = begun.alias("d").join(sources.alias("s"), here).select("at", "s.sid", "d.source", "doc_id", "size", F.col("n").alias("source_size"), "target", (F.col("begin") - F.col("base")).alias("start"))
     pieces = placed.withColumn("block", F.explode_outer(F.expr(f"CASE WHEN size > 0 THEN sequence(start div {block}, (start + size - 1) div {block}) END")))
-    slots = schedule(sources, found, block)
-    joined = pieces.join(slots, ["sid", "block"], "left")
+    joined = pieces.join(schedule(sources, block), ["sid", "block"], "left")
     begin = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("limit"))
-    words = F.greatest(F.lit(0), F.coalesce(end - begin, F.lit(0))).cast("long")
-    return joined.select("sid", "bin", "rank", "slot", "epoch", "source", "doc_id", "size", "source_size", "target", (begin - F.col("start")).alias("from_word"), words.alias("words"))
+    words = F.when(F.col("slot").isNull(), 0).otherwise(F.greatest(F.lit(0), F.coalesce(end - begin, F.lit(0)))).cast("long")
+    return joined.select("at", "slot", "epoch", "source", "doc_id", "size", "source_size", "target", (begin - F.col("start")).alias("from_word"), words.alias("words"))
 
 
 def mix_manifest(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, first_slot."""
-    pieces = mix(docs, **options)
     taken = F.when(F.col("words") > 0, F.col("slot"))
-    return (
-        pieces.groupBy("sid", "bin", "rank", "doc_id", "size", "source_size", "target", "source")
-        .agg(F.sum("words").alias("taken"), F.min(taken).alias("first_slot"))
-        .select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
-    )
+    whole = ["doc_id", "size", "source_size", "target"]
+    per = mix(docs, **options).groupBy("at").agg(*(F.first(c).alias(c) for c in [*whole, "source"]), F.sum("words").alias("taken"), F.min(taken).alias("first_slot"))
+    return per.select(*whole, "taken", "source", "first_slot")

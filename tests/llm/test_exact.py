@@ -242,13 +242,26 @@ def test_pii_base_on_random_strings():
     assert base_spans(digits) == [] and base_spans("a" * 200_000 + "@") == []
 
 
+def brute_targets(sizes, weights, share=1.5, cap=2.0):
+    targets, open_, left = {}, dict(sizes), share * sum(sizes.values())
+    while open_:
+        unit = left / sum(weights[s] for s in open_)
+        above = [s for s in open_ if unit * weights[s] > cap * sizes[s]]
+        if not above:
+            return targets | {s: unit * weights[s] for s in open_}
+        for s in above:
+            targets[s] = cap * open_.pop(s)
+            left -= targets[s]
+    return targets
+
+
 def test_mix(docs, rows, empty, spark):
-    from stowage.llm.mixing import mix, mix_manifest, water_fill
+    from stowage.llm.mixing import mix, mix_manifest
 
     sizes = [len(WORD.findall(r[1] or "")) for r in rows]
     names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
     own = {s: sum(n for r, n in zip(rows, sizes, strict=True) if r[3] == s) for s in names}
-    targets = dict(zip(names, water_fill([own[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2), strict=True))
+    targets = brute_targets(own, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
     assert isclose(sum(targets.values()), 1.5 * sum(sizes)) and all(targets[s] <= 2 * own[s] + 1e-6 for s in names)
     got = mix_manifest(docs, block=16).collect()
     assert sorted(((r["doc_id"], r["size"], r["source_size"], r["target"]) for r in got), key=key) == sorted(((r[0], n, own[r[3]], targets[r[3]]) for r, n in zip(rows, sizes, strict=True)), key=key)
@@ -268,6 +281,24 @@ def test_mix(docs, rows, empty, spark):
             assert abs(half.count(s) / len(half) - targets[s] / sum(targets.values())) < 0.05
 
 
+def test_mix_of_many_sources(spark):
+    """More sources than a window or a literal list should hold, one of them with a third of all rows."""
+    from stowage.llm.mixing import mix_manifest
+
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.repeat(F.lit("x "), (F.col("id") % 40).cast("int"))).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 2500)).alias("source"))
+    got = mix_manifest(many, block=8).collect()
+    own, taken, target = Counter(), Counter(), {}
+    for r in got:
+        own[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    names = sorted(own)
+    want = brute_targets(own, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
+    assert len(got) == 6000 and len(names) > 2000
+    assert all(isclose(target[s], want[s], rel_tol=1e-9) and abs(taken[s] - want[s]) <= 1 for s in names)
+
+
 def test_rules(docs, rows, empty, spark):
     from stowage.llm.rules import quality_rules
 
