@@ -4,12 +4,16 @@ Words and pairs of words are hashed into ``buckets``. Two multinomials over the
 documents and one from the whole raw corpus, give each n-gram a log ratio; a document's verdict is the mean ratio of
 its n-grams against a fixed threshold. Built from DataFrame functions alone.
 
-Scale: the text is read twice. The corpus counts are one aggregation with at most ``buckets`` keys; the model is
-``buckets`` numbers, which enter the second pass as a constant. All trusted documents are counted: their ids meet the
-documents in an equi-join without a hint, which shuffles the text once where the ids are too many to be broadcast.
-
-Defined results: a null or empty text has no words and fails the base rules; without any trusted document every ratio
-is 0 and the base rules alone decide; repeated rows are judged each by itself; other columns are ignored.
+Scale: the text is read twice. All trusted documents are counted: their ids meet the documents in a sort-merge join,
+which shuffles the text once, at every size alike. The corpus counts are one aggregation with at most ``buckets`` keys;
+the model is ``buckets`` numbers, which enter the second pass as a constant. Both passes explode a document into its
+n-grams inside generated code and add up before anything is shuffled: a document is one row of sums.
+
+Defined results: a null or empty text has no words, a ratio of 0, and fails the base rules; a text of any length is read
+whole; a mean ratio of exactly the threshold passes; without any trusted document every ratio is 0 and the base rules
+alone decide; of repeated labels for one id any that trusts it counts; a null id is trusted by none; repeated rows are
+judged each by itself; an empty table gives an empty result; other columns are ignored, whatever their names. Ratios
+are whole millionths, so that sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -54,33 +58,45 @@ def bucket(*parts: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
+def grams(df: DataFrame, words: str, keep: list[str], buckets: int) -> DataFrame:
+    """keep and ``g``: one row per word and per pair of words; a row without words has one with null ``g``."""
+    pairs = F.arrays_zip(F.col(words).alias("a"), F.expr(f"slice({words}, 2, size({words}))").alias("b"))
+    said = df.select(*keep, F.explode_outer(pairs).alias("p")).select(*keep, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    one = F.when(F.col("a").isNotNull(), bucket(F.col("a"), buckets=buckets))
+    both = F.when(F.col("b").isNotNull(), bucket(F.col("a"), F.col("b"), buckets=buckets))
+    return said.select(*keep, one.alias("g"), both.alias("h"))
+
+
 def ngram_counts(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[int, tuple[int, int]]:
     """bucket -> (in trusted documents, in all documents)."""
-    flagged = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(trusted_ids.select(F.col("id").alias("__id"), F.lit(1).alias("t")), "__id", "left")
+    trusted = trusted_ids.select(F.col("id").alias("__id"), F.lit(1).alias("t")).hint("merge")
+    flagged = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(trusted, "__id", "left")
     flagged = flagged.select(F.regexp_extract_all(letters(F.col("__text")), F.lit(WORD), F.lit(0)).alias("w"), F.coalesce("t", F.lit(0)).alias("t"))
-    pairs = flagged.select("t", F.inline(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b")))).toDF("t", "a", "b")
-    hashed = pairs.select("t", F.explode(F.array(bucket(F.col("a"), buckets=buckets), F.when(F.col("b").isNotNull(), bucket(F.col("a"), F.col("b"), buckets=buckets)))).alias("g")).where("g IS NOT NULL")
+    each = grams(flagged, "w", ["t"], buckets)
+    hashed = each.select("t", F.explode(F.array("g", "h")).alias("g")).where("g IS NOT NULL")
     return {r["g"]: (r["t"], r["n"]) for r in hashed.groupBy("g").agg(F.sum("t").alias("t"), F.count("*").alias("n")).collect()}
 
 
-def log_ratios(counts: dict[int, tuple[int, int]], buckets: int, smooth: float = 1.0) -> list[float]:
+def log_ratios(counts: dict[int, tuple[int, int]], buckets: int, smooth: float = 1.0) -> list[int]:
+    """In millionths."""
     trusted, raw = sum(t for t, _ in counts.values()), sum(n for _, n in counts.values())
     if not trusted:
-        return [0.0] * buckets
+        return [0] * buckets
     p = lambda c, total: log((c + smooth) / (total + smooth * buckets))
-    return [round(p(counts.get(g, (0, 0))[0], trusted) - p(counts.get(g, (0, 0))[1], raw), 6) for g in range(buckets)]
+    return [round(1e6 * (p(counts.get(g, (0, 0))[0], trusted) - p(counts.get(g, (0, 0))[1], raw))) for g in range(buckets)]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct()
     ratios = log_ratios(ngram_counts(docs, trusted, id_col, text_col, buckets), buckets)
-    model = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    df = counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__raw")), "__raw")
-    grams = f"""aggregate(sequence(0, size(__words) - 1), 0D, (s, i) -> s
-        + __m[pmod(xxhash64(__words[i]), {buckets})]
-        + CASE WHEN i + 1 < size(__words) THEN __m[pmod(xxhash64(__words[i], __words[i + 1]), {buckets})] ELSE 0D END)"""
-    df = df.withColumn("__m", model)
-    df = df.withColumn("llr", F.expr(f"CASE WHEN size(__words) = 0 THEN 0D ELSE {grams} / (2 * size(__words) - 1) END"))
+    model = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")
+    df = counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__raw")), "__raw").withColumn("__row", F.monotonically_increasing_id())
+    base = ["__row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    of = lambda c: F.coalesce(F.get(model, F.col(c)), F.lit(0))
+    each = grams(df, "__words", base, buckets).withColumn("__r", of("g") + of("h"))
+    summed = each.groupBy(*base).agg(F.sum("__r").alias("__sum"))
+    mean = F.when(F.col("n_words") > 0, F.col("__sum") / 1e6 / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0))
+    df = summed.withColumn("llr", mean)
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")

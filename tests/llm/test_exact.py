@@ -3,7 +3,7 @@
 import hashlib
 import re
 from collections import Counter
-from math import isclose, log10
+from math import isclose, log, log10
 from zlib import crc32
 
 import numpy as np
@@ -316,17 +316,28 @@ def test_rules(docs, rows, empty, spark):
     df = quality_rules(docs, labels)
     same(df, want, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
     assert df.where("kept AND base_failed").count() == 0 and df.where("kept").count() > 10
+    # the verdict, from word and pair counts in plain Python; only the hash of an n-gram is asked of Spark
+    said = [WORD.findall(r[1] or "") for r in rows]
+    trusted = [r[0] is not None and (r[0] < 12 or r[0] == 3) for r in rows]
+    each = sorted({g for w in said for g in [*((x,) for x in w), *zip(w, w[1:])]})
+    frame = spark.createDataFrame([(i, *g, *[None] * (2 - len(g))) for i, g in enumerate(each)], "i int, a string, b string")
+    spot = {each[r["i"]]: r["g"] for r in frame.selectExpr("i", f"cast(pmod(CASE WHEN b IS NULL THEN xxhash64(a) ELSE xxhash64(a, b) END, {1 << 14}) AS int) AS g").collect()}
+    counts = [[spot[g] for g in [*((x,) for x in w), *zip(w, w[1:])]] for w in said]
+    raw, good = Counter(g for c in counts for g in c), Counter(g for c, t in zip(counts, trusted, strict=True) if t for g in c)
+    ratio = lambda g: log((good[g] + 1) / (sum(good.values()) + (1 << 14))) - log((raw[g] + 1) / (sum(raw.values()) + (1 << 14)))
+    llr = [sum(map(ratio, c)) / len(c) if c else 0.0 for c in counts]
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["word_chars"], round(r["llr"], 5)), r["kept"]) for r in df.collect())
+    expected = sorted(((r[0] is None, r[0] or 0, w[1], w[2], round(x, 5)), not w[6] and x >= -0.04) for r, w, x in zip(rows, want, llr, strict=True))
+    assert all(a[0][:4] == b[0][:4] and abs(a[0][4] - b[0][4]) <= 2e-5 and (a[1] == b[1] or abs(b[0][4] + 0.04) < 1e-4) for a, b in zip(got, expected, strict=True))
     bare = quality_rules(docs, labels.where("false"))
     assert bare.where("kept = base_failed").count() == 0 and quality_rules(empty, labels).count() == 0
 
 
 def test_log_ratios():
-    from math import log
-
     from stowage.llm.rules import log_ratios
 
     got = log_ratios({0: (3, 4), 2: (1, 6)}, 4)
-    assert [round(x, 5) for x in got] == [round(log((t + 1) / 8) - log((n + 1) / 14), 5) for t, n in ((3, 4), (0, 0), (1, 6), (0, 0))]
+    assert got == [round(1e6 * (log((t + 1) / 8) - log((n + 1) / 14))) for t, n in ((3, 4), (0, 0), (1, 6), (0, 0))]
 
 
 def test_rules_count_every_trusted_document(spark):
