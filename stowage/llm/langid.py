@@ -8,12 +8,15 @@ score is the weighted mean probability of that language.
 The network is trained in numpy on the driver. For use, embedding and filters are folded into tables over pairs of
 byte classes, so a filter costs one or two table rows a byte.
 
-Scale: one pass over the text, no shuffle, bounded slices. Training takes about ``per_language`` labelled documents of
-each language (by hash of the id) and at most ``WINDOWS_EACH`` windows of each; the model has a fixed size.
+Scale: one pass over the text, no shuffle, bounded slices. The sample that is learned from is bounded by parameters:
+the ``MAX_LANGUAGES`` languages with most labelled documents, of each about ``PER_LANGUAGE`` documents by hash of the id
+(fewer where the languages are many, so that there are about ``MAX_DOCS`` in all), of each document ``WINDOWS_EACH``
+windows spread over the whole text. The model has a fixed size.
 
 Defined results: ``und`` with score 0 for a null text, a text without any letter, or without any labelled training
-row; labels that are null are not learned; repeated rows are answered each by itself; other columns are ignored (and
-kept by ``keep_identified``).
+row; a text of any length is read whole; of languages that tie the first by code point is told; labels that are null are
+not learned; an empty table gives an empty result; repeated rows are answered each by itself; other columns are ignored,
+whatever their names (and kept by ``keep_identified``).
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ DIM = 8
 PER_LANGUAGE = 400
 WINDOWS_EACH = 8
 MAX_LANGUAGES = 1000
+MAX_DOCS = 20_000
 
 
 def _classes() -> np.ndarray:
@@ -51,8 +55,6 @@ def _classes() -> np.ndarray:
 
 CLASS = _classes()
 N_CLASSES = int(CLASS.max()) + 1
-_ALPHA = np.zeros(256, np.int64)
-_ALPHA[[*range(65, 91), *range(97, 123), *range(0xC3, 256)]] = 1
 
 
 @dataclass
@@ -98,6 +100,49 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def spans_of(params: dict[str, np.ndarray], codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the embedded bytes under a filter, its answers) at every place of every window."""
+    emb = np.lib.stride_tricks.sliding_window_view(params["e"][codes], width, axis=1).transpose(0, 1, 3, 2)
+    spans = emb.reshape(len(codes), WINDOW - width + 1, width * DIM)
+    return spans, spans @ params[f"w{width}"] + params[f"c{width}"]
+
+
+def gradients(params: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean negative log-likelihood of labels ``y`` for windows ``x``."""
+    n, grads, top, best = len(x), {}, [], {}
+    for w in WIDTHS:
+        spans, h = spans_of(params, x, w)
+        best[w] = spans, h.argmax(axis=1)
+        top.append(h.max(axis=1))
+    z = np.concatenate(top, axis=1)
+    act = np.maximum(z, 0)
+    p = softmax(act @ params["d"] + params["b"])
+    p[np.arange(n), y] -= 1
+    p /= n
+    grads["d"], grads["b"] = act.T @ p, p.sum(axis=0)
+    back = (p @ params["d"].T) * (z > 0)
+    grads["e"] = np.zeros_like(params["e"])
+    for i, w in enumerate(WIDTHS):
+        spans, where = best[w]
+        g = back[:, i * FILTERS : (i + 1) * FILTERS]
+        chosen = spans[np.arange(n)[:, None], where]  # n x filters x (w * DIM)
+        grads[f"w{w}"] = np.einsum("nfd,nf->df", chosen, g)
+        grads[f"c{w}"] = g.sum(axis=0)
+        to_emb = (g[:, :, None] * params[f"w{w}"].T[None]).reshape(n, FILTERS, w, DIM)
+        for j in range(w):
+            np.add.at(grads["e"], x[np.arange(n)[:, None], where + j], to_emb[:, :, j])
+    return grads
+
+
+def folded(params: dict[str, np.ndarray], languages: list[str]) -> Model:
+    """Embedding and filters as tables over pairs of classes."""
+    e = params["e"]
+    part = {w: [e @ params[f"w{w}"][j * DIM : (j + 1) * DIM] for j in range(w)] for w in WIDTHS}
+    table = lambda a, b: np.ascontiguousarray((a[:, None] + b[None]).reshape(-1, FILTERS), np.float32)
+    pairs = [table(part[2][0] + params["c2"], part[2][1]), table(part[3][0] + params["c3"], part[3][1]), table(part[4][0] + params["c4"], part[4][1]), table(part[4][2], part[4][3])]
+    return Model(languages, pairs, np.ascontiguousarray(part[3][2], np.float32), params["d"], params["b"])
+
+
 def train(codes: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> Model:
     rng, k = np.random.default_rng(seed), len(languages)
     params = {"e": rng.normal(0, 0.5, (N_CLASSES, DIM)), "d": rng.normal(0, 0.2, (3 * FILTERS, k)), "b": np.zeros(k)}
@@ -107,40 +152,12 @@ def train(codes: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     for _ in range(epochs):
         order = rng.permutation(len(codes))
         for s in range(0, len(order), batch):
-            x, y = codes[order[s : s + batch]], labels[order[s : s + batch]]
-            n, t = len(x), t + 1
-            emb, grads, top, best = params["e"][x], {}, [], {}
-            for w in WIDTHS:
-                spans = np.lib.stride_tricks.sliding_window_view(emb, w, axis=1).transpose(0, 1, 3, 2).reshape(n, WINDOW - w + 1, w * DIM)
-                h = spans @ params[f"w{w}"] + params[f"c{w}"]
-                best[w] = (spans, h.argmax(axis=1))
-                top.append(h.max(axis=1))
-            z = np.concatenate(top, axis=1)
-            act = np.maximum(z, 0)
-            p = softmax(act @ params["d"] + params["b"])
-            p[np.arange(n), y] -= 1
-            p /= n
-            grads["d"], grads["b"] = act.T @ p, p.sum(axis=0)
-            back = (p @ params["d"].T) * (z > 0)
-            grads["e"] = np.zeros_like(params["e"])
-            for i, w in enumerate(WIDTHS):
-                spans, where = best[w]
-                g = back[:, i * FILTERS : (i + 1) * FILTERS]
-                chosen = spans[np.arange(n)[:, None], where]  # n x filters x (w * DIM)
-                grads[f"w{w}"] = np.einsum("nfd,nf->df", chosen, g)
-                grads[f"c{w}"] = g.sum(axis=0)
-                to_emb = (g[:, :, None] * params[f"w{w}"].T[None]).reshape(n, FILTERS, w, DIM)
-                for j in range(w):
-                    np.add.at(grads["e"], x[np.arange(n)[:, None], where + j], to_emb[:, :, j])
-            for name, g in grads.items():
+            t += 1
+            for name, g in gradients(params, codes[order[s : s + batch]], labels[order[s : s + batch]]).items():
                 mean[name] = 0.9 * mean[name] + 0.1 * g
                 square[name] = 0.999 * square[name] + 0.001 * g * g
                 params[name] -= rate * (mean[name] / (1 - 0.9**t)) / (np.sqrt(square[name] / (1 - 0.999**t)) + 1e-8)
-    e = params["e"]
-    part = {w: [e @ params[f"w{w}"][j * DIM : (j + 1) * DIM] for j in range(w)] for w in WIDTHS}
-    table = lambda a, b: np.ascontiguousarray((a[:, None] + b[None]).reshape(-1, FILTERS), np.float32)
-    pairs = [table(part[2][0] + params["c2"], part[2][1]), table(part[3][0] + params["c3"], part[3][1]), table(part[4][0] + params["c4"], part[4][1]), table(part[4][2], part[4][3])]
-    return Model(languages, pairs, np.ascontiguousarray(part[3][2], np.float32), params["d"], params["b"])
+    return folded(params, languages)
 
 
 def predict(model: Model | None, flat: np.ndarray, at: np.ndarray, texts) -> tuple[list[str], np.ndarray]:
@@ -151,7 +168,6 @@ def predict(model: Model | None, flat: np.ndarray, at: np.ndarray, texts) -> tup
     codes, owner = cut(flat, at)
     logits = pooled(model, codes) @ model.dense + model.bias
     prob = softmax(logits.astype(np.float64))
-    alphas = np.concatenate([[0], np.cumsum(_ALPHA[flat])])
     ascii_letters = np.concatenate([[0], np.cumsum((CLASS[flat] >= 4) & (flat < 128))])
     plain = ascii_letters[at[1:]] > ascii_letters[at[:-1]]
     lengths = at[1:] - at[:-1]
@@ -163,7 +179,6 @@ def predict(model: Model | None, flat: np.ndarray, at: np.ndarray, texts) -> tup
         starts = np.searchsorted(owner, full)
         total[full] = np.add.reduceat(weight * np.log(prob + 1e-12), starts, axis=0)
         mass[full] = np.add.reduceat(weight * prob, starts, axis=0) / np.add.reduceat(weight, starts, axis=0)
-    del alphas
     best = total.argmax(axis=1)
     said, score = [model.languages[b] for b in best], mass[np.arange(n), best].clip(0, 1)
     for i in np.flatnonzero(~plain):
@@ -172,16 +187,15 @@ def predict(model: Model | None, flat: np.ndarray, at: np.ndarray, texts) -> tup
     return said, score
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (3, 1), per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (3, 1), per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model | None:
     """Learn from labelled documents whose crc32 fold (of ``held_out[0]``) is not ``held_out[1]``."""
     labelled = docs.where(F.col(lang_col).isNotNull() & (fold(F.col(id_col), held_out[0]) != held_out[1]))
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES + 1).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_languages).collect()}
     if not counts:
         return None
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1 << 31, int(per_language / n * (1 << 31)))))))
-    picked = labelled.where(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1 << 31)) < share[F.col(lang_col)])
+    each = min(per_language, max(1, MAX_DOCS // len(counts)))
+    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1 << 31, int(each / n * (1 << 31)))))))
+    picked = labelled.where(F.map_contains_key(share, F.col(lang_col))).where(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1 << 31)) < share[F.col(lang_col)])
 
     def sample(source: Iterator[pa.RecordBatch]):
         for batch, flat, at in batches(source, "text"):

@@ -1,16 +1,18 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Words are runs of letters and digits, lower-cased (ASCII); a template of T word shingles belongs to the smallest
-window class whose half is at least T. Windows overlap by half, so an occurrence of T shingles lies whole in one of
-them. If at least ``containment`` of a template is there, its Jaccard similarity with the window is at least
-``least_jaccard``; with one row a band and ``BANDS`` bands it is then retrieved with the probability that
-``recall_bound`` gives (over 0.999 for every class). A candidate counts only if the words themselves agree.
+Words are runs of letters and digits, lower-cased (ASCII); a template of T word shingles belongs to the window class
+whose half is the least power of two that is at least T. Windows overlap by half, so an occurrence of T shingles lies
+whole in one of them. If at least ``containment`` of a template is there, its Jaccard similarity with the window is at
+least ``least_jaccard``; with one row a band and ``BANDS`` bands it is then retrieved with the probability that
+``recall_bound`` gives: over 0.998 for every length. A candidate counts only if the words themselves agree. A
+template of fewer than ``SHINGLE`` words is one shingle of its own words, looked for by its hash at every word.
 
-Scale: one pass, no shuffle; a slice of a batch is held at a time, and the templates are a bounded list.
+Scale: one pass, no shuffle; a slice of a batch is held at a time; the templates are a list on the driver.
 
 Defined results: one row per match (none for a null, empty or clean text); overlapping matches of one template in a
-document are one row, that of the highest containment, then the first; repeated rows are scanned each by itself; a
-template of under ``SHINGLE`` words is refused; other columns are ignored.
+document are one row, that of the highest containment, then the shortest, then the first; a text or template of any length
+is read whole; repeated rows are scanned each by itself; an empty table gives an empty result; a template without any
+word is refused; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ from stowage.llm.common import batches, mapped
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 32
-#: Half a window, in shingles, by class.
-HALVES = (2, 8, 32, 128, 512)
 
 #: Notices as their publishers word them. Fixed values.
 TEMPLATES = {
@@ -66,6 +66,11 @@ def shingles(said: list[bytes]) -> list[tuple[bytes, ...]]:
     return [tuple(said[i : i + SHINGLE]) for i in range(len(said) - SHINGLE + 1)]
 
 
+def half_window(n: int) -> int:
+    """Half a window, in shingles, for a template of n shingles."""
+    return 1 << (n - 1).bit_length()
+
+
 def least_jaccard(n: int, half: int, containment: float) -> float:
     """Of a template of n shingles and a window that has ``containment`` of them."""
     there = ceil(containment * n)
@@ -83,14 +88,18 @@ class Scanner:
         self.shifts = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
         self.containment, self.names, self.sets, self.halves = containment, list(templates), [], []
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self.short: dict[int, dict[int, list[int]]] = {}  # words -> hash -> templates
         for k, text in enumerate(templates.values()):
-            start, end, said = tokens(text)
+            said = tokens(text)[2]
+            if not said:
+                raise ValueError(f"a template without a word: {text!r}")
             if len(said) < SHINGLE:
-                raise ValueError(f"a template needs at least {SHINGLE} words: {text!r}")
+                self.sets.append({tuple(said): 0})
+                self.halves.append(0)
+                self.short.setdefault(len(said), {}).setdefault(int(self._hashes(text, len(said))[0]), []).append(k)
+                continue
             self.sets.append({s: i for i, s in enumerate(dict.fromkeys(shingles(said)))})
-            half = next((h for h in HALVES if h >= len(said) - SHINGLE + 1), None)
-            if half is None:
-                raise ValueError(f"a template may have at most {HALVES[-1] + SHINGLE - 1} words: {self.names[k]}")
+            half = half_window(len(said) - SHINGLE + 1)
             self.halves.append(half)
             h = self._hashes(text)
             for band, least in enumerate(((h[:, None] * self.factors) + self.shifts).min(axis=0)):
@@ -103,26 +112,36 @@ class Scanner:
             self.filters[half] = bits
 
     @staticmethod
-    def _hashes(text: str) -> np.ndarray:
+    def _hashes(text: str, k: int = SHINGLE) -> np.ndarray:
         flat = LOWER[np.frombuffer(text.encode(), np.uint8)]
-        return shingle_hashes(word_hashes(flat, words(flat, np.array([0, len(flat)]), PUNCTUATION)), SHINGLE)
+        return shingle_hashes(word_hashes(flat, words(flat, np.array([0, len(flat)]), PUNCTUATION)), k)
 
     def retrieve(self, flat: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
         """(row, template, word of the row at which the window begins)."""
         low = LOWER[flat]
         w = words(low, at, PUNCTUATION)
-        h = shingle_hashes(word_hashes(low, w), SHINGLE)
+        said, found = word_hashes(low, w), set()
+        for k, table in self.short.items():
+            every = shingle_hashes(said, k)
+            for i in np.flatnonzero(np.isin(every, np.array(list(table), np.uint64))):
+                if w.owner[i] == w.owner[i + k - 1]:
+                    found |= {(int(w.owner[i]), template, int(i - w.first[w.owner[i]])) for template in table[int(every[i])]}
+        if not self.tables:
+            return found
+        h = shingle_hashes(said, SHINGLE)
         place = np.flatnonzero(w.owner[: len(h)] == w.owner[SHINGLE - 1 :]) if len(h) else np.zeros(0, int)
-        h, top, found = h[place], max(self.tables), set()
+        h, top = h[place], max(self.tables)
         whole = -(-len(h) // top) * top
         v = np.full(whole, np.iinfo(np.uint64).max)
         for band in range(len(self.factors)):
             np.multiply(h, self.factors[band], out=v[: len(h)])
             v[: len(h)] += self.shifts[band]
             mins, half = v, 1
-            while half < top:
-                mins, half = np.minimum(mins[0::2], mins[1::2]), half * 2
+            while half <= top:
+                if half > 1:
+                    mins = np.minimum(mins[0::2], mins[1::2])
                 if half not in self.tables:
+                    half *= 2
                     continue
                 windows = mins.copy()
                 np.minimum(windows[:-1], mins[1:], out=windows[:-1])
@@ -133,6 +152,7 @@ class Scanner:
                         owners = w.owner[near]
                         for row in np.unique(owners):
                             found.add((int(row), template, int(near[owners == row][0] - w.first[row])))
+                half *= 2
         return found
 
     def verify(self, text: str, candidates: list[tuple[int, int]]) -> list[tuple[int, float, int, int]]:
@@ -141,23 +161,36 @@ class Scanner:
         hits = []
         for k in sorted({t for t, _ in candidates}):
             want, half = self.sets[k], self.halves[k]
+            if not half:  # fewer words than a shingle: the words as they are
+                n = len(next(iter(want)))
+                done = 0
+                for i in sorted({f for t, f in candidates if t == k}):
+                    if i >= done and tuple(said[i : i + n]) in want:
+                        hits.append((k, 1.0, int(start[i]), int(end[i + n - 1])))
+                        done = i + n
+                continue
             reach = 2 * len(want)
             seen = set()
             for first in sorted({f for t, f in candidates if t == k}):
                 a, b = max(0, first - half), min(len(said) - SHINGLE + 1, first + 3 * half)
                 seen |= {i for i in range(a, b) if tuple(said[i : i + SHINGLE]) in want}
             spots, best = sorted(seen), []
+            which = [want[tuple(said[i : i + SHINGLE])] for i in spots]
+            times, different, until = [0] * len(want), 0, 0  # of the shingles at spots[n:until]
             for n, i in enumerate(spots):
-                inside = [j for j in spots[n : n + reach] if j < i + reach]
-                got = {tuple(said[j : j + SHINGLE]) for j in inside}
-                if len(got) / len(want) >= self.containment:
+                while until < len(spots) and spots[until] < i + reach:
+                    different += not times[which[until]]
+                    times[which[until]] += 1
+                    until += 1
+                if different / len(want) >= self.containment:
                     last, need = i, set()
-                    for j in inside:
-                        s = tuple(said[j : j + SHINGLE])
+                    for j, s in zip(spots[n:until], which[n:until], strict=True):
                         if s not in need:
                             need.add(s)
                             last = j
-                    best.append((len(got) / len(want), i, last))
+                    best.append((different / len(want), i, last))
+                times[which[n]] -= 1
+                different -= not times[which[n]]
             taken: list[tuple[int, int]] = []
             for c, i, j in sorted(best, key=lambda x: (-x[0], x[2] - x[1], x[1])):
                 if all(j < a or i > b for a, b in taken):

@@ -19,8 +19,10 @@ size, all others meet their probability in a join, as rare words do; no node is
 Scale: two passes over the text, which is never shuffled. What the corpus gives is counted whole, each task adding up
 what it has before the shuffle. A task holds the places of one pair of context bytes at a time, and at least ``CHUNK``.
 
-Defined results: a null text is empty (one token, the end); without training documents every symbol has the
-probability 1/256 and the base is that of no counts; repeated rows are rows of their own; other columns are ignored.
+Defined results: a null text is empty (one token, the end); a text of any length is scored whole, one slice of texts at a
+time; counts that tie are the same node's or go together to the table or to the join, with the same result; without
+training documents every symbol has the probability 1/256 and the base is that of no counts; an empty table gives an
+empty result; repeated rows are rows of their own; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -302,15 +304,17 @@ def _rare(keys: np.ndarray, owner: np.ndarray, size: int) -> list[pa.ListArray]:
     return [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (keys[edge].view(np.int64), times)]
 
 
-def _least_count(table: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` rows (about) of the table reach."""
-    seen = {r[0]: r[1] for r in table.groupBy(F.least("n", F.lit(100_000)).alias("c")).count().collect()}
-    total = sum(seen.values())
-    for c in sorted(seen):
-        if total <= most:
-            return c
-        total -= seen[c]
-    return 100_000 + 1
+def _commonest(table: DataFrame, most: int) -> DataFrame:
+    """The rows of the highest counts, at most ``most`` of them: those whose step of counts (a 16th of a doubling) is whole."""
+    step = F.floor(F.log2(F.greatest("n", F.lit(1))) * 16).cast("int")
+    seen = {r[0]: r[1] for r in table.where("n > 0").groupBy(step.alias("c")).count().collect()}  # at most 1,024 rows
+    least, total = max(seen, default=0) + 1, 0
+    for c in sorted(seen, reverse=True):
+        total += seen[c]
+        if total > most:
+            break
+        least = c
+    return table.where((F.col("n") > 0) & (step >= least))
 
 
 def _arrays(table: DataFrame, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
@@ -337,8 +341,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     pair = F.col("key").bitwiseAND(F.lit(0xFFFF00))
     dealt = grams.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair").select("key", "n", "every")
     places = stored(mapped(dealt, _solve(low), "key long, n long, p double"))
-    usual = _arrays(places.where(F.col("n") >= _least_count(places, nodes)), "p")
-    common = _arrays(tokens.where(F.col("n") >= _least_count(tokens, head)))
+    usual = _arrays(_commonest(places, nodes), "p")
+    common = _arrays(_commonest(tokens, head))
     model, name = spark.sparkContext.broadcast((usual, common)), uuid.uuid4().hex
 
     def score(source):

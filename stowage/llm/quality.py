@@ -5,11 +5,14 @@ level by level from histograms of gradients and flattened into arrays (feature,
 position), so that all trees of all rows are walked with a few array operations a level.
 
 Scale: one pass over the text, which keeps ``N_FEATURES`` numbers a document; training takes at most ``max_rows``
-labelled rows, the first by hash of their id, and the trees have a fixed size. No text is shuffled.
-
-Defined results: a null text counts as empty and is scored like any other; without labelled rows every score is 0.5;
-with one class it is that class's prior; of repeated labels for one id the lowest counts; repeated documents are
-scored each by itself; labels, lang, source and doc_id are no inputs of a score.
+labelled rows (the bound of the sample; the first by hash of their id), and the trees have a fixed size. No text is
+shuffled.
+
+Defined results: a null text counts as empty and is scored like any other; a text of any length is read whole, one slice
+of texts at a time; a statistic that equals a threshold goes left, and of equal splits the first feature's counts;
+without labelled rows every score is 0.5; with one class it is that class's prior; of repeated labels for one id the
+lowest counts; an empty table gives an empty result; repeated documents are scored each by itself; labels, lang, source
+and doc_id are no inputs of a score, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from stowage.session import read_table
 
 
 def test_licenses(spark, docs, corpus, empty):
-    from stowage.llm.licenses import HALVES, TEMPLATES, Scanner, recall_bound, scan_licenses, shingles, tokens
+    from stowage.llm.licenses import TEMPLATES, Scanner, half_window, recall_bound, scan_licenses, shingles, tokens
 
     rng = random.Random(4)
     made = []
@@ -27,10 +27,14 @@ def test_licenses(spark, docs, corpus, empty):
         there = set(shingles(tokens(r["text"] or "")[2]))
         want |= {(r["doc_id"], n) for n, s in zip(scanner.names, scanner.sets, strict=True) if len(there & s.keys()) >= 0.8 * len(s)}
     assert want == got and all((1000 + i, n) in got for i, n in enumerate(TEMPLATES))
-    for n in range(1, HALVES[-1] + 1):
-        half = next(h for h in HALVES if h >= n)
-        assert recall_bound(n, half) > 0.95
+    assert all(recall_bound(n, half_window(n)) > 0.998 for n in range(1, 20_000))
     assert scan_licenses(empty).count() == 0
+    # templates of any length: one word, two, and some thousands of which a tenth is changed
+    full = [f"word{i}" for i in range(3000)]
+    changed = [w if i % 200 else "other" for i, w in enumerate(full)]
+    few = spark.createDataFrame([(1, "The MIT; gnu\nGPL."), (2, f"{corpus[0]} {' '.join(changed)} {corpus[1]}"), (3, "mitten gnu x gpl"), (4, "gnu"), (5, "gpl")], "doc_id long, text string")
+    found = scan_licenses(few, {"one": "MIT", "two": "GNU GPL", "long": " ".join(full)}).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in found) == [(1, "one"), (1, "two"), (2, "long")] and all(r["containment"] > 0.95 for r in found)
 
 
 def edited(rng, text, n):
@@ -130,6 +134,50 @@ def test_language(spark, docs, data, empty):
     assert language_id(empty).count() == 0 and language_id(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_network_equals_a_plain_convolution_and_its_gradient():
+    """The folded tables against filters slid over the embedded bytes; what training does to them against differences."""
+    from stowage.llm import langid as L
+
+    rng = np.random.default_rng(5)
+    codes, labels = rng.integers(0, L.N_CLASSES, (12, L.WINDOW)).astype(np.uint8), rng.integers(0, 3, 12)
+    shapes = {"e": (L.N_CLASSES, L.DIM), "d": (3 * L.FILTERS, 3), "b": (3,)} | {f"w{w}": (w * L.DIM, L.FILTERS) for w in L.WIDTHS} | {f"c{w}": (L.FILTERS,) for w in L.WIDTHS}
+    params = {n: rng.normal(0, 0.4, shape) for n, shape in shapes.items()}
+
+    def plain(p):
+        top = [np.array([[max(sum(p["e"][row[i + j]] @ p[f"w{w}"][j * L.DIM : (j + 1) * L.DIM, f] for j in range(w)) + p[f"c{w}"][f] for i in range(L.WINDOW - w + 1)) for f in range(2)] for row in codes[:3]]) for w in L.WIDTHS]
+        return np.maximum(np.stack(top), 0)
+
+    got = L.pooled(L.folded(params, ["x", "y", "z"]), codes).reshape(12, 3, L.FILTERS)[:3, :, :2].transpose(1, 0, 2)
+    assert np.allclose(got, plain(params), atol=1e-4)
+
+    def loss(p):
+        z = np.maximum(np.concatenate([L.spans_of(p, codes, w)[1].max(axis=1) for w in L.WIDTHS], axis=1), 0)
+        return -np.log(L.softmax(z @ p["d"] + p["b"])[np.arange(12), labels]).mean()
+
+    grads = L.gradients(params, codes, labels)
+    for name, at in [("d", (3, 1)), ("b", (2,)), ("w3", (5, 4)), ("c4", (7,)), *(("e", (c, 2)) for c in np.unique(codes)[:6])]:
+        moved = {sign: params | {name: params[name].copy()} for sign in (1, -1)}
+        for sign in moved:
+            moved[sign][name][at] += sign * 1e-6
+        assert np.isclose(grads[name][at], (loss(moved[1]) - loss(moved[-1])) / 2e-6, atol=1e-5), (name, at)
+
+
+def test_forest_walk_equals_a_plain_one():
+    from stowage.llm.quality import grow
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 9, (400, 5)).astype(np.float32)
+    forest = grow(x, (x[:, 0] + x[:, 3] > rng.integers(4, 12, 400)).astype(float), trees=7)
+    for row, score in zip(x, forest.score(x), strict=True):
+        margin = forest.start
+        for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            margin += value[node - len(feature)]
+        assert np.isclose(score, 1 / (1 + np.exp(-margin)))
+
+
 def test_quality(spark, docs, data, empty):
     from stowage.llm.quality import classify
 
