@@ -2,32 +2,40 @@
 
 The CGK walk copies a string into a longer one, staying on or leaving a byte by a random bit of (step, byte); strings
 a few edits apart walk together again soon, so edit distance becomes Hamming distance. ``SEEDS`` walks with
-``SAMPLES`` samples of ``PICK`` walk positions each are the LSH keys of every item and of every window; a window and
-an item that share a key are compared exactly. An item of m code points is matched by a passage within
-``max_edits(m)`` edits (a tenth of m).
-
-Which windows are embedded is decided without loss: by the q-gram lemma a passage within k edits of an item keeps at
-least ``m - Q + 1 - k * (Q + b - 1)`` of its byte q-grams (b: the most bytes of one of its characters), all of them
-displaced by about the passage's start. Windows begin at the words (and at the commonest displacement) where some item
-reaches that count. Items of which no q-gram need survive (under some 40 code points, or with wide characters) are cut
-into one piece more than they may have edits: one piece survives as it is, and all places of the pieces are compared.
-
-Scale: one pass over the text, no shuffle, bounded slices. The items and their keys are sent to all tasks; their bytes
-are checked against ``MAX_ITEM_BYTES``.
+``SAMPLES`` samples of ``PICK`` walk positions each are the LSH keys of every item and of every window; the items whose
+key a window has are retrieved and compared exactly. An item of m code points is matched by a passage within
+``max_edits(m)`` edits (a tenth of m). Items come in length classes, and windows are as long as their class. Far into a
+long text two walks have drifted apart, so items of over ``REGION`` bytes have walks with their own samples for every
+region of that many bytes: some region has no more than its share of the edits.
+
+Where windows stand is decided without loss: by the q-gram lemma a passage within k edits of an item keeps at least
+``m - Q + 1 - k * (Q + b - 1)`` of its byte q-grams (b: the most bytes of one of its characters), all of them displaced
+by about the passage's start. Windows begin around places that reach
+such a count, at the displacements of the q-grams found there; which item they belong to is left to the LSH. Items of which
+no q-gram need survive (under some 40 code points, or with wide characters) are cut into one piece more than they may
+have edits: one piece survives as it is, and all places of the pieces are compared.
+
+Scale: one pass over the text for every ``PART`` bytes of items, no shuffle, bounded slices. The items of a part, their
+q-grams and keys are sent to all tasks (about 32 times ``PART`` bytes at most); windows are embedded in chunks of
+``CHUNK`` bytes, and of a walk only the sampled positions are held, so memory does not depend on the items' lengths.
 
 Defined results: one row per document and item, of the least distance, then the first; none for null, empty or clean
-texts; items that are null or blank are ignored; equal items match together; repeated rows
-are answered each by itself; other columns are ignored (and kept by ``drop_contaminated``).
+texts; items that are null or blank are ignored; equal items match together, and item ids keep their type; a text of any
+length is searched whole; repeated rows are answered each by itself; an empty table of documents or items gives an empty
+result; other columns are ignored, whatever their names (and kept by ``drop_contaminated``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.bytewords import GAPS, mix
+from stowage.llm.bytewords import mix
 from stowage.llm.common import batches, mapped
 
 RATE = 0.1
@@ -37,7 +45,13 @@ SEEDS = 4
 SAMPLES = 24
 PICK = 4
 STRETCH = 1.25
-MAX_ITEM_BYTES = 64 << 20
+REGION = 160
+#: Bytes of items that are looked for in one pass over the text, about.
+PART = 4 << 20
+#: Bytes of windows that are embedded together.
+CHUNK = 8 << 20
+#: Steps of a walk whose bits are kept; those of later steps are worked out when they are met.
+STEPS = 4096
 #: Bytes of text looked at together: the walks cost the same for few windows as for many.
 SLICE = 3 << 20
 
@@ -95,10 +109,31 @@ def passage(pattern: str, text: str) -> tuple[int, int, int]:
     return d, end - length if back == d else 0, end
 
 
+def walk_bits(seed: int, first: int, steps: int) -> np.ndarray:
+    """steps x 256: whether a walk goes on after a byte, from step ``first`` on."""
+    key = (np.arange(first, first + steps, dtype=np.uint64)[:, None] * np.uint64(256) + np.arange(256, dtype=np.uint64)) * np.uint64(SEEDS) + np.uint64(seed)
+    return (mix(key ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(63)).astype(np.uint8)
+
+
+_walks: dict[int, np.ndarray] = {}
+
+
+def walk(seed: int, step: int) -> np.ndarray:
+    if step >= STEPS:
+        return walk_bits(seed, step, 1)[0]
+    if seed not in _walks:
+        _walks[seed] = walk_bits(seed, 0, STEPS)
+    return _walks[seed][step]
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... (count[i] of them), end to end."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class Matcher:
-    def __init__(self, items: list[tuple[object, str]], rate: float = RATE, seed: int = 17):
-        self.ids = [i for i, _ in items]
-        self.texts = [t for _, t in items]
+    def __init__(self, ids: pa.Array, texts: list[str], rate: float = RATE, seed: int = 17):
+        self.ids, self.texts = ids, texts
         self.edits = [max_edits(len(t), rate) for t in self.texts]
         raw = [np.frombuffer(t.encode(), np.uint8) for t in self.texts]
         self.length = np.array([len(b) for b in raw], np.int64)
@@ -109,31 +144,39 @@ class Matcher:
         # a bucket of displacements holds every passage's kept q-grams, as buckets overlap by half
         self.reach = np.array([4 * k + 1 for k in self.edits], np.int64)
         self.width = 4 * self.reach
-        found = [(h, k, o) for k, b in enumerate(raw) if not short[k] for o, h in enumerate(grams(b))]
-        order = np.argsort(np.array([h for h, _, _ in found], np.uint64), kind="stable")
-        self.gram = np.array([h for h, _, _ in found], np.uint64)[order]
-        self.item = np.array([k for _, k, _ in found], np.int64)[order]
-        self.offset = np.array([o for _, _, o in found], np.int64)[order]
+        long = np.flatnonzero(~short)
+        sizes = np.maximum(self.length[long] - Q + 1, 0)
+        gram = np.concatenate([np.zeros(0, np.uint64), *(grams(raw[k]) for k in long)])
+        order = np.argsort(gram, kind="stable")
+        self.item = np.repeat(long, sizes)[order].astype(np.int32)
+        self.offset = spread(np.zeros(len(long), np.int64), sizes)[order].astype(np.int32)
+        self.known, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
+        self.first, self.count = self.first.astype(np.int32), self.count.astype(np.int32)
         self.filter = np.zeros(1 << 20, bool)
-        self.filter[self.gram >> np.uint64(44)] = True
-        self.known, self.first = np.unique(self.gram, return_index=True)
-        self.count = np.diff(np.append(self.first, len(self.gram)))
+        self.filter[self.known >> np.uint64(44)] = True
         rng = np.random.default_rng(seed)
-        longest = int(self.length.max())
-        self.steps = 2 * longest
-        self.walks = rng.integers(0, 2, (SEEDS, self.steps, 256)).astype(np.int64)
         self.classes = np.floor(np.log(np.maximum(self.length, MIN_ITEM) / MIN_ITEM) / np.log(STRETCH) + 1e-9).astype(int)
-        self.samples = {c: rng.integers(0, max(8, 2 * int(self.length[self.classes == c].min())), (SEEDS, SAMPLES, PICK)) for c in np.unique(self.classes[~short])}
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.plan: dict[int, list[tuple[int, int, np.ndarray]]] = {}  # walks of a class: seed, first byte, samples
+        self.keys = {}
         for c in np.unique(self.classes[~short]):
             own = np.flatnonzero((self.classes == c) & ~short)
-            padded = np.zeros((len(own), longest), np.uint8)
-            for row, k in enumerate(own):
-                padded[row, : len(raw[k])] = raw[k]
-            key = self.keyed(padded, np.full(len(own), c))
-            flat_keys, owners = key.ravel(), np.repeat(own, key.shape[1])
+            least, longest = int(self.length[own].min()), int(self.length[own].max())
+            regions = [(0, least)] if least <= REGION + REGION // 4 else [(o, REGION) for o in range(0, least - REGION // 2, REGION)]
+            regions = [r for r in regions for _ in range(max(2, -(-SEEDS // len(regions))))]
+            self.plan[c] = [(n % SEEDS, first, rng.integers(0, max(8, 2 * size), (SAMPLES, PICK))) for n, (first, size) in enumerate(regions)]
+            step, key = self.step(c, longest), []
+            for a in range(0, len(own), step):
+                padded = np.zeros((len(own[a : a + step]), longest), np.uint8)
+                for row, k in enumerate(own[a : a + step]):
+                    padded[row, : len(raw[k])] = raw[k]
+                key.append(self.keyed(padded, c))
+            flat_keys, owners = np.concatenate(key).ravel(), np.repeat(own, key[0].shape[1])
             at = np.argsort(flat_keys, kind="stable")
-            self.keys[c] = flat_keys[at], owners[at]
+            self.keys[c] = flat_keys[at], owners[at].astype(np.int32), longest
+
+    def step(self, c: int, longest: int) -> int:
+        """How many windows of a class are embedded together."""
+        return max(1, CHUNK // max(longest, 8 * SAMPLES * len(self.plan[c])))
 
     def cut(self, items: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By bytes looked at (Q at most): what they may be, where each value's pieces begin and end, items, offsets in code points."""
@@ -172,55 +215,51 @@ class Matcher:
                     out.setdefault(int(r), {}).setdefault(int(item[n]), []).append((int(s - at[r]), int(offset[n])))
         return out
 
-    def embed(self, windows: np.ndarray, seed: int, steps: int) -> np.ndarray:
-        """steps x windows."""
-        rows, place = np.arange(len(windows)), np.zeros(len(windows), np.int64)
-        out, last = np.zeros((steps, len(windows)), np.uint8), windows.shape[1] - 1
-        for j in range(steps):
-            said = windows[rows, np.minimum(place, last)]
-            said[place > last] = 0
-            out[j] = said
-            place += self.walks[seed, j][said]
-        return out
-
-    def keyed(self, windows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """windows x (SEEDS * SAMPLES) keys, with the samples of each window's length class."""
-        keys = np.zeros((len(windows), SEEDS * SAMPLES), np.uint64)
-        for seed in range(SEEDS):
-            walked = self.embed(windows, seed, 1 + max(int(self.samples[c][seed].max()) for c in np.unique(classes)))
-            for c in np.unique(classes):
-                own = np.flatnonzero(classes == c)
-                part = walked[:, own]
-                for s in range(SAMPLES):
-                    value = np.full(len(own), seed * SAMPLES + s, np.uint64)
-                    for p in self.samples[c][seed][s]:
-                        value = value << np.uint64(8) | part[p].astype(np.uint64)
-                    keys[own, seed * SAMPLES + s] = mix(value)
+    def keyed(self, windows: np.ndarray, c: int) -> np.ndarray:
+        """windows x (walks * SAMPLES) keys, with the walks and samples of their length class."""
+        rows, last, plan = np.arange(len(windows)), windows.shape[1] - 1, self.plan[c]
+        keys = np.zeros((len(windows), len(plan) * SAMPLES), np.uint64)
+        for n, (seed, first, samples) in enumerate(plan):
+            wanted, which = np.unique(samples, return_inverse=True)
+            seen, spots = np.zeros((len(wanted), len(windows)), np.uint8), dict(zip(wanted.tolist(), range(len(wanted)), strict=True))
+            place = np.full(len(windows), first, np.int64)
+            for step in range(int(wanted[-1]) + 1):
+                said = windows[rows, np.minimum(place, last)]
+                said[place > last] = 0
+                if step in spots:
+                    seen[spots[step]] = said
+                place += walk(seed, step)[said]
+            for s, picked in enumerate(which.reshape(SAMPLES, PICK)):
+                value = np.full(len(windows), n * SAMPLES + s, np.uint64)
+                for p in picked:
+                    value = value << np.uint64(8) | seen[p].astype(np.uint64)
+                keys[:, n * SAMPLES + s] = mix(value)
         return keys
 
-    def starts(self, flat: np.ndarray, at: np.ndarray) -> tuple[dict[int, list[tuple[int, int]]], set[tuple[int, int]]]:
-        """Row -> (start in the row, length class) of the windows to embed; and the (row, item) that keep enough q-grams."""
+    def starts(self, flat: np.ndarray, at: np.ndarray) -> dict[int, set[tuple[int, int]]]:
+        """Length class -> (row, start in the row) of the windows to embed."""
         h = grams(flat)
         spot = np.flatnonzero(self.filter[h >> np.uint64(44)])
         k = np.searchsorted(self.known, h[spot])
         k[k == len(self.known)] = 0
-        same = self.known[k] == h[spot]
+        same = self.known[k] == h[spot] if len(self.known) else np.zeros(len(k), bool)
         spot, k = spot[same], k[same]
         row = np.searchsorted(at, spot, "right") - 1
         whole = spot + Q <= at[row + 1]
         spot, k, row = spot[whole], k[whole], row[whole]
-        n = self.count[k]
-        which = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        item, shift, row = self.item[which], np.repeat(spot, n) - self.offset[which], np.repeat(row, n)
+        n = self.count[k].astype(np.int64)
         found: dict[int, set[tuple[int, int]]] = {}
-        able: set[tuple[int, int]] = set()
-        if not len(item):
-            return {}, able
-        span, low = len(flat) + 4 * int(self.length.max()) + 8, 2 * int(self.length.max())
+        if not len(n):
+            return found
+        which = spread(self.first[k].astype(np.int64), n)
+        item, row = self.item[which].astype(np.int64), np.repeat(row, n)
+        shift = np.repeat(spot, n) - self.offset[which]
+        low = 2 * int(self.length.max())
+        span = len(flat) + 2 * low + 8
         for half in (0, 1):
             width = self.width[item]
             bucket = (shift + low + half * width // 2) // width
-            key = (row * len(self.ids) + item) * span + bucket
+            key = (row * len(self.texts) + item) * span + bucket
             order = np.argsort(key, kind="stable")
             edge = np.flatnonzero(np.diff(key[order], prepend=-1))
             size = np.diff(np.append(edge, len(order)))
@@ -229,37 +268,34 @@ class Matcher:
                 r, i = int(row[own[0]]), int(item[own[0]])
                 if len(np.unique(self.offset[which[own]])) < self.need[i]:
                     continue
-                own_shift = shift[own]
-                value, times = np.unique(own_shift, return_counts=True)
                 a, b = int(at[r]), int(at[r + 1])
-                lo, hi = max(a, int(own_shift.min()) - int(self.reach[i])), min(b - 1, int(own_shift.max()) + int(self.reach[i]))
-                opens = np.arange(lo, hi + 1)
-                opens = opens[(opens == a) | (GAPS[flat[np.maximum(opens - 1, 0)]] & ~GAPS[flat[opens]])]
-                common = min(max(int(value[times.argmax()]), a), b - 1)
-                able.add((r, i))
-                found.setdefault(r, set()).update((int(s) - a, int(self.classes[i])) for s in [*opens, common])
-        return {r: sorted(s) for r, s in found.items()}, able
+                begin = np.unique(np.clip(shift[own], a, b - 1)) - a
+                found.setdefault(int(self.classes[i]), set()).update((r, x) for x in begin.tolist())
+        return found
+
+    def retrieved(self, flat: np.ndarray, at: np.ndarray) -> dict[int, dict[int, set[int]]]:
+        """Row -> item -> starts of the windows that share a key with it."""
+        pairs: dict[int, dict[int, set[int]]] = {}
+        for c, wanted in self.starts(flat, at).items():
+            known, owner, longest = self.keys[c]
+            windows, step = sorted(wanted), self.step(c, longest)
+            for a in range(0, len(windows), step):
+                part = windows[a : a + step]
+                filled = np.zeros((len(part), longest), np.uint8)
+                for n, (r, s) in enumerate(part):
+                    own = flat[at[r] + s : min(at[r + 1], at[r] + s + longest)]
+                    filled[n, : len(own)] = own
+                keys = self.keyed(filled, c)
+                left, right = np.searchsorted(known, keys), np.searchsorted(known, keys, "right")
+                for n, s in zip(*np.nonzero(right > left), strict=True):
+                    r, start = part[n]
+                    for k in owner[left[n, s] : right[n, s]]:
+                        pairs.setdefault(r, {}).setdefault(int(k), set()).add(start)
+        return pairs
 
     def hits(self, flat: np.ndarray, at: np.ndarray, text_of) -> dict[int, list[tuple[int, int, int, int]]]:
         """Row -> (item, distance, start, end), in code points."""
-        (wanted, able), pairs = self.starts(flat, at), {}
-        windows = [(r, s, c) for r, starts in wanted.items() for s, c in starts]
-        longest = int(self.length.max())
-        for a in range(0, len(windows), 8192):
-            part = windows[a : a + 8192]
-            filled, classes = np.zeros((len(part), longest), np.uint8), np.array([c for *_, c in part])
-            for n, (r, s, _) in enumerate(part):
-                own = flat[at[r] + s : min(at[r + 1], at[r] + s + longest)]
-                filled[n, : len(own)] = own
-            keys = self.keyed(filled, classes)
-            for c in np.unique(classes):
-                rows, (known, owner) = np.flatnonzero(classes == c), self.keys[c]
-                left, right = np.searchsorted(known, keys[rows]), np.searchsorted(known, keys[rows], "right")
-                for n, s in zip(*np.nonzero(right > left), strict=True):
-                    r, start, _ = part[rows[n]]
-                    for k in owner[left[n, s] : right[n, s]]:
-                        if (r, int(k)) in able:  # without loss, as for the starts
-                            pairs.setdefault(r, {}).setdefault(int(k), set()).add(start)
+        pairs = self.retrieved(flat, at)
         out = {}
         for r, items in sorted(pairs.items()):
             text = text_of(r)
@@ -298,45 +334,54 @@ class Matcher:
         return {r: sorted(own) for r, own in sorted(out.items())}
 
 
-def matcher(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", rate: float = RATE) -> Matcher | None:
-    usable = benchmark.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    total = usable.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    if total > MAX_ITEM_BYTES:
-        raise ValueError(f"the benchmark has {total} bytes; pass it in parts of at most {MAX_ITEM_BYTES}")
-    rows = usable.select(F.col(item_col), F.col(text_col)).collect()
-    return Matcher(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate) if rows else None
+def matchers(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", rate: float = RATE, part: int = PART) -> Iterator[Matcher]:
+    """One for about every ``part`` bytes of items, dealt out by hash."""
+    usable = benchmark.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(item_col).alias("id"), F.col(text_col).alias("text"))
+    parts = -(-(usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part)
+    for n in range(parts):
+        own = usable.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == n).toArrow()
+        ids, texts = own.column(0).combine_chunks(), own.column(1).to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (texts[i], repr(ids[i])))  # noqa: B023
+        if order:
+            yield Matcher(ids.take(pa.array(order)), [texts[i] for i in order], rate)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, part: int = PART) -> DataFrame:
     """doc_id, item_id, distance, similarity, start, end (code points)."""
-    found = matcher(benchmark, item_col, item_text_col, rate)
-    of = benchmark.schema[item_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(found)
-
-    def run(source):
-        for batch, flat, at in batches(source, "text", SLICE):
-            hits = shared.value.hits(flat, at, lambda r, column=batch.column(1): column[r].as_py()) if shared.value else {}
-            rows = [(r, *h) for r, own in hits.items() for h in own]
-            near = [1 - d / len(shared.value.texts[k]) for _, k, d, _, _ in rows]
-            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-            items = pa.array([shared.value.ids[r[1]] for r in rows]) if rows else pa.nulls(0)
-            yield pa.RecordBatch.from_arrays([ids, items.cast(pa.int64()) if of in ("bigint", "int") else items.cast(pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array(near, pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())], names=["doc_id", "item_id", "distance", "similarity", "start", "end"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return mapped(rows, run, f"doc_id {kind}, item_id {'bigint' if of in ('bigint', 'int') else 'string'}, distance int, similarity double, start long, end long")
+    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, similarity double, start long, end long"
 
+    def searched(found: Matcher) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(found)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
+        def run(source):
+            own = shared.value
+            for batch, flat, at in batches(source, "text", SLICE):
+                hits = [(r, *h) for r, all_ in own.hits(flat, at, lambda r, column=batch.column(1): column[r].as_py()).items() for h in all_]
+                ids, items = (c.take(pa.array([h[j] for h in hits], pa.int64())) for j, c in ((0, batch.column(0)), (1, own.ids)))
+                near = [1 - d / len(own.texts[k]) for _, k, d, _, _ in hits]
+                yield pa.RecordBatch.from_arrays([ids, items, pa.array([h[2] for h in hits], pa.int32()), pa.array(near, pa.float64()), *(pa.array([h[j] for h in hits], pa.int64()) for j in (3, 4))], names=["doc_id", "item_id", "distance", "similarity", "start", "end"])
+
+        return mapped(rows, run, schema)
+
+    every = [searched(found) for found in matchers(benchmark, item_col, item_text_col, rate, part)]
+    return reduce(DataFrame.unionByName, every) if every else docs.sparkSession.createDataFrame([], schema)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, part: int = PART) -> DataFrame:
     """The documents, all columns, that hold no benchmark item."""
-    found, place = matcher(benchmark, item_col, item_text_col, rate), docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    place = docs.columns.index(text_col)
+
+    def kept(rows: DataFrame, found: Matcher) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(found)
+
+        def run(source):
+            for batch, flat, at in batches(source, text_col, SLICE):
+                clean = np.ones(batch.num_rows, bool)
+                clean[list(shared.value.hits(flat, at, lambda r, column=batch.column(place): column[r].as_py()))] = False
+                yield batch.filter(pa.array(clean))
 
-    def run(source):
-        for batch, flat, at in batches(source, text_col, SLICE):
-            hits = shared.value.hits(flat, at, lambda r, column=batch.column(place): column[r].as_py()) if shared.value else {}
-            clean = np.ones(batch.num_rows, bool)
-            clean[list(hits)] = False
-            yield batch.filter(pa.array(clean))
+        return mapped(rows, run, rows.schema)
 
-    return mapped(docs, run, docs.schema)
+    return reduce(kept, matchers(benchmark, item_col, item_text_col, rate, part), docs)

@@ -119,6 +119,41 @@ def test_decontamination_reaches_a_tenth_of_every_item(spark, corpus):
     assert 99 not in {i for _, i in got}
 
 
+def test_decontamination_retrieves_at_every_length_and_edit_count(spark, corpus):
+    from stowage.llm.decontaminate import contaminated
+
+    rng, items, made, kinds = random.Random(21), [], [], {}
+    prose = " ".join(t for t in corpus[:24])
+    for m in (40, 90, 200, 450, 1000):
+        for turn in range(6):
+            at = rng.randrange(max(1, len(prose) - m))
+            text = (prose * 2)[at : at + m] if turn % 2 else "".join(rng.choice("qwxyzjkvbp   ") for _ in range(m))
+            items.append((len(items) + 0.5, text))
+            for n in (0, m // 20, m // 10, m // 10):
+                kinds[len(made)] = (m, n)
+                made.append((len(made), f"before it 77 {edited(rng, text, n)} after it 78", items[-1][0]))
+    docs, bench = spark.createDataFrame(made, "doc_id long, text string, item double"), spark.createDataFrame(items, "item_id double, text string")
+    rows = contaminated(docs, bench)
+    assert rows.schema["item_id"].dataType.simpleString() == "double"
+    got = {(r["doc_id"], r["item_id"]) for r in rows.collect()}
+    by = {}
+    for d, _, i in made:
+        by.setdefault(kinds[d], []).append((d, i) in got)
+    assert all(sum(hit) >= 0.9 * len(hit) for hit in by.values()), {k: sum(v) / len(v) for k, v in by.items()}
+    assert sum(map(sum, by.values())) >= 0.98 * len(made)
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench, part=5000).collect()} == got  # in several passes
+
+
+def test_decontamination_of_a_very_long_item(spark, corpus):
+    from stowage.llm.decontaminate import contaminated, drop_contaminated
+
+    rng = random.Random(22)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(30_000))
+    docs = spark.createDataFrame([(1, "x " + edited(rng, long, 900) + " y"), (2, corpus[0])], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", long)], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()] == [(1, "a")] and drop_contaminated(docs, bench).count() == 1
+
+
 def test_language(spark, docs, data, empty):
     from stowage.llm.langid import keep_identified, language_id
 
