@@ -7,22 +7,27 @@ copies and leaves the first (``longest_previous_factor``, ``later_copies``).
 Over a corpus the suffix order is dealt out in shards so that equal strings of ``LENGTH`` bytes meet. Every such string
 is named by its anchor, the least of the hashes of its ``GRAM``-byte substrings: consecutive starts share an anchor (one
 per about ``LENGTH`` / 2 bytes), and equal strings have equal anchors at equal places. A run of starts with its context
-(all the bytes of its strings) is one row.
-
-1. Contexts that occur twice are repeated whole; they are found by counting hashes. Anchors that occur once are done.
-2. What is left are contexts that share an anchor with other contexts, the edges of copies. One of each kind is
-   brought together by anchor with its bytes; a task sorts their suffixes to ``LENGTH`` bytes by prefix doubling, where
-   suffixes of equal rank lie side by side in text order: all but the first have LPF of at least ``LENGTH``.
-3. An anchor with more than ``CROWD`` different contexts (the edge of a passage that very many documents share) would be
-   one huge shard. Its contexts are dealt out in blocks of ``BLOCK`` starts by a 128-bit hash of what the strings of a
-   block share, blocks that occur twice are done, and the rest by a 128-bit hash of each string; both are only counted.
-
-Scale: no group is gathered without a bound; counts are combined before the shuffle, stored and joined back, so that
-both sides of the join are plain exchanges and AQE can split a hot anchor. The text is shuffled once, by row; both joins
-with it reuse that exchange. Contexts and blocks are cut out once and stored, since several branches read them.
-
-Defined results: a null text is empty; texts under ``LENGTH`` bytes lose nothing; repeated rows are copies of each
-other; matches never cross texts; other columns are ignored. Rows are told apart by a 64-bit hash of id and text.
+(all the bytes of its strings) is one row. Text order is that of document id, row hash and place; the first copy of a
+string in that order is the one that a deduplication keeps.
+
+1. Contexts that are equal as a whole are combined before anything is sorted: one of each kind, the first, goes on, with
+   the number of copies. All later ones are later copies as a whole. Anchors that occur once are done.
+2. The kinds of an anchor with several are brought together with their bytes; a task sorts their suffixes to ``LENGTH``
+   bytes by prefix doubling, where suffixes of equal rank lie side by side in text order: the previous smaller position
+   of each but the first is its neighbour, so its LPF is at least ``LENGTH``.
+3. An anchor with more than ``CROWD`` kinds (the edge of a passage that very many documents share) would be one huge
+   shard. It is dealt out further: in blocks of ``BLOCK`` starts by a 128-bit hash of what the strings of a block share,
+   equal blocks being combined like contexts, and the rest string by string by a 128-bit hash; the first place of each
+   is an aggregate, which is what LPF comes to among equal strings.
+
+Scale: no group is gathered without a bound; counts and first places are combined before the shuffle, stored and joined
+back in joins of their own, whose sides are plain exchanges that AQE splits. Tables are deleted as soon as the next one
+is written. The text is shuffled once, by row; both joins with it reuse that exchange.
+
+Defined results: a null text is empty; texts under ``LENGTH`` bytes lose nothing; a text of any length is read whole;
+repeated rows are copies of each other, but rows alike in id and text tie in text order, and all of them count as first;
+matches never cross texts; an empty table gives an empty result; other columns are ignored, whatever their names (and
+kept by ``without_repeats``). Rows are told apart by 96 bits of hash of id and text.
 """
 
 from __future__ import annotations
@@ -31,11 +36,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.bytewords import mix, prefix, span_hash
-from stowage.llm.common import batches, letters, mapped, stored
+from stowage.llm.common import batches, forget, letters, mapped, stored
 
 LENGTH = 200
 GRAM = 32
@@ -191,17 +196,19 @@ def anchors(flat: np.ndarray, at: np.ndarray, length: int = LENGTH):
     return row, s - at[row], end - s, place[s] - s, wide[place[s]], context
 
 
-_ANCHOR_NAMES = ["rid", "k", "c", "s", "n", "off"]
+#: Where a run of starts is: text order.
+PLACE = ["d", "rid", "r2", "s"]
 
 
 def anchor_table(rows: DataFrame) -> DataFrame:
     def run(source):
         for batch, flat, at in batches(source, "text"):
             row, s, n, off, k, c = anchors(flat, at)
-            rid = np.asarray(batch.column(0))[row] if len(row) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (s, n, off))], names=_ANCHOR_NAMES)
+            who = [batch.column(i).take(pa.array(row)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*who, pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (s, n, off))], names=["d", "rid", "r2", "k", "c", "s", "n", "off"])
 
-    return mapped(rows.select("rid", "text"), run, "rid long, k long, c long, s int, n int, off int")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return mapped(rows.select("doc_id", "rid", "r2", "text"), run, f"d {kind}, rid long, r2 int, k long, c long, s int, n int, off int")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,162 +216,230 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _spans(rid, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(rid, np.int64)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], names=["rid", "a", "b"])
+def _contexts(kind: str):
+    """The contexts that a row is asked for: k, crowded, single, d, rid, r2, s, bytes, off."""
+    names = ["k", "crowd", "single", "d", "rid", "r2", "s", "bytes", "off"]
 
+    def rows(out, d):
+        kinds = (pa.int64(), pa.bool_(), pa.bool_(), None, pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+        columns = [d.take(pa.array([r[3] for r in out], pa.int64())) if t is None else pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-def _contexts(source):
-    """The contexts that a row is asked for: k, crowded, single, rid, s, bytes, off."""
-    for batch in source:
-        out: list[tuple] = []
-        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        for i in range(batch.num_rows):
-            raw = (column["text"][i].as_py() or "").encode()
-            rid = column["rid"][i].as_py()
-            for w in column["wanted"][i].as_py():
-                out.append((w["k"], w["crowd"], w["single"], rid, w["s"], raw[w["s"] : w["s"] + w["n"] - 1 + LENGTH], w["off"]))
-            if len(out) > 20_000:
-                yield _context_rows(out)
-                out = []
-        yield _context_rows(out)
+    def run(source):
+        for batch in source:
+            out: list[tuple] = []
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                raw = (column["text"][i].as_py() or "").encode()
+                rid, r2 = column["rid"][i].as_py(), column["r2"][i].as_py()
+                for w in column["wanted"][i].as_py():
+                    out.append((w["k"], w["crowd"], w["single"], i, rid, r2, w["s"], raw[w["s"] : w["s"] + w["n"] - 1 + LENGTH], w["off"]))
+                if len(out) > 5_000:
+                    yield rows(out, column["doc_id"])
+                    out = []
+            yield rows(out, column["doc_id"])
+
+    return run, f"k long, crowd boolean, single boolean, d {kind}, rid long, r2 int, s int, bytes binary, off int"
 
 
-def _context_rows(out):
-    kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["k", "crowd", "single", "rid", "s", "bytes", "off"])
+SPANS = "rid long, r2 int, a long, b long, later boolean"
 
 
 def _sorted_shards(source):
-    """Repeated starts of single contexts, from shards that arrive in order of their anchor."""
+    """SPANS of contexts, from shards that arrive in order of their anchor and then in text order."""
     held: list[tuple] = []
     size = 0
     for batch in source:
-        ks, single, rid, s = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
-        for i, raw in enumerate(batch.column(5).to_pylist()):
+        ks, single, rid, r2, s = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("k", "single", "rid", "r2", "s"))
+        for i, raw in enumerate(batch.column(batch.schema.get_field_index("bytes")).to_pylist()):
             if size > 1 << 20 and ks[i] != held[-1][0]:
                 yield _shard(held)
                 held, size = [], 0
-            held.append((ks[i], single[i], rid[i], s[i], raw))
+            held.append((ks[i], single[i], rid[i], r2[i], s[i], raw))
             size += len(raw)
     yield _shard(held)
 
 
 def _shard(held):
-    flat = np.frombuffer(b"".join(h[4] for h in held), np.uint8)
-    size = np.array([len(h[4]) for h in held], np.int64)
+    flat = np.frombuffer(b"".join(h[5] for h in held), np.uint8)
+    size = np.array([len(h[5]) for h in held], np.int64)
     end = np.cumsum(size)
     left = np.repeat(end, size) - np.arange(len(flat))
-    earlier, later = previous_factors(*truncated_classes(flat, left), len(flat))
-    found = earlier | later
-    rids, a_out, b_out = [], [], []
-    for (_, single, rid, s, _), to, n in zip(held, end, size, strict=True):
-        if single:
-            a, b = _runs(found[to - n : to])
-            rids += [rid] * len(a)
-            a_out += [s + x for x in a]
-            b_out += [s + x - 1 + LENGTH for x in b]
-    return _spans(rids, a_out, b_out)
-
-
-def _dealt(source):
+    earlier, after = previous_factors(*truncated_classes(flat, left), len(flat))
+    found: list[tuple] = []
+    for (_, single, rid, r2, s, _), to, n in zip(held, end, size, strict=True):
+        own = earlier[to - n : to]
+        for flags, later in ((own, True), (own | after[to - n : to], False)):
+            if later or single:
+                found += [(rid, r2, int(s + x), int(s + y - 1 + LENGTH), later) for x, y in zip(*_runs(flags), strict=True)]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)], names=["rid", "r2", "a", "b", "later"])
+
+
+def _dealt(kind: str):
     """Crowded contexts in blocks of ``BLOCK`` starts, counted from the anchor.
 
     b1, b2: block and hash of the bytes that all strings of a whole block share; c: hash of the bytes of the starts that
-    are there; rid; a: first start (-1: of a context that counts twice); n: starts; w1, w2: hashes of their strings.
+    are there; d, rid, r2, s: place of the first start; n: starts; single: whether the context is the only one of its
+    kind; w1, w2: hashes of the strings.
     """
-    for batch in source:
-        for top in range(0, batch.num_rows, 2000):
-            part = batch.slice(top, 2000)
-            raw = part.column(5).to_pylist()
-            flat, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
-            if not len(flat):
-                continue
-            single, rid, s, off = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 6))
-            n = size - LENGTH + 1
-            row = np.repeat(np.arange(len(raw)), n)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            begin = (np.cumsum(size) - size)[row]
-            eight, _ = _grams(flat)
-            one, two = prefix(eight), prefix(mix(eight ^ np.uint64(0x5851F42D4C957F2D)))
-            w1, w2 = (span_hash(sums, begin + inner, begin + inner + LENGTH - 7) for sums in (one, two))
-            block = (off[row] - inner) // BLOCK
-            edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
-            count = np.diff(np.append(edge, len(row)))
-            r, q = row[edge], block[edge].astype(np.int64)
-            core = begin[edge] + off[r] - q * BLOCK
-            b1, b2 = (mix(span_hash(sums, core, core + LENGTH - BLOCK + 1 - 7) + q.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) for sums in (one, two))
-            first = begin[edge] + inner[edge]
-            c = span_hash(one, first, first + count - 1 + LENGTH - 7)
-            at = np.where(single[r], s[r] + inner[edge], -1)
-            lists = [pa.ListArray.from_arrays(pa.array(np.append(edge, len(row)).astype(np.int32)), pa.array(w.view(np.int64))) for w in (w1, w2)]
-            numbers = [pa.array(x.view(np.int64)) for x in (b1, b2, c)] + [pa.array(np.asarray(x, np.int64)) for x in (rid[r], at, count)]
-            yield pa.RecordBatch.from_arrays([*numbers, *lists], names=["b1", "b2", "c", "rid", "a", "n", "w1", "w2"])
-
-
-def _dealt_spans(contexts: DataFrame) -> DataFrame:
-    """rid, a, b: as for whole contexts, blocks that occur twice are repeated; what is left open goes by single starts."""
-    dealt = stored(mapped(contexts, _dealt, "b1 long, b2 long, c long, rid long, a long, n long, w1 array<bigint>, w2 array<bigint>"))
-    kinds = dealt.groupBy("b1", "b2", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "a", "w1", "w2")).alias("one"))
-    twice = dealt.where("a >= 0").join(kinds.where("m > 1").select("b1", "b2", "c"), ["b1", "b2", "c"], "left_semi").select("rid", "a", (F.col("a") + F.col("n") - 1 + LENGTH).alias("b"))
-    open_ = kinds.groupBy("b1", "b2").agg(F.count("*").alias("kinds"), F.max(F.col("m") == 1).alias("open")).where("kinds > 1 AND open").select("b1", "b2")
-    starts = kinds.join(open_, ["b1", "b2"]).select("m", "one.rid", "one.a", F.posexplode(F.arrays_zip("one.w1", "one.w2")).alias("i", "w"))
-    starts = starts.select(F.col("w")["w1"].alias("h1"), F.col("w")["w2"].alias("h2"), "rid", F.when((F.col("m") == 1) & (F.col("a") >= 0), F.col("a") + F.col("i")).otherwise(-1).alias("a"))
-    again = starts.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1")
-    counted = starts.where("a >= 0").join(again, ["h1", "h2"]).select("rid", "a", (F.col("a") + LENGTH).alias("b"))
-    return twice.unionByName(counted)
-
 
-def _finish(source):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    for batch in source:
-        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        out = []
-        for i in range(batch.num_rows):
-            raw = (column["text"][i].as_py() or "").encode()
-            spans, kept, done, removed, runs = column["spans"][i].values, [], 0, 0, 0
-            if spans is not None and len(spans):
-                a, b = (spans.field(j).to_numpy() for j in (0, 1))
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order])
-                gap = np.concatenate([[True], a[1:] > b[:-1]])
-                firsts, lasts = a[gap], b[np.append(np.flatnonzero(gap)[1:] - 1, len(b) - 1)]
-                runs = len(firsts)
-                for x, y in zip(firsts.tolist(), lasts.tolist(), strict=True):
-                    kept.append(raw[done:x])
-                    removed, done = removed + y - x, y
-                raw_kept = b"".join([*kept, raw[done:]])
-            else:
-                raw_kept = raw
-            out.append((len(raw), removed, runs, hashlib.sha256(raw_kept).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([column["doc_id"], *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=names)
+    def run(source):
+        for batch in source:
+            for top in range(0, batch.num_rows, 2000):
+                part = batch.slice(top, 2000)
+                column = {name: part.column(i) for i, name in enumerate(part.schema.names)}
+                raw = column["bytes"].to_pylist()
+                flat, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+                if not len(flat):
+                    continue
+                s, off = (column[n].to_numpy(zero_copy_only=False) for n in ("s", "off"))
+                n = size - LENGTH + 1
+                row = np.repeat(np.arange(len(raw)), n)
+                inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                begin = (np.cumsum(size) - size)[row]
+                eight, _ = _grams(flat)
+                one, two = prefix(eight), prefix(mix(eight ^ np.uint64(0x5851F42D4C957F2D)))
+                w1, w2 = (span_hash(sums, begin + inner, begin + inner + LENGTH - 7) for sums in (one, two))
+                block = (off[row] - inner) // BLOCK
+                edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
+                count = np.diff(np.append(edge, len(row)))
+                r, q = row[edge], block[edge].astype(np.int64)
+                core = begin[edge] + off[r] - q * BLOCK
+                b1, b2 = (mix(span_hash(sums, core, core + LENGTH - BLOCK + 1 - 7) + q.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) for sums in (one, two))
+                first = begin[edge] + inner[edge]
+                c = span_hash(one, first, first + count - 1 + LENGTH - 7)
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(edge, len(row)).astype(np.int32)), pa.array(w.view(np.int64))) for w in (w1, w2)]
+                who = [column[name].take(pa.array(r)) for name in ("d", "rid", "r2")]
+                numbers = [pa.array(x.view(np.int64)) for x in (b1, b2, c)]
+                yield pa.RecordBatch.from_arrays([*numbers, *who, pa.array((s[r] + inner[edge]).astype(np.int32)), pa.array(count.astype(np.int32)), column["single"].take(pa.array(r)), *lists], names=["b1", "b2", "c", *PLACE, "n", "single", "w1", "w2"])
+
+    return run, f"b1 long, b2 long, c long, d {kind}, rid long, r2 int, s int, n int, single boolean, w1 array<bigint>, w2 array<bigint>"
+
+
+def _place(of: str = "") -> Column:
+    return F.struct(*(F.col(of + name).alias(name) for name in PLACE))
+
+
+def _span(later: Column) -> list[Column]:
+    return ["rid", "r2", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") - 1 + LENGTH).cast("long").alias("b"), later.alias("later")]
+
+
+def _dealt_spans(contexts: DataFrame, kind: str) -> DataFrame:
+    """SPANS: as for whole contexts, later copies of a block are repeated; what is left goes by single starts."""
+    dealt = stored(mapped(contexts, *_dealt(kind)))
+    kinds = dealt.groupBy("b1", "b2", "c").agg(F.count("*").alias("m"), F.min(F.struct(*PLACE, "n", "single", "w1", "w2")).alias("one"))
+    kinds = stored(kinds)
+    copied = dealt.join(kinds.where("m > 1").select("b1", "b2", "c", "one"), ["b1", "b2", "c"]).withColumn("later", _place() > _place("one."))
+    twice = stored(copied.where("single OR later").select(*_span(F.col("later"))))
+    several = kinds.groupBy("b1", "b2").agg(F.count("*").alias("kinds")).where("kinds > 1").select("b1", "b2")
+    starts = kinds.join(several, ["b1", "b2"]).select("m", "one.*").select("m", *PLACE, "single", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    starts = stored(starts.select(F.col("w")["w1"].alias("h1"), F.col("w")["w2"].alias("h2"), "d", "rid", "r2", (F.col("s") + F.col("i")).alias("s"), F.lit(1).alias("n"), (F.col("single") & (F.col("m") == 1)).alias("alone")))
+    again = starts.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.min(_place()).alias("one")).where("m > 1")
+    met = starts.join(again, ["h1", "h2"]).withColumn("later", _place() > F.col("one"))
+    counted = stored(met.where("alone OR later").select(*_span(F.col("later"))))
+    for table in (dealt, kinds, starts):
+        forget(table)
+    return twice.unionByName(counted)
 
 
 def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """rid, a, b: stretches of bytes that repeated strings cover (they may overlap). rows: doc_id, rid, text."""
+    """SPANS: stretches of bytes that repeated strings cover (they may overlap); later: by copies that are not the first.
+
+    rows: doc_id, rid, r2, text.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
     table = stored(anchor_table(rows))
-    seen = table.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 1")
-    seen = stored(seen.select("k", (F.col("lo") == F.col("hi")).alias("alike")))
-    shared = stored(table.join(seen, "k"))
-    whole = shared.where("alike")
-    edges = shared.where("NOT alike")
-    kinds = edges.groupBy("k", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "s", "n", "off")).alias("one"))
-    kinds = stored(kinds)
-    twice = edges.join(kinds.where("m > 1").select("k", "c"), ["k", "c"], "left_semi")
-    covered = whole.select("rid", "s", "n").unionByName(twice.select("rid", "s", "n")).select("rid", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") - 1 + LENGTH).cast("long").alias("b"))
-    crowds = stored(kinds.groupBy("k").agg(F.count("*").alias("size"), F.max(F.col("m") == 1).alias("open")).where("open"))
-    asked = kinds.join(crowds, "k").select("one.rid", F.struct("k", (F.col("size") > crowd).alias("crowd"), (F.col("m") == 1).alias("single"), F.col("one.s").alias("s"), F.col("one.n").alias("n"), F.col("one.off").alias("off")).alias("w"))
-    asked = asked.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    fetched = rows.join(asked.hint("shuffle_hash"), "rid").select("doc_id", "rid", "text", "wanted")
-    contexts = stored(mapped(fetched, _contexts, "k long, crowd boolean, single boolean, rid long, s int, bytes binary, off int"))
-    sorted_out = mapped(contexts.where("NOT crowd").repartition("k").sortWithinPartitions("k"), _sorted_shards, "rid long, a long, b long")
-    return covered.unionByName(sorted_out).unionByName(_dealt_spans(contexts.where("crowd")))
+    seen = table.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(_place()).alias("one")).where("m > 1")
+    seen = stored(seen.select("k", (F.col("lo") == F.col("hi")).alias("alike"), "one"))
+    whole = stored(table.join(seen.where("alike"), "k").select(*_span(_place() > F.col("one"))))
+    edges = stored(table.join(seen.where("NOT alike").select("k"), "k"))
+    for done in (table, seen):
+        forget(done)
+    kinds = stored(edges.groupBy("k", "c").agg(F.count("*").alias("m"), F.min(F.struct(*PLACE, "n", "off")).alias("one")))
+    copied = edges.join(kinds.where("m > 1").select("k", "c", "one"), ["k", "c"])
+    twice = stored(copied.select(*_span(_place() > _place("one."))))
+    forget(edges)
+    crowds = stored(kinds.groupBy("k").agg(F.count("*").alias("size")))
+    asked = kinds.join(crowds, "k").select("one.rid", "one.r2", F.struct("k", (F.col("size") > crowd).alias("crowd"), (F.col("m") == 1).alias("single"), F.col("one.s").alias("s"), F.col("one.n").alias("n"), F.col("one.off").alias("off")).alias("w"))
+    asked = asked.groupBy("rid", "r2").agg(F.collect_list("w").alias("wanted"))
+    fetched = rows.join(asked.hint("shuffle_hash"), ["rid", "r2"]).select("doc_id", "rid", "r2", "text", "wanted")
+    contexts = stored(mapped(fetched, *_contexts(kind)))
+    for done in (kinds, crowds):
+        forget(done)
+    shards = contexts.where("NOT crowd").repartition("k").sortWithinPartitions("k", *PLACE)
+    sorted_out = stored(mapped(shards, _sorted_shards, SPANS))
+    dealt = _dealt_spans(contexts.where("crowd"), kind)
+    forget(contexts)
+    return whole.unionByName(twice).unionByName(sorted_out).unionByName(dealt)
+
+
+def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, maximal runs removed)."""
+    kept, done, removed, runs, until = [], 0, 0, 0, -1
+    for a, b in sorted(spans):
+        if a > until:
+            runs += 1
+            kept.append(raw[done:a])
+            done = a
+        if b > done:
+            removed += b - done
+            done = until = b
+    return b"".join([*kept, raw[done:]]), removed, runs
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    text = letters(F.col(text_col))
+    return [F.xxhash64(F.col(id_col), text).alias("rid"), F.hash(F.lit("row"), F.col(id_col), text).alias("r2"), text.alias("text")]
+
+
+def _spans_by_row(rows: DataFrame, crowd: int) -> DataFrame:
+    return repeated_spans(rows, crowd).groupBy("rid", "r2").agg(F.collect_set(F.struct("a", "b", "later")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, without every byte that a repeated string covers."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, letters(F.col(text_col))).alias("rid"), letters(F.col(text_col)).alias("text"))
-    spans = repeated_spans(rows, crowd).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = rows.join(spans.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, without every byte that a repeated string covers.
+
+    And n_later, first_sha256: the bytes that later copies cover, and what is left without these, first copies kept.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), *_keyed(docs, id_col, text_col))
+    joined = rows.join(_spans_by_row(rows, crowd).hint("shuffle_hash"), ["rid", "r2"], "left").select("doc_id", "text", "spans")
+
+    def run(source):
+        for batch in source:
+            out = []
+            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+                raw, found = (text.as_py() or "").encode(), spans.as_py() or []
+                kept, removed, runs = _cut(raw, [(s["a"], s["b"]) for s in found])
+                first, later, _ = _cut(raw, [(s["a"], s["b"]) for s in found if s["later"]])
+                out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), later, hashlib.sha256(first).hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in out], t) for j, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_later", "first_sha256"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(joined, _finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(joined, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_later long, first_sha256 string")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = True, crowd: int = CROWD) -> DataFrame:
+    """The documents, all columns, their texts without repeated strings: all copies but the first, or all.
+
+    Of a character that is cut only in part nothing is left; a null text stays null.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), *_keyed(docs, id_col, text_col))
+    rid, r2, _ = _keyed(docs, id_col, text_col)
+    whole = docs.select(F.struct("*").alias("row"), rid, r2)
+    spans = _spans_by_row(rows, crowd)
+    joined = whole.join(spans.hint("shuffle_hash"), ["rid", "r2"], "left").select("row", "spans")
+    docs_columns = docs.columns
+    at = docs_columns.index(text_col)
+
+    def run(source):
+        for batch in source:
+            texts, columns = [], batch.column(0).flatten()
+            for text, spans in zip(columns[at], batch.column(1), strict=True):
+                said, found = text.as_py(), [(s["a"], s["b"]) for s in spans.as_py() or [] if s["later"] or not keep_first]
+                texts.append(_cut(said.encode(), found)[0].decode(errors="ignore") if found else said)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+
+    return mapped(joined, run, docs.schema)

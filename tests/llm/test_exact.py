@@ -24,24 +24,33 @@ def same(df, want, columns):
 
 
 def test_repeats(docs, rows, empty):
-    from stowage.llm.repeats import remove_repeats
+    from stowage.llm.repeats import remove_repeats, without_repeats
 
     raws = [(r[1] or "").encode() for r in rows]
-    seen = Counter(raw[i : i + 200] for raw in raws for i in range(len(raw) - 199))
-    want = []
+    seen, first = Counter(raw[i : i + 200] for raw in raws for i in range(len(raw) - 199)), {}
+    row_hash = {(r["doc_id"], r["text"]): r["h"] for r in docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(doc_id, coalesce(text, '')) AS h").collect()}
+    place = lambda r, i: (r[0] is not None, r[0] or 0, row_hash[r[0], r[1] or ""], i)
+    for r, raw in zip(rows, raws, strict=True):
+        for i in range(len(raw) - 199):
+            first[raw[i : i + 200]] = min(first.get(raw[i : i + 200], place(r, i)), place(r, i))
+    want, texts = [], []
     for r, raw in zip(rows, raws, strict=True):
-        mark = np.zeros(len(raw) + 1, int)
+        gone = np.zeros((2, len(raw)), bool)
         for i in range(len(raw) - 199):
-            if seen[raw[i : i + 200]] > 1:
-                mark[i] += 1
-                mark[i + 200] -= 1
-        gone = np.cumsum(mark[:-1]) > 0
-        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        want.append((r[0], len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            gone[0, i : i + 200] |= seen[raw[i : i + 200]] > 1
+            gone[1, i : i + 200] |= place(r, i) > first[raw[i : i + 200]]
+        kept = [np.frombuffer(raw, np.uint8)[~g].tobytes() for g in gone]
+        runs = int((np.diff(np.concatenate([[0], gone[0].astype(int)])) == 1).sum())
+        want.append((r[0], len(raw), int(gone[0].sum()), runs, hashlib.sha256(kept[0]).hexdigest(), int(gone[1].sum()), hashlib.sha256(kept[1]).hexdigest()))
+        texts.append((r[0], r[1] if r[1] is None else kept[1].decode(errors="ignore")))
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_later", "first_sha256"]
+    assert sum(w[5] for w in want) and any(w[5] != w[2] for w in want)
     same(remove_repeats(docs), want, columns)
     same(remove_repeats(docs, crowd=2), want, columns)  # nearly every shard is dealt out by hash
-    assert remove_repeats(empty).count() == 0
+    cut = without_repeats(docs)
+    assert cut.columns == docs.columns
+    same(cut, texts, ["doc_id", "text"])
+    assert remove_repeats(empty).count() == 0 and without_repeats(empty).count() == 0
 
 
 def test_longest_previous_factors():
