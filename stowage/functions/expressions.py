@@ -33,6 +33,16 @@ def verify_digest(content: Column, expected: Column) -> Column:
     return sha256_b64url(content) == expected
 
 
+def duplicate_path(folder: str, digest: Column, path: Column) -> Column:
+    """Where a duplicate is put aside."""
+    return F.concat(F.lit(f"{folder}/"), digest, F.lit("_"), base_name(path))
+
+
+def quarantine_path(folder: str, path: Column) -> Column:
+    """Where a file that failed too often is put aside."""
+    return F.concat(F.lit(f"{folder}/"), quarantine_prefix(path), F.lit("_"), base_name(path))
+
+
 def extract_digest(stem: Column) -> Column:
     """The digest in ``<code>-<descriptor>_<digest>``, found by counting back from the end; null where the form differs."""
     n = F.length(stem)
@@ -189,6 +199,15 @@ def json_decode(raw: Column) -> Column:
     return F.try_parse_json(raw)
 
 
+def json_encode(*fields: Column) -> Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def coerce_list(raw: Column) -> Column:
+    """The items of a JSON array as texts; none where the text is something else."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "array<string>"), F.array().cast("array<string>"))
+
+
 def coerce_subject(subject: Column) -> Column:
     return F.coalesce(F.nullif(subject, F.lit("")), F.lit("photo"))
 

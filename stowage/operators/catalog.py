@@ -87,12 +87,17 @@ class Catalog:
         return self.read("photos").where(F.col("original_path") == path).orderBy("id").limit(1)
 
     def is_known(self, digests: DataFrame) -> DataFrame:
-        return digests.join(self.read("photos").select("digest"), "digest", "left_semi")
+        return known(digests, self.read("photos"))
 
     def all(self) -> DataFrame:
         return self.read("photos").orderBy("id")
 
 
+def known(digests: DataFrame, photos: DataFrame) -> DataFrame:
+    """Rows whose digest the catalog has."""
+    return digests.join(photos.select("digest"), "digest", "left_semi")
+
+
 def upsert(photos: DataFrame, new: DataFrame) -> DataFrame:
     """new: the columns of photos but ``id``, one row per digest, its history being the events to append.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,27 @@ from stowage.functions import constants as C
 from stowage.functions import expressions as X
 
 
+def _normalized(name: str) -> str:
+    """As ``normalize_label``, for the fixed list."""
+    cut = lambda w: w[:-2] if len(w) > 4 and w.endswith("es") else w[:-1] if len(w) > 3 and w.endswith("s") else w
+    return " ".join(map(cut, re.findall("[a-z0-9]+", name.lower())))
+
+
+def seed_classes() -> dict[str, str]:
+    """Normalized subject -> class: names of sub-categories, then curated synonyms that add to them."""
+    names = [(label, str(parent)) for _, parent, label in C.seed_nodes() if parent]
+    names += [(word, code) for code, words in C.SYNONYMS.items() for word in words]
+    return {_normalized(name): code for name, code in reversed(names)}
+
+
 def seed_concepts(spark: SparkSession) -> DataFrame:
-    """subject (normalized), class: names of sub-categories, then curated synonyms that add to them. A fixed list."""
-    subs = [(label, f"{parent}", 0) for _, parent, label in C.seed_nodes() if parent]
-    extra = [(word, code, 1) for code, words in C.SYNONYMS.items() for word in words]
-    raw = spark.createDataFrame(subs + extra, "name string, class string, rank int")
-    return raw.groupBy(X.normalize_label(F.col("name")).alias("subject")).agg(F.min_by("class", "rank").alias("class"))
+    """subject (normalized), class: the fixed list as a table."""
+    return spark.createDataFrame(sorted(seed_classes().items()), "subject string, class string")
+
+
+def learned_get(learned: DataFrame, subject: str) -> DataFrame:
+    """The learned class of a subject, in whatever spelling: one row or none."""
+    return learned.where(F.col("subject") == X.normalize_label(F.lit(subject)))
 
 
 def class_for(content: DataFrame, learned: DataFrame | None = None) -> DataFrame:
@@ -30,9 +47,8 @@ def class_for(content: DataFrame, learned: DataFrame | None = None) -> DataFrame
     else:
         base = base.withColumn("__learned", F.lit(None).cast("string"))
     base = base.join(seed.select(F.col("subject").alias("__s"), F.col("class").alias("__static")), F.col("__subject") == F.col("__s"), "left").drop("__s")
-    # the seed is a fixed list, so tokens are looked up in a map built from it; no token is exploded
-    table = sorted((r["subject"], r["class"]) for r in seed.collect())
-    lookup = F.create_map(*(F.lit(x) for pair in table for x in pair))
+    # the seed is a fixed list, so tokens are looked up in a map of it; no token is exploded
+    lookup = F.create_map(*(F.lit(x) for pair in sorted(seed_classes().items()) for x in pair))
     tokens = F.concat(F.coalesce("objects", F.array().cast("array<string>")), F.filter(F.split(F.coalesce("scene", F.lit("")), r"\s+"), lambda w: w != ""))
     hits = F.filter(F.transform(tokens, lambda t: F.try_element_at(lookup, X.normalize_label(t))), lambda c: c.isNotNull())
     return base.withColumn("class", F.coalesce("__learned", "__static", F.get(hits, F.lit(0)))).drop("__learned", "__static").withColumnRenamed("__subject", "subject_norm")

@@ -32,6 +32,11 @@ def children(taxonomy: DataFrame, parent: str | None) -> DataFrame:
     return taxonomy.where(F.col("parent_code").eqNullSafe(F.lit(parent))).orderBy("code")
 
 
+def get(taxonomy: DataFrame, code: str) -> DataFrame:
+    """The node of a code: one row or none."""
+    return taxonomy.where(F.col("code") == code)
+
+
 def active(taxonomy: DataFrame) -> DataFrame:
     return taxonomy.where("active").orderBy("code")
 
@@ -165,6 +170,11 @@ def merge_codes(taxonomy: DataFrame, source: str, target: str) -> DataFrame:
     return taxonomy.withColumn("aliases", F.when(here, F.array_append("aliases", F.lit(labels[source]))).otherwise(F.col("aliases"))).withColumn("alias_of", F.when(gone, F.lit(target)).otherwise(F.col("alias_of"))).withColumn("active", ~gone & F.col("active"))
 
 
+def set_alias(taxonomy: DataFrame, code: str, target: str | None) -> DataFrame:
+    """Let a node point to another (null: to none)."""
+    return taxonomy.withColumn("alias_of", F.when(F.col("code") == code, F.lit(target).cast("string")).otherwise(F.col("alias_of")))
+
+
 def set_aliases(taxonomy: DataFrame, code: str, aliases: list[str]) -> DataFrame:
     new = F.array(*(F.lit(a) for a in aliases)).cast("array<string>")
     return taxonomy.withColumn("aliases", F.when(F.col("code") == code, new).otherwise(F.col("aliases")))

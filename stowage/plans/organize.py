@@ -81,8 +81,7 @@ class Organizer:
         now = str(repeats.sparkSession.sql("SELECT current_timestamp()").first()[0])
         self.catalog.commit(photos=K.mark_duplicates(self.catalog.read("photos"), repeats, now))
         if self.duplicates_dir:
-            target = F.concat(F.lit(f"{self.duplicates_dir}/"), "digest", F.lit("_"), X.base_name(F.col("source_path")))
-            sinks.copy_aside(repeats.withColumn("target", target)).count()
+            sinks.copy_aside(repeats.withColumn("target", X.duplicate_path(self.duplicates_dir, F.col("digest"), F.col("source_path")))).count()
 
     def _attempt(self, tried: DataFrame) -> DataFrame:
         backend, nodes, learned = self.classifier or StubClassifier(), T.seed_taxonomy(tried.sparkSession, self.catalog.read("taxonomy")), self.catalog.read("learned_concepts")

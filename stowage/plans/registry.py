@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,8 @@ from stowage.operators import catalog as K
 from stowage.operators import concepts, dedup, incremental
 from stowage.operators import taxonomy as T
 from stowage.plans import views as V
-from stowage.session import read_table
+from stowage.plans.classifiers import StubClassifier
+from stowage.session import read_table, shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -82,8 +86,27 @@ def dedup_with_failures(spark, sf_dir):
 
 @query(f"WITH {V.DIGESTS}, old AS (SELECT DISTINCT digest FROM digests WHERE doc_id % 10 = 0) SELECT source_path FROM digests WHERE digest IN (SELECT digest FROM old)")
 def known_digests(spark, sf_dir):
+    """Through a catalog that is written and read again: a tenth of the documents is known, all are asked about."""
     d = V.digests(spark, sf_dir)
-    return d.join(d.where("doc_id % 10 = 0").select("digest").distinct(), "digest", "left_semi").select("source_path")
+    catalog = K.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    catalog.commit(photos=K.upsert(catalog.read("photos"), _photos(d.where("doc_id % 10 = 0"), "old")))
+    return catalog.is_known(d).select("source_path")
+
+
+@query(
+    f"""WITH {V.DIGESTS}, old AS (SELECT DISTINCT digest FROM digests WHERE doc_id % 10 = 0), firsts AS (SELECT *, min(source_path) OVER (PARTITION BY digest) AS first FROM digests)
+    SELECT source_path, CASE WHEN digest NOT IN (SELECT digest FROM old) AND source_path = first THEN 'copied' ELSE 'duplicate' END AS status FROM firsts"""
+)
+def dry_run_statuses(spark, sf_dir):
+    """What a run would do with every file, against a catalog that knows a tenth of the documents."""
+    d = V.digests(spark, sf_dir)
+    return dedup.mark_duplicates(d, _photos(d.where("doc_id % 10 = 0"), "old")).select("source_path", "status")
+
+
+@query(f"WITH {_RANKED} SELECT '/dup/' || digest || '_' || regexp_extract(source_path, '[^/]+$') AS target, '/bad/' || left(sha256(source_path), 12) || '_' || regexp_extract(source_path, '[^/]+$') AS aside FROM ranked WHERE status = 'duplicate'")
+def aside_paths(spark, sf_dir):
+    again = dedup.mark_duplicates(V.digests(spark, sf_dir)).where("status = 'duplicate'")
+    return again.select(X.duplicate_path("/dup", F.col("digest"), F.col("source_path")).alias("target"), X.quarantine_path("/bad", F.col("source_path")).alias("aside"))
 
 
 @query(f"WITH {V.FILES} SELECT doc_id, {V.sql_digest('content')} = {V.sql_digest('CASE WHEN doc_id % 6 = 0 THEN content || chr(33) ELSE content END')} AS verified FROM files")
@@ -113,10 +136,10 @@ def normalize_descriptor_parts(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", X.normalize_descriptor(x).alias("descriptor"))
 
 
-@query(f"SELECT doc_id, {V.sql_descriptor('text')} AS descriptor, {V.sql_label('left(text, 200)')} AS norm FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {V.sql_descriptor('text')} AS descriptor, {V.sql_label('text')} AS norm FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def normalize_documents(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", X.normalize_descriptor(F.col("text")).alias("descriptor"), X.normalize_label(F.substring("text", 1, 200)).alias("norm"))
+    text = F.coalesce("text", F.lit(""))
+    return read_table(spark, sf_dir, "documents").select("doc_id", X.normalize_descriptor(text).alias("descriptor"), X.normalize_label(text).alias("norm"))
 
 
 @query(f"SELECT p_partkey, {V.sql_label('x')} AS norm FROM (SELECT p_partkey, p_name || 's & ' || p_type || 'es' AS x FROM part)")
@@ -345,6 +368,32 @@ def merge_codes(spark, sf_dir):
     return t.select("code", F.array_join("aliases", "|").alias("aliases"), "alias_of", "active")
 
 
+@query(f"WITH {V.TAXONOMY} SELECT code, label, parent_code FROM taxonomy UNION ALL SELECT '541~1', 'easter', '541' UNION ALL SELECT '999', 'last', '900'")
+def taxonomy_insert(spark, sf_dir):
+    new = T.node_rows(spark.createDataFrame([("541~1", "541", "easter"), ("999", "900", "last"), ("500", None, "conflict"), ("999", "900", "last")], "code string, parent_code string, label string"))
+    return T.insert(V.taxonomy(spark), new).select("code", "label", "parent_code")
+
+
+@query(f"WITH {V.TAXONOMY} SELECT code, CASE WHEN code = '500' THEN 'parties|fairs' ELSE array_to_string(aliases, '|') END AS aliases, CASE WHEN code = '550' THEN '500' WHEN code = '560' THEN NULL ELSE alias_of END AS alias_of FROM taxonomy")
+def taxonomy_set_aliases(spark, sf_dir):
+    t = T.set_alias(T.set_alias(T.set_aliases(V.taxonomy(spark), "500", ["parties", "fairs"]), "550", "500"), "560", None)
+    return t.select("code", F.array_join("aliases", "|").alias("aliases"), "alias_of")
+
+
+@query(f"WITH {V.TAXONOMY}, {V.LEARNED_SQL} SELECT code AS key, label AS value FROM taxonomy WHERE code IN ('540', '110') UNION ALL SELECT subject, class_code FROM learned WHERE subject = 'beach photo'")
+def keyed_reads(spark, sf_dir):
+    t = V.taxonomy(spark)
+    nodes = T.get(t, "540").unionByName(T.get(t, "110")).unionByName(T.get(t, "nope")).select(F.col("code").alias("key"), F.col("label").alias("value"))
+    return nodes.unionByName(concepts.learned_get(V.learned(spark), "Beach  Photos").select(F.col("subject").alias("key"), F.col("class_code").alias("value")))
+
+
+@query("SELECT code, label, parent_code FROM (VALUES " + ", ".join(f"({V.quoted(c)}, {V.quoted(label)}, {V.quoted(p)})" for c, p, label in C.seed_nodes()) + ") v(code, label, parent_code) UNION ALL SELECT '540', 'holidays', '500'")
+def seed_if_empty(spark, sf_dir):
+    """The spine where the table is empty; a table with one row stays as it is."""
+    t = V.taxonomy(spark)
+    return T.seed_taxonomy(spark, t.where("false")).unionByName(T.seed_taxonomy(spark, t.where("code = '540'"))).select("code", "label", "parent_code")
+
+
 # --- passes -------------------------------------------------------------------------
 
 
@@ -360,6 +409,18 @@ def changed_files(spark, sf_dir):
     return incremental.changed(f, V.seen(f)).select("source_path", "old_size", "size")
 
 
+@query(f"WITH {V.SEEN} SELECT coalesce(f.source_path, s.source_path) AS source_path, coalesce(f.size, s.size) AS size, coalesce(f.mtime_ns, s.mtime_ns) AS mtime_ns FROM (SELECT * FROM files WHERE doc_id % 2 = 0) f FULL JOIN seen s USING (source_path)")
+def record_source_seen(spark, sf_dir):
+    f = V.files(spark, sf_dir).drop("content")
+    return incremental.record_seen(V.seen(f), f.where("doc_id % 2 = 0")).select("source_path", "size", "mtime_ns")
+
+
+@query(f"WITH {V.FILES} SELECT source_path FROM files WHERE doc_id % 4 = 1 AND doc_id % 3 <> 0")
+def clear_file_failure(spark, sf_dir):
+    f = V.files(spark, sf_dir).drop("content")
+    return incremental.clear_failures(f.where("doc_id % 4 = 1"), f.where("doc_id % 3 = 0")).select("source_path")
+
+
 @query(f"WITH {V.FILES} SELECT source_path FROM files WHERE NOT (doc_id % 4 = 1 AND doc_id % 8 <> 5)")
 def quarantine_filter(spark, sf_dir):
     f, i = V.files(spark, sf_dir).drop("content"), F.col("doc_id")
@@ -430,39 +491,45 @@ def _photos(files: DataFrame, event: str) -> DataFrame:
     )
 
 
-def _catalog(spark, sf_dir) -> DataFrame:
-    empty = spark.createDataFrame([], K.SCHEMAS["photos"])
-    return K.upsert(empty, _photos(V.digests(spark, sf_dir).where("doc_id % 2 = 0"), "old"))
+def _catalog(spark, files: DataFrame) -> DataFrame:
+    return K.upsert(spark.createDataFrame([], K.SCHEMAS["photos"]), _photos(files, "old"))
 
 
-_OLD = f"{V.DIGESTS}, old AS (SELECT *, row_number() OVER (ORDER BY original_path, digest) AS id FROM (SELECT digest, min(source_path) AS original_path FROM digests WHERE doc_id % 2 = 0 GROUP BY digest))"
+def _old(where: str = "true") -> str:
+    return f"{V.DIGESTS}, old AS (SELECT *, row_number() OVER (ORDER BY original_path, digest) AS id FROM (SELECT digest, min(source_path) AS original_path FROM digests WHERE {where} GROUP BY digest))"
+
+
+_OLD = _old()
 
 
 @query(
-    f"""WITH {_OLD}, new AS (SELECT digest, min(source_path) AS original_path FROM digests WHERE doc_id % 3 = 0 GROUP BY digest),
+    f"""WITH {_old("doc_id % 2 = 0")}, new AS (SELECT digest, min(source_path) AS original_path FROM digests WHERE doc_id % 4 <> 0 GROUP BY digest),
     fresh AS (SELECT digest, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY original_path, digest) AS id FROM new WHERE digest NOT IN (SELECT digest FROM old)),
     u AS (SELECT digest, o.original_path AS a, n.original_path AS b, CASE WHEN n.digest IS NULL THEN 'old' ELSE 'new' END AS kind, CASE WHEN o.digest IS NULL OR n.digest IS NULL THEN 1 ELSE 2 END AS events FROM old o FULL JOIN new n USING (digest))
     SELECT coalesce(o.id, f.id)::BIGINT AS id, u.digest, coalesce(a, b) AS original_path, CASE WHEN u.digest NOT LIKE 'A%' THEN '/' || kind || '/' || u.digest END AS organized_path, kind AS pcs_name, events::BIGINT AS events
     FROM u LEFT JOIN old o ON o.digest = u.digest LEFT JOIN fresh f ON f.digest = u.digest"""
 )
 def upsert_photos(spark, sf_dir):
-    merged = K.upsert(_catalog(spark, sf_dir), _photos(V.digests(spark, sf_dir).where("doc_id % 3 = 0"), "new"))
+    d = V.digests(spark, sf_dir)  # even ids are in the catalog, and all but a quarter come (again): some old, some new, some both
+    merged = K.upsert(_catalog(spark, d.where("doc_id % 2 = 0")), _photos(d.where("doc_id % 4 <> 0"), "new"))
     return merged.select("id", "digest", "original_path", "organized_path", "pcs_name", F.size("processing_history").cast("long").alias("events"))
 
 
 @query(f"WITH {_OLD} SELECT id::BIGINT AS id, left(digest, 12) || '…  ' || '  900' || '  ' || CASE WHEN digest LIKE 'A%' THEN 'None' ELSE '/old/' || digest END AS line FROM old ORDER BY id LIMIT 50")
 def list_limit(spark, sf_dir):
-    return K.listing(_catalog(spark, sf_dir), C.LIST_LIMIT)
+    return K.listing(_catalog(spark, V.digests(spark, sf_dir)), C.LIST_LIMIT)
 
 
 @query(f"WITH {_OLD} SELECT count(*) AS photos FROM old")
 def count_photos(spark, sf_dir):
-    return _catalog(spark, sf_dir).agg(F.count("*").alias("photos"))
+    return _catalog(spark, V.digests(spark, sf_dir)).agg(F.count("*").alias("photos"))
 
 
-@query(f"WITH {_OLD} SELECT o.digest, 'old' || coalesce(string_agg('|' || d.source_path, '' ORDER BY d.source_path), '') AS events FROM old o LEFT JOIN (SELECT * FROM digests WHERE doc_id % 2 = 1) d USING (digest) GROUP BY o.digest")
+@query(f"WITH {_OLD} SELECT o.digest, 'old' || coalesce(string_agg('|' || d.source_path, '' ORDER BY d.source_path), '') AS events FROM old o LEFT JOIN digests d ON d.digest = o.digest AND d.source_path <> o.original_path GROUP BY o.digest")
 def mark_duplicates(spark, sf_dir):
-    marked = K.mark_duplicates(_catalog(spark, sf_dir), V.digests(spark, sf_dir).where("doc_id % 2 = 1"), "2024-02-01")
+    d = V.digests(spark, sf_dir)
+    again = dedup.mark_duplicates(d).where("status = 'duplicate'")
+    marked = K.mark_duplicates(_catalog(spark, d), again, "2024-02-01")
     named = F.transform("processing_history", lambda e: F.coalesce(e["duplicate_path"], e["event"]))
     return marked.select("digest", F.array_join(named, "|").alias("events"))
 
@@ -473,6 +540,101 @@ def history_append(spark, sf_dir):
     return listed.select("conv_id", F.array_join(F.transform("history", lambda h: F.concat(h["turn"].cast("string"), F.lit(":"), h["role"])), ",").alias("history"))
 
 
+@query(f"WITH {_OLD} SELECT digest, original_path FROM old WHERE original_path = (SELECT min(original_path) FROM old) UNION ALL SELECT digest, original_path FROM old WHERE digest = (SELECT max(digest) FROM old)")
+def catalog_by_key(spark, sf_dir):
+    """One photo by its path, one by its digest, from a catalog that holds all documents."""
+    d = V.digests(spark, sf_dir)
+    catalog = K.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    catalog.commit(photos=_catalog(spark, d))
+    ends = catalog.read("photos").agg(F.min("original_path").alias("path"), F.max("digest").alias("digest")).first()
+    both = catalog.get_by_original_path(ends["path"]).select("digest", "original_path").unionByName(catalog.get(ends["digest"]).select("digest", "original_path"))
+    return both
+
+
+# --- files --------------------------------------------------------------------------
+
+
+def _exported(spark, sf_dir) -> str:
+    """The documents as files below the shared folder, which all executors mount; names end in a code that is no picture's for some."""
+    root = f"{shared_dir(spark).removeprefix('file:')}/files-{uuid.uuid4().hex}"
+    files_ = V.files(spark, sf_dir).select(F.concat(F.lit(root), "source_path").alias("path"), "content")
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    files_.mapInArrow(write, "path string").count()
+    return root
+
+
+@query(f"WITH {V.DIGESTS} SELECT source_path, size, digest FROM digests WHERE {_EXT} IN ({', '.join(map(V.quoted, C.EXTENSIONS))})")
+def scan_files(spark, sf_dir):
+    """Every document as a file on disk: listed, filtered by extension, hashed."""
+    from stowage.sources import files
+
+    root = _exported(spark, sf_dir)
+    return files.with_digests(files.scan(spark, root)).select(F.substring("source_path", len(root) + 1, 1 << 20).alias("source_path"), "size", "digest")
+
+
+@query(f"WITH {V.FILES} SELECT 'deep' AS mode, count(*) AS files FROM files UNION ALL SELECT 'flat', 0 UNION ALL SELECT 'single', 1")
+def scan_modes(spark, sf_dir):
+    from stowage.sources import files
+
+    root = _exported(spark, sf_dir)
+    deep = files.scan(spark, root, supported_only=False)
+    one = deep.agg(F.min("source_path")).first()[0]
+    counts = [(mode, df.count()) for mode, df in (("deep", deep), ("flat", files.scan(spark, root, recursive=False)), ("single", files.scan(spark, one, supported_only=False)))]
+    return spark.createDataFrame(counts, "mode string, files long")
+
+
+@query(f"WITH {V.DIGESTS}, {_named(_EXT, _STEM)} SELECT filename, 'copied' AS status, 'OK' AS verdict FROM named WHERE doc_id IN (SELECT doc_id FROM digests WHERE {_EXT} IN ({', '.join(map(V.quoted, C.EXTENSIONS))}))")
+def copy_and_verify(spark, sf_dir):
+    """Every picture copied under its generated name (twice, as after an interruption) with a sidecar, then verified by name."""
+    from stowage.plans.organize import verify_tree
+    from stowage.sources import files, sinks
+
+    root = _exported(spark, sf_dir)
+    p = F.col("source_path")
+    named = files.with_digests(files.scan(spark, root)).drop("error").withColumn("filename", X.generate_filename(F.lit("330"), _stem(p), F.col("digest"), X.extension(p)))
+    planned = named.withColumn("organized_path", F.concat(F.lit(f"{root}/out/"), F.substring(F.sha2(p, 256), 1, 16), F.lit("/"), "filename")).withColumn("sidecar", F.to_json(F.struct("digest")))
+    sinks.organize_files(planned, True).count()
+    copied = sinks.organize_files(planned, True).select("organized_path", "filename", "status")
+    return copied.join(verify_tree(spark, f"{root}/out").withColumnRenamed("source_path", "organized_path"), "organized_path").select("filename", "status", "verdict")
+
+
+# --- the whole chain ------------------------------------------------------------------
+
+_CHAIN = f"""{V.DIGESTS}, {V.SEEDS}, words AS (SELECT *, coalesce((list_filter({V.sql_words(_STEM)}, lambda v: length(v) > 1))[1], 'photo') AS subject FROM digests),
+    firsts AS (SELECT *, min(source_path) OVER (PARTITION BY digest) AS first FROM words),
+    items AS (SELECT doc_id AS pos, coalesce(s.class, '900') AS class, f.subject AS label FROM firsts f LEFT JOIN seeds s ON s.subject = {V.sql_label('f.subject')} WHERE source_path = first)"""
+_CHAIN_RESOLVED = _RESOLVED.replace(V.ITEMS, _CHAIN)
+_CHAIN_NAMED = _named(_EXT, "subject", code="code").replace("FROM digests)", "FROM coded)")
+
+
+@query(
+    f"""{_CHAIN_RESOLVED}, coded AS (SELECT w.*, CASE WHEN p.stay THEN p.target ELSE coalesce(p.found, m.code) END AS code FROM placed p LEFT JOIN minted m ON m.target = p.target AND m.norm = p.norm JOIN words w ON w.doc_id = p.pos),
+    nodes AS (SELECT code, parent_code, folder_name FROM taxonomy UNION ALL SELECT code, target, code || '-' || {V.sql_slug('label')} FROM minted),
+    up(code, parent, path) AS (SELECT code, parent_code, folder_name FROM nodes UNION ALL SELECT u.code, t.parent_code, t.folder_name || '/' || u.path FROM up u JOIN nodes t ON t.code = u.parent),
+    paths AS (SELECT code, arg_max(path, length(path)) AS folder_path FROM up GROUP BY code), {_CHAIN_NAMED}
+    SELECT n.doc_id, n.code, '/out/' || p.folder_path || '/' || n.filename AS organized_path FROM (SELECT named.*, coded.code FROM named JOIN coded USING (doc_id)) n JOIN paths p ON p.code = n.code"""
+)
+def organize_documents(spark, sf_dir):
+    """From bytes to organized path: digest, first copies, description, class, code (minted if need be), folder, name."""
+    first = dedup.mark_duplicates(V.digests(spark, sf_dir)).where("status = 'copied'").withColumn("pos", F.col("doc_id"))
+    described = stored(StubClassifier().describe_files(first))
+    classed = concepts.class_for(described)
+    decided = concepts.decide_class(classed, StubClassifier().answer(concepts.first_misses(classed)))
+    nodes = V.taxonomy(spark)
+    coded, minted = T.resolve_or_create(stored(decided.withColumn("label", F.col("primary_subject"))), nodes)
+    placed = coded.join(T.folder_paths(stored(T.insert(nodes, minted))), "code")
+    name = X.generate_filename(F.col("code"), F.col("primary_subject"), F.col("digest"), X.extension(F.col("source_path")))
+    return placed.select("doc_id", "code", F.concat(F.lit("/out/"), "folder_path", F.lit("/"), name).alias("organized_path"))
+
+
 # --- numbers and JSON ---------------------------------------------------------------
 
 
@@ -503,3 +665,25 @@ def verify_stats(spark, sf_dir):
     now = V.files(spark, sf_dir).select("doc_id", X.sha256_b64url(F.when(F.col("doc_id") % 9 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).alias("actual"))
     named = _corrupted(spark, sf_dir).select("doc_id", "name").join(now, "doc_id")
     return named.select(verdict(F.col("name"), F.col("actual")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("files"))
+
+
+@query("SELECT c_custkey, round_even((c_custkey % 360) / 7.0::DOUBLE, 7) AS rounded FROM customer")
+def round_coordinates(spark, sf_dir):
+    return read_table(spark, sf_dir, "customer").select("c_custkey", X.round7((F.col("c_custkey") % 360).cast("double") / F.lit(7.0)).alias("rounded"))
+
+
+@query("SELECT p_partkey, json_object('id', p_partkey, 'name', p_name, 'size', CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END)::VARCHAR AS encoded FROM part")
+def json_encode(spark, sf_dir):
+    size = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", X.json_encode(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), size.alias("size")).alias("encoded"))
+
+
+_LISTS = "CASE p_partkey % 4 WHEN 0 THEN '[\"a\", ' || p_size || ', true]' WHEN 1 THEN '\"text\"' WHEN 2 THEN '{broken' ELSE '[]' END"
+
+
+@query(f"SELECT p_partkey, array_to_string(CASE WHEN json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'ARRAY' THEN json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$[*]') ELSE [] END, '|') AS items, coalesce(nullif(subject, ''), 'photo') AS subject FROM (SELECT p_partkey, {_LISTS} AS raw, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS subject FROM part)")
+def coerced_fields(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.concat(F.lit('["a", '), F.col("p_size").cast("string"), F.lit(", true]"))).when(k == 1, '"text"').when(k == 2, "{broken").otherwise("[]")
+    subject = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_name"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.coerce_list(raw), "|").alias("items"), X.coerce_subject(subject).alias("subject"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import shutil
 import uuid
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 
 from stowage.sources.files import file_digest
 
+logger = logging.getLogger(__name__)
+
 
 def copy_file(source: str, target: str) -> None:
     """Copies content and times; readers see the whole file or none."""
@@ -66,8 +69,8 @@ def organize_files(rows: DataFrame, sidecars: bool = False) -> DataFrame:
                 if sidecars:
                     try:
                         write_sidecar(target, json.loads(column["sidecar"][i]))
-                    except OSError:
-                        pass
+                    except Exception as error:  # the copy stands
+                        logger.warning("no sidecar for %s: %s", target, error)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(status, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "status", "error"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

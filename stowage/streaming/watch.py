@@ -91,8 +91,7 @@ def _reconcile(organizer: Organizer, failures, limit: int, quarantine_dir: str |
     catalog.commit(failed_files=after)
     stats.quarantined += fresh.count()
     if quarantine_dir:
-        target = F.concat(F.lit(f"{quarantine_dir}/"), X.quarantine_prefix(F.col("source_path")), F.lit("_"), X.base_name(F.col("source_path")))
-        sinks.copy_aside(fresh.withColumn("target", target)).count()
+        sinks.copy_aside(fresh.withColumn("target", X.quarantine_path(quarantine_dir, F.col("source_path")))).count()
 
 
 def watch(organizer: Organizer, source: str, interval: float = C.POLL_SECONDS, stop: threading.Event | None = None, sleep: Callable[[float], object] | None = None, breaker: Breaker | None = None, **options) -> PassStats:

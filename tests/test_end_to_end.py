@@ -1,6 +1,8 @@
 """Real files: organize, repeat, verify, corrupt, watch."""
 
+import json
 import os
+import sys
 
 import pytest
 
@@ -164,11 +166,121 @@ def test_breaker_states():
     assert not off.is_open and off.room is None
 
 
-def test_exif_values():
-    from fractions import Fraction
+def tiff(order, fields, gps=None, sub=None):
+    """A TIFF block. fields: tag -> (type, values), a rational being a pair."""
+    import struct
 
-    assert exif.decimal_degrees((Fraction(10), Fraction(30), Fraction(0)), b"S") == -10.5
-    assert exif.number((1, 0)) == 0.0 and exif.number(Fraction(1, 4)) == 0.25
-    assert exif.gps_fields({"GPSLatitude": (1.0, 30.0, 0.0), "GPSLongitude": "x"})["latitude_decimal"] == 1.5
-    assert exif.plain({"v": b"0230", "n": [b"\xff"], 3: object}) | {"3": 0} == {"v": "0230", "n": ["�"], "3": 0}
-    assert exif.read_exif("/nowhere.jpg") == {}
+    code = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 7: "s", 10: "ii", 11: "f"}
+    body, place = b"", 8
+
+    def directory(entries, at):
+        head, tail = struct.pack(f"{order}H", len(entries)), b""
+        over = at + 2 + 12 * len(entries) + 4
+        for tag, (kind, values) in sorted(entries.items()):
+            if code[kind] == "s":
+                raw, n = values, len(values)
+            else:
+                flat = [x for v in values for x in (v if isinstance(v, tuple) else (v,))]
+                raw, n = struct.pack(f"{order}{len(flat)}{code[kind][0]}", *flat), len(values)
+            if len(raw) > 4:
+                head += struct.pack(f"{order}HHII", tag, kind, n, over + len(tail))
+                tail += raw
+            else:
+                head += struct.pack(f"{order}HHI", tag, kind, n) + raw.ljust(4, b"\0")
+        return head + bytes(4) + tail
+
+    fields = dict(fields)
+    for tag, entries in ((34665, sub), (34853, gps)):
+        if entries:
+            fields[tag] = (4, [0])
+    body = directory(fields, place)
+    for tag, entries in ((34665, sub), (34853, gps)):
+        if entries:
+            fields[tag] = (4, [place + len(body)])
+            body = directory(fields, place) + body[len(directory(fields, place)) :] + directory(entries, place + len(body))
+    return {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(f"{order}I", 8) + body
+
+
+def jpeg(block=b"", width=8, height=6):
+    import struct
+
+    app = b"\xff\xe1" + struct.pack(">H", len(block) + 8) + b"Exif\0\0" + block if block else b""
+    return b"\xff\xd8" + app + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, height, width, 3) + bytes(9) + b"\xff\xda\0\2\xff\xd9"
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_exif_of_real_bytes(tmp_path, order):
+    gps = {1: (2, b"S\0"), 2: (5, [(10, 1), (30, 1), (36, 10)]), 3: (2, b"W\0"), 4: (5, [(5, 1), (3, 1)]), 99: (2, b"odd\0")}
+    sub = {33434: (5, [(1, 250)]), 33437: (5, [(4, 0)]), 36864: (7, b"0230"), 34855: (3, [400]), 37386: (11, [float("nan")]), 37500: (7, b"private")}
+    block = tiff(order, {271: (2, b"Maker\0"), 274: (3, [6]), 305: (2, b"\xff soft\0rest"), 999: (3, [1])}, gps, sub)
+    path = tmp_path / "a.jpg"
+    path.write_bytes(jpeg(block))
+    got = exif.read_exif(str(path))
+    assert got == {
+        "format": "JPEG", "mode": "RGB", "width": 8, "height": 6, "Make": "Maker", "Orientation": 6, "Software": "\ufffd soft", "ExposureTime": 0.004, "FNumber": 0.0, "ExifVersion": "0230", "ISOSpeedRatings": 400, "FocalLength": None,
+        "GPS": {"GPSLatitudeRef": "S", "GPSLatitude": [10.0, 30.0, 3.6], "GPSLongitudeRef": "W", "GPSLongitude": [5.0, 3.0], "GPS_99": "odd", "latitude_decimal": -10.501},
+    }
+    path.write_bytes(tiff(order, {256: (3, [7]), 257: (4, [9]), 272: (2, b"M2\0")}))
+    assert exif.read_exif(str(path)) == {"format": "TIFF", "width": 7, "height": 9, "Model": "M2"}
+    whole = jpeg(block)
+    for cut in range(0, len(whole), 7):  # whatever is cut or broken, nothing is raised
+        path.write_bytes(whole[:cut])
+        assert isinstance(exif.read_exif(str(path)), dict)
+        path.write_bytes(whole[:cut] + b"\xff" * 9 + whole[cut + 9 :])
+        assert isinstance(exif.read_exif(str(path)), dict)
+
+
+def test_exif_of_other_formats_and_tables(spark, tmp_path):
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 6, 0, 0, 0)) + chunk(b"eXIf", tiff(">", {271: (2, b"P\0")})) + chunk(b"IEND", b"")
+    for name, data in {"p.png": png, "g.gif": b"GIF89a" + struct.pack("<HH", 5, 4), "plain.jpg": jpeg(), "bad.jpg": b"\0\1not a picture"}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {os.path.basename(r["source_path"]): json.loads(r["exif"]) for r in exif.with_exif(files.scan(spark, str(tmp_path))).collect()}
+    assert rows["p.png"] == {"format": "PNG", "mode": "RGBA", "width": 3, "height": 2, "Make": "P"}
+    assert rows["g.gif"] == {"format": "GIF", "mode": "P", "width": 5, "height": 4} and rows["bad.jpg"] == {}
+    assert rows["plain.jpg"] == {"format": "JPEG", "mode": "RGB", "width": 8, "height": 6} and exif.read_exif("/nowhere.jpg") == {}
+
+
+class Fake:
+    """A client that answers what it is told to and keeps what it was asked."""
+
+    def __init__(self, said):
+        self.said, self.asked, self.chat = said, [], self
+        self.completions = self
+
+    def create(self, **asked):
+        self.asked.append(asked)
+        message = type("M", (), {"content": self.said})
+        return type("R", (), {"choices": [type("C", (), {"message": message})]})
+
+
+def test_vision_backend(tmp_path, monkeypatch):
+    from stowage.plans.classifiers import VisionClassifier, coerced
+
+    path = tmp_path / "a.png"
+    path.write_bytes(b"picture")
+    backend = VisionClassifier("model-x", "http://localhost:1/v1", None, 7.0)
+    assert backend.api_key and backend.timeout == 7.0
+    backend._made = Fake('{"primary_subject": "", "objects": "oops", "tags": ["a", 1], "scene": "beach"}')
+    assert coerced(backend.describe(str(path))) == ("photo", "beach", [], "", ["a", "1"], "", "model-x")
+    asked = backend._made.asked[0]
+    assert asked["response_format"] == {"type": "json_object"} and asked["messages"][0]["content"][1]["image_url"]["url"].startswith("data:image/png;base64,")
+    for said in ("no json", "[1, 2]", "", None):
+        backend._made = Fake(said)
+        assert coerced(backend.describe(str(path))) == ("photo", "", [], "", [], "", "model-x")
+    backend._made = Fake(" Birthdays ")
+    assert backend.adjudicate("bdays", ["holidays", "birthdays"]) == "birthdays" and backend.adjudicate("x", ["holidays"]) is None
+    backend._made = Fake("about 12, rather 500 or 400")
+    assert backend.pick_class({"primary_subject": "x"}) == "500"
+    backend._made = Fake("none")
+    assert backend.pick_class({}) == "900"
+    assert VisionClassifier("m").__getstate__()["_made"] is None
+    monkeypatch.setitem(sys.modules, "openai", None)
+    monkeypatch.setattr("importlib.util.find_spec", lambda name: None)
+    with pytest.raises(RuntimeError, match="openai package"):
+        VisionClassifier("m").client

@@ -13,11 +13,11 @@ def rows(cursor_rows, columns):
     return sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in cursor_rows), key=repr)
 
 
-@pytest.fixture(scope="module")
-def duck():
+@pytest.fixture
+def duck(data):
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+        c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     return c
 
 
