@@ -8,8 +8,9 @@ import os
 import signal
 import sys
 import threading
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage import __version__
@@ -18,10 +19,10 @@ from stowage.operators import catalog as K
 from stowage.operators import dedup
 from stowage.plans.classifiers import StubClassifier, VisionClassifier
 from stowage.plans.organize import Organizer, verify_tree
-from stowage.session import stored
+from stowage.session import stored, temporary_tables
 from stowage.sources import files
 from stowage.streaming.breaker import Breaker
-from stowage.streaming.watch import watch
+from stowage.streaming.watch import guarded, watch
 
 
 def _env(name: str, default):
@@ -44,11 +45,14 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--backend", choices=("stub", "vision"), default=_env("BACKEND", "stub"))
         q.add_argument("--model", default=_env("MODEL", ""))
         q.add_argument("--base-url", default=os.environ.get("STOWAGE_BASE_URL"))
+        q.add_argument("--ai-timeout", type=float, default=_env("AI_TIMEOUT", 60.0))
+        q.add_argument("--trip-threshold", type=int, default=_env("TRIP_THRESHOLD", C.TRIP_THRESHOLD), help="failures in a row that stop the run (0: none)")
         if name == "process":
             q.add_argument("--dry-run", action="store_true")
         else:
             q.add_argument("--interval", type=float, default=_env("INTERVAL", C.POLL_SECONDS))
-            q.add_argument("--trip-threshold", type=int, default=_env("TRIP_THRESHOLD", C.TRIP_THRESHOLD))
+            q.add_argument("--breaker-backoff", type=float, default=_env("BREAKER_BACKOFF", C.BACKOFF_BASE))
+            q.add_argument("--breaker-backoff-cap", type=float, default=_env("BREAKER_BACKOFF_CAP", C.BACKOFF_CAP))
             q.add_argument("--poison-limit", type=int, default=_env("POISON_LIMIT", C.POISON_LIMIT))
             q.add_argument("--quarantine-dir", default=os.environ.get("STOWAGE_QUARANTINE_DIR"))
     q = sub.add_parser("verify")
@@ -64,18 +68,33 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _organizer(spark: SparkSession, a) -> Organizer:
-    backend = VisionClassifier(a.model, a.base_url, os.environ.get("STOWAGE_API_KEY")) if a.backend == "vision" else StubClassifier()
+    if a.backend == "vision":
+        VisionClassifier.available()
+    backend = VisionClassifier(a.model, a.base_url, os.environ.get("STOWAGE_API_KEY"), a.ai_timeout) if a.backend == "vision" else StubClassifier()
     dry = getattr(a, "dry_run", False)
     return Organizer(K.Catalog(spark, a.catalog or f"{a.organized_dir}/.catalog"), a.organized_dir, backend, a.duplicates_dir, a.sidecars, dry)
 
 
 def process(spark: SparkSession, a) -> int:
-    results = stored(_organizer(spark, a).run(files.scan(spark, a.source, a.recursive)))
-    s = dedup.run_stats(results).first()
-    for row in results.where("status = 'error'").orderBy("source_path").limit(1000).collect():
-        print(f"FAIL {row['source_path']}: {row['error']}", file=sys.stderr)
+    try:
+        organizer, breaker = _organizer(spark, a), Breaker(a.trip_threshold)
+    except RuntimeError as error:
+        print(error, file=sys.stderr)
+        return 1
+    with temporary_tables(spark):
+        parts = list(guarded(organizer, stored(files.scan(spark, a.source, a.recursive)), breaker))
+        results = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "source_path string, status string, error string")
+        results = results.where("status <> 'untried'")
+        s = dedup.run_stats(results).first()
+        for row in results.where("status = 'error'").orderBy("source_path").toLocalIterator():
+            print(f"FAIL {row['source_path']}: {row['error']}", file=sys.stderr)
+    organizer.catalog.vacuum()
+    if a.dry_run:
+        print("dry run: nothing was written")
     print(f"total {s['total']}, copied {s['copied']}, duplicates {s['duplicates']}, skipped {s['skipped']}, errors {s['errors']}")
-    return int(s["errors"] > 0)
+    if breaker.is_open:
+        print(f"the backend appears down: stopped after {breaker.threshold} failures in a row ({s['copied'] + s['duplicates']} processed)", file=sys.stderr)
+    return int(s["errors"] > 0 or breaker.is_open)
 
 
 def verify(spark: SparkSession, a) -> int:
@@ -104,7 +123,7 @@ def watching(spark: SparkSession, a) -> int:
     stop = threading.Event()
     for s in (signal.SIGINT, signal.SIGTERM):
         signal.signal(s, lambda *_: stop.set())
-    total = watch(_organizer(spark, a), a.source, a.interval, stop, breaker=Breaker(a.trip_threshold), recursive=a.recursive, poison_limit=a.poison_limit, quarantine_dir=a.quarantine_dir)
+    total = watch(_organizer(spark, a), a.source, a.interval, stop, breaker=Breaker(a.trip_threshold, a.breaker_backoff, cap=a.breaker_backoff_cap), recursive=a.recursive, poison_limit=a.poison_limit, quarantine_dir=a.quarantine_dir)
     print(total)
     return 0
 

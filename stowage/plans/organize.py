@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import expressions as X
@@ -12,7 +12,7 @@ from stowage.operators import catalog as K
 from stowage.operators import concepts, dedup
 from stowage.operators import taxonomy as T
 from stowage.plans.adjudicate import resolve_with
-from stowage.plans.classifiers import Classifier, StubClassifier
+from stowage.plans.classifiers import UNTRIED, Classifier, StubClassifier
 from stowage.session import stored
 from stowage.sources import exif, files, sinks
 
@@ -48,8 +48,11 @@ class Organizer:
     sidecars: bool = False
     dry_run: bool = False
 
-    def run(self, batch: DataFrame) -> DataFrame:
-        """source_path, digest, status, organized_path, error for a batch of source_path, size, mtime_ns."""
+    def run(self, batch: DataFrame, give_up: int = 0) -> DataFrame:
+        """source_path, digest, status, organized_path, error for a batch of source_path, size, mtime_ns.
+
+        With ``give_up``, files that are left when the backend has failed so often in a row have the status ``untried``.
+        """
         hashed = stored(files.with_digests(batch))
         unread = hashed.where("error IS NOT NULL").select("source_path", "digest", F.lit("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), "error")
         good = hashed.where("error IS NULL").drop("error")
@@ -59,18 +62,27 @@ class Organizer:
             return marked.select("source_path", "digest", "status", F.lit(None).cast("string").alias("organized_path"), F.lit(None).cast("string").alias("error")).unionByName(unread)
         known = good.join(photos.select("digest"), "digest", "left_semi")
         pending, done, repeats = good.join(photos.select("digest"), "digest", "left_anti"), unread, known.select("source_path", "digest")
-        # a file that fails leaves its bytes to the next path, so a round tries one path of each digest
+        # a file that fails leaves its bytes to the next path: a round asks about one path of each digest, the next round
+        # about two of those that are left, then four, so that many copies that all fail take few rounds
+        paths = 1
         while True:
-            first = pending.groupBy("digest").agg(F.min("source_path").alias("source_path"))
-            tried = pending.join(first, ["digest", "source_path"], "left_semi")
+            if paths == 1:
+                first = pending.groupBy("digest").agg(F.min("source_path").alias("source_path"))
+                tried = pending.join(first, ["digest", "source_path"], "left_semi")
+            else:
+                rank = F.row_number().over(Window.partitionBy("digest").orderBy("source_path"))
+                tried = pending.withColumn("__rank", rank).where(F.col("__rank") <= paths).drop("__rank")
             if tried.isEmpty():
                 break
-            result = self._attempt(tried)
+            result = self._attempt(tried, give_up)
             done = done.unionByName(result.select(*RESULT))
             copied = result.where("status = 'copied'").select("digest")
-            rest = pending.join(first, ["digest", "source_path"], "left_anti")
+            rest = pending.join(result.select("source_path"), "source_path", "left_anti")
             repeats = repeats.unionByName(rest.join(copied, "digest", "left_semi").select("source_path", "digest"))
-            pending = stored(rest.join(copied, "digest", "left_anti"))
+            pending, paths = stored(rest.join(copied, "digest", "left_anti")), 2 * paths
+            if give_up and not result.where("status = 'untried'").isEmpty():
+                done = done.unionByName(pending.select("source_path", "digest", F.lit("untried").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.lit(UNTRIED).alias("error")))
+                break
         repeats = stored(repeats)
         self._repeat(repeats)
         return done.unionByName(repeats.select("source_path", "digest", F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.lit(None).cast("string").alias("error")))
@@ -83,11 +95,14 @@ class Organizer:
         if self.duplicates_dir:
             sinks.copy_aside(repeats.withColumn("target", X.duplicate_path(self.duplicates_dir, F.col("digest"), F.col("source_path")))).count()
 
-    def _attempt(self, tried: DataFrame) -> DataFrame:
+    def _attempt(self, tried: DataFrame, give_up: int = 0) -> DataFrame:
+        """The result of every path that failed, and of the first of each digest that could be described."""
         backend, nodes, learned = self.classifier or StubClassifier(), T.seed_taxonomy(tried.sparkSession, self.catalog.read("taxonomy")), self.catalog.read("learned_concepts")
-        described = stored(backend.describe_files(exif.with_exif(tried)).withColumn("pos", F.col("source_path")))
+        described = stored(backend.describe_files(exif.with_exif(tried), give_up).withColumn("pos", F.col("source_path")))
         failed = described.where("failure IS NOT NULL")
-        classed = stored(concepts.class_for(described.where("failure IS NULL"), learned))
+        good = described.where("failure IS NULL")
+        first = good.groupBy("digest").agg(F.min("source_path").alias("source_path"))
+        classed = stored(concepts.class_for(good.join(first, ["digest", "source_path"], "left_semi"), learned))
         answers = stored(backend.answer(concepts.first_misses(classed)))
         decided = concepts.decide_class(classed, answers).withColumn("label", F.col("primary_subject"))
         if type(backend).adjudicate is Classifier.adjudicate:
@@ -101,7 +116,7 @@ class Organizer:
         side = F.to_json(F.struct("digest", F.col("source_path").alias("original_path"), "organized_path", F.col("code").alias("pcs_code"), X.normalize_descriptor(F.col("primary_subject")).alias("descriptor"), "caption", "scene", "objects", F.col("tags").alias("secondary_tags"), "ocr_text", "model_version", F.parse_json("exif").alias("exif")))
         result = stored(sinks.organize_files(placed.withColumn("sidecar", side), self.sidecars))
         self._commit(result.where("status = 'copied'"), nodes_then, learned, answers)
-        return result.select(*RESULT).unionByName(failed.select("source_path", F.lit("").alias("digest"), F.lit("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.col("failure").alias("error")))
+        return result.select(*RESULT).unionByName(failed.select("source_path", F.lit("").alias("digest"), F.when(F.col("failure") == UNTRIED, "untried").otherwise("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.col("failure").alias("error")))
 
     def _commit(self, copied: DataFrame, nodes: DataFrame, learned: DataFrame, answers: DataFrame) -> None:
         now, none = F.current_timestamp(), F.lit(None)

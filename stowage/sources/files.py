@@ -49,12 +49,18 @@ class _Reader(DataSourceReader):
         else:
             names = (e.path for e in os.scandir(partition.path))
         for name in names:
-            try:
-                if os.path.isfile(name):
-                    st = os.stat(name)
-                    yield name, st.st_size, st.st_mtime_ns
-            except OSError:
-                logger.warning("could not stat %s", name)
+            if os.path.isfile(name):
+                yield name, *_size_and_time(name)
+
+
+def _size_and_time(name: str) -> tuple[int | None, int | None]:
+    """Null for a file that went away since it was listed, which is an error of the pass."""
+    try:
+        st = os.stat(name)
+    except OSError as error:
+        logger.warning("could not stat %s: %s", name, error)
+        return None, None
+    return st.st_size, st.st_mtime_ns
 
 
 class FileSource(DataSource):
@@ -70,7 +76,10 @@ class FileSource(DataSource):
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = True, supported_only: bool = True) -> DataFrame:
-    """Regular files below ``path`` (or that one file); by default pictures alone. A missing path fails."""
+    """Regular files below ``path`` (or that one file); by default pictures alone. A missing path fails.
+
+    A file that can't be looked at has null size and time.
+    """
     spark.dataSource.register(FileSource)
     df = spark.read.format("stowage_files").option("recursive", str(recursive).lower()).load(path)
     return df.where(X.is_supported(F.col("source_path"))) if supported_only else df

@@ -1,24 +1,26 @@
 """Incremental passes over a source, in a loop on the driver.
 
 A file stream would take a rewritten file for an old one and would not try failures again, so a pass is an anti-join
-of the listing with what was seen. Where a breaker guards the backend, a pass goes in chunks, in order of path, each no
-larger than the failures that would trip it: no file after the trip is tried. Without one a pass is a single batch.
+of the listing with what was seen. Where a breaker guards the backend, a pass goes in chunks in order of path. The first
+is no larger than the failures that would trip the breaker; while chunks end well the next is twice as large (``MOST``
+at most), so a healthy pass takes few of them. In a larger chunk every task stops asking after as many failures in a row.
 """
 
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import constants as C
 from stowage.functions import expressions as X
 from stowage.operators import incremental as I
 from stowage.plans.organize import Organizer
-from stowage.session import stored
+from stowage.session import stored, temporary_tables
 from stowage.sources import files, sinks
 from stowage.streaming.breaker import Breaker
 
@@ -35,6 +37,34 @@ class PassStats:
         return PassStats(*(getattr(self, f.name) + getattr(other, f.name) for f in fields(self)))
 
 
+#: Files of a chunk; their paths and statuses come to the driver.
+MOST = 50_000
+
+
+def guarded(organizer: Organizer, todo: DataFrame, breaker: Breaker | None) -> Iterator[DataFrame]:
+    """The results of chunks of files, with size and mtime_ns, until all are done or the breaker opens."""
+    columns = ["source_path", "digest", "status", "organized_path", "error"]
+    if breaker is None or breaker.room is None:
+        yield stored(organizer.run(todo).select(*columns).join(todo.select("source_path", "size", "mtime_ns"), "source_path"))
+        return
+    after, size, left = "", breaker.room, todo.count()
+    while left > 0:
+        chunk = stored(todo.where(F.col("source_path") > after).orderBy("source_path").limit(size))
+        results = stored(organizer.run(chunk, breaker.threshold).select(*columns).join(chunk.select("source_path", "size", "mtime_ns"), "source_path"))
+        rows, stop = results.select("source_path", "status").orderBy("source_path").collect(), False
+        for row in rows:
+            if row["status"] in ("error", "untried"):
+                stop = stop or row["status"] == "untried"
+                breaker.failure()
+            elif not breaker.is_open:
+                breaker.success()
+        yield results
+        if breaker.is_open or stop or not rows:
+            return
+        after, left = rows[-1]["source_path"], left - len(rows)
+        size = breaker.room if breaker.failures or breaker.room == 1 else min(MOST, 2 * size)
+
+
 def run_pass(organizer: Organizer, source: str, recursive: bool = True, breaker: Breaker | None = None, poison_limit: int = C.POISON_LIMIT, quarantine_dir: str | None = None) -> PassStats:
     catalog, stats = organizer.catalog, PassStats(passes=1)
     spark = catalog.spark
@@ -43,39 +73,28 @@ def run_pass(organizer: Organizer, source: str, recursive: bool = True, breaker:
     except (OSError, PySparkException):
         stats.errors += 1  # the source is gone; the next pass tries again
         return stats
-    todo = I.unseen(listed, catalog.read("source_seen"))
+    found = listed.where("size IS NOT NULL")
+    todo = I.unseen(found, catalog.read("source_seen"))
     if breaker:
         todo = I.not_quarantined(todo, catalog.read("failed_files"))
     todo = stored(todo)
-    left = todo.count()
-    stats.skipped_unchanged = listed.count() - left
-    failures, tripped, after = [], False, ""
-    while left and not tripped:
-        room = breaker.room if breaker else None
-        batch = todo if room is None else stored(todo.where(F.col("source_path") > after).orderBy("source_path").limit(room))
-        results = stored(organizer.run(batch).select("source_path", "digest", "status", "error"))
-        done = results.join(batch, "source_path")
+    sizes = listed.agg(F.count("*").alias("all"), F.count("size").alias("found")).first()
+    stats.skipped_unchanged, gone = sizes["found"] - todo.count(), sizes["all"] - sizes["found"]
+    failures, healthy = [], 0
+    for done in guarded(organizer, todo, breaker):
+        tally = {r["status"]: r["n"] for r in done.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        stats.errors += tally.get("error", 0)
+        healthy += sum(n for s, n in tally.items() if s in ("copied", "duplicate"))
         good = done.where("status IN ('copied', 'duplicate')")
-        catalog.commit(source_seen=I.record_seen(catalog.read("source_seen"), good.select("source_path", "size", "mtime_ns", "digest", F.current_timestamp().alias("seen_at"))))
+        changes = {"source_seen": I.record_seen(catalog.read("source_seen"), good.select("source_path", "size", "mtime_ns", "digest", F.current_timestamp().alias("seen_at")))}
         if breaker:
-            catalog.commit(failed_files=I.clear_failures(catalog.read("failed_files"), good))
+            changes["failed_files"] = I.clear_failures(catalog.read("failed_files"), good)
+        catalog.commit(**changes)
         failures.append(done.where("status = 'error'").select("source_path", "size", "mtime_ns", F.coalesce("error", F.lit("")).alias("error")))
-        if room is None:
-            tally = {r["status"]: r["n"] for r in done.groupBy("status").agg(F.count("*").alias("n")).collect()}
-            stats.errors += tally.get("error", 0)
-            stats.processed += sum(n for s, n in tally.items() if s != "error")
-            break
-        for row in done.select("source_path", "status").orderBy("source_path").collect():  # at most ``room`` rows
-            after, left = row["source_path"], left - 1
-            if row["status"] == "error":
-                stats.errors += 1
-                breaker.failure()
-                tripped = breaker.is_open
-            else:
-                stats.processed += 1
-                breaker.success()
-    if breaker and not tripped and stats.processed and stats.errors:
+    stats.processed = healthy
+    if breaker and not breaker.is_open and stats.processed and stats.errors:
         _reconcile(organizer, failures, poison_limit, quarantine_dir, stats)
+    stats.errors += gone  # files that went away or could not be looked at while they were listed
     return stats
 
 
@@ -105,7 +124,9 @@ def watch(organizer: Organizer, source: str, interval: float = C.POLL_SECONDS, s
                 sleep(wait)
                 continue
             breaker.probe()
-        total += run_pass(organizer, source, breaker=breaker, **options)
+        with temporary_tables(organizer.catalog.spark):
+            total += run_pass(organizer, source, breaker=breaker, **options)
+        organizer.catalog.vacuum()
         if not stop.is_set() and not (breaker and breaker.is_open):
             sleep(interval)
     return total

@@ -140,6 +140,61 @@ def test_outage_trips_the_breaker_and_counts_nothing(spark, tmp_path):
     assert waits == [60.0, 120.0] and total.errors == 1  # one probe, which fails
 
 
+def test_process_stops_when_the_backend_is_down(spark, tmp_path, monkeypatch, capsys):
+    src = tmp_path / "s"
+    for i in range(6):
+        picture(src / f"bad_{i}.jpg", bytes([i]))
+    monkeypatch.setattr(cli, "StubClassifier", Picky)
+    args = ["process", str(src), "--organized-dir", str(tmp_path / "o"), "--catalog", str(tmp_path / "c"), "--trip-threshold"]
+    assert cli.main([*args, "2"], spark) == 1
+    said = capsys.readouterr()
+    assert "backend appears down: stopped after 2" in said.err and "errors 2" in said.out and said.err.count("FAIL") == 2
+    assert cli.main([*args, "0"], spark) == 1 and "errors 6" in capsys.readouterr().out
+    assert cli.main([*args, "2", "--dry-run"], spark) == 0 and "nothing was written" in capsys.readouterr().out
+
+
+def test_chunks_grow_while_the_backend_is_well(spark, tmp_path):
+    src = tmp_path / "s"
+    for i in range(20):
+        picture(src / f"{'bad' if i in (8, 13) else 'zgood'}_{i:02}.jpg" if i > 5 else src / f"a_{i:02}.jpg", bytes([i]))
+    job, ran = Organizer(Catalog(spark, str(tmp_path / "c")), str(tmp_path / "o"), Picky()), []
+    run = job.run
+    job.run = lambda batch, give_up=0: ran.append(batch.count()) or run(batch, give_up)
+    stats = run_pass(job, str(src), breaker=Breaker(3))
+    assert (stats.processed, stats.errors) == (18, 2) and sum(ran) == 20 and len(ran) <= 4
+
+
+def test_many_failing_copies_take_few_rounds(spark, tmp_path):
+    src = tmp_path / "s"
+    for i in range(12):
+        picture(src / f"bad_{i:02}.jpg", b"same")
+    picture(src / "good.jpg", b"same")
+    picture(src / "zlast.jpg", b"same")
+    job, rounds = Organizer(Catalog(spark, str(tmp_path / "c")), str(tmp_path / "o"), Picky()), []
+    attempt = job._attempt
+    job._attempt = lambda tried, give_up=0: rounds.append(1) or attempt(tried, give_up)
+    got = {os.path.basename(r["source_path"]): r["status"] for r in job.run(files.scan(spark, str(src))).collect()}
+    assert len(rounds) == 4 and got.pop("good.jpg") == "copied" and got.pop("zlast.jpg") == "duplicate" and set(got.values()) == {"error"}
+
+
+def test_a_file_that_goes_away_is_an_error_of_the_pass(spark, tmp_path, monkeypatch):
+    from stowage.streaming import watch as W
+
+    src = tmp_path / "s"
+    picture(src / "a.jpg", b"a")
+    os.symlink(str(tmp_path / "nowhere.jpg"), src / "link.jpg")  # no file, so not listed
+    assert files._size_and_time(str(src / "nowhere.jpg")) == (None, None)
+    job = Organizer(Catalog(spark, str(tmp_path / "c")), str(tmp_path / "o"))
+    scan = files.scan
+    gone = spark.createDataFrame([(str(src / "b.jpg"), None, None)], files.SCHEMA)
+    monkeypatch.setattr(W.files, "scan", lambda *a: scan(*a).unionByName(gone))
+    stats = run_pass(job, str(src), breaker=Breaker(3))
+    assert (stats.processed, stats.errors) == (1, 1)
+    stop = type("Stop", (), {"n": 0, "is_set": lambda self: self.n > 1, "wait": lambda self, s: setattr(self, "n", self.n + 1)})()
+    watch(job, str(src), stop=stop, breaker=Breaker(3))
+    assert all(len(os.listdir(tmp_path / "c" / name)) == 1 for name in ("photos", "source_seen"))  # old versions are gone
+
+
 def test_breaker_states():
     now = [0.0]
     b = Breaker(2, 60, 2, 100, clock=lambda: now[0])
