@@ -30,9 +30,33 @@ def test_stages(spark, data):
         assert not brute_base(t) and (t == texts[3][i] or brute_base(texts[3][i]) or "<" in t)
     assert out[4].where(F.col("n_chars") != F.length("text")).count() == 0
     last = {r["doc_id"]: r for r in out[5].collect()}
+    assert sorted(map(str, P.run(spark, data).collect())) == sorted(map(str, last.values()))
     assert last.keys() <= texts[4].keys() and all(r["taken"] > 0 and r["size"] == len(WORD.findall(texts[4][i])) for i, r in last.items())
 
 
+def test_stages_on_odd_rows_and_names(spark, data, docs, empty):
+    """Nulls, repeated rows, an empty table and clashing names go through every stage, each on its own."""
+    import corpus_pipeline as P
+
+    names = ["__id", "__h", "row", "one", "two", "n", "at", "item", "part", "key", "sid", "block", "start"]
+    odd = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names) if n not in docs.columns))
+    size = odd.count()
+    for name, stage in P.STAGES[:4]:
+        got = stage(spark, odd, data)
+        assert got.columns == odd.columns and got.count() <= size, name
+        assert stage(spark, odd.where("false"), data).count() == 0, name
+    kept = P.near_duplicates(spark, odd, data)
+    roots = brute_components([brute_fingerprint(r["text"]) for r in odd.collect()])
+    assert kept.count() == len(set(roots))
+    told = {r["doc_id"] for r in P.language_id(spark, odd, data).collect()}
+    assert not told & {34, 35, 36, 37} and 0 in told
+    clean = {(r["doc_id"], r["text"]) for r in P.pii(spark, odd, data).collect()}
+    assert len(clean) <= size and any(t and "<EMAIL>" in t for _, t in clean) and any(t is None for _, t in clean)
+    assert P.decontamination(spark, odd, data).count() == size  # no benchmark item in there
+    taken = P.mixing(spark, odd, data).collect()
+    assert all(0 < r["taken"] <= 2 * r["size"] for r in taken) and P.mixing(spark, empty, data).count() == 0
+
+
 def test_registry(spark, data):
     from stowage.llm import registry
 
