@@ -12,12 +12,12 @@ Beside the score stands a unigram base over words. Words are counted as 64-bit h
 are looked up in a table of that size, all others meet their counts in a join, so every word counts exactly.
 
 A symbol's probability depends on the ``ORDER`` bytes before it alone, so it is worked out once for every place that
-occurs anywhere: places are dealt out by their last two context bytes, and a task builds the trie of its own contexts
-below the counts of order 0 and 1 (at most 65,536). The ``NODES`` commonest places are looked up in a table of that
+occurs anywhere: places are dealt out by their last three context bytes, and a task builds the trie of its own contexts
+below the counts of order 0 to 2, which are sent to all tasks (one per string of three bytes that occurs). The ``NODES`` commonest places are looked up in a table of that
 size, all others meet their probability in a join, as rare words do; no node is left out.
 
 Scale: two passes over the text, which is never shuffled. What the corpus gives is counted whole, each task adding up
-what it has before the shuffle. A task holds the places of one pair of context bytes at a time, and at least ``CHUNK``.
+what it has before the shuffle. A task holds the places of one string of three context bytes at a time, and at least ``CHUNK``.
 
 Defined results: a null text is empty (one token, the end); a text of any length is scored whole, one slice of texts at a
 time; counts that tie are the same node's or go together to the table or to the join, with the same result; without
@@ -44,6 +44,9 @@ NODES = 2 << 20
 HEAD = 1 << 20
 CHUNK = 1 << 19
 END = 255
+#: Context bytes that places are dealt out by, and the mask of as many bytes.
+DEALT = 3
+LOW = (1 << 8 * DEALT) - 1
 #: The hash of the token that ends a text.
 END_WORD = np.uint64(0x0123456789ABCDEF)
 _B = np.uint64(8)
@@ -258,18 +261,17 @@ def _count(source):
 
 
 def solved(keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log10 of the probability of each place; for any two context bytes either all places are there or none."""
+    """log10 of the probability of each place; for any ``DEALT`` context bytes either all places are there or none."""
     known = n > 0
-    pair = np.uint64(0xFFFF)
-    orders = [shorter(*low, 0), low] if len(low[0]) else []
+    orders = [*(shorter(*low, k) for k in range(DEALT - 1)), low] if len(low[0]) else []
     if not known.any():
-        return Trie(orders).logs(keys & pair)
+        return Trie(orders).logs(keys & np.uint64(LOW))
     train = tally(keys[known], n[known])
-    return Trie([*orders, *(shorter(*train, k) for k in range(2, ORDER)), train]).logs(keys)
+    return Trie([*orders, *(shorter(*train, k) for k in range(DEALT, ORDER)), train]).logs(keys)
 
 
-def _solve(low: tuple[np.ndarray, np.ndarray]):
-    """Over (key, n, every) sorted by the last two context bytes: (key, every, p)."""
+def _solve(shared):
+    """Over (key, n, every) sorted by the last ``DEALT`` context bytes: (key, every, p). shared: counts of the orders below."""
 
     def run(source):
         parts, held, enough = [], 0, CHUNK
@@ -280,7 +282,7 @@ def _solve(low: tuple[np.ndarray, np.ndarray]):
             held += batch.num_rows
             if held >= enough:
                 key, n, every = (np.concatenate(c) for c in zip(*parts, strict=True))
-                last = int(np.searchsorted((key >> 8) & 0xFFFF, (key[-1] >> 8) & 0xFFFF))
+                last = int(np.searchsorted((key >> 8) & LOW, (key[-1] >> 8) & LOW))
                 parts, held = [[key[last:], n[last:], every[last:]]], len(key) - last
                 enough = max(CHUNK, 2 * held)
                 if last:
@@ -289,7 +291,7 @@ def _solve(low: tuple[np.ndarray, np.ndarray]):
             yield answer(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
     def answer(key, n, every):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(every), pa.array(solved(key.view(np.uint64), n, low))], names=["key", "n", "p"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(every), pa.array(solved(key.view(np.uint64), n, shared.value))], names=["key", "n", "p"])
 
     return run
 
@@ -337,10 +339,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     ends = tokens.where(F.col("key") == int(END_WORD)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     grams = counts.where(f"kind = {GRAM}").select("key", "n", "every")
-    low = _arrays(grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")))
-    pair = F.col("key").bitwiseAND(F.lit(0xFFFF00))
-    dealt = grams.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair").select("key", "n", "every")
-    places = stored(mapped(dealt, _solve(low), "key long, n long, p double"))
+    low = _arrays(grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(LOW)).alias("key")).agg(F.sum("n").alias("n")))
+    dealt = grams.withColumn("by", F.shiftright("key", 8).bitwiseAND(F.lit(LOW))).repartition("by").sortWithinPartitions("by").select("key", "n", "every")
+    places = stored(mapped(dealt, _solve(spark.sparkContext.broadcast(low)), "key long, n long, p double"))
     usual = _arrays(_commonest(places, nodes), "p")
     common = _arrays(_commonest(tokens, head))
     model, name = spark.sparkContext.broadcast((usual, common)), uuid.uuid4().hex
