@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import expressions as X
 from stowage.operators import taxonomy as T
+from stowage.session import stored
 
 HISTORY = "array<struct<event:string,source:string,destination:string,duplicate_path:string,at:timestamp>>"
 SCHEMAS = {
@@ -121,21 +122,18 @@ def upsert(photos: DataFrame, new: DataFrame) -> DataFrame:
 
 def _numbered(rows: DataFrame, top: DataFrame) -> DataFrame:
     """Gives rows without an id the next ones, in order of original_path: ranks within ranges, then offsets of ranges."""
+    rows = stored(rows)  # read three times
     fresh = rows.where("id IS NULL").repartitionByRange("original_path").sortWithinPartitions("original_path", "digest")
     start = top.first()["top"]
-    if fresh.isEmpty():
-        return rows
     placed = fresh.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    from stowage.session import stored
-
     placed = stored(placed)  # the parts must not change between the two uses
-    sizes = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row a task
-    offsets, at = {}, start + 1
-    for part in sorted(sizes):
-        offsets[part] = at
-        at += sizes[part]
-    lookup = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))
-    numbered = placed.withColumn("id", F.element_at(lookup, F.col("__part")) + F.col("__n")).drop("__part", "__n")
+    sizes = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect())  # one row a task
+    offsets, at = [], start + 1
+    for part, n in sizes:
+        offsets.append((part, at))
+        at += n
+    shifts = F.broadcast(rows.sparkSession.createDataFrame(offsets, "__part int, __first long"))  # one row a task
+    numbered = placed.join(shifts, "__part").withColumn("id", F.col("__first") + F.col("__n"))
     return rows.where("id IS NOT NULL").unionByName(numbered.select(*rows.columns))
 
 
