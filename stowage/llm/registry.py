@@ -71,9 +71,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def rule_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op10, which SQL can express."""
+    from stowage.llm.rules import counted
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return counted(docs, "text").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+RULE_BASE_COUNTS = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    places AS (SELECT doc_id, i, [words[i], words[i + 1], words[i + 2]] AS said FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, said) AS n FROM places) WHERE n > 1),
+    repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(3) r(k) GROUP BY doc_id),
+    c AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated ON repeated.doc_id = w.doc_id)
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c"""
+
+
+def mix_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op9's sources, which SQL can express."""
+    from stowage.llm.mixing import weighed, word_count
+
+    docs = read_table(spark, sf_dir, "documents")
+    return weighed(docs.select("source", word_count(docs["text"]).alias("size"))).selectExpr("source", "n AS source_size", "target")
+
+
+#: The sources that stop at their cap are those with the least size for their weight.
+MIX_SOURCE_TARGETS = r"""
+    WITH s AS (SELECT source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS n FROM documents GROUP BY source),
+    r AS (SELECT source, n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+    o AS (SELECT *, row_number() OVER (ORDER BY n / w, source) AS k, 1.5::DOUBLE * sum(n) OVER () - 2.0::DOUBLE * (sum(n) OVER (ORDER BY n / w, source ROWS UNBOUNDED PRECEDING) - n) AS share, sum(w) OVER (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM r),
+    f AS (SELECT min(k) AS first, arg_min(share / rest, k) AS rate FROM o WHERE share / rest * w <= 2 * n)
+    SELECT source, n::BIGINT AS source_size, (CASE WHEN k >= first THEN rate * w ELSE 2.0 * n END)::DOUBLE AS target FROM o LEFT JOIN f ON true"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules}
+    return {"op1_license_scan": op1_license_scan, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules, "rule_base_counts": rule_base_counts, "mix_source_targets": mix_source_targets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"rule_base_counts": RULE_BASE_COUNTS, "mix_source_targets": MIX_SOURCE_TARGETS}
