@@ -374,18 +374,24 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     return whole.unionByName(twice).unionByName(sorted_out).unionByName(dealt)
 
 
-def _cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """(what is left, bytes removed, maximal runs removed)."""
-    kept, done, removed, runs, until = [], 0, 0, 0, -1
-    for a, b in sorted(spans):
-        if a > until:
-            runs += 1
-            kept.append(raw[done:a])
-            done = a
-        if b > done:
-            removed += b - done
-            done = until = b
-    return b"".join([*kept, raw[done:]]), removed, runs
+def _cut(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, int]:
+    """(what is left without the spans a..b, bytes removed, maximal runs removed)."""
+    if not len(a):
+        return raw, 0, 0
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    gap = np.concatenate([[True], a[1:] > b[:-1]])
+    firsts, lasts = a[gap], b[np.append(np.flatnonzero(gap)[1:] - 1, len(b) - 1)]
+    edges = [0, *np.stack([firsts, lasts], axis=1).ravel().tolist(), len(raw)]
+    return b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)), int((lasts - firsts).sum()), len(firsts)
+
+
+def _found(spans: pa.Scalar) -> list[np.ndarray]:
+    """a, b, later of a row's spans."""
+    values = spans.values if spans.is_valid else None
+    if values is None:
+        return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    return [values.field(j).to_numpy(zero_copy_only=False) for j in range(3)]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -394,7 +400,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def _spans_by_row(rows: DataFrame, crowd: int) -> DataFrame:
-    return repeated_spans(rows, crowd).groupBy("rid", "r2").agg(F.collect_set(F.struct("a", "b", "later")).alias("spans"))
+    return repeated_spans(rows, crowd).groupBy("rid", "r2").agg(F.collect_list(F.struct("a", "b", "later")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -409,10 +415,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in source:
             out = []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                raw, found = (text.as_py() or "").encode(), spans.as_py() or []
-                kept, removed, runs = _cut(raw, [(s["a"], s["b"]) for s in found])
-                first, later, _ = _cut(raw, [(s["a"], s["b"]) for s in found if s["later"]])
-                out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), later, hashlib.sha256(first).hexdigest()))
+                raw, (a, b, later) = (text.as_py() or "").encode(), _found(spans)
+                kept, removed, runs = _cut(raw, a, b)
+                first, gone, _ = _cut(raw, a[later], b[later])
+                out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), gone, hashlib.sha256(first).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in out], t) for j, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_later", "first_sha256"])
 
@@ -437,8 +443,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in source:
             texts, columns = [], batch.column(0).flatten()
             for text, spans in zip(columns[at], batch.column(1), strict=True):
-                said, found = text.as_py(), [(s["a"], s["b"]) for s in spans.as_py() or [] if s["later"] or not keep_first]
-                texts.append(_cut(said.encode(), found)[0].decode(errors="ignore") if found else said)
+                said, (a, b, later) = text.as_py(), _found(spans)
+                gone = later if keep_first else np.ones(len(a), bool)
+                texts.append(_cut(said.encode(), a[gone], b[gone])[0].decode(errors="ignore") if gone.any() else said)
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
 
