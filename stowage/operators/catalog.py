@@ -19,8 +19,8 @@ HISTORY = "array<struct<event:string,source:string,destination:string,duplicate_
 SCHEMAS = {
     "photos": f"id long, digest string, original_path string, organized_path string, pcs_version string, pcs_primary string, pcs_name string, secondary_tags array<string>, ai_caption string, objects array<string>, ocr_text string, exif string, model_version string, processing_history {HISTORY}, created_at timestamp, processed_at timestamp",
     "source_seen": "source_path string, size long, mtime_ns long, digest string, seen_at timestamp",
-    "taxonomy": T.SCHEMA,
-    "learned_concepts": "subject string, class_code string, hits long",
+    "taxonomy": f"{T.SCHEMA}, created_at timestamp",
+    "learned_concepts": "subject string, class_code string, hits long, created_at timestamp, updated_at timestamp",
     "failed_files": "source_path string, size long, mtime_ns long, fail_count int, last_error string, first_failed_at timestamp, last_failed_at timestamp, quarantined boolean",
 }
 KEEPS = ("id", "original_path", "created_at")
@@ -94,6 +94,20 @@ class Catalog:
         return self.read("photos").orderBy("id")
 
 
+def stamped(after: DataFrame, before: DataFrame, key: str, touched: DataFrame | None = None) -> DataFrame:
+    """``after`` with ``created_at`` from ``before``, or now where the key is new there.
+
+    With ``touched`` (keys that were written) also ``updated_at``: now for these, else as before.
+    """
+    now = F.current_timestamp()
+    old = before.select(F.col(key), F.col("created_at").alias("__created"), *([F.col("updated_at").alias("__updated")] if touched is not None else []))
+    joined = after.join(old, key, "left").withColumn("created_at", F.coalesce("__created", now))
+    if touched is not None:
+        joined = joined.join(touched.select(key).distinct().withColumn("__touched", F.lit(True)), key, "left")
+        joined = joined.withColumn("updated_at", F.when(F.col("__touched"), now).otherwise(F.coalesce("__updated", now)))
+    return joined.drop("__created", "__updated", "__touched")
+
+
 def known(digests: DataFrame, photos: DataFrame) -> DataFrame:
     """Rows whose digest the catalog has."""
     return digests.join(photos.select("digest"), "digest", "left_semi")

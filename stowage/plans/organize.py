@@ -97,7 +97,7 @@ class Organizer:
 
     def _attempt(self, tried: DataFrame, give_up: int = 0) -> DataFrame:
         """The result of every path that failed, and of the first of each digest that could be described."""
-        backend, nodes, learned = self.classifier or StubClassifier(), T.seed_taxonomy(tried.sparkSession, self.catalog.read("taxonomy")), self.catalog.read("learned_concepts")
+        backend, nodes, learned = self.classifier or StubClassifier(), T.seed_taxonomy(tried.sparkSession, self.catalog.read("taxonomy").drop("created_at")), self.catalog.read("learned_concepts")
         described = stored(backend.describe_files(exif.with_exif(tried), give_up).withColumn("pos", F.col("source_path")))
         failed = described.where("failure IS NOT NULL")
         good = described.where("failure IS NULL")
@@ -129,4 +129,9 @@ class Organizer:
         kept = answers.join(used, "subject_norm", "left_semi").select(F.col("subject_norm").alias("subject"), F.col("answer").alias("class_code"), "pos")
         spine = T.seed_taxonomy(copied.sparkSession).select("code")
         keep = self.catalog.read("taxonomy").select("code").union(spine).union(copied.select("code")).distinct()
-        self.catalog.commit(photos=K.upsert(self.catalog.read("photos"), new), taxonomy=nodes.join(keep, "code", "left_semi"), learned_concepts=concepts.remember(learned, kept))
+        known, subjects = self.catalog.read("taxonomy"), concepts.remember(learned.select("subject", "class_code", "hits"), kept)
+        self.catalog.commit(
+            photos=K.upsert(self.catalog.read("photos"), new),
+            taxonomy=K.stamped(nodes.join(keep, "code", "left_semi"), known, "code"),
+            learned_concepts=K.stamped(subjects, learned, "subject", kept.where(X.is_class(F.col("class_code")))),
+        )

@@ -41,7 +41,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by ``ARROW_BYTES``, unless the session bounds them more tightly."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(name)).rstrip("b")) > ARROW_BYTES:
+    now = str(spark.conf.get(name)).rstrip("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= ARROW_BYTES:  # a size in other units is the user's own
         spark.conf.set(name, ARROW_BYTES)
 
 

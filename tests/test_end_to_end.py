@@ -97,7 +97,14 @@ def test_failures_do_not_stop_a_batch_and_pass_bytes_on(spark, tmp_path):
     got = {os.path.basename(r["source_path"]): r for r in Organizer(cat, str(tmp_path / "o"), Picky()).run(files.scan(spark, str(src))).collect()}
     assert {k: r["status"] for k, r in got.items()} == {"bad_1.jpg": "error", "good_2.jpg": "copied", "zebra_3.jpg": "copied"}
     assert got["bad_1.jpg"]["error"] == "backend down" and "400-transportation/" in got["zebra_3.jpg"]["organized_path"]
-    assert {r["subject"]: r["class_code"] for r in cat.read("learned_concepts").collect()} == {"good": "400", "zebra": "400"}
+    learned = {r["subject"]: r for r in cat.read("learned_concepts").collect()}
+    assert {s: r["class_code"] for s, r in learned.items()} == {"good": "400", "zebra": "400"} and all(r["created_at"] and r["updated_at"] >= r["created_at"] for r in learned.values())
+    nodes = {r["code"]: r["created_at"] for r in cat.read("taxonomy").collect()}
+    picture(src / "again_4.jpg", b"a")
+    Organizer(cat, str(tmp_path / "o"), Picky()).run(files.scan(spark, str(src / "again_4.jpg"))).count()
+    assert {s: (r["created_at"], r["updated_at"]) for s, r in learned.items()}.items() <= {r["subject"]: (r["created_at"], r["updated_at"]) for r in cat.read("learned_concepts").collect()}.items()
+    later = {r["code"]: r["created_at"] for r in cat.read("taxonomy").collect()}
+    assert nodes.items() <= later.items() and len(later) == len(nodes) + 1 and all(later.values())
 
 
 def test_watch_skips_retries_and_quarantines(spark, tmp_path):
