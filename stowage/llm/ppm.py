@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.bytewords import LOWER, mix, word_hashes, words
+from stowage.llm.bytewords import LOWER, word_hashes, words
 from stowage.llm.common import batches, fold, mapped, stored
 
 ORDER = 5
