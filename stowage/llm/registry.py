@@ -71,6 +71,63 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.codes import product_codes
+
+    return product_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.exact import exact_duplicates
+
+    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stowage.llm.whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """Five assignments and four moves of the entries, written out; a distance is a sum over the components."""
+    steps = [
+        r"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)::BIGINT) AS x, len(embedding) // 4 AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+        "p AS MATERIALIZED (SELECT vec_id, part, x[part * w + 1 : (part + 1) * w] AS x FROM v, range(4) r(part))",
+        "b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256))",
+    ]
+    for k in range(5):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT p.vec_id, p.part, p.x, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far FROM p JOIN b{k} b USING (part)) GROUP BY vec_id, part)")
+        if k < 4:
+            steps.append(f"m{k} AS (SELECT part, entry, list(mean ORDER BY i) AS x FROM (SELECT part, entry, i, floor_div AS mean FROM (SELECT part, entry, i, (sum(c)::BIGINT - ((sum(c)::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS floor_div FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY ALL)) GROUP BY part, entry)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (part, entry))")
+    steps.append("h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4)")
+    steps.append("e AS (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a4 GROUP BY vec_id)")
+    return "WITH " + ", ".join(steps) + " SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id), h"
+
+
+OP12 = r"""
+    WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS norm, length(coalesce(text, '')) AS points FROM documents),
+    r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w AS place FROM t WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id))
+    SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r"""
+
+
+def vector_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op13, which SQL can express."""
+    from stowage.llm.whitening import vector_deviations
+
+    return vector_deviations(read_table(spark, sf_dir, "embeddings"))
+
+
+VECTOR_DEVIATIONS = r"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 64)::BIGINT + 1000000) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    d AS (SELECT DISTINCT x FROM v), k AS (SELECT count(*) AS n FROM d),
+    s AS (SELECT i, sum(c)::BIGINT AS total FROM (SELECT unnest(x) AS c, generate_subscripts(x, 1) AS i FROM d) GROUP BY i),
+    c AS (SELECT vec_id, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM v)
+    SELECT vec_id, n, sum((n * c - total) * (n * c - total))::BIGINT AS deviation FROM c JOIN s USING (i), k GROUP BY vec_id, n"""
+
+
 def rule_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op10, which SQL can express."""
     from stowage.llm.rules import counted
@@ -107,8 +164,8 @@ MIX_SOURCE_TARGETS = r"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules, "rule_base_counts": rule_base_counts, "mix_source_targets": mix_source_targets}
+    return {"op1_license_scan": op1_license_scan, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_quality_classifier": op4_quality_classifier, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_mix": op9_mix, "op10_quality_rules": op10_quality_rules, "op11_vector_codes": op11_vector_codes, "op12_exact_dedup": op12_exact_dedup, "op13_whitening": op13_whitening, "vector_deviations": vector_deviations, "rule_base_counts": rule_base_counts, "mix_source_targets": mix_source_targets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"rule_base_counts": RULE_BASE_COUNTS, "mix_source_targets": MIX_SOURCE_TARGETS}
+    return {"op11_vector_codes": _codes_sql(), "op12_exact_dedup": OP12, "vector_deviations": VECTOR_DEVIATIONS, "rule_base_counts": RULE_BASE_COUNTS, "mix_source_targets": MIX_SOURCE_TARGETS}
