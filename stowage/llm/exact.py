@@ -9,8 +9,9 @@
    it found several.
 
 Scale: no window, no list of members: a group of any size is a count and a best row, and salts spread what a hot group
-leaves of itself in every task. Only texts whose digest repeats take part in step 2. The joins are plain equi-joins whose
-hot side Spark splits; it broadcasts what it knows to be small. Tables without text are stored between the steps.
+leaves of itself in every task. Only texts whose digest repeats take part in step 2; they are told by a merge join at
+every size alike, which shuffles the text once. The joins are plain equi-joins whose hot side Spark splits; of the others
+it broadcasts what it knows to be small. Tables without text are stored between the steps.
 
 Defined results: a null text counts as empty, and all texts without other characters than white space are one group;
 texts of any length are compared whole; of equal texts the one with the most code points stays, then the smallest id (a
@@ -58,7 +59,7 @@ def copies(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
     named = docs.select(F.col(id_col).alias("doc_id"), F.length(letters(F.col(text_col))).alias("points"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
     rows = stored(named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "points", "digest", F.lit("").alias("norm")))
     again = stored(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
-    of = lambda digests: named.join(digests, "digest", "left_semi")
+    of = lambda digests: named.join(digests.hint("merge"), "digest", "left_semi")
     found = stored(combined(of(again), salts).withColumn("norm", F.lit("")))
     shared = stored(found.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"))
     members, winners = rows, found
