@@ -1,98 +1,62 @@
-"""The catalog: snapshots of Parquet tables behind a pointer file, and the merges that make the next snapshot.
+"""The catalog: photos, their history, seen sources, the hierarchy, learned subjects and failures as logs of deltas.
 
-Parquet has no MERGE, and a table cannot be overwritten while it is read. Every commit writes a new version of the
-tables it changes and then replaces the pointer, so readers see all of a commit or none. There is one writer.
+A batch reads the buckets its keys fall into, works out what changes, and appends that (``deltalog``). The history of a
+photo is rows of an event table, by digest, commit and path: a copy that is found again adds a row and touches no other,
+and an array of events is made only for a digest that is asked about.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import expressions as X
 from stowage.operators import taxonomy as T
+from stowage.operators.deltalog import DeltaLog, Table
 from stowage.session import stored
 
-HISTORY = "array<struct<event:string,source:string,destination:string,duplicate_path:string,at:timestamp>>"
+EVENT = "event string, source string, destination string, duplicate_path string, at timestamp"
 SCHEMAS = {
-    "photos": f"id long, digest string, original_path string, organized_path string, pcs_version string, pcs_primary string, pcs_name string, secondary_tags array<string>, ai_caption string, objects array<string>, ocr_text string, exif string, model_version string, processing_history {HISTORY}, created_at timestamp, processed_at timestamp",
+    "photos": "id long, digest string, original_path string, organized_path string, pcs_version string, pcs_primary string, pcs_name string, secondary_tags array<string>, ai_caption string, objects array<string>, ocr_text string, exif string, model_version string, created_at timestamp, processed_at timestamp",
+    "history": f"digest string, batch long, {EVENT}",
     "source_seen": "source_path string, size long, mtime_ns long, digest string, seen_at timestamp",
     "taxonomy": f"{T.SCHEMA}, created_at timestamp",
     "learned_concepts": "subject string, class_code string, hits long, created_at timestamp, updated_at timestamp",
     "failed_files": "source_path string, size long, mtime_ns long, fail_count int, last_error string, first_failed_at timestamp, last_failed_at timestamp, quarantined boolean",
 }
+TABLES = {
+    "photos": Table(SCHEMAS["photos"], "digest", top="id"), "history": Table(SCHEMAS["history"], "digest", keyed=False, order=("batch", "duplicate_path")), "source_seen": Table(SCHEMAS["source_seen"], "source_path"),
+    "taxonomy": Table(SCHEMAS["taxonomy"], "code"), "learned_concepts": Table(SCHEMAS["learned_concepts"], "subject"), "failed_files": Table(SCHEMAS["failed_files"], "source_path"),
+}
 KEEPS = ("id", "original_path", "created_at")
 
 
-class Catalog:
-    """Versioned tables under one folder, on any file system Spark can write to."""
-
+class Catalog(DeltaLog):
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-
-    def _pointer(self) -> dict[str, int]:
-        at = self._path(f"{self.root}/CURRENT.json")
-        if not self._fs.exists(at):
-            return {}
-        stream = self._fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def read(self, name: str) -> DataFrame:
-        version = self._pointer().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v{version}")
-
-    def commit(self, **tables: DataFrame) -> None:
-        """Write new versions of the tables, then swap the pointer; older versions stay until ``vacuum``."""
-        pointer = self._pointer()
-        version = max(pointer.values(), default=0) + 1
-        for name, df in tables.items():
-            columns = [f.name for f in self.read(name).schema]
-            df.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-        new = self._path(f"{self.root}/CURRENT.json.{version}")
-        stream = self._fs.create(new, True)
-        stream.write(bytearray(json.dumps(pointer | {name: version for name in tables}).encode()))
-        stream.close()
-        at = self._path(f"{self.root}/CURRENT.json")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        swap = self.spark.sparkContext._gateway.new_array(options, 1)
-        swap[0] = options.OVERWRITE
-        context.rename(new, at, swap)
-
-    def vacuum(self) -> None:
-        current = self._pointer()
-        for name in SCHEMAS:
-            folder = self._path(f"{self.root}/{name}")
-            if self._fs.exists(folder):
-                for status in self._fs.listStatus(folder):
-                    if status.getPath().getName() != f"v{current.get(name)}":
-                        self._fs.delete(status.getPath(), True)
-
-    # reads
+        super().__init__(spark, root, TABLES)
 
     def get(self, digest: str) -> DataFrame:
-        return self.read("photos").where(F.col("digest") == digest)
+        """The photo of a digest with its history, one row or none."""
+        mine = F.col("digest") == digest
+        fields = [c.split()[0] for c in EVENT.split(", ")]
+        order = F.struct("batch", F.coalesce("duplicate_path", F.lit("")).alias("path"))
+        events = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*fields).alias("e"))))
+        listed = self.read("history", [digest]).where(mine).groupBy("digest").agg(F.transform(events, lambda x: x["e"]).alias("processing_history"))
+        return self.read("photos", [digest]).where(mine).join(listed, "digest", "left")
 
     def get_by_original_path(self, path: str) -> DataFrame:
         return self.read("photos").where(F.col("original_path") == path).orderBy("id").limit(1)
 
     def is_known(self, digests: DataFrame) -> DataFrame:
-        return known(digests, self.read("photos"))
+        return known(digests, self.touched("photos", digests))
 
     def all(self) -> DataFrame:
         return self.read("photos").orderBy("id")
 
+    def upsert(self, new: DataFrame) -> DataFrame:
+        """The delta of photos that a batch makes; see ``upserted``."""
+        return upserted(self.touched("photos", new), new, self.top("photos"))
+
 
 def stamped(after: DataFrame, before: DataFrame, key: str, touched: DataFrame | None = None) -> DataFrame:
     """``after`` with ``created_at`` from ``before``, or now where the key is new there.
@@ -108,55 +72,49 @@ def stamped(after: DataFrame, before: DataFrame, key: str, touched: DataFrame |
     return joined.drop("__created", "__updated", "__touched")
 
 
+def altered(nodes: DataFrame, before: DataFrame) -> DataFrame:
+    """Nodes that are new, or whose aliases or state differ from before."""
+    fields = ("aliases", "alias_of", "active")
+    old = before.select("code", F.lit(True).alias("__old"), *(F.col(c).alias(f"__{c}") for c in fields))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in fields]
+    return nodes.join(old, "code", "left").where(F.col("__old").isNull() | ~(same[0] & same[1] & same[2])).select(*nodes.columns)
+
+
 def known(digests: DataFrame, photos: DataFrame) -> DataFrame:
     """Rows whose digest the catalog has."""
     return digests.join(photos.select("digest"), "digest", "left_semi")
 
 
-def upsert(photos: DataFrame, new: DataFrame) -> DataFrame:
-    """new: the columns of photos but ``id``, one row per digest, its history being the events to append.
+def upserted(photos: DataFrame, new: DataFrame, top: int) -> DataFrame:
+    """What a batch changes. new: the columns of photos but ``id``, one row per digest.
 
     A digest that is there keeps id, original_path and created_at; all else is overwritten, with null too. New digests
-    get the next ids in order of original_path.
+    get the ids after ``top`` in order of original_path.
     """
-    top = photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    columns = [c for c in photos.columns if c not in (*KEEPS, "digest", "processing_history")]
-    n = new.select("digest", F.lit(True).alias("__new"), *(F.col(c).alias(f"__{c}") for c in new.columns if c not in ("digest", "id")))
-    joined = photos.join(n, "digest", "full")
-    hit, old = F.col("__new").isNotNull(), F.col("id").isNotNull()
-    none = F.array().cast(photos.schema["processing_history"].dataType)
-    out = joined.select(
-        "id", "digest", F.when(old, F.col("original_path")).otherwise(F.col("__original_path")).alias("original_path"),
-        *(F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns),
-        F.concat(F.coalesce("processing_history", none), F.coalesce("__processing_history", none)).alias("processing_history"),
-        F.when(old, F.col("created_at")).otherwise(F.col("__created_at")).alias("created_at"),
-    )
-    return _numbered(out, top).select(*photos.columns)
-
-
-def _numbered(rows: DataFrame, top: DataFrame) -> DataFrame:
+    old = photos.select("digest", *(F.col(c).alias(f"__{c}") for c in KEEPS), F.lit(True).alias("__old"))
+    joined = new.join(old, "digest", "left")
+    kept = {c: F.when(F.col("__old"), F.col(f"__{c}")).otherwise(F.col(c) if c in new.columns else F.lit(None)) for c in KEEPS}
+    return _numbered(joined.select(*(kept[c].alias(c) if c in KEEPS else F.col(c) for c in photos.columns)), top)
+
+
+def _numbered(rows: DataFrame, top: int) -> DataFrame:
     """Gives rows without an id the next ones, in order of original_path: ranks within ranges, then offsets of ranges."""
-    rows = stored(rows)  # read three times
+    rows = stored(rows.withColumn("id", F.col("id").cast("long")))  # read three times
     fresh = rows.where("id IS NULL").repartitionByRange("original_path").sortWithinPartitions("original_path", "digest")
-    start = top.first()["top"]
     placed = fresh.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
     placed = stored(placed)  # the parts must not change between the two uses
-    sizes = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect())  # one row a task
-    offsets, at = [], start + 1
-    for part, n in sizes:
-        offsets.append((part, at))
-        at += n
-    shifts = F.broadcast(rows.sparkSession.createDataFrame(offsets, "__part int, __first long"))  # one row a task
+    sizes = stored(placed.groupBy("__part").agg(F.count("*").alias("n")))  # one row a task
+    first = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select("__part", (F.coalesce(first, F.lit(0)) + F.lit(top + 1)).alias("__first"))
     numbered = placed.join(shifts, "__part").withColumn("id", F.col("__first") + F.col("__n"))
     return rows.where("id IS NOT NULL").unionByName(numbered.select(*rows.columns))
 
 
-def mark_duplicates(photos: DataFrame, duplicates: DataFrame, at: str) -> DataFrame:
-    """Append an event per duplicate (digest, source_path), in order of path; unknown digests change nothing."""
-    event = F.struct(F.lit("duplicate_detected").alias("event"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("destination"), F.col("source_path").alias("duplicate_path"), F.lit(at).cast("timestamp").alias("at"))
-    new = duplicates.groupBy("digest").agg(F.transform(F.sort_array(F.collect_list(F.struct("source_path", event.alias("e")))), lambda x: x["e"]).alias("__events"))
-    none = F.array().cast(photos.schema["processing_history"].dataType)
-    return photos.join(new, "digest", "left").withColumn("processing_history", F.concat(F.coalesce("processing_history", none), F.coalesce("__events", none))).select(*photos.columns)
+def duplicate_events(photos: DataFrame, duplicates: DataFrame, at: str) -> DataFrame:
+    """Rows of the history: an event per duplicate (digest, source_path) of a known photo; unknown digests make none."""
+    none = F.lit(None).cast("string")
+    seen = duplicates.join(photos.select("digest"), "digest", "left_semi")
+    return seen.select("digest", F.lit("duplicate_detected").alias("event"), none.alias("source"), none.alias("destination"), F.col("source_path").alias("duplicate_path"), F.lit(at).cast("timestamp").alias("at"))
 
 
 def listing(photos: DataFrame, limit: int) -> DataFrame:

@@ -39,11 +39,6 @@ def run_stats(results: DataFrame, *by: str) -> DataFrame:
     return results.groupBy(*by).agg(F.count("*").alias("total"), count("copied").alias("copied"), count("duplicate").alias("duplicates"), count("skipped").alias("skipped"), count("error").alias("errors"))
 
 
-def append_history(events: DataFrame, key: str, order: str, *fields: str) -> DataFrame:
-    """One ordered list of events per key."""
-    return events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("history"))
-
-
 def breaker_trips(attempts: DataFrame, threshold: int, order: list[str], by: list[str]) -> DataFrame:
     """Adds ``run`` (how many errors in a row end here) within each ``by`` group; a row trips where it reaches the threshold.
 

@@ -56,7 +56,7 @@ class Organizer:
         hashed = stored(files.with_digests(batch))
         unread = hashed.where("error IS NOT NULL").select("source_path", "digest", F.lit("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), "error")
         good = hashed.where("error IS NULL").drop("error")
-        photos = self.catalog.read("photos")
+        photos = self.catalog.touched("photos", good)
         if self.dry_run:
             marked = dedup.mark_duplicates(good, photos)
             return marked.select("source_path", "digest", "status", F.lit(None).cast("string").alias("organized_path"), F.lit(None).cast("string").alias("error")).unionByName(unread)
@@ -91,7 +91,7 @@ class Organizer:
         if repeats.isEmpty():
             return
         now = str(repeats.sparkSession.sql("SELECT current_timestamp()").first()[0])
-        self.catalog.commit(photos=K.mark_duplicates(self.catalog.read("photos"), repeats, now))
+        self.catalog.commit(history=K.duplicate_events(self.catalog.touched("photos", repeats), repeats, now))
         if self.duplicates_dir:
             sinks.copy_aside(repeats.withColumn("target", X.duplicate_path(self.duplicates_dir, F.col("digest"), F.col("source_path")))).count()
 
@@ -115,23 +115,25 @@ class Organizer:
         placed = placed.withColumn("organized_path", F.concat(F.lit(f"{self.organized_dir}/"), "folder_path", F.lit("/"), name))
         side = F.to_json(F.struct("digest", F.col("source_path").alias("original_path"), "organized_path", F.col("code").alias("pcs_code"), X.normalize_descriptor(F.col("primary_subject")).alias("descriptor"), "caption", "scene", "objects", F.col("tags").alias("secondary_tags"), "ocr_text", "model_version", F.parse_json("exif").alias("exif")))
         result = stored(sinks.organize_files(placed.withColumn("sidecar", side), self.sidecars))
-        self._commit(result.where("status = 'copied'"), nodes_then, learned, answers)
+        self._commit(result.where("status = 'copied'"), nodes_then, answers)
         return result.select(*RESULT).unionByName(failed.select("source_path", F.lit("").alias("digest"), F.when(F.col("failure") == UNTRIED, "untried").otherwise("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.col("failure").alias("error")))
 
-    def _commit(self, copied: DataFrame, nodes: DataFrame, learned: DataFrame, answers: DataFrame) -> None:
+    def _commit(self, copied: DataFrame, nodes: DataFrame, answers: DataFrame) -> None:
         now, none = F.current_timestamp(), F.lit(None)
-        event = F.struct(F.lit("processed").alias("event"), F.col("source_path").alias("source"), F.col("organized_path").alias("destination"), none.cast("string").alias("duplicate_path"), none.cast("timestamp").alias("at"))
+        events = copied.select("digest", F.lit("processed").alias("event"), F.col("source_path").alias("source"), F.col("organized_path").alias("destination"), none.cast("string").alias("duplicate_path"), none.cast("timestamp").alias("at"))
         new = copied.select(
             "digest", F.col("source_path").alias("original_path"), "organized_path", F.lit("1").alias("pcs_version"), F.col("code").alias("pcs_primary"), F.col("node_label").alias("pcs_name"), F.col("tags").alias("secondary_tags"), F.col("caption").alias("ai_caption"),
-            "objects", "ocr_text", "exif", "model_version", F.array(event).alias("processing_history"), now.alias("created_at"), now.alias("processed_at"),
+            "objects", "ocr_text", "exif", "model_version", now.alias("created_at"), now.alias("processed_at"),
         )
         used = copied.select("subject_norm").distinct()
         kept = answers.join(used, "subject_norm", "left_semi").select(F.col("subject_norm").alias("subject"), F.col("answer").alias("class_code"), "pos")
+        learned = self.catalog.touched("learned_concepts", kept).join(kept.select("subject"), "subject", "left_semi")
         spine = T.seed_taxonomy(copied.sparkSession).select("code")
-        keep = self.catalog.read("taxonomy").select("code").union(spine).union(copied.select("code")).distinct()
         known, subjects = self.catalog.read("taxonomy"), concepts.remember(learned.select("subject", "class_code", "hits"), kept)
+        keep = known.select("code").union(spine).union(copied.select("code")).distinct()
         self.catalog.commit(
-            photos=K.upsert(self.catalog.read("photos"), new),
-            taxonomy=K.stamped(nodes.join(keep, "code", "left_semi"), known, "code"),
+            photos=self.catalog.upsert(new),
+            history=events,
+            taxonomy=K.stamped(K.altered(nodes.join(keep, "code", "left_semi"), known), known, "code"),
             learned_concepts=K.stamped(subjects, learned, "subject", kept.where(X.is_class(F.col("class_code")))),
         )

@@ -15,6 +15,7 @@ from stowage.functions import expressions as X
 from stowage.operators import catalog as K
 from stowage.operators import concepts, dedup, incremental
 from stowage.operators import taxonomy as T
+from stowage.operators.deltalog import DeltaLog, Table
 from stowage.plans import views as V
 from stowage.plans.classifiers import StubClassifier
 from stowage.session import read_table, shared_dir, stored
@@ -88,9 +89,7 @@ def dedup_with_failures(spark, sf_dir):
 def known_digests(spark, sf_dir):
     """Through a catalog that is written and read again: a tenth of the documents is known, all are asked about."""
     d = V.digests(spark, sf_dir)
-    catalog = K.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
-    catalog.commit(photos=K.upsert(catalog.read("photos"), _photos(d.where("doc_id % 10 = 0"), "old")))
-    return catalog.is_known(d).select("source_path")
+    return _catalog(spark, d.where("doc_id % 10 = 0")).is_known(d).select("source_path")
 
 
 @query(
@@ -482,17 +481,26 @@ def pass_stats(spark, sf_dir):
 def _photos(files: DataFrame, event: str) -> DataFrame:
     one = files.groupBy("digest").agg(F.min("source_path").alias("original_path"))
     stamp = F.lit("2024-01-01").cast("timestamp")
-    history = F.array(F.struct(F.lit(event).alias("event"), F.col("original_path").alias("source"), F.lit(None).cast("string").alias("destination"), F.lit(None).cast("string").alias("duplicate_path"), F.lit(None).cast("timestamp").alias("at")))
     text = lambda x: F.lit(x).cast("string")
     none = F.array().cast("array<string>")
     return one.select(
         "digest", "original_path", F.when(~F.col("digest").startswith("A"), F.concat(F.lit(f"/{event}/"), "digest")).alias("organized_path"), text("1").alias("pcs_version"), text("900").alias("pcs_primary"), text(event).alias("pcs_name"),
-        none.alias("secondary_tags"), text("").alias("ai_caption"), none.alias("objects"), text("").alias("ocr_text"), text("{}").alias("exif"), text("stub").alias("model_version"), history.alias("processing_history"), stamp.alias("created_at"), stamp.alias("processed_at"),
+        none.alias("secondary_tags"), text("").alias("ai_caption"), none.alias("objects"), text("").alias("ocr_text"), text("{}").alias("exif"), text("stub").alias("model_version"), stamp.alias("created_at"), stamp.alias("processed_at"),
     )
 
 
-def _catalog(spark, files: DataFrame) -> DataFrame:
-    return K.upsert(spark.createDataFrame([], K.SCHEMAS["photos"]), _photos(files, "old"))
+def _commit(catalog: K.Catalog, files: DataFrame, event: str) -> None:
+    """A batch of photos, and an event of each in the history."""
+    new, text = stored(_photos(files, event)), lambda c: F.lit(None).cast("string").alias(c)
+    events = new.select("digest", F.lit(event).alias("event"), F.col("original_path").alias("source"), text("destination"), text("duplicate_path"), F.lit(None).cast("timestamp").alias("at"))
+    catalog.commit(photos=catalog.upsert(new), history=events)
+
+
+def _catalog(spark, files: DataFrame) -> K.Catalog:
+    """A catalog in the shared folder that holds these files; it goes when the driver ends."""
+    catalog = K.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}").delete_on_exit()
+    _commit(catalog, files, "old")
+    return catalog
 
 
 def _old(where: str = "true") -> str:
@@ -511,41 +519,48 @@ _OLD = _old()
 )
 def upsert_photos(spark, sf_dir):
     d = V.digests(spark, sf_dir)  # even ids are in the catalog, and all but a quarter come (again): some old, some new, some both
-    merged = K.upsert(_catalog(spark, d.where("doc_id % 2 = 0")), _photos(d.where("doc_id % 4 <> 0"), "new"))
-    return merged.select("id", "digest", "original_path", "organized_path", "pcs_name", F.size("processing_history").cast("long").alias("events"))
+    catalog = _catalog(spark, d.where("doc_id % 2 = 0"))
+    _commit(catalog, d.where("doc_id % 4 <> 0"), "new")
+    events = catalog.read("history").groupBy("digest").agg(F.count("*").alias("events"))
+    return catalog.read("photos").join(events, "digest").select("id", "digest", "original_path", "organized_path", "pcs_name", "events")
 
 
 @query(f"WITH {_OLD} SELECT id::BIGINT AS id, left(digest, 12) || '…  ' || '  900' || '  ' || CASE WHEN digest LIKE 'A%' THEN 'None' ELSE '/old/' || digest END AS line FROM old ORDER BY id LIMIT 50")
 def list_limit(spark, sf_dir):
-    return K.listing(_catalog(spark, V.digests(spark, sf_dir)), C.LIST_LIMIT)
+    return K.listing(_catalog(spark, V.digests(spark, sf_dir)).read("photos"), C.LIST_LIMIT)
 
 
 @query(f"WITH {_OLD} SELECT count(*) AS photos FROM old")
 def count_photos(spark, sf_dir):
-    return _catalog(spark, V.digests(spark, sf_dir)).agg(F.count("*").alias("photos"))
+    return _catalog(spark, V.digests(spark, sf_dir)).read("photos").agg(F.count("*").alias("photos"))
 
 
-@query(f"WITH {_OLD} SELECT o.digest, 'old' || coalesce(string_agg('|' || d.source_path, '' ORDER BY d.source_path), '') AS events FROM old o LEFT JOIN digests d ON d.digest = o.digest AND d.source_path <> o.original_path GROUP BY o.digest")
+@query(f"WITH {_OLD} SELECT digest, 'old' AS event, original_path AS path FROM old UNION ALL SELECT d.digest, 'duplicate_detected', d.source_path FROM digests d JOIN old o ON d.digest = o.digest AND d.source_path <> o.original_path")
 def mark_duplicates(spark, sf_dir):
+    """The history of a catalog after a pass that has found every copy: a row an event."""
     d = V.digests(spark, sf_dir)
     again = dedup.mark_duplicates(d).where("status = 'duplicate'")
-    marked = K.mark_duplicates(_catalog(spark, d), again, "2024-02-01")
-    named = F.transform("processing_history", lambda e: F.coalesce(e["duplicate_path"], e["event"]))
-    return marked.select("digest", F.array_join(named, "|").alias("events"))
+    catalog = _catalog(spark, d)
+    catalog.commit(history=K.duplicate_events(catalog.touched("photos", again), again, "2024-02-01"))
+    return catalog.read("history").select("digest", "event", F.coalesce("duplicate_path", "source").alias("path"))
 
 
-@query("SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS history FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 1 ELSE 3 END::BIGINT AS batch FROM conversations")
 def history_append(spark, sf_dir):
-    listed = dedup.append_history(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
-    return listed.select("conv_id", F.array_join(F.transform("history", lambda h: F.concat(h["turn"].cast("string"), F.lit(":"), h["role"])), ",").alias("history"))
+    """Conversations as an event table: two batches of turns, kept as rows by conversation and turn."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    spec = Table("conv_id long, batch long, turn long, role string", "conv_id", keyed=False, order=("turn",))
+    log = DeltaLog(spark, f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}", {"turns": spec}).delete_on_exit()
+    log.commit(turns=turns.where("turn % 2 = 0"))
+    log.commit(turns=turns.where("turn % 2 <> 0"))
+    return log.read("turns").select("conv_id", "turn", "role", "batch")
 
 
 @query(f"WITH {_OLD} SELECT digest, original_path FROM old WHERE original_path = (SELECT min(original_path) FROM old) UNION ALL SELECT digest, original_path FROM old WHERE digest = (SELECT max(digest) FROM old)")
 def catalog_by_key(spark, sf_dir):
     """One photo by its path, one by its digest, from a catalog that holds all documents."""
     d = V.digests(spark, sf_dir)
-    catalog = K.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
-    catalog.commit(photos=_catalog(spark, d))
+    catalog = _catalog(spark, d)
     ends = catalog.read("photos").agg(F.min("original_path").alias("path"), F.max("digest").alias("digest")).first()
     both = catalog.get_by_original_path(ends["path"]).select("digest", "original_path").unionByName(catalog.get(ends["digest"]).select("digest", "original_path"))
     return both

@@ -86,9 +86,9 @@ def run_pass(organizer: Organizer, source: str, recursive: bool = True, breaker:
         stats.errors += tally.get("error", 0)
         healthy += sum(n for s, n in tally.items() if s in ("copied", "duplicate"))
         good = done.where("status IN ('copied', 'duplicate')")
-        changes = {"source_seen": I.record_seen(catalog.read("source_seen"), good.select("source_path", "size", "mtime_ns", "digest", F.current_timestamp().alias("seen_at")))}
+        changes = {"source_seen": good.select("source_path", "size", "mtime_ns", "digest", F.current_timestamp().alias("seen_at"))}
         if breaker:
-            changes["failed_files"] = I.clear_failures(catalog.read("failed_files"), good)
+            changes["failed_files"] = catalog.touched("failed_files", good).join(good.select("source_path"), "source_path", "left_semi").withColumn("_gone", F.lit(True))
         catalog.commit(**changes)
         failures.append(done.where("status = 'error'").select("source_path", "size", "mtime_ns", F.coalesce("error", F.lit("")).alias("error")))
     stats.processed = healthy
@@ -103,7 +103,7 @@ def _reconcile(organizer: Organizer, failures, limit: int, quarantine_dir: str |
     catalog, every = organizer.catalog, failures[0]
     for part in failures[1:]:
         every = every.unionByName(part)
-    before = catalog.read("failed_files")
+    before = catalog.touched("failed_files", every).join(every.select("source_path"), "source_path", "left_semi")
     now = str(catalog.spark.sql("SELECT current_timestamp()").first()[0])
     after = stored(I.record_failures(before, every, now, limit))
     fresh = stored(after.where("quarantined").join(every.select("source_path"), "source_path", "left_semi").where(F.col("fail_count") >= limit))

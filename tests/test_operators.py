@@ -1,8 +1,10 @@
 """Set operators against row-at-a-time models written for these tests."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.functions import constants as C
 from stowage.operators import catalog as K
@@ -130,12 +132,80 @@ def test_failures_merge(spark):
     assert incremental.clear_failures(third, spark.createDataFrame([("b",)], "source_path string")).count() == 2
 
 
+def seen_rows(spark, rows):
+    return spark.createDataFrame([(*r, None) for r in rows], K.SCHEMAS["source_seen"])
+
+
 def test_catalog_snapshots(spark, tmp_path):
     cat = K.Catalog(spark, str(tmp_path / "cat"))
     assert cat.read("photos").count() == 0
-    seen = spark.createDataFrame([("a", 1, 1, "d", None)], K.SCHEMAS["source_seen"])
-    cat.commit(source_seen=seen)
-    cat.commit(source_seen=incremental.record_seen(cat.read("source_seen"), spark.createDataFrame([("a", 2, 2, "e", None), ("b", 1, 1, "f", None)], K.SCHEMAS["source_seen"])))
+    cat.commit(source_seen=seen_rows(spark, [("a", 1, 1, "d")]))
+    cat.commit(source_seen=seen_rows(spark, [("a", 2, 2, "e"), ("b", 1, 1, "f")]))
     assert {(r["source_path"], r["size"]) for r in cat.read("source_seen").collect()} == {("a", 2), ("b", 1)}
     cat.vacuum()
-    assert cat.read("source_seen").count() == 2
+    assert cat.read("source_seen").count() == 2 and cat.read("source_seen", ["b"]).where("source_path = 'b'").count() == 1
+
+
+def written(root):
+    """Bytes by file."""
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path):
+    cat = K.Catalog(spark, str(tmp_path / "cat"))
+    stamp = "/some/long/folder/of/sources/with/a/name/that/does/not/compress"
+    cat.commit(source_seen=spark.range(40000).selectExpr(f"concat('{stamp}', sha2(string(id), 256)) AS source_path", "id AS size", "id AS mtime_ns", "sha2(string(-id), 256) AS digest", "timestamp'2024-01-01' AS seen_at"))
+    before = written(tmp_path)
+    cat.commit(source_seen=seen_rows(spark, [(f"new {i}", i, i, "d") for i in range(10)]))
+    after = written(tmp_path)
+    assert sum(after[f] for f in after.keys() - before.keys()) < 0.02 * sum(before.values()) and before.items() <= after.items()
+    assert cat.read("source_seen").count() == 40010
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_log_equals_a_dictionary(spark, tmp_path, seed):
+    """Random upserts and removals; segments stay few, and a row is rewritten a few times in all."""
+    rng, cat, want = random.Random(seed), K.Catalog(spark, str(tmp_path / "cat")), {}
+    for k in range(14):
+        keys = rng.sample(range(60), rng.choice([1, 5, 20]))
+        rows = [(f"p{i}", k, i, None, None, rng.random() < 0.3) for i in keys]
+        cat.commit(source_seen=spark.createDataFrame(rows, f"{K.SCHEMAS['source_seen']}, _gone boolean"))
+        for path, size, mtime, _, _, gone in rows:
+            want.pop(path, None)
+            if not gone:
+                want[path] = (size, mtime)
+        if k % 5 == 4:
+            cat.vacuum()
+        assert {r["source_path"]: (r["size"], r["mtime_ns"]) for r in cat.read("source_seen").collect()} == want
+    for own in cat._pointer()["segments"]["source_seen"].values():
+        sizes = [s for _, s in own]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_an_unfinished_commit_leaves_nothing_visible(spark, tmp_path, monkeypatch):
+    cat = K.Catalog(spark, str(tmp_path / "cat"))
+    cat.commit(source_seen=seen_rows(spark, [("a", 1, 1, "d")]))
+    monkeypatch.setattr(cat, "_swap", lambda pointer: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError, match="killed"):
+        cat.commit(source_seen=seen_rows(spark, [("a", 2, 2, "e"), ("b", 1, 1, "f")]))
+    again = K.Catalog(spark, str(tmp_path / "cat"))
+    assert [tuple(r)[:2] for r in again.read("source_seen").collect()] == [("a", 1)]
+    again.commit(source_seen=seen_rows(spark, [("c", 3, 3, "g")]))
+    again.vacuum()
+    assert {r["source_path"] for r in again.read("source_seen").collect()} == {"a", "c"}
+
+
+def test_history_is_rows(spark, tmp_path):
+    """Of a digest with very many copies no row grows; the array is made for the digest that is asked about."""
+    cat = K.Catalog(spark, str(tmp_path / "cat"))
+    photo = {f.name: None for f in spark.createDataFrame([], K.SCHEMAS["photos"]).schema} | {"digest": "d", "original_path": "/a"}
+    new = spark.createDataFrame([tuple(v for k, v in photo.items() if k != "id")], ", ".join(c for c in K.SCHEMAS["photos"].split(", ") if c != "id long"))
+    cat.commit(photos=cat.upsert(new))
+    copies = spark.range(100000).selectExpr("IF(id < 99990, 'd', 'other') AS digest", "concat('/copy/', lpad(id, 6, '0')) AS source_path")
+    cat.commit(history=K.duplicate_events(cat.touched("photos", copies), copies, "2024-01-01"))
+    history = cat.read("history")
+    assert history.count() == 99990 and all(len(f.dataType.simpleString()) < 10 for f in history.schema)
+    got = cat.get("d").first()
+    assert got["id"] == 1 and [e["duplicate_path"] for e in got["processing_history"][:2]] == ["/copy/000000", "/copy/000001"]
+    cat.commit(photos=cat.upsert(new.withColumn("original_path", F.lit("/b")).withColumn("pcs_name", F.lit("x"))))
+    assert [(r["id"], r["original_path"], r["pcs_name"]) for r in cat.read("photos").collect()] == [(1, "/a", "x")]
