@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import constants as C
 from stowage.functions import expressions as X
+from stowage.operators import chains
 
 SCHEMA = "code string, parent_code string, label string, folder_name string, aliases array<string>, alias_of string, active boolean"
 
@@ -42,55 +43,24 @@ def active(taxonomy: DataFrame) -> DataFrame:
 
 
 def alias_closure(taxonomy: DataFrame) -> DataFrame:
-    """code, target: where ``alias_of`` leads to; a cycle ends at the code that repeats."""
-    return taxonomy.sparkSession.sql(
-        """
-        WITH RECURSIVE t AS (SELECT code AS own, alias_of FROM {taxonomy}),
-        walk(code, cur, seen, depth) AS (
-            SELECT own, own, cast(array() AS array<string>), 0 FROM t
-            UNION ALL
-            SELECT w.code, t.alias_of, array_append(w.seen, w.cur), w.depth + 1
-            FROM walk w JOIN t ON t.own = w.cur
-            WHERE t.alias_of IS NOT NULL AND NOT array_contains(w.seen, w.cur)
-        )
-        SELECT code, max_by(cur, depth) AS target FROM walk GROUP BY code
-        """,
-        taxonomy=taxonomy,
-    )
+    """code, target: where ``alias_of`` leads to, over any number of links; a cycle ends at the code that repeats."""
+    return chains.ends(taxonomy.select("code", F.col("alias_of").alias("to"))).withColumnRenamed("end", "target")
 
 
 def folder_paths(taxonomy: DataFrame) -> DataFrame:
-    """code, folder_path from the top; a parent that is missing or repeats ends the path."""
-    return taxonomy.sparkSession.sql(
-        """
-        WITH RECURSIVE t AS (SELECT code AS own, parent_code, folder_name FROM {taxonomy}),
-        walk(code, up, parts, seen, depth) AS (
-            SELECT own, parent_code, array(folder_name), array(own), 0 FROM t
-            UNION ALL
-            SELECT w.code, t.parent_code, array_prepend(w.parts, t.folder_name), array_append(w.seen, t.own), w.depth + 1
-            FROM walk w JOIN t ON t.own = w.up
-            WHERE NOT array_contains(w.seen, t.own)
-        )
-        SELECT code, array_join(max_by(parts, depth), '/') AS folder_path FROM walk GROUP BY code
-        """,
-        taxonomy=taxonomy,
-    )
+    """code, folder_path from the top, however deep; a parent that is missing or repeats ends the path."""
+    above = chains.trails(taxonomy.select("code", F.col("parent_code").alias("up"), "folder_name"), F.col("folder_name"))
+    return above.select("code", F.array_join(F.reverse("values"), "/").alias("folder_path"))
 
 
 def snapshot_lines(taxonomy: DataFrame) -> DataFrame:
     """sort_path, depth, line: the tree of active nodes, in order of sort_path. Below inactive nodes nothing shows."""
-    return taxonomy.sparkSession.sql(
-        """
-        WITH RECURSIVE t AS (SELECT code AS own, parent_code, label FROM {taxonomy} WHERE active),
-        walk(code, label, sort_path, depth) AS (
-            SELECT own, label, own, 0 FROM t WHERE parent_code IS NULL
-            UNION ALL
-            SELECT t.own, t.label, concat(w.sort_path, '/', t.own), w.depth + 1 FROM walk w JOIN t ON t.parent_code = w.code
-        )
-        SELECT sort_path, depth, concat(repeat('  ', depth), code, ' ', label) AS line FROM walk
-        """,
-        taxonomy=taxonomy,
-    )
+    nodes = taxonomy.where("active")
+    above = chains.trails(nodes.select("code", F.col("parent_code").alias("up")), F.struct("code", "up"))
+    whole = above.where(F.element_at("values", -1)["up"].isNull())  # neither a missing parent nor a cycle at its end
+    depth = F.size("values") - 1
+    shown = whole.select("code", F.array_join(F.transform(F.reverse("values"), lambda v: v["code"]), "/").alias("sort_path"), depth.alias("depth"))
+    return shown.join(nodes.select("code", "label"), "code").select("sort_path", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), "code", F.lit(" "), "label").alias("line"))
 
 
 def snapshot_text(taxonomy: DataFrame) -> str:
