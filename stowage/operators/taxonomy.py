@@ -73,9 +73,9 @@ def names(taxonomy: DataFrame) -> DataFrame:
     return taxonomy.select("code", "parent_code", every.alias("name")).select("code", "parent_code", X.normalize_label(F.col("name")).alias("norm"))
 
 
-def targets(items: DataFrame, taxonomy: DataFrame) -> DataFrame:
+def targets(items: DataFrame, taxonomy: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """Adds ``target`` (the class, or the fallback if it is no code, through aliases) and ``norm``."""
-    closure = alias_closure(taxonomy).toDF("__code", "target")
+    closure = (closure or alias_closure(taxonomy)).toDF("__code", "target")
     valid = taxonomy.select(F.col("code").alias("__valid"))
     known = items.join(valid, F.col("class") == F.col("__valid"), "left").withColumn("__class", F.coalesce("__valid", F.lit(C.FALLBACK_CLASS))).drop("__valid")
     return known.join(closure, F.col("__class") == F.col("__code"), "left").withColumn("target", F.coalesce("target", "__class")).drop("__class", "__code").withColumn("norm", X.normalize_label(F.col("label")))
@@ -103,11 +103,12 @@ def resolve_or_create(items: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame,
     resolves to it. Of the others the k-th new label of a class, in order of ``pos``, takes the k-th free code, and
     beyond the ninth ``class~N``. Everything is joins and windows over distinct labels; rows of one label never meet.
     """
-    aimed = targets(items, taxonomy)
+    closure = alias_closure(taxonomy)
+    aimed = targets(items, taxonomy, closure)
     known = names(taxonomy)
     own = known.select(F.col("code").alias("__t"), F.col("norm").alias("__n")).distinct()
     kids = known.where("parent_code IS NOT NULL").groupBy(F.col("parent_code").alias("__p"), F.col("norm").alias("__m")).agg(F.min("code").alias("__kid"))
-    closure = alias_closure(taxonomy).toDF("__from", "__to")
+    closure = closure.toDF("__from", "__to")
     placed = aimed.join(own, (F.col("target") == F.col("__t")) & (F.col("norm") == F.col("__n")), "left")
     placed = placed.withColumn("__stay", X.is_degenerate(F.col("label")) | F.col("__t").isNotNull()).drop("__t", "__n")
     placed = placed.join(kids, (F.col("target") == F.col("__p")) & (F.col("norm") == F.col("__m")), "left").drop("__p", "__m")

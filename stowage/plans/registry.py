@@ -290,32 +290,32 @@ _SLOT = """slot AS (SELECT code AS target, i, CASE WHEN regexp_matches(code, '^[
     FROM taxonomy, range(1, 10) r(i) WHERE regexp_matches(code, '^[1-9][0-9]0$') AND NOT regexp_matches(code, '^[1-9]0[1-9]$'))"""
 
 
-@query(f"WITH {V.TAXONOMY}, {_SLOT} SELECT target AS code, string_agg(slot, ' ' ORDER BY i) AS slots FROM slot WHERE slot IS NOT NULL GROUP BY target")
+@query(f"WITH {V.TREE}, {_SLOT} SELECT target AS code, string_agg(slot, ' ' ORDER BY i) AS slots FROM slot WHERE slot IS NOT NULL GROUP BY target")
 def child_slots(spark, sf_dir):
-    slots = V.taxonomy(spark).select("code", X.child_slots(F.col("code")).alias("s"))
+    slots = V.tree(spark, sf_dir).select("code", X.child_slots(F.col("code")).alias("s"))
     return slots.where(F.size("s") > 0).select("code", F.array_join("s", " ").alias("slots"))
 
 
 _FREE = "free AS (SELECT target, slot AS code, row_number() OVER (PARTITION BY target ORDER BY i) AS k FROM slot WHERE slot IS NOT NULL AND slot NOT IN (SELECT code FROM taxonomy))"
 
 
-@query(f"WITH {V.TAXONOMY}, {_SLOT}, {_FREE} SELECT target, code, k FROM free")
+@query(f"WITH {V.TREE}, {_SLOT}, {_FREE} SELECT target, code, k FROM free")
 def free_slots(spark, sf_dir):
-    t = V.taxonomy(spark)
+    t = V.tree(spark, sf_dir)
     return T.free_slots(t, t.select(F.col("code").alias("target"))).withColumn("k", F.col("k").cast("long"))
 
 
 _OVER = "over AS (SELECT parent_code AS target, max(substr(code, length(parent_code) + 2)::BIGINT) AS top FROM taxonomy WHERE starts_with(code, parent_code || '~') GROUP BY parent_code)"
 
 
-@query(f"WITH {V.TAXONOMY}, {_OVER} SELECT target, top FROM over")
+@query(f"WITH {V.TREE}, {_OVER} SELECT target, top FROM over")
 def max_overflow(spark, sf_dir):
-    return T.overflow_counts(V.taxonomy(spark))
+    return T.overflow_counts(V.tree(spark, sf_dir))
 
 
-@query(f"{_REC}, {V.CLOSURE} SELECT code, target FROM closure")
+@query(f"WITH RECURSIVE {V.TREE}, {V.CLOSURE} SELECT code, target FROM closure")
 def alias_closure(spark, sf_dir):
-    return T.alias_closure(V.taxonomy(spark))
+    return T.alias_closure(V.tree(spark, sf_dir))
 
 
 _RESOLVED = f"""{_REC}, {V.CLOSURE}, {V.ITEMS}, {_SLOT}, {_FREE}, {_OVER},
@@ -340,57 +340,77 @@ def resolve_codes(spark, sf_dir):
     return T.resolve_or_create(V.items(spark, sf_dir), V.taxonomy(spark))[0].select("pos", "code")
 
 
-@query(f"{_REC}, up(code, parent, path) AS (SELECT code, parent_code, folder_name FROM taxonomy UNION ALL SELECT u.code, t.parent_code, t.folder_name || '/' || u.path FROM up u JOIN taxonomy t ON t.code = u.parent) SELECT code, arg_max(path, length(path)) AS folder_path FROM up GROUP BY code")
+@query(f"WITH RECURSIVE {V.TREE}, up(code, parent, path) AS (SELECT code, parent_code, folder_name FROM taxonomy UNION ALL SELECT u.code, t.parent_code, t.folder_name || '/' || u.path FROM up u JOIN taxonomy t ON t.code = u.parent) SELECT code, arg_max(path, length(path)) AS folder_path FROM up GROUP BY code")
 def folder_paths(spark, sf_dir):
-    return T.folder_paths(V.taxonomy(spark))
+    return T.folder_paths(V.tree(spark, sf_dir))
 
 
-@query(f"{_REC}, down(code, label, sort_path, depth) AS (SELECT code, label, code, 0 FROM taxonomy WHERE active AND parent_code IS NULL UNION ALL SELECT t.code, t.label, d.sort_path || '/' || t.code, d.depth + 1 FROM down d JOIN taxonomy t ON t.parent_code = d.code AND t.active) SELECT sort_path, repeat('  ', depth) || code || ' ' || label AS line FROM down")
+@query(f"WITH RECURSIVE {V.URL_NODES}, up(code, parent, path) AS (SELECT code, parent_code, folder_name FROM nodes UNION ALL SELECT u.code, t.parent_code, t.folder_name || '/' || u.path FROM up u JOIN nodes t ON t.code = u.parent) SELECT code, path AS folder_path FROM up WHERE parent IS NULL")
+def url_folder_paths(spark, sf_dir):
+    """The folders of a tree that is made of the pages' addresses."""
+    return T.folder_paths(V.url_nodes(spark, sf_dir))
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, row_number() OVER w AS n, first_value(event_id) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    f AS (SELECT user_id, event_id AS fifth FROM e WHERE n = 5 AND user_id % 7 = 0)
+    SELECT event_id AS code, CASE WHEN fifth IS NULL THEN first WHEN n <= 5 THEN event_id ELSE fifth END AS target FROM e LEFT JOIN f USING (user_id)"""
+)
+def alias_chains(spark, sf_dir):
+    """Where long chains of events lead to: the user's first event, or the cycle that some users' first events close."""
+    links = V.event_links(spark, sf_dir).select("code", F.col("to").alias("alias_of"))
+    return T.alias_closure(links)
+
+
+@query(f"WITH RECURSIVE {V.TREE}, down(code, label, sort_path, depth) AS (SELECT code, label, code, 0 FROM taxonomy WHERE active AND parent_code IS NULL UNION ALL SELECT t.code, t.label, d.sort_path || '/' || t.code, d.depth + 1 FROM down d JOIN taxonomy t ON t.parent_code = d.code AND t.active) SELECT sort_path, repeat('  ', depth) || code || ' ' || label AS line FROM down")
 def snapshot_tree(spark, sf_dir):
-    return T.snapshot_lines(V.taxonomy(spark)).select("sort_path", "line")
+    return T.snapshot_lines(V.tree(spark, sf_dir)).select("sort_path", "line")
 
 
-@query(f"WITH {V.TAXONOMY} SELECT code, label FROM taxonomy WHERE parent_code IS NULL UNION ALL SELECT code, label FROM taxonomy WHERE parent_code = '500'")
+@query(f"WITH {V.TREE} SELECT code, label FROM taxonomy WHERE parent_code IS NULL UNION ALL SELECT code, label FROM taxonomy WHERE parent_code = '500'")
 def taxonomy_children(spark, sf_dir):
-    t = V.taxonomy(spark)
+    t = V.tree(spark, sf_dir)
     return T.children(t, None).select("code", "label").unionByName(T.children(t, "500").select("code", "label"))
 
 
-@query(f"WITH {V.TAXONOMY} SELECT code, label FROM taxonomy WHERE active")
+@query(f"WITH {V.TREE} SELECT code, label FROM taxonomy WHERE active")
 def taxonomy_active(spark, sf_dir):
-    return T.active(V.taxonomy(spark)).select("code", "label")
+    return T.active(V.tree(spark, sf_dir)).select("code", "label")
 
 
-@query(f"WITH {V.TAXONOMY} SELECT code, array_to_string(CASE WHEN code = '500' THEN list_append(aliases, 'sports') ELSE aliases END, '|') AS aliases, CASE WHEN code = '510' THEN '500' ELSE alias_of END AS alias_of, active AND code <> '510' AS active FROM taxonomy")
+@query(f"WITH {V.TREE} SELECT code, array_to_string(CASE WHEN code = '500' THEN list_append(aliases, 'sports') ELSE aliases END, '|') AS aliases, CASE WHEN code = '510' THEN '500' ELSE alias_of END AS alias_of, active AND code <> '510' AS active FROM taxonomy")
 def merge_codes(spark, sf_dir):
-    t = T.merge_codes(T.merge_codes(V.taxonomy(spark), "510", "500"), "nope", "500")
+    t = T.merge_codes(T.merge_codes(V.tree(spark, sf_dir), "510", "500"), "nope", "500")
     return t.select("code", F.array_join("aliases", "|").alias("aliases"), "alias_of", "active")
 
 
-@query(f"WITH {V.TAXONOMY} SELECT code, label, parent_code FROM taxonomy UNION ALL SELECT '541~1', 'easter', '541' UNION ALL SELECT '999', 'last', '900'")
+@query(f"WITH {V.TREE} SELECT code, label, parent_code FROM taxonomy UNION ALL SELECT '900~' || (p_partkey + 1000000000), p_name, '900' FROM part WHERE p_partkey % 3 <> 0")
 def taxonomy_insert(spark, sf_dir):
-    new = T.node_rows(spark.createDataFrame([("541~1", "541", "easter"), ("999", "900", "last"), ("500", None, "conflict"), ("999", "900", "last")], "code string, parent_code string, label string"))
-    return T.insert(V.taxonomy(spark), new).select("code", "label", "parent_code")
+    """A node for every part again: a third of them conflict with nodes that are there, and each comes twice."""
+    tree, p = V.tree(spark, sf_dir), F.col("p_partkey")
+    code = F.when(p % 3 == 0, V._part_code(p)).otherwise(F.concat(F.lit("900~"), (p + 1000000000).cast("string")))
+    new = T.node_rows(read_table(spark, sf_dir, "part").select(code.alias("code"), F.lit("900").alias("parent_code"), F.col("p_name").alias("label")))
+    return T.insert(tree, new.unionByName(new)).select("code", "label", "parent_code")
 
 
-@query(f"WITH {V.TAXONOMY} SELECT code, CASE WHEN code = '500' THEN 'parties|fairs' ELSE array_to_string(aliases, '|') END AS aliases, CASE WHEN code = '550' THEN '500' WHEN code = '560' THEN NULL ELSE alias_of END AS alias_of FROM taxonomy")
+@query(f"WITH {V.TREE} SELECT code, CASE WHEN code = '500' THEN 'parties|fairs' ELSE array_to_string(aliases, '|') END AS aliases, CASE WHEN code = '550' THEN '500' WHEN code = '560' THEN NULL ELSE alias_of END AS alias_of FROM taxonomy")
 def taxonomy_set_aliases(spark, sf_dir):
-    t = T.set_alias(T.set_alias(T.set_aliases(V.taxonomy(spark), "500", ["parties", "fairs"]), "550", "500"), "560", None)
+    t = T.set_alias(T.set_alias(T.set_aliases(V.tree(spark, sf_dir), "500", ["parties", "fairs"]), "550", "500"), "560", None)
     return t.select("code", F.array_join("aliases", "|").alias("aliases"), "alias_of")
 
 
-@query(f"WITH {V.TAXONOMY}, {V.LEARNED_SQL} SELECT code AS key, label AS value FROM taxonomy WHERE code IN ('540', '110') UNION ALL SELECT subject, class_code FROM learned WHERE subject = 'beach photo'")
+@query(f"WITH {V.TREE}, {V.LEARNED_SQL} SELECT code AS key, label AS value FROM taxonomy WHERE code IN ('111', '110') UNION ALL SELECT subject, class_code FROM learned WHERE subject = 'beach photo'")
 def keyed_reads(spark, sf_dir):
-    t = V.taxonomy(spark)
-    nodes = T.get(t, "540").unionByName(T.get(t, "110")).unionByName(T.get(t, "nope")).select(F.col("code").alias("key"), F.col("label").alias("value"))
+    t = V.tree(spark, sf_dir)
+    nodes = T.get(t, "111").unionByName(T.get(t, "110")).unionByName(T.get(t, "nope")).select(F.col("code").alias("key"), F.col("label").alias("value"))
     return nodes.unionByName(concepts.learned_get(V.learned(spark), "Beach  Photos").select(F.col("subject").alias("key"), F.col("class_code").alias("value")))
 
 
-@query("SELECT code, label, parent_code FROM (VALUES " + ", ".join(f"({V.quoted(c)}, {V.quoted(label)}, {V.quoted(p)})" for c, p, label in C.seed_nodes()) + ") v(code, label, parent_code) UNION ALL SELECT '540', 'holidays', '500'")
+@query(f"WITH {V.TREE} SELECT code, label, parent_code FROM spine UNION ALL SELECT code, label, parent_code FROM taxonomy WHERE contains(code, '~')")
 def seed_if_empty(spark, sf_dir):
-    """The spine where the table is empty; a table with one row stays as it is."""
-    t = V.taxonomy(spark)
-    return T.seed_taxonomy(spark, t.where("false")).unionByName(T.seed_taxonomy(spark, t.where("code = '540'"))).select("code", "label", "parent_code")
+    """The spine where the table is empty; a table with rows, here without a spine, stays as it is."""
+    t = V.tree(spark, sf_dir)
+    return T.seed_taxonomy(spark, t.where("false")).unionByName(T.seed_taxonomy(spark, t.where("contains(code, '~')"))).select("code", "label", "parent_code")
 
 
 # --- passes -------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import constants as C
@@ -43,6 +43,41 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return T.seed_taxonomy(spark).unionByName(extra)
 
 
+def _part_code(p) -> object:
+    taken = p.between(110, 999) & (p % 3 == 0) & (p % 10 != 0) & (F.floor(p / 10) % 10 != 0)
+    return F.when(taken, p.cast("string")).otherwise(F.concat((p % 9 + 1).cast("string"), F.lit("00~"), p.cast("string")))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hierarchy that grows with ``part``: the spine, and a node per part below a class, some of them aliases of others."""
+    p = F.col("p_partkey")
+    code, alias = _part_code(p), (p % 10).isin(5, 6, 7)
+    parent = F.when(code.contains("~"), F.concat((p % 9 + 1).cast("string"), F.lit("00"))).otherwise((F.floor(p / 10) * 10).cast("string"))
+    none = F.array().cast("array<string>")
+    nodes = read_table(spark, sf_dir, "part").select(
+        code.alias("code"), parent.alias("parent_code"), F.col("p_name").alias("label"), F.concat_ws("-", code, X.slug(F.col("p_name"))).alias("folder_name"),
+        F.when(p % 4 == 0, F.array("p_type")).otherwise(none).alias("aliases"), F.when(alias, _part_code(p - 1)).alias("alias_of"), (~alias).alias("active"),
+    )
+    return T.seed_taxonomy(spark).unionByName(nodes)
+
+
+def url_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, parent_code, folder_name: every host part and path step of the pages' addresses, from the top domain down."""
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    steps = F.concat(F.reverse(F.split(F.substring_index(bare, "/", 1), r"\.")), F.slice(F.split(bare, "/"), 2, 1000))
+    rows = read_table(spark, sf_dir, "pages").select(steps.alias("s")).select("s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i"))
+    named = rows.select(F.array_join(F.slice("s", 1, F.col("i")), "/").alias("code"), F.when(F.col("i") > 1, F.array_join(F.slice("s", 1, F.col("i") - 1), "/")).alias("parent_code"), X.slug(F.element_at("s", F.col("i"))).alias("folder_name"))
+    return named.distinct()
+
+
+def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, to: every event points to its user's event before; the first of some users points to a later one, a cycle."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.lag("event_id").over(w).alias("to"), F.row_number().over(w).alias("n"))
+    fifth = e.where("n = 5 AND user_id % 7 = 0").select("user_id", F.col("event_id").alias("fifth"), F.lit(1).alias("n"))
+    return e.join(fifth, ["user_id", "n"], "left").select(F.col("event_id").alias("code"), F.coalesce("to", "fifth").alias("to"))
+
+
 def learned(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEARNED), "subject string, class_code string, hits long")
 
@@ -118,6 +153,19 @@ SEEN = f"""{FILES}, seen AS (
     FROM files WHERE doc_id % 3 <> 0)"""
 _NODES = [(c, p, label, f"{c}-{label}", (), None, True) for c, p, label in C.seed_nodes()] + [(c, p, label, f"{c}-{label.replace(' ', '-')}", a, to, on) for c, p, label, a, to, on in EXTRA]
 TAXONOMY = "taxonomy(code, parent_code, label, folder_name, aliases, alias_of, active) AS (VALUES " + ", ".join(f"({quoted(c)}, {quoted(p)}, {quoted(label)}, {quoted(folder)}, {listed(a)}, {quoted(to)}, {quoted(on)})" for c, p, label, folder, a, to, on in _NODES) + ")"
+_SPINE = _NODES[: -len(EXTRA)]
+
+
+def _sql_part_code(p: str) -> str:
+    return f"CASE WHEN {p} BETWEEN 110 AND 999 AND {p} % 3 = 0 AND {p} % 10 <> 0 AND {p} // 10 % 10 <> 0 THEN ({p})::VARCHAR ELSE ({p} % 9 + 1) || '00~' || ({p}) END"
+
+
+TREE = "spine(code, parent_code, label, folder_name, aliases, alias_of, active) AS (VALUES " + ", ".join(f"({quoted(c)}, {quoted(p)}, {quoted(label)}, {quoted(folder)}, {listed(a)}, {quoted(to)}, {quoted(on)})" for c, p, label, folder, a, to, on in _SPINE) + f"""),
+    parted AS (SELECT *, {_sql_part_code("p_partkey")} AS code FROM part),
+    taxonomy AS (SELECT code, parent_code, label, folder_name, aliases, alias_of::VARCHAR AS alias_of, active FROM spine UNION ALL SELECT code, CASE WHEN contains(code, '~') THEN (p_partkey % 9 + 1) || '00' ELSE (p_partkey // 10 * 10)::VARCHAR END, p_name, code || '-' || {sql_slug("p_name")}, CASE WHEN p_partkey % 4 = 0 THEN [p_type] ELSE []::VARCHAR[] END,
+        CASE WHEN p_partkey % 10 IN (5, 6, 7) THEN {_sql_part_code("(p_partkey - 1)")} END, p_partkey % 10 NOT IN (5, 6, 7) FROM parted)"""
+URL_NODES = f"""steps AS (SELECT list_concat(list_reverse(string_split(split_part(bare, '/', 1), '.')), string_split(bare, '/')[2:]) AS s FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS bare FROM pages)),
+    nodes AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS code, CASE WHEN i > 1 THEN array_to_string(s[1:i - 1], '/') END AS parent_code, {sql_slug("s[i]")} AS folder_name FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM steps))"""
 SEEDS = "seeds AS (SELECT subject, arg_min(class, rank) AS class FROM (SELECT " + sql_label("name") + " AS subject, class, rank FROM (VALUES " + ", ".join(
     [f"({quoted(label)}, {quoted(p)}, 0)" for _, p, label in C.seed_nodes() if p] + [f"({quoted(w)}, {quoted(code)}, 1)" for code, ws in C.SYNONYMS.items() for w in ws]
 ) + ") v(name, class, rank)) GROUP BY subject)"
