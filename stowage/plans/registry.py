@@ -19,6 +19,7 @@ from stowage.operators.deltalog import DeltaLog, Table
 from stowage.plans import views as V
 from stowage.plans.classifiers import StubClassifier
 from stowage.session import read_table, shared_dir, stored
+from stowage.streaming import failures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -456,6 +457,13 @@ def fail_counter(spark, sf_dir):
     return incremental.fail_counts(V.attempts(spark, sf_dir).where("status = 'error'"), "event_id", "source_path", "size")
 
 
+def _failures_before_and_after(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(source_path, size, fail_count of the first half of the log; source_path, size of the second half)."""
+    errors = V.attempts(spark, sf_dir).where("status = 'error'")
+    old = errors.where("day < '2024-01-15'").groupBy("source_path").agg(F.max("size").alias("size"), F.count("*").cast("int").alias("fail_count"))
+    return old, errors.where("day >= '2024-01-15'").groupBy("source_path").agg(F.max("size").alias("size"))
+
+
 @query(
     f"""WITH {V.ATTEMPTS}, old AS (SELECT source_path, max(size) AS size, count(*) AS n FROM attempts WHERE status = 'error' AND day < '2024-01-15' GROUP BY source_path),
     new AS (SELECT source_path, max(size) AS size FROM attempts WHERE status = 'error' AND day >= '2024-01-15' GROUP BY source_path)
@@ -464,14 +472,33 @@ def fail_counter(spark, sf_dir):
     FROM old o FULL JOIN new n USING (source_path)"""
 )
 def poison_reconcile(spark, sf_dir):
-    errors = V.attempts(spark, sf_dir).where("status = 'error'")
-    old = errors.where("day < '2024-01-15'").groupBy("source_path").agg(F.max("size").alias("size"), F.count("*").cast("int").alias("fail_count"))
+    old, new = _failures_before_and_after(spark, sf_dir)
     stamp = F.lit("2024-01-15").cast("timestamp")
     failed = old.select("source_path", "size", F.lit(1).cast("long").alias("mtime_ns"), "fail_count", F.lit("boom").alias("last_error"), stamp.alias("first_failed_at"), stamp.alias("last_failed_at"), (F.col("fail_count") % 2 == 0).alias("quarantined"))
-    new = errors.where("day >= '2024-01-15'").groupBy("source_path").agg(F.max("size").alias("size")).select("source_path", "size", F.lit(1).cast("long").alias("mtime_ns"), F.lit("bang").alias("error"))
+    new = new.select("source_path", "size", F.lit(1).cast("long").alias("mtime_ns"), F.lit("bang").alias("error"))
     return incremental.record_failures(failed, new, "2024-02-01").select("source_path", "size", "fail_count", "quarantined")
 
 
+@query(_SQL["fail_counter"])
+def fail_counter_stream(spark, sf_dir):
+    """The same counts as a stream's keyed state, from three micro-batches with a restart between them."""
+    errors = V.attempts(spark, sf_dir).where("status = 'error'")
+    log = errors.select("day", "source_path", "size", F.lit(1).cast("long").alias("mtime_ns"), F.lit(True).alias("failed"), F.col("event_id").alias("at"))
+    parts = [log.where("day < '2024-01-10'"), log.where("day >= '2024-01-10' AND day < '2024-01-20'"), log.where("day >= '2024-01-20'")]
+    return failures.latest(failures.replayed(spark, parts)).select("source_path", F.col("fail_count").cast("long").alias("fail_count"))
+
+
+@query(_SQL["poison_reconcile"])
+def poison_reconcile_stream(spark, sf_dir):
+    """A pass of failures over a table of old ones, which is the initial state of the stream."""
+    old, new = _failures_before_and_after(spark, sf_dir)
+    one = F.lit(1).cast("long")
+    before = stored(old.select("source_path", "size", one.alias("mtime_ns"), "fail_count", (F.col("fail_count") % 2 == 0).alias("quarantined")))
+    changes = failures.replayed(spark, [new.select("source_path", "size", one.alias("mtime_ns"), F.lit(True).alias("failed"), one.alias("at"))], before=before)
+    now = failures.latest(changes).unionByName(before.join(changes.select("source_path"), "source_path", "left_anti"))
+    return now.select("source_path", "size", "fail_count", "quarantined")
+
+
 _RUNS = f"""WITH {V.ATTEMPTS}, i AS (SELECT *, sum(CASE WHEN status = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY event_id) AS isle FROM attempts),
     r AS (SELECT *, sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY day, isle ORDER BY event_id) AS run FROM i)"""
 

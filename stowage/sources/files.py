@@ -1,7 +1,15 @@
 """File metadata as a table: path, size and modification time in nanoseconds, without reading a byte of content.
 
 Spark's own binary source leaves out hidden and empty files and rounds times to milliseconds, so this is a data source
-of its own. Every sub-folder of the root is a partition. The folder must be mounted alike on all executors.
+of its own. The folder must be mounted alike on all executors.
+
+A scan is dealt out before anything is looked at: folders are opened from the top until there are ``FOLDERS`` of them or
+no more, and a folder with many entries is split into slices of about ``SLICE``. Every task of such a folder lists its
+names, which is one read of the directory, and looks at those whose hash falls to it, which is what takes the time. The
+list of extensions is pushed into the source, so other files are not looked at; rows leave a task as Arrow batches.
+
+As a stream every batch is a listing of the whole tree as of its time. Offsets hold that time alone: what has been seen,
+with size and time, is the state of who reads it (``streaming.watch``), however many files there are.
 """
 
 from __future__ import annotations
@@ -9,58 +17,152 @@ from __future__ import annotations
 import hashlib
 import logging
 import os
+import re
+import time
+import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, In, InputPartition
 
+from stowage.functions import constants as C
 from stowage.functions import expressions as X
 
 logger = logging.getLogger(__name__)
 SCHEMA = "source_path string, size long, mtime_ns long"
+_SOURCE = f"{SCHEMA}, extension string"
+#: Folders that a plan opens at most, entries of a folder that make a task, and rows of an Arrow batch.
+FOLDERS = 256
+SLICE = 10_000
+ROWS = 5_000
+
 
+class _Part(InputPartition):
+    """The names of one folder, or of all folders below it, whose hash modulo ``of`` is ``k``; a single file; or nothing."""
 
-class _Folder(InputPartition):
-    def __init__(self, path: str, deep: bool):
+    def __init__(self, path: str, deep: bool, k: int = 0, of: int = 1):
         super().__init__(path)
-        self.path, self.deep = path, deep
+        self.path, self.deep, self.k, self.of = path, deep, k, of
+
+
+def extension_of(name: str) -> str:
+    """As ``expressions.extension``, for a base name."""
+    found = re.match(r"\.*[^.].*?(\.[^.]+)\Z", name, re.DOTALL)
+    return found[1].lstrip(".").lower() if found else ""
+
+
+def planned(root: str, recursive: bool, folders: int = FOLDERS, entries: int = SLICE) -> list[_Part]:
+    if not os.path.exists(root):
+        raise FileNotFoundError(f"no such source: {root}")
+    if os.path.isfile(root):
+        return [_Part(root, False)]
+    parts, queue = [], deque([root])
+    while queue:
+        if len(parts) + len(queue) >= folders:  # what is left is walked by one task each
+            parts += [_Part(path, True) for path in queue]
+            break
+        path, many, below = queue.popleft(), 0, []
+        with os.scandir(path) as found:
+            for entry in found:
+                many += 1
+                if recursive and entry.is_dir(follow_symlinks=False):
+                    below.append(entry.path)
+        queue += sorted(below)
+        slices = -(-max(many, 1) // entries)
+        parts += [_Part(path, False, k, slices) for k in range(slices)]
+    return parts
+
+
+def _names(part: _Part) -> Iterator[str]:
+    if os.path.isfile(part.path):
+        yield part.path
+    elif part.deep:
+        yield from (os.path.join(d, n) for d, _, files in os.walk(part.path) for n in files)
+    elif os.path.isdir(part.path):
+        with os.scandir(part.path) as found:
+            for entry in found:
+                if part.of == 1 or zlib.crc32(os.fsencode(entry.name)) % part.of == part.k:
+                    yield entry.path
+
+
+def listed(part: _Part, extensions: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["source_path", "size", "mtime_ns", "extension"])
+
+    for name in _names(part):
+        kind = extension_of(os.path.basename(name))
+        if (extensions is None or kind in extensions) and os.path.isfile(name):
+            rows.append((name, *_size_and_time(name), kind))
+            if len(rows) == ROWS:
+                yield batch()
+                rows = []
+    yield batch()
+
+
+def _size_and_time(name: str) -> tuple[int | None, int | None]:
+    """Null for a file that went away since it was listed, which is an error of the pass."""
+    try:
+        st = os.stat(name)
+    except OSError as error:
+        logger.warning("could not stat %s: %s", name, error)
+        return None, None
+    return st.st_size, st.st_mtime_ns
 
 
-class _Reader(DataSourceReader):
+class _Options:
     def __init__(self, options):
         self.root = options["path"]
         self.recursive = str(options.get("recursive", "true")).lower() == "true"
+        self.folders, self.entries = int(options.get("folders", FOLDERS)), int(options.get("entries", SLICE))
+        self.extensions: frozenset[str] | None = None
+
+    def plan(self) -> list[_Part]:
+        return planned(self.root, self.recursive, self.folders, self.entries)
+
+
+class _Reader(_Options, DataSourceReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, In) and f.attribute == ("extension",):
+                self.extensions = frozenset(f.value) if self.extensions is None else self.extensions & frozenset(f.value)
+            else:
+                yield f
 
     def partitions(self):
-        if not os.path.exists(self.root):
-            raise FileNotFoundError(f"no such source: {self.root}")
-        if os.path.isfile(self.root):
-            return [_Folder(self.root, False)]
-        below = [_Folder(e.path, True) for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)] if self.recursive else []
-        return [_Folder(self.root, False), *below]
+        return self.plan()
 
     def read(self, partition):
-        if os.path.isfile(partition.path):
-            names: Iterator[str] = iter([partition.path])
-        elif partition.deep:
-            names = (os.path.join(d, n) for d, _, files in os.walk(partition.path) for n in files)
-        else:
-            names = (e.path for e in os.scandir(partition.path))
-        for name in names:
-            if os.path.isfile(name):
-                yield name, *_size_and_time(name)
+        return listed(partition, self.extensions)
 
 
-def _size_and_time(name: str) -> tuple[int | None, int | None]:
-    """Null for a file that went away since it was listed, which is an error of the pass."""
-    try:
-        st = os.stat(name)
-    except OSError as error:
-        logger.warning("could not stat %s: %s", name, error)
-        return None, None
-    return st.st_size, st.st_mtime_ns
+class _StreamReader(_Options, DataSourceStreamReader):
+    """A listing a batch. A source that is gone gives an empty one, so that the next batch tries again."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        if str(options.get("supported", "true")).lower() == "true":
+            self.extensions = frozenset(C.EXTENSIONS)
+
+    def initialOffset(self):
+        return {"at": 0}
+
+    def latestOffset(self):
+        return {"at": time.time_ns()}
+
+    def partitions(self, start, end):
+        try:
+            return self.plan()
+        except OSError as error:
+            logger.warning("could not list %s: %s", self.root, error)
+            return [_Part(os.path.join(self.root, ""), False)]
+
+    def read(self, partition):
+        return listed(partition, self.extensions)
 
 
 class FileSource(DataSource):
@@ -69,20 +171,30 @@ class FileSource(DataSource):
         return "stowage_files"
 
     def schema(self):
-        return SCHEMA
+        return _SOURCE
 
     def reader(self, schema):
         return _Reader(self.options)
 
+    def streamReader(self, schema):
+        return _StreamReader(self.options)
 
-def scan(spark: SparkSession, path: str, recursive: bool = True, supported_only: bool = True) -> DataFrame:
+
+def scan(spark: SparkSession, path: str, recursive: bool = True, supported_only: bool = True, **options) -> DataFrame:
     """Regular files below ``path`` (or that one file); by default pictures alone. A missing path fails.
 
     A file that can't be looked at has null size and time.
     """
     spark.dataSource.register(FileSource)
-    df = spark.read.format("stowage_files").option("recursive", str(recursive).lower()).load(path)
-    return df.where(X.is_supported(F.col("source_path"))) if supported_only else df
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = spark.read.format("stowage_files").option("recursive", str(recursive).lower()).options(**options).load(path)
+    return (df.where(F.col("extension").isin(*C.EXTENSIONS)) if supported_only else df).drop("extension")
+
+
+def scan_stream(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """The pictures below ``path`` as a stream: every batch is a listing of all of them."""
+    spark.dataSource.register(FileSource)
+    return spark.readStream.format("stowage_files").option("recursive", str(recursive).lower()).load(path).drop("extension")
 
 
 def file_digest(path: str) -> str:

@@ -1,6 +1,6 @@
-"""Incremental passes over a source, in a loop on the driver.
+"""Incremental passes over a source, in a loop on the driver or as a stream of listings.
 
-A file stream would take a rewritten file for an old one and would not try failures again, so a pass is an anti-join
+Spark's own file stream would take a rewritten file for an old one and would not try failures again, so a pass is an anti-join
 of the listing with what was seen. Where a breaker guards the backend, a pass goes in chunks in order of path. The first
 is no larger than the failures that would trip the breaker; while chunks end well the next is twice as large (``MOST``
 at most), so a healthy pass takes few of them. In a larger chunk every task stops asking after as many failures in a row.
@@ -15,6 +15,7 @@ from dataclasses import dataclass, fields
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from stowage.functions import constants as C
 from stowage.functions import expressions as X
@@ -66,13 +67,17 @@ def guarded(organizer: Organizer, todo: DataFrame, breaker: Breaker | None) -> I
 
 
 def run_pass(organizer: Organizer, source: str, recursive: bool = True, breaker: Breaker | None = None, poison_limit: int = C.POISON_LIMIT, quarantine_dir: str | None = None) -> PassStats:
-    catalog, stats = organizer.catalog, PassStats(passes=1)
-    spark = catalog.spark
+    """A pass over all that is listed now."""
     try:
-        listed = stored(files.scan(spark, source, recursive))
+        listed = stored(files.scan(organizer.catalog.spark, source, recursive))
     except (OSError, PySparkException):
-        stats.errors += 1  # the source is gone; the next pass tries again
-        return stats
+        return PassStats(passes=1, errors=1)  # the source is gone; the next pass tries again
+    return look_through(organizer, listed, breaker, poison_limit, quarantine_dir)
+
+
+def look_through(organizer: Organizer, listed: DataFrame, breaker: Breaker | None = None, poison_limit: int = C.POISON_LIMIT, quarantine_dir: str | None = None) -> PassStats:
+    """A pass over a stored listing (source_path, size, mtime_ns)."""
+    catalog, stats = organizer.catalog, PassStats(passes=1)
     found = listed.where("size IS NOT NULL")
     todo = I.unseen(found, catalog.read("source_seen"))
     if breaker:
@@ -130,3 +135,26 @@ def watch(organizer: Organizer, source: str, interval: float = C.POLL_SECONDS, s
         if not stop.is_set() and not (breaker and breaker.is_open):
             sleep(interval)
     return total
+
+
+def watch_stream(organizer: Organizer, source: str, checkpoint: str, interval: float | None = C.POLL_SECONDS, recursive: bool = True, breaker: Breaker | None = None, report: Callable[[PassStats], object] | None = None, **options) -> StreamingQuery:
+    """The watch loop as a stream: its source lists the tree once a trigger, and a micro-batch is a pass.
+
+    With ``interval`` None one pass is made. A restart goes on from the checkpoint; a batch that was cut short is a pass
+    again, which skips what the catalog has as seen. While the breaker is open, batches pass by until its backoff is
+    over, and the next one is the probe (so waits are rounded up to whole intervals).
+    """
+
+    def one(batch: DataFrame, _: int) -> None:
+        if breaker and breaker.is_open:
+            if breaker.wait() > 0:
+                return
+            breaker.probe()
+        with temporary_tables(organizer.catalog.spark):
+            stats = look_through(organizer, stored(batch), breaker, **options)
+        organizer.catalog.vacuum()
+        if report:
+            report(stats)
+
+    trigger = {"availableNow": True} if interval is None else {"processingTime": f"{interval} seconds"}
+    return files.scan_stream(organizer.catalog.spark, source, recursive).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
