@@ -246,7 +246,11 @@ SPANS = "rid long, r2 int, a long, b long, later boolean"
 
 
 def _sorted_shards(source):
-    """SPANS of contexts, from shards that arrive in order of their anchor and then in text order."""
+    """SPANS of contexts, from shards that arrive in order of their anchor and then in text order.
+
+    Repeated rows are at the same place, side by side; one of them stands for all, else each would be taken for an
+    earlier copy of the next.
+    """
     held: list[tuple] = []
     size = 0
     for batch in source:
@@ -255,6 +259,8 @@ def _sorted_shards(source):
             if size > 1 << 20 and ks[i] != held[-1][0]:
                 yield _shard(held)
                 held, size = [], 0
+            if held and (ks[i], rid[i], r2[i], s[i]) == (held[-1][0], *held[-1][2:5]):
+                continue
             held.append((ks[i], single[i], rid[i], r2[i], s[i], raw))
             size += len(raw)
     yield _shard(held)
@@ -369,7 +375,7 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
         forget(done)
     shards = contexts.where("NOT crowd").repartition("k").sortWithinPartitions("k", *PLACE)
     sorted_out = stored(mapped(shards, _sorted_shards, SPANS))
-    dealt = _dealt_spans(contexts.where("crowd"), kind)
+    dealt = _dealt_spans(contexts.where("crowd").dropDuplicates(["k", "rid", "r2", "s"]), kind)
     forget(contexts)
     return whole.unionByName(twice).unionByName(sorted_out).unionByName(dealt)
 

@@ -355,3 +355,20 @@ def test_rules_count_every_trusted_document(spark):
     docs = spark.range(100_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), (F.col("id") % 97).cast("string")).alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     assert quality_rules(docs, labels).where("doc_id < 97 AND llr <> 0").count() == 0  # trusted text is all text
+
+
+@pytest.mark.parametrize("crowd", [512, 0])
+def test_repeated_rows_that_share_a_part_keep_their_first_copy(spark, crowd):
+    """A repeated row is one place in text order: what it shares with a later document stays in it and goes there."""
+    from stowage.llm.repeats import without_repeats
+
+    rng = np.random.default_rng(8)
+    said = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    t, u, v = said(700), said(300), said(300)
+    rows = [(1, t), (1, t), (2, u + t[100:420] + v), (3, v[:50] + t[200:460])]
+    for repeats in (1, 2, 3):
+        df = spark.createDataFrame(rows[:1] * repeats + rows[2:], "doc_id long, text string").repartition(3)
+        kept = sorted((r["doc_id"], r["text"]) for r in without_repeats(df, crowd=crowd).collect())
+        want = [(1, t)] * repeats + [(2, u + v), (3, v[:50])]
+        assert kept[: repeats + 1] == want[: repeats + 1]
+        assert kept[-1][1] == v[:50] + ("" if t[200:460] in t else t)
