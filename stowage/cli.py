@@ -19,7 +19,7 @@ from stowage.operators import catalog as K
 from stowage.operators import dedup
 from stowage.plans.classifiers import StubClassifier, VisionClassifier
 from stowage.plans.organize import Organizer, verify_tree
-from stowage.session import stored, temporary_tables
+from stowage.session import stored, tallied, temporary_tables
 from stowage.sources import files
 from stowage.streaming.breaker import Breaker
 from stowage.streaming.watch import guarded, watch
@@ -82,7 +82,8 @@ def process(spark: SparkSession, a) -> int:
         print(error, file=sys.stderr)
         return 1
     with temporary_tables(spark):
-        parts = list(guarded(organizer, stored(files.scan(spark, a.source, a.recursive)), breaker))
+        listed, found = tallied(files.scan(spark, a.source, a.recursive), F.count("*").alias("n"))
+        parts = [part for part, _ in guarded(organizer, listed, breaker, found["n"])]
         results = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "source_path string, status string, error string")
         results = results.where("status <> 'untried'")
         s = dedup.run_stats(results).first()

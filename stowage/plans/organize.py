@@ -53,6 +53,8 @@ class Organizer:
 
         With ``give_up``, files that are left when the backend has failed so often in a row have the status ``untried``.
         """
+        if not self.dry_run:
+            sinks.sweep(self.organized_dir)
         hashed = stored(files.with_digests(batch))
         unread = hashed.where("error IS NOT NULL").select("source_path", "digest", F.lit("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), "error")
         good = hashed.where("error IS NULL").drop("error")
@@ -114,7 +116,7 @@ class Organizer:
         name = X.generate_filename(F.col("code"), F.col("primary_subject"), F.col("digest"), X.extension(F.col("source_path")))
         placed = placed.withColumn("organized_path", F.concat(F.lit(f"{self.organized_dir}/"), "folder_path", F.lit("/"), name))
         side = F.to_json(F.struct("digest", F.col("source_path").alias("original_path"), "organized_path", F.col("code").alias("pcs_code"), X.normalize_descriptor(F.col("primary_subject")).alias("descriptor"), "caption", "scene", "objects", F.col("tags").alias("secondary_tags"), "ocr_text", "model_version", F.parse_json("exif").alias("exif")))
-        result = stored(sinks.organize_files(placed.withColumn("sidecar", side), self.sidecars))
+        result = sinks.organize_files(placed.withColumn("sidecar", side), self.organized_dir, self.sidecars)
         self._commit(result.where("status = 'copied'"), nodes_then, answers)
         return result.select(*RESULT).unionByName(failed.select("source_path", F.lit("").alias("digest"), F.when(F.col("failure") == UNTRIED, "untried").otherwise("error").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.col("failure").alias("error")))
 

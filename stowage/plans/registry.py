@@ -663,8 +663,8 @@ def copy_and_verify(spark, sf_dir):
     p = F.col("source_path")
     named = files.with_digests(files.scan(spark, root)).drop("error").withColumn("filename", X.generate_filename(F.lit("330"), _stem(p), F.col("digest"), X.extension(p)))
     planned = named.withColumn("organized_path", F.concat(F.lit(f"{root}/out/"), F.substring(F.sha2(p, 256), 1, 16), F.lit("/"), "filename")).withColumn("sidecar", F.to_json(F.struct("digest")))
-    sinks.organize_files(planned, True).count()
-    copied = sinks.organize_files(planned, True).select("organized_path", "filename", "status")
+    sinks.organize_files(planned, f"{root}/out", True)
+    copied = sinks.organize_files(planned, f"{root}/out", True).select("organized_path", "filename", "status")
     return copied.join(verify_tree(spark, f"{root}/out").withColumnRenamed("source_path", "organized_path"), "organized_path").select("filename", "status", "verdict")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Bytes of the Arrow batches that tasks exchange with Python; Spark's default of 64 MB is held several times over.
 ARROW_BYTES = 2 << 20
@@ -70,6 +70,13 @@ def stored(df: DataFrame) -> DataFrame:
     return again
 
 
+def tallied(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates of its rows that the writing job itself has gathered."""
+    seen = Observation()
+    table = stored(df.observe(seen, *metrics))
+    return table, seen.get
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table of a frame that ``stored`` returned; nothing may read it any more."""
     _delete(df.sparkSession, df._stored_at)

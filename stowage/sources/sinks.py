@@ -1,4 +1,8 @@
-"""Writing files from tasks. Every write goes to a temporary name and is renamed, so a task may run again or twice."""
+"""Writing files from tasks. Every write goes to a temporary name and is renamed, so a task may run again or twice.
+
+Copies are a data source's writer: tasks stage and verify, the job's commit publishes, and an abort cleans up. The root
+must be a folder that the driver and all executors mount alike.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,12 @@ import shutil
 import uuid
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from stowage.session import forget, stored
 from stowage.sources.files import file_digest
 
 logger = logging.getLogger(__name__)
@@ -38,43 +46,123 @@ def place(source: str, target: str, digest: str) -> None:
         raise RuntimeError(f"integrity check failed: {source} -> {target}")
 
 
-def write_sidecar(target: str, fields: dict) -> None:
+def sidecar_name(target: str) -> str:
     """JSON beside the file, its extension replaced."""
-    name = os.path.splitext(target)[0] + ".json"
+    return os.path.splitext(target)[0] + ".json"
+
+
+def write_sidecar(name: str, fields: dict) -> None:
     part = f"{name}.{uuid.uuid4().hex}.part"
     with open(part, "w", encoding="utf-8") as f:
         json.dump(fields, f, indent=2, ensure_ascii=False)
     os.replace(part, name)
 
 
-def organize_files(rows: DataFrame, sidecars: bool = False) -> DataFrame:
-    """Adds status and error. rows: source_path, organized_path, digest; and ``sidecar`` (JSON) if sidecars are wanted.
+STAGING = ".staging"
+_RESULTS = pa.schema([("source_path", pa.string()), ("target", pa.string()), ("status", pa.string()), ("error", pa.string()), ("staged", pa.string()), ("staged_sidecar", pa.string())])
+
+
+class _Done(WriterCommitMessage):
+    def __init__(self, results: str):
+        self.results = results
+
 
-    A sidecar that can't be written does not undo the copy.
+class _CopyWriter(DataSourceArrowWriter):
+    """Tasks copy and verify into a staging folder below the root; the commit of the job moves what they have staged.
+
+    A task that fails or runs twice has staged under names of its own, which no message tells of; a job that is stopped
+    leaves the staging folder alone, so nothing of it can be seen in the tree.
     """
 
-    def run(batches):
-        for batch in batches:
-            column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            status, errors = [], []
-            for i, (source, target, digest) in enumerate(zip(column["source_path"], column["organized_path"], column["digest"], strict=True)):
-                try:
-                    place(source, target, digest)
-                    status.append("copied")
-                    errors.append(None)
-                except Exception as error:  # any failure is that file's alone
-                    status.append("error")
-                    errors.append(str(error))
-                    continue
-                if sidecars:
-                    try:
-                        write_sidecar(target, json.loads(column["sidecar"][i]))
-                    except Exception as error:  # the copy stands
-                        logger.warning("no sidecar for %s: %s", target, error)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(status, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "status", "error"])
-
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{columns}, status string, error string")
+    def __init__(self, options):
+        self.folder = os.path.join(options["path"], STAGING, options["job"])
+
+    def write(self, iterator):
+        own = uuid.uuid4().hex
+        os.makedirs(os.path.join(self.folder, "results"), exist_ok=True)
+        results = os.path.join(self.folder, "results", f"{own}.parquet")
+        with pq.ParquetWriter(results, _RESULTS) as out:
+            for batch in iterator:
+                column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+                none = [None] * batch.num_rows
+                rows = [self._stage(*row) for row in zip(column["source_path"], column["organized_path"], column["digest"], column.get("sidecar", none), strict=True)]
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_RESULTS)], schema=_RESULTS))
+        return _Done(results)
+
+    def _stage(self, source: str, target: str, digest: str, sidecar: str | None) -> tuple:
+        """A row of results: any failure is that file's alone. A target that verifies already is left alone."""
+        staged, beside = os.path.join(self.folder, uuid.uuid4().hex), None
+        try:
+            if os.path.exists(target) and file_digest(target) == digest:
+                staged = None
+            else:
+                place(source, staged, digest)
+        except Exception as error:
+            return source, target, "error", str(error), None, None
+        if sidecar is not None:
+            try:
+                beside = os.path.join(self.folder, f"{uuid.uuid4().hex}.json")
+                write_sidecar(beside, json.loads(sidecar))
+            except Exception as error:  # the copy stands
+                logger.warning("no sidecar for %s: %s", target, error)
+                beside = None
+        return source, target, "copied", None, staged, beside
+
+    def commit(self, messages):
+        failed: list[tuple[str, str]] = []
+        for message in messages:
+            if message is not None:
+                for batch in pq.ParquetFile(message.results).iter_batches(10_000, columns=["source_path", "target", "staged", "staged_sidecar"]):
+                    for source, target, staged, beside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        try:
+                            os.makedirs(os.path.dirname(target), exist_ok=True)
+                            for part, name in ((staged, target), (beside, sidecar_name(target))):
+                                if part:
+                                    os.replace(part, name)
+                        except OSError as error:  # that file's alone
+                            failed.append((source, str(error)))
+        pq.write_table(pa.table({"__failed_path": pa.array([f[0] for f in failed], pa.string()), "__failure": pa.array([f[1] for f in failed], pa.string())}), os.path.join(self.folder, "failed.parquet"))
+
+    def abort(self, messages):
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
+class CopySink(DataSource):
+    @classmethod
+    def name(cls):
+        return "stowage_copies"
+
+    def schema(self):
+        return "source_path string, organized_path string, digest string, sidecar string"
+
+    def writer(self, schema, overwrite):
+        return _CopyWriter(self.options)
+
+
+def sweep(root: str) -> None:
+    """Delete what jobs that were killed have staged; there is one writer, so no job is running."""
+    shutil.rmtree(os.path.join(root, STAGING), ignore_errors=True)
+
+
+def organize_files(rows: DataFrame, root: str, sidecars: bool = False) -> DataFrame:
+    """Adds status and error. rows: source_path, organized_path below ``root``, digest; and ``sidecar`` (JSON) if sidecars are wanted.
+
+    All copies become visible when the job ends, or none. A sidecar that can't be written does not undo its copy.
+    """
+    spark, job = rows.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(CopySink)
+    rows = stored(rows)
+    columns = ["source_path", "organized_path", "digest", F.col("sidecar") if sidecars else F.lit(None).cast("string").alias("sidecar")]
+    rows.select(*columns).write.format("stowage_copies").option("job", job).mode("append").save(root)
+    folder = f"file:{os.path.abspath(root)}/{STAGING}/{job}"
+    results = spark.read.schema("source_path string, status string, error string").parquet(f"{folder}/results")
+    failed = spark.read.schema("__failed_path string, __failure string").parquet(f"{folder}/failed.parquet")
+    joined = rows.join(results, "source_path").join(failed, F.col("source_path") == F.col("__failed_path"), "left")
+    lost = F.col("__failure").isNotNull()
+    done = stored(joined.select(*rows.columns, F.when(lost, "error").otherwise(F.col("status")).alias("status"), F.coalesce("__failure", "error").alias("error")))
+    forget(rows)
+    shutil.rmtree(os.path.join(root, STAGING, job), ignore_errors=True)
+    return done
 
 
 def copy_aside(rows: DataFrame, target: str = "target") -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +21,7 @@ from stowage.functions import constants as C
 from stowage.functions import expressions as X
 from stowage.operators import incremental as I
 from stowage.plans.organize import Organizer
-from stowage.session import stored, temporary_tables
+from stowage.session import stored, tallied, temporary_tables
 from stowage.sources import files, sinks
 from stowage.streaming.breaker import Breaker
 
@@ -42,16 +42,19 @@ class PassStats:
 MOST = 50_000
 
 
-def guarded(organizer: Organizer, todo: DataFrame, breaker: Breaker | None) -> Iterator[DataFrame]:
-    """The results of chunks of files, with size and mtime_ns, until all are done or the breaker opens."""
+def guarded(organizer: Organizer, todo: DataFrame, breaker: Breaker | None, left: int) -> Iterator[tuple[DataFrame, dict]]:
+    """The results of chunks of files, with size and mtime_ns, and their tally, until all are done or the breaker opens.
+
+    left: how many files there are.
+    """
     columns = ["source_path", "digest", "status", "organized_path", "error"]
     if breaker is None or breaker.room is None:
-        yield stored(organizer.run(todo).select(*columns).join(todo.select("source_path", "size", "mtime_ns"), "source_path"))
+        yield tallied(organizer.run(todo).select(*columns).join(todo.select("source_path", "size", "mtime_ns"), "source_path"), *_tally())
         return
-    after, size, left = "", breaker.room, todo.count()
+    after, size = "", breaker.room
     while left > 0:
         chunk = stored(todo.where(F.col("source_path") > after).orderBy("source_path").limit(size))
-        results = stored(organizer.run(chunk, breaker.threshold).select(*columns).join(chunk.select("source_path", "size", "mtime_ns"), "source_path"))
+        results, tally = tallied(organizer.run(chunk, breaker.threshold).select(*columns).join(chunk.select("source_path", "size", "mtime_ns"), "source_path"), *_tally())
         rows, stop = results.select("source_path", "status").orderBy("source_path").collect(), False
         for row in rows:
             if row["status"] in ("error", "untried"):
@@ -59,7 +62,7 @@ def guarded(organizer: Organizer, todo: DataFrame, breaker: Breaker | None) -> I
                 breaker.failure()
             elif not breaker.is_open:
                 breaker.success()
-        yield results
+        yield results, tally
         if breaker.is_open or stop or not rows:
             return
         after, left = rows[-1]["source_path"], left - len(rows)
@@ -69,27 +72,37 @@ def guarded(organizer: Organizer, todo: DataFrame, breaker: Breaker | None) -> I
 def run_pass(organizer: Organizer, source: str, recursive: bool = True, breaker: Breaker | None = None, poison_limit: int = C.POISON_LIMIT, quarantine_dir: str | None = None) -> PassStats:
     """A pass over all that is listed now."""
     try:
-        listed = stored(files.scan(organizer.catalog.spark, source, recursive))
+        listed, sizes = tallied(files.scan(organizer.catalog.spark, source, recursive), *_sizes())
     except (OSError, PySparkException):
         return PassStats(passes=1, errors=1)  # the source is gone; the next pass tries again
-    return look_through(organizer, listed, breaker, poison_limit, quarantine_dir)
+    return look_through(organizer, listed, sizes, breaker, poison_limit, quarantine_dir)
+
+
+def _sizes() -> list[Column]:
+    """Of a listing; like all counts of a pass they are gathered by the job that writes the table."""
+    return [F.count("*").alias("all"), F.count("size").alias("found")]
+
+
+def _tally() -> list[Column]:
+    return [F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status").isin("copied", "duplicate")).alias("healthy")]
 
 
-def look_through(organizer: Organizer, listed: DataFrame, breaker: Breaker | None = None, poison_limit: int = C.POISON_LIMIT, quarantine_dir: str | None = None) -> PassStats:
-    """A pass over a stored listing (source_path, size, mtime_ns)."""
+def look_through(organizer: Organizer, listed: DataFrame, sizes: dict, breaker: Breaker | None = None, poison_limit: int = C.POISON_LIMIT, quarantine_dir: str | None = None) -> PassStats:
+    """A pass over a stored listing (source_path, size, mtime_ns); sizes: how many it has, and how many with a size."""
     catalog, stats = organizer.catalog, PassStats(passes=1)
     found = listed.where("size IS NOT NULL")
     todo = I.unseen(found, catalog.read("source_seen"))
     if breaker:
         todo = I.not_quarantined(todo, catalog.read("failed_files"))
-    todo = stored(todo)
-    sizes = listed.agg(F.count("*").alias("all"), F.count("size").alias("found")).first()
-    stats.skipped_unchanged, gone = sizes["found"] - todo.count(), sizes["all"] - sizes["found"]
+    todo, left = tallied(todo, F.count("*").alias("n"))
+    stats.skipped_unchanged, gone = sizes["found"] - left["n"], sizes["all"] - sizes["found"]
     failures, healthy = [], 0
-    for done in guarded(organizer, todo, breaker):
-        tally = {r["status"]: r["n"] for r in done.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        stats.errors += tally.get("error", 0)
-        healthy += sum(n for s, n in tally.items() if s in ("copied", "duplicate"))
+    if not left["n"]:
+        stats.errors += gone
+        return stats
+    for done, tally in guarded(organizer, todo, breaker, left["n"]):
+        stats.errors += tally["errors"]
+        healthy += tally["healthy"]
         good = done.where("status IN ('copied', 'duplicate')")
         changes = {"source_seen": good.select("source_path", "size", "mtime_ns", "digest", F.current_timestamp().alias("seen_at"))}
         if breaker:
@@ -151,7 +164,7 @@ def watch_stream(organizer: Organizer, source: str, checkpoint: str, interval: f
                 return
             breaker.probe()
         with temporary_tables(organizer.catalog.spark):
-            stats = look_through(organizer, stored(batch), breaker, **options)
+            stats = look_through(organizer, *tallied(batch, *_sizes()), breaker, **options)
         organizer.catalog.vacuum()
         if report:
             report(stats)

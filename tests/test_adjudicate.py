@@ -43,7 +43,7 @@ def fold(labels, kids, judge):
 @pytest.mark.parametrize("kind", ["any", "alike", "fails", "never"])
 def test_rounds_equal_the_fold(spark, kind):
     rng, judge = random.Random(kind), Judge(kind, 3)
-    classes = {c: ([f"{rng.choice('abc')}{rng.choice('xy')}{i}" for i in range(n)], [(f"{c}{i}", f"{rng.choice('abc')}x old {i}") for i in range(k)]) for c, n, k in (("100", 25, 3), ("200", 9, 0), ("300", 1, 1))}
+    classes = {c: ([f"{rng.choice('abc')}{rng.choice('xy')}{i}" for i in range(n)], [(f"{c}{i}", f"{rng.choice('abc')}x old {i}") for i in range(k)]) for c, n, k in (("100", 12, 3), ("200", 5, 0), ("300", 1, 1))}
     labels = spark.createDataFrame([(c, label, r) for c, (own, _) in classes.items() for r, label in enumerate(own, 1)], "target string, first_label string, rank long")
     kids = spark.createDataFrame([(c, code, name) for c, (_, own) in classes.items() for code, name in own], "target string, code string, label string")
     got = {(r["target"], r["rank"]): ("old", r["old_code"]) if r["old_code"] else ("new", r["of"]) if r["of"] else None for r in adjudicate.answered(labels, kids, judge, 4).collect()}
