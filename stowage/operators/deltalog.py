@@ -19,10 +19,12 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BUCKETS = 16
 _INNER = "_version long, _gone boolean"
@@ -38,6 +40,10 @@ class Table:
     #: A column whose largest value is kept beside the pointer.
     top: str | None = None
 
+    @property
+    def columns(self) -> list[str]:
+        return StructType.fromDDL(self.schema).fieldNames()
+
 
 def bucket(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
@@ -120,7 +126,7 @@ class DeltaLog:
     def _merged(self, name: str, numbers: set[str] | None) -> DataFrame:
         table, live = self.tables[name], self._pointer()["segments"].get(name, {})
         live = {n: segments for n, segments in live.items() if numbers is None or n in numbers}
-        columns = [f.name for f in self.spark.createDataFrame([], table.schema).schema]
+        columns = table.columns
         if not table.keyed:
             return self._load(name, (self._segment(name, v, n) for n, segments in live.items() for v, _ in segments)).select(*columns)
         oldest = self._load(name, (self._segment(name, segments[0][0], n) for n, segments in live.items()))
@@ -141,21 +147,23 @@ class DeltaLog:
         """Append deltas: for keyed tables one row per key, with ``_gone`` where rows may be removals; then swap the pointer."""
         pointer = self._pointer()
         version = pointer["version"] + 1
-        for name, rows in deltas.items():
-            table = self.tables[name]
-            own = [f.name for f in self.spark.createDataFrame([], table.schema).schema]
-            gone = F.coalesce("_gone", F.lit(False)) if "_gone" in rows.columns else F.lit(False)
-            given = [F.lit(version).cast("long").alias(c) if c == "batch" else c for c in own]
-            written = self._write(name, rows.select(*given, F.lit(version).cast("long").alias("_version"), gone.alias("_gone")), version)
-            segments = pointer["segments"].setdefault(name, {})
-            for number, size in written.items():
-                segments.setdefault(number, []).append([version, size])
-            if table.top and written:
-                most = self._load(name, (self._segment(name, version, n) for n in written)).agg(F.max(table.top)).first()[0]
-                pointer["top"][name] = max(pointer["top"].get(name, 0), most or 0)
-            self._grow_together(name, segments, set(written), version + 1)
+        with ThreadPoolExecutor(len(deltas) or 1) as tables:  # small jobs, side by side
+            list(tables.map(lambda named: self._append(pointer, version, *named), deltas.items()))
         self._swap(pointer | {"version": version + 1})
 
+    def _append(self, pointer: dict, version: int, name: str, rows: DataFrame) -> None:
+        table = self.tables[name]
+        gone = F.coalesce("_gone", F.lit(False)) if "_gone" in rows.columns else F.lit(False)
+        given = [F.lit(version).cast("long").alias(c) if c == "batch" else c for c in table.columns]
+        written = self._write(name, rows.select(*given, F.lit(version).cast("long").alias("_version"), gone.alias("_gone")), version)
+        segments = pointer["segments"].setdefault(name, {})
+        for number, size in written.items():
+            segments.setdefault(number, []).append([version, size])
+        if table.top and written:
+            most = self._load(name, (self._segment(name, version, n) for n in written)).agg(F.max(table.top)).first()[0]
+            pointer["top"][name] = max(pointer["top"].get(name, 0), most or 0)
+        self._grow_together(name, segments, set(written), version + 1)
+
     def _grow_together(self, name: str, segments: dict[str, list], numbers: set[str], version: int) -> None:
         """Merge the youngest segments of these buckets until sizes halve again from each to the next."""
         merged: dict[str, int] = {}  # bucket -> the first segment to merge
