@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import expressions as X
@@ -89,6 +89,10 @@ class Organizer:
         self._repeat(repeats)
         return done.unionByName(repeats.select("source_path", "digest", F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("organized_path"), F.lit(None).cast("string").alias("error")))
 
+    def process_file(self, path: str) -> Row | None:
+        """The result of one file, as ``run`` gives it; None for one that is no picture. A missing path fails."""
+        return self.run(files.scan(self.catalog.spark, path)).first()
+
     def _repeat(self, repeats: DataFrame) -> None:
         if repeats.isEmpty():
             return

@@ -435,10 +435,10 @@ def record_source_seen(spark, sf_dir):
     return incremental.record_seen(V.seen(f), f.where("doc_id % 2 = 0")).select("source_path", "size", "mtime_ns")
 
 
-@query(f"WITH {V.FILES} SELECT source_path FROM files WHERE doc_id % 4 = 1 AND doc_id % 3 <> 0")
+@query(f"WITH {V.FILES} SELECT source_path FROM files WHERE doc_id % 3 <> 0")
 def clear_file_failure(spark, sf_dir):
     f = V.files(spark, sf_dir).drop("content")
-    return incremental.clear_failures(f.where("doc_id % 4 = 1"), f.where("doc_id % 3 = 0")).select("source_path")
+    return incremental.clear_failures(f, f.where("doc_id % 3 = 0")).select("source_path")  # all have failed, a third succeeds
 
 
 @query(f"WITH {V.FILES} SELECT source_path FROM files WHERE NOT (doc_id % 4 = 1 AND doc_id % 8 <> 5)")
@@ -617,8 +617,16 @@ def catalog_by_key(spark, sf_dir):
 
 
 def _exported(spark, sf_dir) -> str:
-    """The documents as files below the shared folder, which all executors mount; names end in a code that is no picture's for some."""
-    root = f"{shared_dir(spark).removeprefix('file:')}/files-{uuid.uuid4().hex}"
+    """The documents as files below the shared folder, which all executors mount; names end in a code that is no picture's for some.
+
+    A shared folder that is no mounted path is refused. The files go when the driver ends.
+    """
+    shared = shared_dir(spark)
+    if "://" in shared and not shared.startswith("file:///"):
+        raise RuntimeError(f"files need a shared folder that is mounted as a path, which {shared} is not")
+    root = f"/{shared.removeprefix('file:').lstrip('/')}/files-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"file:{root}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     files_ = V.files(spark, sf_dir).select(F.concat(F.lit(root), "source_path").alias("path"), "content")
 
     def write(batches):
@@ -661,7 +669,7 @@ def copy_and_verify(spark, sf_dir):
 
     root = _exported(spark, sf_dir)
     p = F.col("source_path")
-    named = files.with_digests(files.scan(spark, root)).drop("error").withColumn("filename", X.generate_filename(F.lit("330"), _stem(p), F.col("digest"), X.extension(p)))
+    named = files.with_digests(files.scan(spark, f"{root}/src")).drop("error").withColumn("filename", X.generate_filename(F.lit("330"), _stem(p), F.col("digest"), X.extension(p)))
     planned = named.withColumn("organized_path", F.concat(F.lit(f"{root}/out/"), F.substring(F.sha2(p, 256), 1, 16), F.lit("/"), "filename")).withColumn("sidecar", F.to_json(F.struct("digest")))
     sinks.organize_files(planned, f"{root}/out", True)
     copied = sinks.organize_files(planned, f"{root}/out", True).select("organized_path", "filename", "status")
@@ -697,6 +705,64 @@ def organize_documents(spark, sf_dir):
     return placed.select("doc_id", "code", F.concat(F.lit("/out/"), "folder_path", F.lit("/"), name).alias("organized_path"))
 
 
+_IS_PICTURE = f"{_EXT} IN ({', '.join(map(V.quoted, C.EXTENSIONS))})"
+_RUN = _RESOLVED.replace(V.TAXONOMY, V.SPINE).replace(V.ITEMS, _CHAIN.replace("AS subject FROM digests)", f"AS subject FROM digests WHERE {_IS_PICTURE})").replace("doc_id AS pos", "source_path AS pos"))
+
+
+@query(
+    f"""{_RUN}, coded AS (SELECT w.*, CASE WHEN p.stay THEN p.target ELSE coalesce(p.found, m.code) END AS code FROM placed p LEFT JOIN minted m ON m.target = p.target AND m.norm = p.norm JOIN words w ON w.source_path = p.pos),
+    nodes AS (SELECT code, parent_code, folder_name FROM taxonomy UNION ALL SELECT code, target, code || '-' || {V.sql_slug('label')} FROM minted),
+    up(code, parent, path) AS (SELECT code, parent_code, folder_name FROM nodes UNION ALL SELECT u.code, t.parent_code, t.folder_name || '/' || u.path FROM up u JOIN nodes t ON t.code = u.parent),
+    paths AS (SELECT code, arg_max(path, length(path)) AS folder_path FROM up GROUP BY code), {_CHAIN_NAMED},
+    ids AS (SELECT source_path, row_number() OVER (ORDER BY source_path) AS id FROM coded), times AS (SELECT digest, count(*) AS events FROM words GROUP BY digest)
+    SELECT ids.id::BIGINT AS id, c.digest, c.source_path AS original_path, c.code AS pcs_primary, p.folder_path || '/' || n.filename AS organized_path, t.events
+    FROM coded c JOIN named n USING (doc_id) JOIN paths p ON p.code = c.code JOIN ids USING (source_path) JOIN times t ON t.digest = c.digest"""
+)
+def organizer_run(spark, sf_dir):
+    """The catalog after a run over every picture on disk: scanned, hashed, described, coded, copied, verified, committed."""
+    from stowage.plans.organize import Organizer
+    from stowage.sources import files
+
+    root = _exported(spark, sf_dir)
+    catalog = K.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}").delete_on_exit()
+    Organizer(catalog, f"{root}/out").run(files.scan(spark, f"{root}/src")).count()
+    events = catalog.read("history").groupBy("digest").agg(F.count("*").alias("events"))
+    bare = lambda c, top: F.substring(c, len(root) + len(top) + 1, 1 << 20)
+    return catalog.read("photos").join(events, "digest").select("id", "digest", bare("original_path", "").alias("original_path"), "pcs_primary", bare("organized_path", "/out/").alias("organized_path"), "events")
+
+
+@query(f"WITH {_OLD} SELECT id::BIGINT AS id, digest, original_path FROM old ORDER BY id")
+def catalog_scan(spark, sf_dir):
+    return _catalog(spark, V.digests(spark, sf_dir)).all().select("id", "digest", "original_path")
+
+
+@query(f"WITH {_RANKED} SELECT digest || '_' || regexp_extract(source_path, '[^/]+$') AS name, size, digest FROM ranked WHERE status = 'duplicate'")
+def copies_aside(spark, sf_dir):
+    """Every duplicate copied to a folder of its own, which is listed and hashed."""
+    from stowage.sources import files, sinks
+
+    root = _exported(spark, sf_dir)
+    again = dedup.mark_duplicates(V.digests(spark, sf_dir)).where("status = 'duplicate'")
+    target = X.duplicate_path(f"{root}/dup", F.col("digest"), F.col("source_path"))
+    sinks.copy_aside(again.select(F.concat(F.lit(root), "source_path").alias("source_path"), target.alias("target"))).count()
+    read = files.with_digests(files.scan(spark, f"{root}/dup", supported_only=False))
+    return read.select(X.base_name(F.col("source_path")).alias("name"), "size", "digest")
+
+
+@query(f"WITH {V.DIGESTS} SELECT {_STEM} || '.json' AS name, digest, doc_id FROM digests WHERE {_IS_PICTURE}")
+def sidecars(spark, sf_dir):
+    """A sidecar beside every copied picture, read back as JSON."""
+    from stowage.sources import files, sinks
+
+    root = _exported(spark, sf_dir)
+    p = F.concat(F.lit(root), "source_path")
+    known = V.digests(spark, sf_dir).where(X.is_supported(F.col("source_path")))
+    planned = known.select(p.alias("source_path"), F.concat(F.lit(f"{root}/out"), "source_path").alias("organized_path"), "digest", F.to_json(F.struct("digest", "doc_id")).alias("sidecar"))
+    sinks.organize_files(planned, f"{root}/out", True)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(f"file:{root}/out", wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.from_json("value", "digest string, doc_id long").alias("said"))
+    return read.select("name", "said.digest", "said.doc_id")
+
+
 # --- numbers and JSON ---------------------------------------------------------------
 
 

@@ -164,6 +164,7 @@ TREE = "spine(code, parent_code, label, folder_name, aliases, alias_of, active)
     parted AS (SELECT *, {_sql_part_code("p_partkey")} AS code FROM part),
     taxonomy AS (SELECT code, parent_code, label, folder_name, aliases, alias_of::VARCHAR AS alias_of, active FROM spine UNION ALL SELECT code, CASE WHEN contains(code, '~') THEN (p_partkey % 9 + 1) || '00' ELSE (p_partkey // 10 * 10)::VARCHAR END, p_name, code || '-' || {sql_slug("p_name")}, CASE WHEN p_partkey % 4 = 0 THEN [p_type] ELSE []::VARCHAR[] END,
         CASE WHEN p_partkey % 10 IN (5, 6, 7) THEN {_sql_part_code("(p_partkey - 1)")} END, p_partkey % 10 NOT IN (5, 6, 7) FROM parted)"""
+SPINE = TREE.split("),\n    parted AS", 1)[0] + "), taxonomy AS (SELECT code, parent_code, label, folder_name, aliases, alias_of::VARCHAR AS alias_of, active FROM spine)"
 URL_NODES = f"""steps AS (SELECT list_concat(list_reverse(string_split(split_part(bare, '/', 1), '.')), string_split(bare, '/')[2:]) AS s FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS bare FROM pages)),
     nodes AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS code, CASE WHEN i > 1 THEN array_to_string(s[1:i - 1], '/') END AS parent_code, {sql_slug("s[i]")} AS folder_name FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM steps))"""
 SEEDS = "seeds AS (SELECT subject, arg_min(class, rank) AS class FROM (SELECT " + sql_label("name") + " AS subject, class, rank FROM (VALUES " + ", ".join(

@@ -4,9 +4,9 @@ Spark's own binary source leaves out hidden and empty files and rounds times to
 of its own. The folder must be mounted alike on all executors.
 
 A scan is dealt out before anything is looked at: folders are opened from the top until there are ``FOLDERS`` of them or
-no more, and a folder with many entries is split into slices of about ``SLICE``. Every task of such a folder lists its
-names, which is one read of the directory, and looks at those whose hash falls to it, which is what takes the time. The
-list of extensions is pushed into the source, so other files are not looked at; rows leave a task as Arrow batches.
+no more. Small ones are put together, and one with many entries is split into slices, so that a task has ``SLICE`` entries
+at most, and fewer where that gives work to ``TASKS`` tasks. Every task of a split folder lists its names, which is one
+read of the directory, and looks at those whose hash falls to it, which is what takes the time. The list of extensions is pushed into the source, so other files are not looked at; rows leave a task as Arrow batches.
 
 As a stream every batch is a listing of the whole tree as of its time. Offsets hold that time alone: what has been seen,
 with size and time, is the state of who reads it (``streaming.watch``), however many files there are.
@@ -22,6 +22,7 @@ import time
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,18 +35,28 @@ from stowage.functions import expressions as X
 logger = logging.getLogger(__name__)
 SCHEMA = "source_path string, size long, mtime_ns long"
 _SOURCE = f"{SCHEMA}, extension string"
-#: Folders that a plan opens at most, entries of a folder that make a task, and rows of an Arrow batch.
-FOLDERS = 256
+#: Folders that a plan opens at most, entries of a task at most and at least, tasks to aim at, rows of an Arrow batch.
+FOLDERS = 1024
 SLICE = 10_000
+LEAST = 50
+TASKS = 64
 ROWS = 5_000
 
 
-class _Part(InputPartition):
+@dataclass(frozen=True)
+class _Piece:
     """The names of one folder, or of all folders below it, whose hash modulo ``of`` is ``k``; a single file; or nothing."""
 
-    def __init__(self, path: str, deep: bool, k: int = 0, of: int = 1):
-        super().__init__(path)
-        self.path, self.deep, self.k, self.of = path, deep, k, of
+    path: str
+    deep: bool
+    k: int = 0
+    of: int = 1
+
+
+class _Part(InputPartition):
+    def __init__(self, *pieces: _Piece):
+        super().__init__(pieces[0].path)
+        self.pieces = pieces
 
 
 def extension_of(name: str) -> str:
@@ -58,12 +69,9 @@ def planned(root: str, recursive: bool, folders: int = FOLDERS, entries: int = S
     if not os.path.exists(root):
         raise FileNotFoundError(f"no such source: {root}")
     if os.path.isfile(root):
-        return [_Part(root, False)]
-    parts, queue = [], deque([root])
-    while queue:
-        if len(parts) + len(queue) >= folders:  # what is left is walked by one task each
-            parts += [_Part(path, True) for path in queue]
-            break
+        return [_Part(_Piece(root, False))]
+    opened, queue = [], deque([root])
+    while queue and len(opened) + len(queue) < max(folders, 2):
         path, many, below = queue.popleft(), 0, []
         with os.scandir(path) as found:
             for entry in found:
@@ -71,21 +79,33 @@ def planned(root: str, recursive: bool, folders: int = FOLDERS, entries: int = S
                 if recursive and entry.is_dir(follow_symlinks=False):
                     below.append(entry.path)
         queue += sorted(below)
-        slices = -(-max(many, 1) // entries)
-        parts += [_Part(path, False, k, slices) for k in range(slices)]
-    return parts
+        opened.append((path, many))
+    share = min(entries, max(LEAST, sum(many for _, many in opened) // TASKS))
+    parts, held, size = [_Part(_Piece(path, True)) for path in queue], [], 0  # what is left is walked by one task each
+    for path, many in opened:
+        slices = -(-max(many, 1) // share)
+        if slices > 1:
+            parts += [_Part(_Piece(path, False, k, slices)) for k in range(slices)]
+            continue
+        if held and size + many > share:
+            parts.append(_Part(*held))
+            held, size = [], 0
+        held.append(_Piece(path, False))
+        size += many
+    return [*parts, _Part(*held)] if held else parts
 
 
 def _names(part: _Part) -> Iterator[str]:
-    if os.path.isfile(part.path):
-        yield part.path
-    elif part.deep:
-        yield from (os.path.join(d, n) for d, _, files in os.walk(part.path) for n in files)
-    elif os.path.isdir(part.path):
-        with os.scandir(part.path) as found:
-            for entry in found:
-                if part.of == 1 or zlib.crc32(os.fsencode(entry.name)) % part.of == part.k:
-                    yield entry.path
+    for piece in part.pieces:
+        if os.path.isfile(piece.path):
+            yield piece.path
+        elif piece.deep:
+            yield from (os.path.join(d, n) for d, _, files in os.walk(piece.path) for n in files)
+        elif os.path.isdir(piece.path):
+            with os.scandir(piece.path) as found:
+                for entry in found:
+                    if piece.of == 1 or zlib.crc32(os.fsencode(entry.name)) % piece.of == piece.k:
+                        yield entry.path
 
 
 def listed(part: _Part, extensions: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
@@ -159,7 +179,7 @@ class _StreamReader(_Options, DataSourceStreamReader):
             return self.plan()
         except OSError as error:
             logger.warning("could not list %s: %s", self.root, error)
-            return [_Part(os.path.join(self.root, ""), False)]
+            return [_Part(_Piece(os.path.join(self.root, ""), False))]
 
     def read(self, partition):
         return listed(partition, self.extensions)

@@ -35,7 +35,7 @@ def tree(tmp_path):
 class Picky(Classifier):
     """Fails on files whose name says so; the subject is the name's first letter run."""
 
-    def describe(self, path):
+    def describe(self, path, exif):
         name = os.path.basename(path)
         if name.startswith("bad"):
             raise RuntimeError("backend down")
@@ -45,6 +45,13 @@ class Picky(Classifier):
         return "400"
 
 
+def test_one_file(spark, tree, tmp_path):
+    job = Organizer(Catalog(spark, str(tmp_path / "c")), str(tmp_path / "o"), Picky())
+    done = job.process_file(str(tree / "beach_photo.jpg"))
+    assert done["status"] == "copied" and os.path.exists(done["organized_path"])
+    assert job.process_file(str(tree / "sub" / "copy.jpg"))["status"] == "duplicate" and job.process_file(str(tree / "notes.txt")) is None
+
+
 def test_scan(spark, tree):
     rows = {os.path.relpath(r["source_path"], tree): r for r in files.scan(spark, str(tree)).collect()}
     assert rows.keys() == {"beach_photo.jpg", "sub/mountain_view.JPG", "sub/copy.jpg", ".hidden.png", "empty.jpg"}
@@ -332,16 +339,18 @@ def test_vision_backend(tmp_path, monkeypatch):
     backend = VisionClassifier("model-x", "http://localhost:1/v1", None, 7.0)
     assert backend.api_key and backend.timeout == 7.0
     backend._made = Fake('{"primary_subject": "", "objects": "oops", "tags": ["a", 1], "scene": "beach"}')
-    assert coerced(backend.describe(str(path))) == ("photo", "beach", [], "", ["a", "1"], "", "model-x")
+    assert coerced(backend.describe(str(path), {"Make": "Maker"})) == ("photo", "beach", [], "", ["a", "1"], "", "model-x")
+    assert "Maker" in backend._made.asked[0]["messages"][0]["content"][0]["text"]
     asked = backend._made.asked[0]
     assert asked["response_format"] == {"type": "json_object"} and asked["messages"][0]["content"][1]["image_url"]["url"].startswith("data:image/png;base64,")
     for said in ("no json", "[1, 2]", "", None):
         backend._made = Fake(said)
-        assert coerced(backend.describe(str(path))) == ("photo", "", [], "", [], "", "model-x")
+        assert coerced(backend.describe(str(path), {})) == ("photo", "", [], "", [], "", "model-x")
     backend._made = Fake(" Birthdays ")
     assert backend.adjudicate("bdays", ["holidays", "birthdays"]) == "birthdays" and backend.adjudicate("x", ["holidays"]) is None
     backend._made = Fake("about 12, rather 500 or 400")
-    assert backend.pick_class({"primary_subject": "x"}) == "500"
+    assert backend.pick_class({"primary_subject": "x", "scene": "by the sea", "objects": ["boat"], "caption": "c"}) == "500"
+    assert all(w in backend._made.asked[-1]["messages"][0]["content"] for w in ("by the sea", "boat"))
     backend._made = Fake("none")
     assert backend.pick_class({}) == "900"
     assert VisionClassifier("m").__getstate__()["_made"] is None

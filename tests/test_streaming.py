@@ -21,12 +21,13 @@ from test_end_to_end import Picky, picture
 def test_a_flat_folder_is_dealt_out(spark, tmp_path):
     for i in range(2500):
         (tmp_path / f"p_{i:04}.{'jpg' if i % 2 else 'txt'}").write_bytes(b"")
-    parts = files.planned(str(tmp_path), True, entries=200)
-    assert len(parts) == 13
+    parts = files.planned(str(tmp_path), True)
+    assert len(parts) == 50
     each = [sum(b.num_rows for b in files.listed(p, None)) for p in parts]
-    assert sum(each) == 2500 and max(each) < 300  # every task has its share
-    df = files.scan(spark, str(tmp_path), entries=200)
-    assert df.rdd.getNumPartitions() == 13 and df.distinct().count() == 1250
+    assert sum(each) == 2500 and max(each) < 90  # every task has its share
+    assert len(files.planned(str(tmp_path), True, entries=20)) == 125
+    df = files.scan(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 50 and df.distinct().count() == 1250
     assert "extension" in df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -51,8 +52,17 @@ def test_python_and_column_extensions_agree(spark):
     assert {r["n"]: r["e"] for r in df.collect()} == {n: files.extension_of(n) for n in names}
 
 
+def test_small_folders_are_put_together(tmp_path):
+    for i in range(300):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "a.jpg").write_bytes(b"")
+    parts = files.planned(str(tmp_path), True)
+    assert len(parts) == 6 + 6 and sum(len(p.pieces) for p in parts) == 6 + 300
+
+
 @pytest.mark.parametrize("folders", [1, 4, 100])
-def test_plans_cover_every_file_once(tmp_path, folders):
+def test_plans_cover_every_file_once(tmp_path, folders, monkeypatch):
+    monkeypatch.setattr(files, "LEAST", 3)
     rng, want = random.Random(folders), set()
     for _ in range(120):
         path = tmp_path.joinpath(*(rng.choice("abc") for _ in range(rng.randint(0, 4))), f"{rng.random()}.jpg")
