@@ -63,7 +63,7 @@ def test_registry(spark, data):
     from stowage.llm import registry
 
     names = [n for n in registry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and registry.oracle_sql().keys() <= registry.queries().keys()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and registry.oracle_sql().keys() <= registry.queries().keys()
 
 
 def test_queries_with_sql(spark, data):
@@ -72,7 +72,8 @@ def test_queries_with_sql(spark, data):
     from stowage.llm import registry
 
     duck = duckdb.connect()
-    duck.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        duck.sql(f"create view {table} as select * from '{data}/{table}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got, want = registry.queries()[name](spark, data), duck.sql(sql)
         columns = sorted(got.columns)
