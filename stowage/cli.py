@@ -22,7 +22,7 @@ from stowage.plans.organize import Organizer, verify_tree
 from stowage.session import stored, tallied, temporary_tables
 from stowage.sources import files
 from stowage.streaming.breaker import Breaker
-from stowage.streaming.watch import guarded, watch
+from stowage.streaming.watch import PassStats, guarded, watch, watch_stream
 
 
 def _env(name: str, default):
@@ -53,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
             q.add_argument("--interval", type=float, default=_env("INTERVAL", C.POLL_SECONDS))
             q.add_argument("--breaker-backoff", type=float, default=_env("BREAKER_BACKOFF", C.BACKOFF_BASE))
             q.add_argument("--breaker-backoff-cap", type=float, default=_env("BREAKER_BACKOFF_CAP", C.BACKOFF_CAP))
+            q.add_argument("--checkpoint", default=os.environ.get("STOWAGE_CHECKPOINT"), help="a folder: watch as a stream, which goes on from there after a restart")
             q.add_argument("--poison-limit", type=int, default=_env("POISON_LIMIT", C.POISON_LIMIT))
             q.add_argument("--quarantine-dir", default=os.environ.get("STOWAGE_QUARANTINE_DIR"))
     q = sub.add_parser("verify")
@@ -124,9 +125,18 @@ def watching(spark: SparkSession, a) -> int:
     stop = threading.Event()
     for s in (signal.SIGINT, signal.SIGTERM):
         signal.signal(s, lambda *_: stop.set())
-    total = watch(_organizer(spark, a), a.source, a.interval, stop, breaker=Breaker(a.trip_threshold, a.breaker_backoff, cap=a.breaker_backoff_cap), recursive=a.recursive, poison_limit=a.poison_limit, quarantine_dir=a.quarantine_dir)
-    print(total)
-    return 0
+    organizer, breaker = _organizer(spark, a), Breaker(a.trip_threshold, a.breaker_backoff, cap=a.breaker_backoff_cap)
+    options = {"breaker": breaker, "recursive": a.recursive, "poison_limit": a.poison_limit, "quarantine_dir": a.quarantine_dir}
+    if not a.checkpoint:
+        print(watch(organizer, a.source, a.interval, stop, **options))
+        return 0
+    passes: list[PassStats] = []
+    run = watch_stream(organizer, a.source, a.checkpoint, a.interval, report=passes.append, **options)
+    while run.isActive and not stop.wait(1):
+        pass
+    run.stop()
+    print(sum(passes, PassStats()))
+    return int(run.exception() is not None)
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
