@@ -11,7 +11,12 @@ region of that many bytes: some region has no more than its share of the edits.
 Where windows stand is decided without loss: by the q-gram lemma a passage within k edits of an item keeps at least
 ``m - Q + 1 - k * (Q + b - 1)`` of its byte q-grams (b: the most bytes of one of its characters), all of them displaced
 by about the passage's start. Windows begin around places that reach
-such a count, at the displacements of the q-grams found there; which item they belong to is left to the LSH. Items of which
+such a count, at the displacements of the q-grams found there; which item they belong to is left to the LSH. A q-gram that over ``CROWD`` places of items hold (a prompt that many
+items begin with, a common phrase) is not met with each of them: it is left out of the items' counts, and the counts asked
+for are lower by as many. An item that would be left with under half of its count has that half asked for, or else so many
+shared q-grams within its length, counted for all such items of a class together; windows then begin at the
+displacements that the most q-grams of the class agree on. Walks are sampled at the steps at which the items of a class
+differ, so that a common prompt is not what their keys agree on. Items of which
 no q-gram need survive (under some 40 code points, or with wide characters) are cut into one piece more than they may
 have edits: one piece survives as it is, and all places of the pieces are compared.
 
@@ -54,6 +59,14 @@ CHUNK = 8 << 20
 STEPS = 4096
 #: Bytes of text looked at together: the walks cost the same for few windows as for many.
 SLICE = 3 << 20
+#: A q-gram that more places of items hold is counted for all items of a length class together.
+CROWD = 32
+#: Steps of a walk at which two items of a class have the same byte more often tell them apart too badly to be sampled.
+ALIKE = 0.125
+#: Of shared q-grams windows begin at displacements that at least one in so many of those at the best one nearby agree on.
+AGREE = 8
+#: Bytes of text whose q-grams are counted together, about.
+STRIDE = 1 << 19
 
 
 def max_edits(m: int, rate: float = RATE) -> int:
@@ -102,9 +115,11 @@ def distance(pattern: str, text: str) -> tuple[int, int]:
     return best
 
 
-def passage(pattern: str, text: str) -> tuple[int, int, int]:
-    """(distance, start, end) of the stretch of the text nearest to the pattern."""
+def passage(pattern: str, text: str, most: float = float("inf")) -> tuple[int, int, int]:
+    """(distance, start, end) of the stretch of the text nearest to the pattern; where it starts is told up to ``most`` edits."""
     d, end = distance(pattern, text)
+    if d > most:
+        return d, 0, end
     back, length = distance(pattern[::-1], text[:end][::-1])
     return d, end - length if back == d else 0, end
 
@@ -131,9 +146,21 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
+def padded(raw: list[np.ndarray], own: np.ndarray, longest: int) -> np.ndarray:
+    """Items as rows of ``longest`` bytes."""
+    out = np.zeros((len(own), longest), np.uint8)
+    for row, k in enumerate(own):
+        out[row, : len(raw[k])] = raw[k]
+    return out
+
+
 class Matcher:
     def __init__(self, ids: pa.Array, texts: list[str], rate: float = RATE, seed: int = 17):
-        self.ids, self.texts = ids, texts
+        self.ids, self.texts = ids, list(dict.fromkeys(texts))
+        spot = {t: k for k, t in enumerate(self.texts)}
+        self.own: list[list[int]] = [[] for _ in spot]  # places in ids of the items of one text
+        for n, t in enumerate(texts):
+            self.own[spot[t]].append(n)
         self.edits = [max_edits(len(t), rate) for t in self.texts]
         raw = [np.frombuffer(t.encode(), np.uint8) for t in self.texts]
         self.length = np.array([len(b) for b in raw], np.int64)
@@ -152,31 +179,74 @@ class Matcher:
         self.offset = spread(np.zeros(len(long), np.int64), sizes)[order].astype(np.int32)
         self.known, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
         self.first, self.count = self.first.astype(np.int32), self.count.astype(np.int32)
+        self.half = -(-self.need // 2)
+        crowded = np.repeat(self.count > CROWD, self.count)
+        self.least = self.need - np.bincount(self.item[crowded], minlength=len(self.texts))
+        prompted = self.least < self.half
+        self.least = np.maximum(self.least, self.half)
+        self.overlap = int((self.length + 4 * np.array(self.edits, np.int64)).max(initial=0))
+        self.stride = max(STRIDE, 2 * self.overlap)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.known >> np.uint64(44)] = True
         rng = np.random.default_rng(seed)
         self.classes = np.floor(np.log(np.maximum(self.length, MIN_ITEM) / MIN_ITEM) / np.log(STRETCH) + 1e-9).astype(int)
         self.plan: dict[int, list[tuple[int, int, np.ndarray]]] = {}  # walks of a class: seed, first byte, samples
         self.keys = {}
+        self.shared = self.sharing(crowded & prompted[self.item], np.repeat(np.arange(len(self.known)), self.count))
         for c in np.unique(self.classes[~short]):
             own = np.flatnonzero((self.classes == c) & ~short)
             least, longest = int(self.length[own].min()), int(self.length[own].max())
             regions = [(0, least)] if least <= REGION + REGION // 4 else [(o, REGION) for o in range(0, least - REGION // 2, REGION)]
             regions = [r for r in regions for _ in range(max(2, -(-SEEDS // len(regions))))]
-            self.plan[c] = [(n % SEEDS, first, rng.integers(0, max(8, 2 * size), (SAMPLES, PICK))) for n, (first, size) in enumerate(regions)]
+            walks = [(n % SEEDS, first, self.telling(raw, own, n % SEEDS, first, max(8, 2 * size))) for n, (first, size) in enumerate(regions)]
+            telling = [w for w in walks if len(w[2])] or [(n % SEEDS, first, np.arange(max(8, 2 * size))) for n, (first, size) in enumerate(regions)]
+            telling = [telling[n % len(telling)] for n in range(len(walks))]
+            many = SAMPLES * self.wanted(c)
+            self.plan[c] = [(seed, first, steps[rng.integers(0, len(steps), (many, PICK))]) for seed, first, steps in telling]
             step, key = self.step(c, longest), []
             for a in range(0, len(own), step):
-                padded = np.zeros((len(own[a : a + step]), longest), np.uint8)
-                for row, k in enumerate(own[a : a + step]):
-                    padded[row, : len(raw[k])] = raw[k]
-                key.append(self.keyed(padded, c))
+                key.append(self.keyed(padded(raw, own[a : a + step], longest), c))
             flat_keys, owners = np.concatenate(key).ravel(), np.repeat(own, key[0].shape[1])
             at = np.argsort(flat_keys, kind="stable")
             self.keys[c] = flat_keys[at], owners[at].astype(np.int32), longest
 
+    def sharing(self, picked: np.ndarray, gram: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int, int]]:
+        """Length class -> shared q-grams of its items, their offsets (first, count, flat), how many of them are asked for, within how many bytes, edits."""
+        out = {}
+        item, gram, offset = self.item[picked], gram[picked], self.offset[picked].astype(np.int64)
+        for c in np.unique(self.classes[item]):
+            own = self.classes[item] == c
+            most = int(offset[own].max()) + 1
+            pairs = np.unique(gram[own] * most + offset[own])
+            which, first, count = np.unique(pairs // most, return_index=True, return_counts=True)
+            members = np.unique(item[own])
+            k = max(self.edits[i] for i in members)
+            out[int(c)] = which, first, count, pairs % most, int((self.need[members] // 2 + 1).min()), int(self.length[members].max()) + 4 * k, k
+        return out
+
+    def telling(self, raw: list[np.ndarray], own: np.ndarray, seed: int, first: int, steps: int) -> np.ndarray:
+        """The steps of a walk that tell the items of a class apart: all of them in small classes, none where under a tenth do."""
+        if len(own) < CROWD:
+            return np.arange(steps)
+        longest, tally = int(self.length[own].max()), np.zeros((steps, 256))
+        for a in range(0, len(own), per := max(1, CHUNK // longest)):
+            rows = padded(raw, own[a : a + per], longest)
+            place, every = np.full(len(rows), first, np.int64), np.arange(len(rows))
+            for step in range(steps):
+                said = rows[every, np.minimum(place, longest - 1)]
+                said[place >= longest] = 0
+                tally[step] += np.bincount(said, minlength=256)
+                place += walk(seed, step)[said]
+        differ = np.flatnonzero(((tally[:, 1:] / len(own)) ** 2).sum(axis=1) < ALIKE)
+        return differ if 10 * len(differ) >= steps else differ[:0]
+
+    def wanted(self, c: int) -> int:
+        """How many keys a window must have in common with an item: of a class whose items share much, three of three times as many."""
+        return 3 if c in self.shared else 1
+
     def step(self, c: int, longest: int) -> int:
         """How many windows of a class are embedded together."""
-        return max(1, CHUNK // max(longest, 8 * SAMPLES * len(self.plan[c])))
+        return max(1, CHUNK // max(longest, 8 * sum(len(samples) for *_, samples in self.plan[c])))
 
     def cut(self, items: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By bytes looked at (Q at most): what they may be, where each value's pieces begin and end, items, offsets in code points."""
@@ -216,10 +286,10 @@ class Matcher:
         return out
 
     def keyed(self, windows: np.ndarray, c: int) -> np.ndarray:
-        """windows x (walks * SAMPLES) keys, with the walks and samples of their length class."""
+        """windows x (walks * samples) keys, with the walks and samples of their length class."""
         rows, last, plan = np.arange(len(windows)), windows.shape[1] - 1, self.plan[c]
-        keys = np.zeros((len(windows), len(plan) * SAMPLES), np.uint64)
-        for n, (seed, first, samples) in enumerate(plan):
+        keys, done = np.zeros((len(windows), sum(len(samples) for *_, samples in plan)), np.uint64), 0
+        for seed, first, samples in plan:
             wanted, which = np.unique(samples, return_inverse=True)
             seen, spots = np.zeros((len(wanted), len(windows)), np.uint8), dict(zip(wanted.tolist(), range(len(wanted)), strict=True))
             place = np.full(len(windows), first, np.int64)
@@ -229,11 +299,12 @@ class Matcher:
                 if step in spots:
                     seen[spots[step]] = said
                 place += walk(seed, step)[said]
-            for s, picked in enumerate(which.reshape(SAMPLES, PICK)):
-                value = np.full(len(windows), n * SAMPLES + s, np.uint64)
+            for s, picked in enumerate(which.reshape(samples.shape), done):
+                value = np.full(len(windows), s, np.uint64)
                 for p in picked:
                     value = value << np.uint64(8) | seen[p].astype(np.uint64)
-                keys[:, n * SAMPLES + s] = mix(value)
+                keys[:, s] = mix(value)
+            done += len(samples)
         return keys
 
     def starts(self, flat: np.ndarray, at: np.ndarray) -> dict[int, set[tuple[int, int]]]:
@@ -247,15 +318,26 @@ class Matcher:
         row = np.searchsorted(at, spot, "right") - 1
         whole = spot + Q <= at[row + 1]
         spot, k, row = spot[whole], k[whole], row[whole]
-        n = self.count[k].astype(np.int64)
         found: dict[int, set[tuple[int, int]]] = {}
+        rare = self.count[k] <= CROWD
+        for a in range(0, len(flat), self.stride):
+            part = slice(*np.searchsorted(spot, [a, a + self.stride + self.overlap]))
+            own = rare[part]
+            self.counted(spot[part][own], k[part][own], row[part][own], at, found)
+            if self.shared:
+                self.agreed(spot[part][~own], k[part][~own], row[part][~own], at, found)
+        return found
+
+    def counted(self, spot: np.ndarray, k: np.ndarray, row: np.ndarray, at: np.ndarray, found: dict[int, set[tuple[int, int]]]) -> None:
+        """Windows where an item has enough of its own q-grams."""
+        n = self.count[k].astype(np.int64)
         if not len(n):
-            return found
+            return
         which = spread(self.first[k].astype(np.int64), n)
         item, row = self.item[which].astype(np.int64), np.repeat(row, n)
         shift = np.repeat(spot, n) - self.offset[which]
         low = 2 * int(self.length.max())
-        span = len(flat) + 2 * low + 8
+        span = int(at[-1]) + 2 * low + 8
         for half in (0, 1):
             width = self.width[item]
             bucket = (shift + low + half * width // 2) // width
@@ -263,15 +345,46 @@ class Matcher:
             order = np.argsort(key, kind="stable")
             edge = np.flatnonzero(np.diff(key[order], prepend=-1))
             size = np.diff(np.append(edge, len(order)))
-            for e in np.flatnonzero(size >= self.need[item[order[edge]]]):
+            for e in np.flatnonzero(size >= self.least[item[order[edge]]]):
                 own = order[edge[e] : edge[e] + size[e]]
                 r, i = int(row[own[0]]), int(item[own[0]])
-                if len(np.unique(self.offset[which[own]])) < self.need[i]:
+                if len(np.unique(self.offset[which[own]])) < self.least[i]:
                     continue
                 a, b = int(at[r]), int(at[r + 1])
                 begin = np.unique(np.clip(shift[own], a, b - 1)) - a
                 found.setdefault(int(self.classes[i]), set()).update((r, x) for x in begin.tolist())
-        return found
+
+    def agreed(self, spot: np.ndarray, k: np.ndarray, row: np.ndarray, at: np.ndarray, found: dict[int, set[tuple[int, int]]]) -> None:
+        """Windows where a class has enough of the q-grams that its items share."""
+        for c, (gram, first, count, offsets, least, span, edits) in self.shared.items():
+            which = np.minimum(np.searchsorted(gram, k), len(gram) - 1)
+            hit = np.flatnonzero(gram[which] == k)
+            if len(hit) < least:
+                continue
+            place = spot[hit]
+            dense = np.flatnonzero(place[least - 1 :] - place[: len(hit) - least + 1] <= span)
+            cover = np.cumsum(np.bincount(dense, minlength=len(hit) + 1) - np.bincount(dense + least, minlength=len(hit) + 1)[: len(hit) + 1])[: len(hit)]
+            hit = hit[cover > 0]
+            n = count[which[hit]]
+            begin = np.repeat(spot[hit], n) - offsets[spread(first[which[hit]], n)]
+            begin = np.clip(begin, np.repeat(at[row[hit]], n), np.repeat(at[row[hit] + 1] - 1, n))
+            begin, support = np.unique(begin, return_counts=True)
+            if not len(begin):
+                continue
+            until, reach = np.concatenate([[0], np.cumsum(support)]), 4 * edits
+            around = until[np.searchsorted(begin, begin + reach, "right")] - until[np.searchsorted(begin, begin - reach)]
+            begin, support = begin[around >= least], support[around >= least]
+            if not len(begin):
+                continue
+            cell, inverse = np.unique(begin // (reach + 1), return_inverse=True)
+            best = np.zeros(len(cell), np.int64)
+            np.maximum.at(best, inverse, support)
+            beside, next_to = best.copy(), np.diff(cell) == 1
+            beside[1:][next_to] = np.maximum(beside[1:], best[:-1])[next_to]
+            beside[:-1][next_to] = np.maximum(beside[:-1], best[1:])[next_to]
+            begin = begin[AGREE * support >= beside[inverse]]
+            own = np.searchsorted(at, begin, "right") - 1
+            found.setdefault(c, set()).update(zip(own.tolist(), (begin - at[own]).tolist(), strict=True))
 
     def retrieved(self, flat: np.ndarray, at: np.ndarray) -> dict[int, dict[int, set[int]]]:
         """Row -> item -> starts of the windows that share a key with it."""
@@ -287,10 +400,12 @@ class Matcher:
                     filled[n, : len(own)] = own
                 keys = self.keyed(filled, c)
                 left, right = np.searchsorted(known, keys), np.searchsorted(known, keys, "right")
-                for n, s in zip(*np.nonzero(right > left), strict=True):
-                    r, start = part[n]
-                    for k in owner[left[n, s] : right[n, s]]:
-                        pairs.setdefault(r, {}).setdefault(int(k), set()).add(start)
+                n, key = np.nonzero(right > left)
+                left, count = left[n, key], (right - left)[n, key]
+                same, times = np.unique(np.repeat(n, count) * len(self.texts) + owner[spread(left, count)], return_counts=True)
+                for pair in same[times >= self.wanted(c)].tolist():
+                    r, start = part[pair // len(self.texts)]
+                    pairs.setdefault(r, {}).setdefault(pair % len(self.texts), set()).add(start)
         return pairs
 
     def hits(self, flat: np.ndarray, at: np.ndarray, text_of) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -299,17 +414,17 @@ class Matcher:
         out = {}
         for r, items in sorted(pairs.items()):
             text = text_of(r)
-            raw = text.encode()
+            points = np.cumsum(flat[at[r] : at[r + 1]] & 0xC0 != 0x80) - 1
             for k, spots in sorted(items.items()):
                 m, e, best, until = len(self.texts[k]), self.edits[k], None, -1
                 for s in sorted(spots):
-                    point = s if len(raw) == len(text) else len(raw[:s].decode(errors="ignore"))
+                    point = int(points[s])
                     if point < until:
                         continue
                     a = max(0, point - 2 * e - 8)
                     stretch = text[a : point + m + 4 * e + 64]
                     until = point + 2 * e + 64  # a passage from before there lies in the stretch
-                    d, x, y = passage(self.texts[k], stretch)
+                    d, x, y = passage(self.texts[k], stretch, e)
                     if d <= e and (best is None or d < best[0]):
                         best = (d, a + x, a + y)
                         if not d:
@@ -324,7 +439,7 @@ class Matcher:
                 for begin in sorted({int(points[s]) - o for s, o in spots}):
                     a = max(0, begin - e)
                     stretch = text[a : max(0, begin + m + e)]
-                    d, x, y = passage(self.texts[k], stretch) if e else (0 if stretch == self.texts[k] else m, 0, m)
+                    d, x, y = passage(self.texts[k], stretch, e) if e else (0 if stretch == self.texts[k] else m, 0, m)
                     if d <= e and (best is None or d < best[0]):
                         best = (d, a + x, a + y)
                         if not d:
@@ -357,10 +472,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(source):
             own = shared.value
+            size = {n: len(t) for t, places in zip(own.texts, own.own, strict=True) for n in places}
             for batch, flat, at in batches(source, "text", SLICE):
-                hits = [(r, *h) for r, all_ in own.hits(flat, at, lambda r, column=batch.column(1): column[r].as_py()).items() for h in all_]
+                hits = [(r, n, *h[1:]) for r, all_ in own.hits(flat, at, lambda r, column=batch.column(1): column[r].as_py()).items() for h in all_ for n in own.own[h[0]]]
                 ids, items = (c.take(pa.array([h[j] for h in hits], pa.int64())) for j, c in ((0, batch.column(0)), (1, own.ids)))
-                near = [1 - d / len(own.texts[k]) for _, k, d, _, _ in hits]
+                near = [1 - d / size[k] for _, k, d, _, _ in hits]
                 yield pa.RecordBatch.from_arrays([ids, items, pa.array([h[2] for h in hits], pa.int32()), pa.array(near, pa.float64()), *(pa.array([h[j] for h in hits], pa.int64()) for j in (3, 4))], names=["doc_id", "item_id", "distance", "similarity", "start", "end"])
 
         return mapped(rows, run, schema)

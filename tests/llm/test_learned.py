@@ -144,6 +144,42 @@ def test_decontamination_retrieves_at_every_length_and_edit_count(spark, corpus)
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench, part=5000).collect()} == got  # in several passes
 
 
+def test_decontamination_of_items_under_one_prompt(spark, corpus):
+    """Items that share a prompt, at their beginning or end: each is told from the others, and work does not grow with their number."""
+    import numpy as np
+    import pyarrow as pa
+    from stowage.llm.decontaminate import Matcher, contaminated
+
+    rng = random.Random(31)
+    words = sorted({w for t in corpus if t for w in t.split() if len(w) < 14})
+    said = lambda: " ".join(rng.choice(words) + rng.choice("bcdfglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(18, 34)))
+    ahead, behind = "Answer the following question about the passage: ", " Which of these answers is the right one, A or B?"
+    items = [(n, ahead + said() if n % 2 else said() + behind) for n in range(1200)]
+    items.append((5000, items[7][1]))
+    made, exact = [], []
+    for n in range(0, 240):
+        i, text = items[5 * n + 2]
+        made.append((n, f"{ahead}{said()}{behind}\n{edited(rng, text, (0, len(text) // 20, len(text) // 10)[n % 3])}\n{ahead}{said()}", i))
+        if not n % 3:
+            exact.append((n, i))
+    docs = spark.createDataFrame(made, "doc_id long, text string, item long")
+    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(got[pair]["distance"] == 0 for pair in exact)
+    assert sum((n, i) in got for n, _, i in made) >= 0.95 * len(made)
+    assert all((d, 5000) in got for d, i in got if i == 7)
+    of, texts = dict(items), {n: t for n, t, _ in made}
+    for (d, i), r in got.items():
+        assert brute_distance(of[i], texts[d][r["start"] : r["end"]]) == r["distance"] <= len(of[i]) // 10
+
+    text = "\n".join(ahead + said() + behind for _ in range(150)).encode()
+    flat, at, tasks = np.frombuffer(text, np.uint8), np.array([0, len(text)]), []
+    for n in (300, 1200):
+        found = Matcher(pa.array(range(n)), [t for _, t in items[:n]])
+        assert found.shared
+        tasks.append(sum(map(len, found.starts(flat, at).values())))
+    assert tasks[1] <= 2 * tasks[0] and tasks[1] <= 150 * len({len(t) for _, t in items})  # a start for every length at most
+
+
 def test_decontamination_of_a_very_long_item(spark, corpus):
     from stowage.llm.decontaminate import contaminated, drop_contaminated
 
