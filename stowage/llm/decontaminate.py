@@ -15,7 +15,8 @@ such a count, at the displacements of the q-grams found there; which item they b
 items begin with, a common phrase) is not met with each of them: it is left out of the items' counts, and the counts asked
 for are lower by as many. An item that would be left with under half of its count has that half asked for, or else so many
 shared q-grams within its length, counted for all such items of a class together; windows then begin at the
-displacements that the most q-grams of the class agree on. Walks are sampled at the steps at which the items of a class
+displacements that the most q-grams of the class agree on (at least one in ``AGREE`` of the best nearby), which, like the
+LSH, can lose a passage. Such a class asks for three common keys of three times as many. Walks are sampled at the steps at which the items of a class
 differ, so that a common prompt is not what their keys agree on. Items of which
 no q-gram need survive (under some 40 code points, or with wide characters) are cut into one piece more than they may
 have edits: one piece survives as it is, and all places of the pieces are compared.
