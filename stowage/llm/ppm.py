@@ -27,7 +27,6 @@ empty result; repeated rows are rows of their own; other columns are ignored, wh
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,37 +106,33 @@ class Counter:
 
 
 class Table:
-    """Positions of 64-bit keys, by open addressing; -1 for others."""
+    """Positions of 64-bit keys, in buckets of a hash; -1 for others. It takes 16 to 20 bytes a key, on its way by broadcast too."""
 
     def __init__(self, keys: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(1.5 * max(len(keys), 1))))))
-        size = 1 << (64 - int(self.shift))
-        self.keys, self.place = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        self.mask, self.probes = size - 1, 1
-        left, slot = np.arange(len(keys)), self.slots(keys)
-        while len(left):
-            free = self.place[slot] < 0
-            self.place[slot[free]] = left[free]
-            self.keys[slot[free]] = keys[left[free]]
-            lost = self.place[slot] != left
-            left, slot = left[lost], (slot[lost] + 1) & self.mask
-            self.probes += bool(len(left))
+        bits = max(4, int(np.ceil(np.log2(max(len(keys), 1)))))
+        self.shift = np.uint64(64 - bits)
+        slot = self.slots(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.place = np.append(keys[order], np.uint64(0)), np.append(order.astype(np.int32), np.int32(-1))
+        self.start = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount(slot, minlength=1 << bits), out=self.start[1:])
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         return (((keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         slot = self.slots(keys)
-        out = self.place[slot]
-        wrong = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
-        for _ in range(self.probes):
-            if not len(wrong):
-                break
-            slot_w = (slot[wrong] + 1) & self.mask
-            slot[wrong] = slot_w
-            out[wrong] = self.place[slot_w]
-            wrong = wrong[(out[wrong] >= 0) & (self.keys[slot_w] != keys[wrong])]
-        out[wrong] = -1
+        at = self.start[slot]  # a bucket without keys leads to a key of another one, which is none of these
+        hit = self.keys[at] == keys
+        out = np.where(hit, self.place[at], np.int32(-1))
+        at += 1
+        left = np.flatnonzero(~hit & (at < self.start[slot + 1]))
+        at, end = at[left], self.start[slot[left] + 1]
+        while len(left):
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = self.place[at[hit]]
+            more = ~hit & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
         return out
 
 
@@ -233,7 +228,6 @@ def trie(keys: np.ndarray, n: np.ndarray, order: int = ORDER) -> Trie:
 # --- over tables -------------------------------------------------------------------------------------------------
 
 GRAM, WORD = 0, 1
-_heads: dict[str, tuple[Table, np.ndarray, Table, np.ndarray]] = {}
 
 
 def _rows(kind: int, keys: np.ndarray, n: np.ndarray, held: bool = False) -> pa.RecordBatch:
@@ -328,12 +322,17 @@ def _arrays(table: DataFrame, value: str = "n") -> tuple[np.ndarray, np.ndarray]
     return keys[order], n[order]
 
 
+def counts_of(rows: DataFrame) -> DataFrame:
+    """(kind, key, n, every) of (text, held_out). A task has added up its keys already, so they are dealt out as they are: another map of them in the JVM would only hold them again."""
+    counted = mapped(rows.select("text", "held_out"), _count, "kind int, key long, n long, every long")
+    return counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), 10) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    counted = mapped(rows.select("text", "held_out"), _count, "kind int, key long, n long, every long")
-    counts = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every")))
+    counts = stored(counts_of(rows))
     tokens = counts.where(f"kind = {WORD}").select("key", "n")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = tokens.where(F.col("key") == int(END_WORD)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -341,17 +340,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     grams = counts.where(f"kind = {GRAM}").select("key", "n", "every")
     low = _arrays(grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(LOW)).alias("key")).agg(F.sum("n").alias("n")))
     dealt = grams.withColumn("by", F.shiftright("key", 8).bitwiseAND(F.lit(LOW))).repartition("by").sortWithinPartitions("by").select("key", "n", "every")
-    places = stored(mapped(dealt, _solve(spark.sparkContext.broadcast(low)), "key long, n long, p double"))
-    usual = _arrays(_commonest(places, nodes), "p")
-    common = _arrays(_commonest(tokens, head))
-    model, name = spark.sparkContext.broadcast((usual, common)), uuid.uuid4().hex
+    lower = spark.sparkContext.broadcast(low)
+    places = stored(mapped(dealt, _solve(lower), "key long, n long, p double"))
+    lower.destroy()
+    (place_keys, p), (word_keys, n) = _arrays(_commonest(places, nodes), "p"), _arrays(_commonest(tokens, head))
+    model = spark.sparkContext.broadcast((Table(place_keys), p, Table(word_keys), n))
 
     def score(source):
-        if name not in _heads:
-            _heads.clear()
-            (place_keys, p), (word_keys, n) = model.value
-            _heads[name] = Table(place_keys), p, Table(word_keys), n
-        seen, p_of, table, n_of = _heads[name]
+        seen, p_of, table, n_of = model.value
         uid = TaskContext.get().partitionId() << 40
         for batch, flat, at in batches(source, "text"):
             size = batch.num_rows
@@ -375,6 +371,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = stored(mapped(rows, score, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, score double, rare array<bigint>, times array<bigint>, places array<bigint>, place_times array<bigint>"))
+    model.destroy()
     rare = scored.select("uid", F.inline(F.arrays_zip("rare", "times"))).toDF("uid", "key", "times")
     met = rare.join(tokens, "key", "left").select("uid", "times", F.coalesce("n", F.lit(0)).alias("n"))
     more = met.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"))

@@ -167,6 +167,26 @@ def test_scores_come_from_every_node(spark, docs, rows):
     assert all(isclose(r["score"], -(len(r["text"]) + 1) * log10(256)) for r in ppm.lm_scores(untrained).join(untrained, F.lit(True)).collect())
 
 
+def test_tables_of_keys_are_small_and_find_all():
+    from stowage.llm.ppm import Table
+
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 5, 1 << 16):
+        keys = np.unique(draw.integers(0, 1 << 48, n, dtype=np.uint64)) if n != 5 else np.arange(5, dtype=np.uint64)
+        table, place = Table(keys), {int(k): i for i, k in enumerate(keys)}
+        probe = np.concatenate([keys, np.arange(9, dtype=np.uint64), draw.integers(0, 1 << 48, 999, dtype=np.uint64)])
+        assert table.find(probe).tolist() == [place.get(int(k), -1) for k in probe]
+    assert sum(v.nbytes for v in vars(table).values() if isinstance(v, np.ndarray)) < 20 * len(keys)
+
+
+def test_counts_of_a_task_are_not_held_by_the_jvm_too(docs, capsys):
+    from stowage.llm.ppm import counts_of
+
+    counts_of(docs.selectExpr("text", "false AS held_out")).explain()
+    plan = capsys.readouterr().out
+    assert "Aggregate" not in plan[plan.rindex("Exchange") : plan.index("MapInArrow")]
+
+
 def test_ppm_is_a_distribution_and_equals_a_plain_one():
     from stowage.llm import ppm
 
