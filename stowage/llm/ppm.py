@@ -228,30 +228,52 @@ def trie(keys: np.ndarray, n: np.ndarray, order: int = ORDER) -> Trie:
 # --- over tables -------------------------------------------------------------------------------------------------
 
 GRAM, WORD = 0, 1
+#: Rows that a task hands over at once.
+ROWS = 1 << 16
 
 
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray, held: bool = False) -> pa.RecordBatch:
-    n = n.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n * (not held)), pa.array(n)], names=["kind", "key", "n", "every"])
+def _pieces(batch: pa.RecordBatch):
+    """Slices of ``ROWS`` rows, for the JVM holds a batch whole."""
+    return (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS))
+
+
+def _rows(kind: int, keys: np.ndarray, n: np.ndarray, every: np.ndarray):
+    return _pieces(pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(every.astype(np.int64))], names=["kind", "key", "n", "every"]))
+
+
+def _places(train: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray]):
+    """Rows of the places of training documents and of the others, one a key."""
+    (keys, n), (more, times) = train, others
+    at = np.searchsorted(keys, more)
+    both = at < len(keys)
+    both[both] = keys[at[both]] == more[both]
+    every = n.copy()
+    every[at[both]] += times[both]
+    yield from _rows(GRAM, keys, n, every)
+    yield from _rows(GRAM, more[~both], np.zeros_like(times[~both]), times[~both])
 
 
 def _count(source):
     """What one task finds: (kind, key, n in training documents, n in all); words of training documents alone."""
-    counters, ends = {(GRAM, False): Counter(), (WORD, False): Counter(2_000_000), (GRAM, True): Counter(1_000_000)}, 0
+    train, others, common, ends = Counter(), Counter(1_000_000), Counter(2_000_000), 0
     for batch, flat, at in batches(source, "text"):
         held = batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool)
         keys, w = framed(flat, at)[0], words(flat, at)
         apart = np.repeat(held, np.diff(at) + 1)
-        counters[GRAM, False].add(keys[~apart])
-        counters[GRAM, True].add(keys[apart])
-        counters[WORD, False].add(word_hashes(LOWER[flat], w)[~held[w.owner]])
+        train.add(keys[~apart])
+        others.add(keys[apart])
+        common.add(word_hashes(LOWER[flat], w)[~held[w.owner]])
         ends += int((~held).sum())
-        for (kind, other), counter in counters.items():
-            if counter.full:
-                yield _rows(kind, *counter.take(), other)
-    for (kind, other), counter in counters.items():
-        yield _rows(kind, *counter.take(), other)
-    yield _rows(WORD, np.array([END_WORD] * bool(ends), np.uint64), np.array([ends] * bool(ends)))
+        if train.full or others.full:
+            yield from _places(train.take(), others.take())
+        if common.full:
+            keys, n = common.take()
+            yield from _rows(WORD, keys, n, n)
+    yield from _places(train.take(), others.take())
+    keys, n = common.take()
+    yield from _rows(WORD, keys, n, n)
+    n = np.array([ends] * bool(ends), np.int64)
+    yield from _rows(WORD, np.array([END_WORD] * bool(ends), np.uint64), n, n)
 
 
 def solved(keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -280,12 +302,12 @@ def _solve(shared):
                 parts, held = [[key[last:], n[last:], every[last:]]], len(key) - last
                 enough = max(CHUNK, 2 * held)
                 if last:
-                    yield answer(key[:last], n[:last], every[:last])
+                    yield from answer(key[:last], n[:last], every[:last])
         if held:
-            yield answer(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            yield from answer(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
     def answer(key, n, every):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(every), pa.array(solved(key.view(np.uint64), n, shared.value))], names=["key", "n", "p"])
+        return _pieces(pa.RecordBatch.from_arrays([pa.array(key), pa.array(every), pa.array(solved(key.view(np.uint64), n, shared.value))], names=["key", "n", "p"]))
 
     return run
 

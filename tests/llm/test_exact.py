@@ -187,6 +187,22 @@ def test_counts_of_a_task_are_not_held_by_the_jvm_too(docs, capsys):
     assert "Aggregate" not in plan[plan.rindex("Exchange") : plan.index("MapInArrow")]
 
 
+def test_a_task_gives_one_row_a_place_in_small_batches():
+    import pyarrow as pa
+
+    from stowage.llm import ppm
+
+    text = bytes(np.random.default_rng(5).integers(97, 123, 100_000, dtype=np.uint8)).decode()
+    source = pa.RecordBatch.from_pydict({"text": [text, text, text + " end", None], "held_out": [False, True, False, True]})
+    got = list(ppm._count(iter([source])))
+    assert max(b.num_rows for b in got) <= 1 << 16
+    grams = [r for b in got for r in b.to_pylist() if r["kind"] == ppm.GRAM]
+    raw = [t.encode() for t in (text, text + " end", text, "")]
+    keys = [ppm.framed(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist() for t in raw]
+    train, every = Counter(keys[0] + keys[1]), Counter(sum(keys, []))
+    assert len(grams) == len(every) and {r["key"]: (r["n"], r["every"]) for r in grams} == {k: (train[k], n) for k, n in every.items()}
+
+
 def test_ppm_is_a_distribution_and_equals_a_plain_one():
     from stowage.llm import ppm
 
