@@ -27,11 +27,9 @@ def verdict(name: Column, actual: Column) -> Column:
 
 def verify_tree(spark, path: str) -> DataFrame:
     """source_path, verdict of every file; only names in the form are read."""
-    every = files.scan(spark, path, supported_only=False)
-    named = every.withColumn("want", F.when(X.is_supported(F.col("source_path")), X.extract_digest(X.path_stem(F.col("source_path")))))
-    read = files.with_digests(named.where("want IS NOT NULL"))
-    done = read.select("source_path", verdict(F.col("source_path"), F.col("digest")).alias("verdict"))
-    return done.unionByName(named.where("want IS NULL").select("source_path", F.lit("SKIP").alias("verdict")))
+    p = F.col("source_path")
+    every = files.scan(spark, path, supported_only=False).select(p, (X.is_supported(p) & X.extract_digest(X.path_stem(p)).isNotNull()).alias("named"))
+    return files.with_digests(every, "named").select(p, verdict(p, F.col("digest")).alias("verdict"))
 
 
 @dataclass

@@ -6,7 +6,9 @@ of its own. The folder must be mounted alike on all executors.
 A scan is dealt out before anything is looked at: folders are opened from the top until there are ``FOLDERS`` of them or
 no more. Small ones are put together, and one with many entries is split into slices, so that a task has ``SLICE`` entries
 at most, and fewer where that gives work to ``TASKS`` tasks. Every task of a split folder lists its names, which is one
-read of the directory, and looks at those whose hash falls to it, which is what takes the time. The list of extensions is pushed into the source, so other files are not looked at; rows leave a task as Arrow batches.
+read of the directory, and looks at those whose hash falls to it, which is what takes the time. A folder with more than
+``FOLDERS`` folders is split with all that is below them, and folders that were not opened are dealt to ``WALKS`` tasks, so
+neither the plan nor the number of tasks grows with the number of folders. The list of extensions is pushed into the source, so other files are not looked at; rows leave a task as Arrow batches.
 
 As a stream every batch is a listing of the whole tree as of its time. Offsets hold that time alone: what has been seen,
 with size and time, is the state of who reads it (``streaming.watch``), however many files there are.
@@ -35,17 +37,18 @@ from stowage.functions import expressions as X
 logger = logging.getLogger(__name__)
 SCHEMA = "source_path string, size long, mtime_ns long"
 _SOURCE = f"{SCHEMA}, extension string"
-#: Folders that a plan opens at most, entries of a task at most and at least, tasks to aim at, rows of an Arrow batch.
+#: Folders that a plan opens at most, entries of a task at most and at least, tasks to aim at, tasks that walk what was not opened, rows of an Arrow batch.
 FOLDERS = 1024
 SLICE = 10_000
 LEAST = 50
 TASKS = 64
+WALKS = 256
 ROWS = 5_000
 
 
 @dataclass(frozen=True)
 class _Piece:
-    """The names of one folder, or of all folders below it, whose hash modulo ``of`` is ``k``; a single file; or nothing."""
+    """The entries of one folder whose name's hash modulo ``of`` is ``k``, if ``deep`` with all that is below them; a single file; or nothing."""
 
     path: str
     deep: bool
@@ -70,18 +73,26 @@ def planned(root: str, recursive: bool, folders: int = FOLDERS, entries: int = S
         raise FileNotFoundError(f"no such source: {root}")
     if os.path.isfile(root):
         return [_Part(_Piece(root, False))]
-    opened, queue = [], deque([root])
-    while queue and len(opened) + len(queue) < max(folders, 2):
+    folders = max(folders, 2)
+    opened, wide, queue = [], [], deque([root])
+    while queue and len(opened) + len(queue) < folders:
         path, many, below = queue.popleft(), 0, []
         with os.scandir(path) as found:
             for entry in found:
                 many += 1
-                if recursive and entry.is_dir(follow_symlinks=False):
+                if recursive and len(below) <= folders and entry.is_dir(follow_symlinks=False):
                     below.append(entry.path)
-        queue += sorted(below)
-        opened.append((path, many))
-    share = min(entries, max(LEAST, sum(many for _, many in opened) // TASKS))
-    parts, held, size = [_Part(_Piece(path, True)) for path in queue], [], 0  # what is left is walked by one task each
+        if len(below) > folders:
+            wide.append((path, many))
+        else:
+            queue += sorted(below)
+            opened.append((path, many))
+    share = min(entries, max(LEAST, sum(many for _, many in [*opened, *wide]) // TASKS))
+    left = [_Piece(path, True) for path in queue]
+    parts, held, size = [_Part(*left[k::WALKS]) for k in range(min(WALKS, len(left)))], [], 0
+    for path, many in wide:
+        slices = min(WALKS, max(TASKS, -(-many // share)))
+        parts += [_Part(_Piece(path, True, k, slices)) for k in range(slices)]
     for path, many in opened:
         slices = -(-max(many, 1) // share)
         if slices > 1:
@@ -99,13 +110,20 @@ def _names(part: _Part) -> Iterator[str]:
     for piece in part.pieces:
         if os.path.isfile(piece.path):
             yield piece.path
-        elif piece.deep:
-            yield from (os.path.join(d, n) for d, _, files in os.walk(piece.path) for n in files)
+        elif piece.deep and piece.of == 1:
+            yield from _walked(piece.path)
         elif os.path.isdir(piece.path):
             with os.scandir(piece.path) as found:
                 for entry in found:
                     if piece.of == 1 or zlib.crc32(os.fsencode(entry.name)) % piece.of == piece.k:
-                        yield entry.path
+                        if piece.deep and entry.is_dir(follow_symlinks=False):
+                            yield from _walked(entry.path)
+                        else:
+                            yield entry.path
+
+
+def _walked(path: str) -> Iterator[str]:
+    return (os.path.join(d, n) for d, _, files in os.walk(path) for n in files)
 
 
 def listed(part: _Part, extensions: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
@@ -225,13 +243,22 @@ def file_digest(path: str) -> str:
     return base64.urlsafe_b64encode(raw).decode().rstrip("=")
 
 
-def with_digests(files: DataFrame) -> DataFrame:
-    """Adds digest and error, reading each file in chunks inside the task; a file that can't be read has the digest ``''``."""
+def with_digests(files: DataFrame, wanted: str | None = None) -> DataFrame:
+    """Adds digest and error, reading each file in chunks inside the task; a file that can't be read has the digest ``''``.
+
+    wanted: a boolean column; where it does not hold the file is not read and both are null.
+    """
 
     def run(batches):
         for batch in batches:
             digests, errors = [], []
-            for path in batch.column(batch.schema.get_field_index("source_path")).to_pylist():
+            paths = batch.column(batch.schema.get_field_index("source_path")).to_pylist()
+            asked = batch.column(batch.schema.get_field_index(wanted)).to_pylist() if wanted else [True] * len(paths)
+            for path, ask in zip(paths, asked, strict=True):
+                if not ask:
+                    digests.append(None)
+                    errors.append(None)
+                    continue
                 try:
                     digests.append(file_digest(path))
                     errors.append(None)

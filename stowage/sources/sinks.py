@@ -1,7 +1,7 @@
-"""Writing files from tasks. Every write goes to a temporary name and is renamed, so a task may run again or twice.
+"""Writing files from tasks. What readers see is renamed into its place, so a task may run again or twice.
 
-Copies are a data source's writer: tasks stage and verify, the job's commit publishes, and an abort cleans up. The root
-must be a folder that the driver and all executors mount alike.
+Copies are a data source's writer: its tasks stage and verify, and an abort cleans up. When all are staged the tasks of a
+second job publish them. The root must be a folder that the driver and all executors mount alike.
 """
 
 from __future__ import annotations
@@ -36,30 +36,22 @@ def copy_file(source: str, target: str) -> None:
             os.unlink(part)
 
 
-def place(source: str, target: str, digest: str) -> None:
-    """Leave a target that verifies alone; else copy and verify, and take back what does not."""
-    if os.path.exists(target) and file_digest(target) == digest:
-        return
-    copy_file(source, target)
-    if file_digest(target) != digest:
-        os.unlink(target)
-        raise RuntimeError(f"integrity check failed: {source} -> {target}")
-
-
 def sidecar_name(target: str) -> str:
     """JSON beside the file, its extension replaced."""
     return os.path.splitext(target)[0] + ".json"
 
 
-def write_sidecar(name: str, fields: dict) -> None:
-    part = f"{name}.{uuid.uuid4().hex}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(fields, f, indent=2, ensure_ascii=False)
-    os.replace(part, name)
+def _holds(name: str, raw: bytes) -> bool:
+    try:
+        with open(name, "rb") as f:
+            return f.read(len(raw) + 1) == raw
+    except FileNotFoundError:
+        return False
 
 
 STAGING = ".staging"
-_RESULTS = pa.schema([("source_path", pa.string()), ("target", pa.string()), ("status", pa.string()), ("error", pa.string()), ("staged", pa.string()), ("staged_sidecar", pa.string())])
+_RESULT = "source_path string, status string, error string"
+_RESULTS = pa.schema([(n, pa.string()) for n in ("source_path", "target", "digest", "status", "error", "staged", "staged_sidecar")])
 
 
 class _Done(WriterCommitMessage):
@@ -68,65 +60,97 @@ class _Done(WriterCommitMessage):
 
 
 class _CopyWriter(DataSourceArrowWriter):
-    """Tasks copy and verify into a staging folder below the root; the commit of the job moves what they have staged.
+    """Tasks copy and verify into staging folders of their own below the root; the commit of the job tells whose results count.
 
-    A task that fails or runs twice has staged under names of its own, which no message tells of; a job that is stopped
-    leaves the staging folder alone, so nothing of it can be seen in the tree.
+    A task that fails or runs twice has staged in a folder that no message tells of; a job that is stopped leaves the
+    staging folder alone, so nothing of it can be seen in the tree.
     """
 
     def __init__(self, options):
         self.folder = os.path.join(options["path"], STAGING, options["job"])
 
     def write(self, iterator):
-        own = uuid.uuid4().hex
-        os.makedirs(os.path.join(self.folder, "results"), exist_ok=True)
-        results = os.path.join(self.folder, "results", f"{own}.parquet")
+        own = os.path.join(self.folder, uuid.uuid4().hex)
+        os.makedirs(own)
+        results = os.path.join(own, "results.parquet")
         with pq.ParquetWriter(results, _RESULTS) as out:
+            count = 0
             for batch in iterator:
                 column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
                 none = [None] * batch.num_rows
-                rows = [self._stage(*row) for row in zip(column["source_path"], column["organized_path"], column["digest"], column.get("sidecar", none), strict=True)]
+                rows = [self._stage(os.path.join(own, str(count + k)), *row) for k, row in enumerate(zip(column["source_path"], column["organized_path"], column["digest"], column.get("sidecar", none), strict=True))]
+                count += len(rows)
                 out.write_batch(pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_RESULTS)], schema=_RESULTS))
         return _Done(results)
 
-    def _stage(self, source: str, target: str, digest: str, sidecar: str | None) -> tuple:
-        """A row of results: any failure is that file's alone. A target that verifies already is left alone."""
-        staged, beside = os.path.join(self.folder, uuid.uuid4().hex), None
+    def _stage(self, own: str, source: str, target: str, digest: str, sidecar: str | None) -> tuple:
+        """A row of results: any failure is that file's alone. A target that verifies already is left alone, and so is a sidecar that says the same."""
+        staged, beside = own, None
         try:
             if os.path.exists(target) and file_digest(target) == digest:
                 staged = None
             else:
-                place(source, staged, digest)
+                shutil.copy2(source, staged)
+                if file_digest(staged) != digest:
+                    os.unlink(staged)
+                    raise RuntimeError(f"integrity check failed: {source} -> {target}")
         except Exception as error:
-            return source, target, "error", str(error), None, None
+            return source, target, digest, "error", str(error), None, None
         if sidecar is not None:
             try:
-                beside = os.path.join(self.folder, f"{uuid.uuid4().hex}.json")
-                write_sidecar(beside, json.loads(sidecar))
+                raw = json.dumps(json.loads(sidecar), indent=2, ensure_ascii=False).encode()
+                if not _holds(sidecar_name(target), raw):
+                    beside = f"{own}.json"
+                    with open(beside, "wb") as f:
+                        f.write(raw)
             except Exception as error:  # the copy stands
                 logger.warning("no sidecar for %s: %s", target, error)
                 beside = None
-        return source, target, "copied", None, staged, beside
+        return source, target, digest, "copied", None, staged, beside
 
     def commit(self, messages):
-        failed: list[tuple[str, str]] = []
-        for message in messages:
+        done = os.path.join(self.folder, "done")
+        os.makedirs(done)
+        for k, message in enumerate(messages):
             if message is not None:
-                for batch in pq.ParquetFile(message.results).iter_batches(10_000, columns=["source_path", "target", "staged", "staged_sidecar"]):
-                    for source, target, staged, beside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                        try:
-                            os.makedirs(os.path.dirname(target), exist_ok=True)
-                            for part, name in ((staged, target), (beside, sidecar_name(target))):
-                                if part:
-                                    os.replace(part, name)
-                        except OSError as error:  # that file's alone
-                            failed.append((source, str(error)))
-        pq.write_table(pa.table({"__failed_path": pa.array([f[0] for f in failed], pa.string()), "__failure": pa.array([f[1] for f in failed], pa.string())}), os.path.join(self.folder, "failed.parquet"))
+                os.replace(message.results, os.path.join(done, f"{k}.parquet"))
 
     def abort(self, messages):
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
+def _moved(staged: str, name: str, there) -> None:
+    """Rename, unless a task that ran before has done so; there: tells whether the name holds what was staged."""
+    try:
+        os.replace(staged, name)
+    except FileNotFoundError:
+        if os.path.lexists(staged) or not there():
+            raise
+
+
+def _published(batches):
+    """Moves what tasks have staged into its place; a failure is that file's alone."""
+    for batch in batches:
+        rows, folders = [], set()
+        for source, target, digest, status, error, staged, beside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            folder = os.path.dirname(target)
+            try:
+                if (staged or beside) and folder not in folders:
+                    os.makedirs(folder, exist_ok=True)
+                    folders.add(folder)
+                if staged:
+                    _moved(staged, target, lambda: os.path.exists(target) and file_digest(target) == digest)
+            except OSError as failure:
+                status, error, beside = "error", str(failure), None
+            if beside:
+                try:
+                    _moved(beside, sidecar_name(target), lambda: os.path.exists(sidecar_name(target)))
+                except OSError as failure:  # the copy stands
+                    logger.warning("no sidecar for %s: %s", target, failure)
+            rows.append((source, status, error))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["source_path", "status", "error"])
+
+
 class CopySink(DataSource):
     @classmethod
     def name(cls):
@@ -147,19 +171,15 @@ def sweep(root: str) -> None:
 def organize_files(rows: DataFrame, root: str, sidecars: bool = False) -> DataFrame:
     """Adds status and error. rows: source_path, organized_path below ``root``, digest; and ``sidecar`` (JSON) if sidecars are wanted.
 
-    All copies become visible when the job ends, or none. A sidecar that can't be written does not undo its copy.
+    No copy becomes visible before all are staged and verified. A sidecar that can't be written does not undo its copy.
     """
     spark, job = rows.sparkSession, uuid.uuid4().hex
     spark.dataSource.register(CopySink)
     rows = stored(rows)
     columns = ["source_path", "organized_path", "digest", F.col("sidecar") if sidecars else F.lit(None).cast("string").alias("sidecar")]
     rows.select(*columns).write.format("stowage_copies").option("job", job).mode("append").save(root)
-    folder = f"file:{os.path.abspath(root)}/{STAGING}/{job}"
-    results = spark.read.schema("source_path string, status string, error string").parquet(f"{folder}/results")
-    failed = spark.read.schema("__failed_path string, __failure string").parquet(f"{folder}/failed.parquet")
-    joined = rows.join(results, "source_path").join(failed, F.col("source_path") == F.col("__failed_path"), "left")
-    lost = F.col("__failure").isNotNull()
-    done = stored(joined.select(*rows.columns, F.when(lost, "error").otherwise(F.col("status")).alias("status"), F.coalesce("__failure", "error").alias("error")))
+    staged = spark.read.schema(", ".join(f"{n} string" for n in _RESULTS.names)).parquet(f"file:{os.path.abspath(root)}/{STAGING}/{job}/done")
+    done = stored(rows.join(staged.mapInArrow(_published, _RESULT), "source_path").select(*rows.columns, "status", "error"))
     forget(rows)
     shutil.rmtree(os.path.join(root, STAGING, job), ignore_errors=True)
     return done

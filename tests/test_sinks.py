@@ -57,6 +57,49 @@ def test_a_stopped_job_leaves_nothing_visible(spark, tmp_path, monkeypatch):
     assert visible(root) == []
 
 
+def test_results_of_a_lost_task_do_not_count(spark, tmp_path):
+    """A task that fails after it has told of some files, and then runs again, must not give their rows twice."""
+    src, root = tmp_path / "s", str(tmp_path / "o")
+    for i in range(3):
+        picture(src / f"p{i}.jpg", bytes([i]))
+    rows = planned(spark, src, root).select("source_path", "organized_path", "digest", "sidecar").collect()
+    writer = sinks._CopyWriter({"path": root, "job": "j"})
+    batches = [sinks.pa.RecordBatch.from_pylist([r.asDict()]) for r in rows]
+
+    def lost():
+        yield batches[0]
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError, match="lost"):
+        writer.write(lost())
+    writer.commit([writer.write(iter(batches)), None])
+    done = f"{root}/{sinks.STAGING}/j/done"
+    told = [sinks.pq.read_table(f"{done}/{f}") for f in os.listdir(done)]
+    assert sum(t.num_rows for t in told) == 3 and visible(f"{root}/sub") == []
+    for _ in range(2):  # the publishing task too may run again
+        got = [r for t in told for b in sinks._published(t.to_batches()) for r in b.to_pylist()]
+        assert sorted(r["source_path"] for r in got) == sorted(r["source_path"] for r in rows) and {r["status"] for r in got} == {"copied"}
+        assert visible(f"{root}/sub") == [f"p{i}.{e}" for i in range(3) for e in ("jpg", "json")]
+    (tmp_path / "o/sub/p1.jpg").write_bytes(b"damaged")  # what was staged is gone, and this is not it
+    assert [r["status"] for t in told for b in sinks._published(t.to_batches()) for r in b.to_pylist()].count("error") == 1
+
+
+def test_sidecars_that_say_the_same_are_left_alone(spark, tmp_path):
+    src, root = tmp_path / "s", str(tmp_path / "o")
+    for i in range(3):
+        picture(src / f"p{i}.jpg", bytes([i]))
+    rows = planned(spark, src, root)
+    sinks.organize_files(rows, root, True)
+    before = [os.stat(f"{root}/sub/p{i}.json").st_ino for i in range(3)]
+    said = (tmp_path / "o/sub/p0.json").read_text()
+    (tmp_path / "o/sub/p1.json").write_text(said + " ")
+    os.unlink(f"{root}/sub/p2.json")
+    assert sinks.organize_files(rows, root, True).where("status = 'copied'").count() == 3
+    assert os.stat(f"{root}/sub/p0.json").st_ino == before[0] and (tmp_path / "o/sub/p1.json").read_text() != said + " "
+    assert {json.loads((tmp_path / f"o/sub/p{i}.json").read_text())["digest"] for i in range(3)} == {files.file_digest(str(src / f"p{i}.jpg")) for i in range(3)}
+    assert sinks.organize_files(rows.limit(0), root, True).count() == 0
+
+
 def test_a_pass_counts_in_its_own_jobs(spark, tmp_path):
     """The tallies of a pass come from the jobs that write: the pass itself asks for no count."""
     src, asked = tmp_path / "s", []

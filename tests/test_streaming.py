@@ -73,6 +73,31 @@ def test_plans_cover_every_file_once(tmp_path, folders, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_a_wide_tree_is_dealt_to_few_tasks(tmp_path, monkeypatch):
+    """As copy_and_verify has it: a folder for every file. The plan must not grow with them."""
+    want = set()
+    for i in range(1500):
+        path = tmp_path / "wide" / f"{i:04}" / ("deep" if i % 7 == 0 else ".") / "a.jpg"
+        path.parent.mkdir(parents=True)
+        path.write_bytes(b"")
+        want.add(str(path))
+    (tmp_path / "wide" / "b.jpg").write_bytes(b"")
+    (tmp_path / "wide" / "link").symlink_to(tmp_path / "wide" / "0001")  # is not followed
+    (tmp_path / "c.jpg").write_bytes(b"")
+    want |= {str(tmp_path / "wide" / "b.jpg"), str(tmp_path / "c.jpg")}
+    parts = files.planned(str(tmp_path), True)
+    each = [[n for b in files.listed(p, None) for n in b.column(0).to_pylist()] for p in parts]
+    assert len(parts) == 65 and sum(len(p.pieces) for p in parts) == 65 and max(map(len, each)) < 60
+    assert sorted(n for names in each for n in names) == sorted(want)
+    few = files.planned(str(tmp_path), True, 2000)  # opened, and so put together
+    assert sorted(n for p in few for b in files.listed(p, None) for n in b.column(0).to_pylist()) == sorted(want)
+    monkeypatch.setattr(files, "WALKS", 8)
+    for i in range(40):
+        for k in range(30):
+            (tmp_path / "two" / str(i) / str(k)).mkdir(parents=True)
+    assert len(files.planned(str(tmp_path / "two"), True, 60)) <= 8 + 2  # folders that were not opened
+
+
 # --- watching ----------------------------------------------------------------------
 
 
