@@ -759,7 +759,8 @@ def sidecars(spark, sf_dir):
     known = V.digests(spark, sf_dir).where(X.is_supported(F.col("source_path")))
     planned = known.select(p.alias("source_path"), F.concat(F.lit(f"{root}/out"), "source_path").alias("organized_path"), "digest", F.to_json(F.struct("digest", "doc_id")).alias("sidecar"))
     sinks.organize_files(planned, f"{root}/out", True)
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(f"file:{root}/out", wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.from_json("value", "digest string, doc_id long").alias("said"))
+    texts = files.with_texts(files.scan(spark, f"{root}/out", extensions=("json",)))
+    read = texts.select(X.base_name(F.col("source_path")).alias("name"), F.from_json("text", "digest string, doc_id long").alias("said"))
     return read.select("name", "said.digest", "said.doc_id")
 
 

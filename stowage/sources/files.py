@@ -29,10 +29,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 from stowage.functions import constants as C
-from stowage.functions import expressions as X
+from stowage.session import ARROW_BYTES
 
 logger = logging.getLogger(__name__)
 SCHEMA = "source_path string, size long, mtime_ns long"
@@ -166,8 +166,9 @@ class _Options:
 class _Reader(_Options, DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, In) and f.attribute == ("extension",):
-                self.extensions = frozenset(f.value) if self.extensions is None else self.extensions & frozenset(f.value)
+            if isinstance(f, In | EqualTo) and f.attribute == ("extension",):  # a list of one is an equality to Spark
+                kinds = frozenset(f.value if isinstance(f, In) else (f.value,))
+                self.extensions = kinds if self.extensions is None else self.extensions & kinds
             else:
                 yield f
 
@@ -218,15 +219,16 @@ class FileSource(DataSource):
         return _StreamReader(self.options)
 
 
-def scan(spark: SparkSession, path: str, recursive: bool = True, supported_only: bool = True, **options) -> DataFrame:
-    """Regular files below ``path`` (or that one file); by default pictures alone. A missing path fails.
+def scan(spark: SparkSession, path: str, recursive: bool = True, supported_only: bool = True, extensions: tuple[str, ...] = (), **options) -> DataFrame:
+    """Regular files below ``path`` (or that one file); by default pictures alone, or those of ``extensions``. A missing path fails.
 
     A file that can't be looked at has null size and time.
     """
     spark.dataSource.register(FileSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = spark.read.format("stowage_files").option("recursive", str(recursive).lower()).options(**options).load(path)
-    return (df.where(F.col("extension").isin(*C.EXTENSIONS)) if supported_only else df).drop("extension")
+    kinds = extensions or (C.EXTENSIONS if supported_only else ())
+    return (df.where(F.col("extension").isin(*kinds)) if kinds else df).drop("extension")
 
 
 def scan_stream(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -271,3 +273,23 @@ def with_digests(files: DataFrame, wanted: str | None = None) -> DataFrame:
     return files.mapInArrow(run, f"{columns}, digest string, error string")
 
 
+def with_texts(files: DataFrame) -> DataFrame:
+    """Adds text, each file's as UTF-8, read inside the task. Batches have ``ARROW_BYTES`` characters or one text more.
+
+    Spark's own text source holds the list of all files on the driver, and gives some few small ones to a task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            start, texts, held = 0, [], 0
+            paths = batch.column(batch.schema.get_field_index("source_path")).to_pylist()
+            for i, path in enumerate(paths, 1):
+                with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                    texts.append(f.read())
+                held += len(texts[-1])
+                if held >= ARROW_BYTES or i == len(paths):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, i - start).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+                    start, texts, held = i, [], 0
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(run, f"{columns}, text string")

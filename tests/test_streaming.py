@@ -42,6 +42,29 @@ def test_extensions_are_pushed_into_the_source(spark, tmp_path, monkeypatch):
     assert {os.path.basename(r["source_path"]) for r in files.scan(spark, str(tmp_path)).collect()} == got | {"g.tar.gif"}
 
 
+def test_texts_are_read_in_tasks(spark, tmp_path):
+    """Of 600 files in 13 tasks, as the scan deals them out; the driver has no list of them."""
+    want = {}
+    for i in range(600):
+        want[f"p {i}.json"] = f'{{"n": {i}, "é": "\r\n"}}' if i % 100 else "x" * (3 * files.ARROW_BYTES // 4 * (i // 100))
+        (tmp_path / f"p {i}.json").write_bytes(want[f"p {i}.json"].encode())
+    (tmp_path / "a.jpg").write_bytes(b"x")
+    df = files.with_texts(files.scan(spark, str(tmp_path), extensions=("json",)))
+    assert df.rdd.getNumPartitions() == 13 and not df.inputFiles()
+    got = df.collect()
+    assert len(got) == 600 and {os.path.basename(r["source_path"]): r["text"] for r in got} == want
+    assert all(r["size"] == len(want[os.path.basename(r["source_path"])].encode()) for r in got)
+    reader = files._Reader({"path": str(tmp_path)})
+    assert not list(reader.pushFilters([files.EqualTo(("extension",), "json")])) and reader.extensions == {"json"}
+
+
+def test_sidecars_query_asks_for_few_tasks(spark, data):
+    from stowage.plans.registry import queries
+
+    df = queries()["sidecars"](spark, data)
+    assert df.rdd.getNumPartitions() <= 64 and not df.inputFiles() and df.count() > 0
+
+
 def test_python_and_column_extensions_agree(spark):
     from pyspark.sql import functions as F
 
